@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixture, simhash
+from . import decontaminate, mixture, simhash, suffix_dedup
 from .common import table
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
@@ -57,5 +61,5 @@ y AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor
 SELECT doc_id, size, source_size, target, whole * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - whole * source_size - earlier)) AS taken FROM y
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_benchmark_decontamination, op7_source_mixing, op8_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_suffix_array_dedup, op4_benchmark_decontamination, op7_source_mixing, op8_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op4_benchmark_decontamination": OP4_SQL, "op7_source_mixing": OP7_SQL}
