@@ -30,6 +30,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    spark._jvm.System.gc()  # Spark deletes the shuffle files of jobs that are done when the driver collects its garbage
     return spark.read.schema(df.schema).parquet(path)
 
 

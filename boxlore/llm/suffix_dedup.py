@@ -36,7 +36,8 @@ BATCH = 1 << 19
 PIECE = 1 << 22
 NO_ID = -(1 << 63)
 
-REPEATS = "array<struct<g: bigint, a: int, n: int>>"
+#: A span is its first byte times two to this power, plus its length.
+SPAN_BITS = 20
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, gram: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -152,11 +153,12 @@ def _within(keys: list[tuple[int, int]], contexts: list[bytes], length: int) ->
 
 
 def _compare(length: int):
-    schema = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("repeats", pa.list_(pa.struct([("g", pa.int64()), ("a", pa.int32()), ("n", pa.int32())])))])
-
     def rows(keys, contexts):
         found = list(_within(keys, contexts, length))
-        return pa.RecordBatch.from_pylist([{"h": h, "ctx": c, "repeats": [{"g": g, "a": a, "n": n} for g, a, n in r]} for h, c, r in found], schema)
+        columns = [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)]
+        columns.append(pa.array([[g for g, _, _ in x[2]] for x in found], pa.list_(pa.int64())))
+        columns.append(pa.array([[(a << SPAN_BITS) + n for _, a, n in x[2]] for x in found], pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays(columns, names=["h", "ctx", "group", "span"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[tuple[int, int]] = []
@@ -179,30 +181,38 @@ def _compare(length: int):
 
 
 def repeats_in(units: DataFrame, length: int = LENGTH, level: int = 0, limit: int | None = None, grams: tuple[int, ...] = GRAMS) -> DataFrame:
-    """(u1, u2, lo, repeats): maximal repeats in each unit, by context; ``lo`` is the context's first byte in the unit.
+    """(u1, u2, lo, group, span): maximal repeats in each unit, by context; ``lo`` is the context's first byte in the unit.
 
     units: u1, u2 (long, name a unit; rows with equal names are equal), c (long: how often it occurs), bytes (binary).
-    A repeat's g is a hash of its bytes; a is its first byte in the context and n its length there.
+    group and span are arrays with an entry per repeat: a hash of its bytes; its first byte in the context and its length
+    there, packed by ``SPAN_BITS``.
+
+    What is joined by anchor is written first, so that both sides of each join are dealt by Spark itself and a partition
+    with a very common anchor can be split.
     """
     limit = LIMIT if limit is None else limit
     seen = units.mapInArrow(_occurrences(grams[level], length), "h bigint, ctx bigint, u1 bigint, u2 bigint, lo int, n int, c bigint")
-    twice = seen.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h")
+    twice = materialise(seen.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"), "twice")
     again = materialise(seen.join(twice, "h"), "anchors")
-    contexts = again.groupBy("h", "ctx").agg(F.sum("c").alias("c"), F.min(F.struct("u1", "u2", "lo", "n")).alias("rep"))
-    whole = contexts.where("c > 1").select("h", "ctx", F.array(F.struct(F.col("ctx").alias("g"), F.lit(0).alias("a"), F.col("rep.n").alias("n"))).alias("repeats"))
-    many = contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    wanted = materialise(contexts.join(many, "h").select("h", "ctx", "c", "m", "rep.*"), "contexts")
-    asked = wanted.groupBy("u1", "u2").agg(F.collect_list(F.struct("h", "ctx", "c", "m", "lo", "n")).alias("asked"))
+    contexts = materialise(again.groupBy("h", "ctx").agg(F.sum("c").alias("c"), F.min(F.struct("u1", "u2", "lo", "n")).alias("rep")).select("h", "ctx", "c", "rep.*"), "contexts")
+    whole = contexts.where("c > 1").select("h", "ctx", F.array("ctx").alias("group"), F.array(F.col("n").cast("long")).alias("span"))
+    many = materialise(contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "many")
+    asked = contexts.join(many, "h").groupBy("u1", "u2").agg(F.collect_list(F.struct("h", "ctx", "c", "m", "lo", "n")).alias("asked"))
     cut = F.transform("asked", lambda r: F.struct(r["h"].alias("h"), r["ctx"].alias("ctx"), r["c"].alias("c"), r["m"].alias("m"), F.substring(F.col("bytes"), r["lo"] + 1, r["n"]).alias("bytes")))
-    fetched = units.select("u1", "u2", "bytes").join(asked, ["u1", "u2"]).select(F.explode(cut).alias("x")).select("x.*")
+    fetched = materialise(units.select("u1", "u2", "bytes").join(asked, ["u1", "u2"]).select(F.explode(cut).alias("x")).select("x.*"), "fetched")
     compared = fetched.where(F.col("m") <= limit).select("h", "ctx", "bytes").repartition("h").sortWithinPartitions("h", "ctx")
-    verdict = whole.unionAll(compared.mapInArrow(_compare(length), f"h bigint, ctx bigint, repeats {REPEATS}"))
-    if wanted.where(F.col("m") > limit).limit(1).count():
-        hot = materialise(fetched.where(F.col("m") > limit).select(F.col("h").alias("u1"), F.col("ctx").alias("u2"), "c", "bytes").dropDuplicates(["u1", "u2"]), "hot")
-        deeper = repeats_in(hot, length, level + 1, limit, grams)
-        moved = F.transform("repeats", lambda r: F.struct(r["g"].alias("g"), (r["a"] + F.col("lo")).cast("int").alias("a"), r["n"].alias("n")))
-        verdict = verdict.unionAll(deeper.select(F.col("u1").alias("h"), F.col("u2").alias("ctx"), moved.alias("repeats")))
-    return again.select("h", "ctx", "u1", "u2", "lo").join(verdict, ["h", "ctx"]).select("u1", "u2", "lo", "repeats")
+    verdict = whole.unionAll(compared.mapInArrow(_compare(length), "h bigint, ctx bigint, group array<bigint>, span array<bigint>"))
+    hot = fetched.where(F.col("m") > limit)
+    if hot.limit(1).count():
+        hot = hot.select(F.col("h").alias("u1"), F.col("ctx").alias("u2"), "c", "bytes").dropDuplicates(["u1", "u2"])
+        deeper = repeats_in(materialise(hot, "hot"), length, level + 1, limit, grams)
+        verdict = verdict.unionAll(deeper.select(F.col("u1").alias("h"), F.col("u2").alias("ctx"), "group", _moved().alias("span")))
+    return again.select("h", "ctx", "u1", "u2", "lo").join(verdict, ["h", "ctx"]).select("u1", "u2", "lo", "group", "span")
+
+
+def _moved():
+    """Spans counted from the unit's first byte."""
+    return F.transform("span", lambda p: p + F.shiftleft(F.col("lo").cast("long"), SPAN_BITS))
 
 
 def _units(docs: DataFrame, id_column: str) -> DataFrame:
@@ -216,8 +226,9 @@ def maximal_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc
     A repeat is maximal within its anchor's context, so it is cut at less than twice ``length`` bytes; a longer one is
     given as several that overlap or adjoin, and their union is the whole.
     """
-    found = repeats_in(_units(docs, id_column), length).select("u1", "lo", F.explode("repeats").alias("r"))
-    return found.select(F.col("r.g").alias("group_id"), F.col("r.n").alias("n_bytes"), F.nullif("u1", F.lit(NO_ID)).alias("doc_id"), (F.col("lo") + F.col("r.a")).alias("start")).distinct()
+    found = repeats_in(_units(docs, id_column), length).select("u1", F.explode(F.arrays_zip("group", _moved().alias("span"))).alias("r"))
+    span = F.col("r.span")
+    return found.select(F.col("r.group").alias("group_id"), span.bitwiseAND((1 << SPAN_BITS) - 1).alias("n_bytes"), F.nullif("u1", F.lit(NO_ID)).alias("doc_id"), F.shiftright(span, SPAN_BITS).alias("start")).distinct()
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", with_text: bool = False) -> DataFrame:
@@ -230,17 +241,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
     """
     units = _units(docs, id_column)
     found = repeats_in(units, length)
-    # a context's repeats as covered spans, then all of a document's; a document's share is bounded by its own length
-    spans = F.transform("repeats", lambda r: F.struct((r["a"] + F.col("lo")).alias("a"), (r["a"] + F.col("lo") + r["n"]).alias("b")))
-    covered = found.groupBy("u1", "u2").agg(F.flatten(F.collect_list(spans)).alias("spans"))
-    joined = units.select("u1", "u2", "bytes").join(covered, ["u1", "u2"], "left").select("u1", "bytes", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
+    # a document's spans are bounded by its own length
+    covered = found.groupBy("u1", "u2").agg(F.flatten(F.collect_list(_moved())).alias("spans"))
+    joined = units.select("u1", "u2", "bytes").join(covered, ["u1", "u2"], "left").select("u1", "bytes", "spans")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "bytes"):
             out = []
-            for u1, text, a, b in zip(*(batch.column(k).to_pylist() for k in ("u1", "bytes", "a", "b"))):
+            for u1, text, spans in zip(*(batch.column(k).to_pylist() for k in ("u1", "bytes", "spans"))):
                 runs: list[list[int]] = []
-                for x, y in sorted(zip(a or (), b or ())):
+                for p in sorted(spans or ()):
+                    x = p >> SPAN_BITS
+                    y = x + p - (x << SPAN_BITS)
                     if runs and x <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], y)
                     else:
