@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixture, pii, quality, simhash, suffix_dedup, toxicity
+from . import decontaminate, language, mixture, pii, quality, range_join, simhash, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -18,6 +26,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,5 +85,11 @@ y AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor
 SELECT doc_id, size, source_size, target, whole * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - whole * source_size - earlier)) AS taken FROM y
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_suffix_array_dedup, op4_benchmark_decontamination, op6_quality_classifier, op7_source_mixing, op8_simhash_near_dedup, op9_personal_data, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_language_id, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_embedding_near_dedup,
+        op6_quality_classifier, op7_source_mixing, op8_simhash_near_dedup, op9_personal_data, op10_toxicity,
+    )
+}
 ORACLES: dict[str, str] = {"op4_benchmark_decontamination": OP4_SQL, "op7_source_mixing": OP7_SQL}
