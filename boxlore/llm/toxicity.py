@@ -256,23 +256,30 @@ def scores(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -35, 35))) * (t.count > 0)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted (1 where score >= threshold).
-
-    Labels are learned only where crc32(doc_id as text) modulo ``folds`` is not ``held``. Null and empty texts, and those
-    without a letter or digit, score 0; a null doc_id is never held out; labels of one class only give one score to all;
-    an empty table gives an empty one. Rows of one id each give a row. Extra columns are ignored.
-    """
+def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, per_class: int = PER_CLASS) -> DataFrame:
+    """The documents with a column ``__score``; every other column is carried along, so nothing is joined or shuffled."""
     sample = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), folds) != held, per_class, SAMPLE_BYTES)
     sent = docs.sparkSession.sparkContext.broadcast(train(sample).p)  # of a fixed size, about 2 MB
+    names = [c for c in docs.columns if c not in ("__score", "__text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.__new__(Network)
         net.p = sent.value
-        for block in blocks(batches, limit=1 << 20):
-            p = scores(net, *text_of(block.column("text")))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
+        for block in blocks(batches, "__text", limit=1 << 20):
+            p = scores(net, *text_of(block.column("__text")))
+            yield pa.RecordBatch.from_arrays([block.column(c) for c in names] + [pa.array(p)], names=[*names, "__score"])
+
+    source = docs.select(*names, F.col("text").cast("string").alias("__text"))
+    return source.mapInArrow(run, docs.select(*names).schema.add("__score", "double"))
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")
+
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted (1 where score >= threshold).
+
+    Labels are learned only where crc32(doc_id as text) modulo ``folds`` is not ``held``. Null and empty texts, and those
+    without a letter or digit, score 0; a null doc_id is never held out; labels of one class only give one score to all;
+    an empty table gives an empty one. Rows of one id each give a row. Extra columns are ignored.
+    """
+    found = scored(docs.select("doc_id", "text"), labels, folds, held, per_class)
     held_out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
