@@ -21,7 +21,7 @@ from .textops import ALNUM, Words, blocks, mix, powers, text_of
 
 #: The network is trained on at most so many labelled documents of each class and so many bytes of their texts.
 PER_CLASS = 1500
-SAMPLE_BYTES = 16 << 20
+SAMPLE_BYTES = 6 << 20
 WINDOW, STRIDE = 32, 16
 WORDS, GRAMS, DIM, HIDDEN = 1 << 15, 1 << 14, 8, 8
 #: Windows that are scored at once.
@@ -42,14 +42,14 @@ class Tokens:
         grams, owners = [], []
         for size, salt in ((3, 1), (4, 2), (5, 3)):
             have = np.maximum(n - size + 1, 1)
-            owner = np.repeat(np.arange(len(n)), have)
+            owner = np.repeat(np.arange(len(n), dtype=np.int32), have)
             start = w.starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(have) - have, have)
             h = mix(((sums[np.minimum(start + size, w.ends[owner])] - sums[start]) * down[start]) ^ np.uint64(salt))
-            grams.append((h % np.uint64(GRAMS)).astype(np.int64))
+            grams.append((h % np.uint64(GRAMS)).astype(np.int32))
             owners.append(owner)
         head = np.minimum(w.starts + 4, w.ends)  # how a word begins counts as a gram of its own
         h = mix(((sums[head] - sums[w.starts]) * down[w.starts]) ^ np.uint64(9))
-        self.gram, self.owner = np.concatenate([*grams, (h % np.uint64(GRAMS)).astype(np.int64)]), np.concatenate([*owners, np.arange(len(n))])
+        self.gram, self.owner = np.concatenate([*grams, (h % np.uint64(GRAMS)).astype(np.int32)]), np.concatenate([*owners, np.arange(len(n), dtype=np.int32)])
         self.grams = np.maximum(np.bincount(self.owner, minlength=len(n)), 1).astype(np.float32)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,11 +192,7 @@ class Network:
 
 
 def _subset(t: Tokens, used: np.ndarray) -> Tokens:
-    """The tokens at ``used``, with their grams; the grams are put in order of their owners once."""
-    if not hasattr(t, "starts"):
-        order = np.argsort(t.owner, kind="stable")
-        t.gram, t.owner = t.gram[order], t.owner[order]
-        t.starts = np.searchsorted(t.owner, np.arange(len(t.word) + 1))
+    """The tokens at ``used``, with their grams, which are in order of their words."""
     many = t.starts[used + 1] - t.starts[used]
     sub = Tokens.__new__(Tokens)
     sub.owner = np.repeat(np.arange(len(used)), many)
@@ -205,14 +201,51 @@ def _subset(t: Tokens, used: np.ndarray) -> Tokens:
     return sub
 
 
-def _telling(t: Tokens, doc: np.ndarray, label: np.ndarray) -> np.ndarray:
+def _parts(texts: list[str], step: int = 60) -> list[Tokens]:
+    """The tokens of many texts, a few texts at a time, with the grams in order of their words."""
+    parts = []
+    for a in range(0, len(texts), step):
+        t = Tokens(*text_of(pa.array(texts[a : a + step], pa.large_string())))
+        order = np.argsort(t.owner, kind="stable")
+        t.gram, t.owner = t.gram[order], t.owner[order]
+        parts.append(t)
+    return parts
+
+
+def _joined(parts: list[Tokens]) -> Tokens:
+    t = Tokens.__new__(Tokens)
+    before = np.cumsum([0] + [len(x.word) for x in parts])
+    for name in ("count", "word", "gram", "grams"):
+        setattr(t, name, np.concatenate([getattr(x, name) for x in parts]))
+    t.owner = np.concatenate([(x.owner + b).astype(np.int32) for x, b in zip(parts, before)])
+    t.starts = np.searchsorted(t.owner, np.arange(len(t.word) + 1, dtype=np.int32))
+    del t.owner  # the starts say as much
+    t.first = np.cumsum(t.count) - t.count
+    return t
+
+
+def _telling(parts: list[Tokens], labels: list[np.ndarray]) -> list[np.ndarray]:
     """A first guess of each word's weight: the largest log-odds, over its buckets, of lying in toxic documents."""
-    out = np.full(len(t.word), -9.0)
-    for bucket, owner, size in ((t.word, np.arange(len(t.word)), WORDS), (t.gram, t.owner, GRAMS)):
-        pair = np.unique(bucket * len(label) + doc[owner])
-        counts = [np.bincount(pair[label[pair % len(label)] == k] // len(label), minlength=size) / max(1, (label == k).sum()) for k in (0, 1)]
-        odds = np.log((counts[1] + 1e-3) / (counts[0] + 1e-3))
-        np.maximum.at(out, owner, odds[bucket])
+    sizes = (WORDS, GRAMS)
+    held = [np.zeros((2, n)) for n in sizes]
+
+    def buckets(t: Tokens):
+        return ((t.word, np.arange(len(t.word))), (t.gram, t.owner))
+
+    for t, label in zip(parts, labels):
+        doc = np.repeat(np.arange(len(label)), t.count)
+        for (bucket, owner), counts in zip(buckets(t), held):
+            pair = np.unique(bucket.astype(np.int64) * len(label) + doc[owner])
+            for k in (0, 1):
+                counts[k] += np.bincount(pair[label[pair % len(label)] == k] // len(label), minlength=counts.shape[1])
+    many = [max(1, sum(int((x == k).sum()) for x in labels)) for k in (0, 1)]
+    odds = [np.log((c[1] / many[1] + 1e-3) / (c[0] / many[0] + 1e-3)) for c in held]
+    out = []
+    for t in parts:
+        guess = np.full(len(t.word), -9.0)
+        for (bucket, owner), o in zip(buckets(t), odds):
+            np.maximum.at(guess, owner, o[bucket])
+        out.append(guess)
     return out
 
 
@@ -224,10 +257,11 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 4, seed:
         net.p["o"][:] = 0
         return net
     texts, label = [x for x, _ in sample], np.array([y for _, y in sample])
-    t = Tokens(*text_of(pa.array(texts, pa.large_string())))
-    doc = np.repeat(np.arange(len(texts)), t.count)
+    parts = _parts(texts)
+    t = _joined(parts)
     row, first, n = t.windows()
-    guess = _telling(t, doc, label)
+    ends = np.cumsum([len(x.count) for x in parts])
+    guess = np.concatenate(_telling(parts, np.split(label, ends[:-1])))
     score = np.array([guess[a : a + m].max() for a, m in zip(first, n)])
     for turn in range(rounds):
         order = np.lexsort((-score, row))
@@ -242,7 +276,8 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 4, seed:
             for a in range(0, len(mixed), 128):
                 k = mixed[a : a + 128]
                 net.step(t, first[picked[k]], n[picked[k]], y[k], rng, 0.01 if turn + epoch < rounds + 1 else 0.003)
-        score = net.score_windows(t, first, n)
+        if turn + 1 < rounds:
+            score = np.concatenate([net.score_windows(x, *x.windows()[1:]) for x in parts])
     del net.moments
     return net
 
