@@ -1,0 +1,117 @@
+"""Writers: tables by Spark's committers, single JSON files and archives by the driver, all or nothing."""
+
+from __future__ import annotations
+
+import json
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def write_json(path: str, value: object, indent: int | None = 2) -> None:
+    """One JSON file, by a temporary one beside it that is renamed when it is on disk."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    handle, name = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as f:
+            json.dump(value, f, ensure_ascii=False, indent=indent)
+            f.write("\n")
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(name, target)
+    except BaseException:
+        Path(name).unlink(missing_ok=True)
+        raise
+
+
+def publish(outputs: dict[str, Callable[[str], None]], force: bool = False) -> None:
+    """Write several files or none: every destination is checked before the first is written, each is written aside, and all
+    are renamed at the end."""
+    if len({str(Path(p).resolve()) for p in outputs}) != len(outputs):
+        raise ValueError("two outputs have one destination")
+    there = [p for p in outputs if Path(p).exists()]
+    if there and not force:
+        raise FileExistsError(f"there already: {there}")
+    staged = []
+    try:
+        for path, write in outputs.items():
+            aside = f"{path}.staged"
+            Path(path).parent.mkdir(parents=True, exist_ok=True)
+            write(aside)
+            staged.append((aside, path))
+    except BaseException:
+        for aside, _ in staged:
+            Path(aside).unlink(missing_ok=True)
+        raise
+    for aside, path in staged:
+        os.replace(aside, path)
+
+
+def append_journal(edits: DataFrame, folder: str) -> None:
+    """JSON lines (a column ``value``) appended to a journal folder as a new file; what is there is never rewritten."""
+    edits.select("value").coalesce(1).write.mode("append").text(folder)  # one append is one file, which keeps its lines in order
+
+
+def append_lines(path: str, lines: list[str]) -> None:
+    """Lines appended to a journal file by its one writer; a torn last line is ended first, so that it alone is lost."""
+    with open(path, "ab+") as f:
+        if f.tell():
+            f.seek(-1, os.SEEK_END)
+            if f.read(1) != b"\n":
+                f.write(b"\n")
+        f.write("".join(f"{x}\n" for x in lines).encode())
+        f.flush()
+        os.fsync(f.fileno())
+
+
+def write_snapshot(state: DataFrame, folder: str) -> None:
+    """Boxes, queries and absences of a store as three tables."""
+    for name, rows in (("predictions", state.where("bbox is not null").select("id", "bbox")), ("queries", state.where("query is not null").select("id", "query")), ("absent", state.where("absent").select("id", "annotator"))):
+        rows.write.mode("overwrite").json(f"{folder}/{name}")
+
+
+def write_run(predictions: DataFrame, folder: str, metadata: dict) -> None:
+    """A run's identity first, then its predictions, so that no prediction lies there without one."""
+    spark = predictions.sparkSession
+    spark.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "value string").write.mode("overwrite").text(f"{folder}/metadata")
+    predictions.write.mode("overwrite").parquet(f"{folder}/predictions")
+
+
+def write_archive(submission: DataFrame, path: str, key: str = "key", most: int = 1_000_000) -> int:
+    """A ZIP of one ``result.json``, read again and compared before it takes its place. Returns the number of rows.
+
+    The file is one JSON object by its format; rows come sorted, partition by partition, and more than ``most`` raise.
+    """
+    rows = {}
+    for r in submission.orderBy(key).toLocalIterator():
+        item = r.asDict(recursive=True)
+        rows[item.pop(key)] = item
+        if len(rows) > most:
+            raise ValueError(f"more than {most} rows")
+    body = json.dumps(rows, ensure_ascii=False, indent=2)
+    aside = f"{path}.staged"
+    with zipfile.ZipFile(aside, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("result.json", body)
+    with zipfile.ZipFile(aside) as z:
+        if z.namelist() != ["result.json"] or z.read("result.json").decode() != body:
+            Path(aside).unlink()
+            raise OSError("the archive does not read back")
+    os.replace(aside, path)
+    return len(rows)
+
+
+def manifest(stats: DataFrame, fingerprints: dict[str, str], **more: object) -> dict:
+    """A split's manifest from its one-row statistics."""
+    row = stats.first().asDict()
+    return {"status": "complete", **more, "index_fingerprints": fingerprints, "index_sample_counts": {k: row[k] for k in ("train", "val")}, "stats": row}
+
+
+def ordered(rows: DataFrame, key: str) -> DataFrame:
+    """Sorted by key over all partitions, for a deterministic file."""
+    return rows.orderBy(F.col(key))
