@@ -73,7 +73,7 @@ def query_fault(t: Column, least: int = 1, most: int = 55) -> Column:
 def annotation_fault(t: Column) -> Column:
     """``query_fault``, then the annotation product's own rules: no scaffold phrase, annotation term or generic category."""
     q = clean_query(t)
-    phrase = F.get(F.filter(F.array(*map(F.lit, SCAFFOLD_PHRASES)), lambda p: F.lower(q).rlike(F.concat(F.lit("(?<![a-z])"), p, F.lit("(?![a-z])")))), 0)
+    phrase = F.get(F.filter(F.array(*map(F.lit, SCAFFOLD_PHRASES)), lambda p: F.regexp_like(F.lower(q), F.concat(F.lit("(?<![a-z])"), p, F.lit("(?![a-z])")))), 0)
     term = F.regexp_extract(q, rf"(?iU)\b(?:{'|'.join(ANNOTATION_TERMS)})\b", 0)
     generic = F.regexp_extract(q, rf"(?iU)\b(?:{'|'.join(GENERIC_CATEGORIES)})\b", 0)
     quoted = lambda start, x: F.concat(F.lit(start + " '"), x, F.lit("'"))

@@ -96,12 +96,13 @@ def edit_faults(edits: DataFrame, known: DataFrame, locked: bool = False) -> Dat
 
     blank = lambda c, most: (F.trim(F.coalesce(c, F.lit(""))) == "") | (F.length(c) > most)
     x = edits.join(known.select("id", F.lit(True).alias("known")), "id", "left")
+    refused = lambda status, fault: F.struct(F.lit(status).alias("status"), F.lit(fault).alias("fault"))
     fault = (
-        F.when(F.lit(locked), F.struct(F.lit(403).alias("status"), F.lit("locked").alias("fault")))
-        .when(F.col("known").isNull(), F.struct(F.lit(404), F.lit("unknown id")))
-        .when(blank(F.col("annotator"), 64), F.struct(F.lit(400), F.lit("annotator")))
-        .when(F.col("query").isNotNull() & blank(F.col("query"), 200), F.struct(F.lit(400), F.lit("query")))
-        .when(F.col("bbox").isNotNull() & annotator_box(F.col("bbox"))["reason"].isNotNull(), F.struct(F.lit(400), F.lit("bbox")))
+        F.when(F.lit(locked), refused(403, "locked"))
+        .when(F.col("known").isNull(), refused(404, "unknown id"))
+        .when(blank(F.col("annotator"), 64), refused(400, "annotator"))
+        .when(F.col("query").isNotNull() & blank(F.col("query"), 200), refused(400, "query"))
+        .when(F.col("bbox").isNotNull() & annotator_box(F.col("bbox"))["reason"].isNotNull(), refused(400, "bbox"))
     )
     return x.select("id", fault.alias("f")).where("f is not null").select("id", "f.status", "f.fault")
 
