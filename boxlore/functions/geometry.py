@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .binding import let
+
 #: An annotator's box must be wider and taller than this.
 LEAST_EXTENT = 1e-6
 
@@ -45,7 +47,8 @@ def pixel_box(x: Column, y: Column, w: Column, h: Column, width: Column, height:
     rounded = round6_exact if exact else round6
     edge = lambda v, size: rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / size)) if clip else v / size)
     usable = _finite(x) & _finite(y) & _finite(w) & _finite(h) & (width > 0) & (height > 0)
-    return F.when(usable, valid_box(F.array(edge(x, width), edge(y, height), edge(x + w, width), edge(y + h, height))))
+    edges = F.array(edge(x, width), edge(y, height), edge(x + w, width), edge(y + h, height))
+    return F.when(usable, valid_box(edges) if exact else let(edges, valid_box))  # a Python function has no place in a lambda
 
 
 def strict_pixel_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
@@ -68,7 +71,10 @@ def annotator_box(b: Column, exact: bool = False) -> Column:
 
 def quantize(b: Column) -> Column:
     """Integers of 0 to 1000, ties to even; a box never loses its extent. Null for an invalid box."""
-    ok = valid_box(b)
+    return let(valid_box(b), _quantized)
+
+
+def _quantized(ok: Column) -> Column:
     q = lambda k: F.bround(at(ok, k) * 1000).cast("int")
     x1, y1 = F.least(F.lit(999), q(0)), F.least(F.lit(999), q(1))
     return F.when(ok.isNotNull(), F.array(x1, y1, F.greatest(x1 + 1, q(2)), F.greatest(y1 + 1, q(3))))

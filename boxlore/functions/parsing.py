@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .geometry import at, quantize, valid_box
 
 # ---- fixed values: number and box notations ----
@@ -29,9 +30,13 @@ def _groups(text: Column, pattern: str) -> Column:
 
 def _scaled(values: Column, scale: str) -> Column:
     if scale == "normalized":
-        return valid_box(values)
-    ok = ~F.exists(values, lambda v: v.isNull() | F.isnan(v) | (v < 0) | (v > 1000))
-    return F.when(ok, valid_box(F.transform(values, lambda v: v / 1000.0)))
+        return let(values, valid_box)
+
+    def per_mille(b: Column) -> Column:
+        ok = ~F.exists(b, lambda v: v.isNull() | F.isnan(v) | (v < 0) | (v > 1000))
+        return F.when(ok & (at(b, 0) < at(b, 2)) & (at(b, 1) < at(b, 3)), F.transform(b, lambda v: v / 1000.0))
+
+    return let(values, per_mille)
 
 
 def parse_box(text: Column, scale: str = "qwen_1000") -> Column:
@@ -42,12 +47,15 @@ def parse_box(text: Column, scale: str = "qwen_1000") -> Column:
     t = text
     for characters in (r"[\s\x1c-\x1f]", "`", r"[\s\x1c-\x1f]"):
         t = F.regexp_replace(t, rf"(?U)\A{characters}+|{characters}+\z", "")
-    values = F.lit(None).cast("array<double>")
-    picked = F.when(F.regexp_count(t, F.lit(_TAGGED)) == 1, _groups(t, _TAGGED)).otherwise(values)
-    for pattern in (_JSON, _BARE, rf"\[{_FOUR}\]", _PAIRS, _TAGGED):
-        whole = rf"\A{pattern}\z"
-        picked = F.when(t.rlike(whole), _groups(t, whole)).otherwise(picked)
-    return _scaled(picked, scale)
+
+    def stated(t: Column) -> Column:
+        picked = F.when(F.regexp_count(t, F.lit(_TAGGED)) == 1, _groups(t, _TAGGED))
+        for pattern in (_JSON, _BARE, rf"\[{_FOUR}\]", _PAIRS, _TAGGED):
+            whole = rf"\A{pattern}\z"
+            picked = F.when(t.rlike(whole), _groups(t, whole)).otherwise(picked)
+        return picked
+
+    return _scaled(let(t, stated), scale)
 
 
 def parse_glm_box(text: Column) -> Column:
@@ -62,7 +70,10 @@ def parse_glm_box(text: Column) -> Column:
 
 def write_box(b: Column, tagged: bool = True) -> Column:
     """The box as pairs of integers of 0 to 1000, between tags if ``tagged``."""
-    q = quantize(b)
+    return let(quantize(b), lambda q: _pairs(q, tagged))
+
+
+def _pairs(q: Column, tagged: bool) -> Column:
     body = F.concat(F.lit("("), at(q, 0).cast("string"), F.lit(","), at(q, 1).cast("string"), F.lit("),("), at(q, 2).cast("string"), F.lit(","), at(q, 3).cast("string"), F.lit(")"))
     return F.concat(F.lit("<|box_start|>"), body, F.lit("<|box_end|>")) if tagged else body
 

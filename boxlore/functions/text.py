@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .binding import let
+
 # ---- fixed values: word lists and patterns that results depend on --------------------------------------------------
 
 FORBIDDEN_PHRASES = ("red rectangle", "red outline", "bounding box", "image 1", "image 2", "first image", "second image")
@@ -52,7 +54,10 @@ def word_count(t: Column) -> Column:
 
 def query_fault(t: Column, least: int = 1, most: int = 55) -> Column:
     """Why a generated query is refused, by the first rule that it breaks; null if it is good."""
-    q = clean_query(t)
+    return let(clean_query(t), lambda q: _fault_of_clean(q, least, most))
+
+
+def _fault_of_clean(q: Column, least: int, most: int) -> Column:
     words = word_count(q)
     scaffold = F.lit(False)
     for phrase in FORBIDDEN_PHRASES:
@@ -72,17 +77,19 @@ def query_fault(t: Column, least: int = 1, most: int = 55) -> Column:
 
 def annotation_fault(t: Column) -> Column:
     """``query_fault``, then the annotation product's own rules: no scaffold phrase, annotation term or generic category."""
-    q = clean_query(t)
+    return let(clean_query(t), lambda q: F.coalesce(_fault_of_clean(q, 1, 55), _annotation_fault_of_clean(q)))
+
+
+def _annotation_fault_of_clean(q: Column) -> Column:
     phrase = F.get(F.filter(F.array(*map(F.lit, SCAFFOLD_PHRASES)), lambda p: F.regexp_like(F.lower(q), F.concat(F.lit("(?<![a-z])"), p, F.lit("(?![a-z])")))), 0)
     term = F.regexp_extract(q, rf"(?iU)\b(?:{'|'.join(ANNOTATION_TERMS)})\b", 0)
     generic = F.regexp_extract(q, rf"(?iU)\b(?:{'|'.join(GENERIC_CATEGORIES)})\b", 0)
     quoted = lambda start, x: F.concat(F.lit(start + " '"), x, F.lit("'"))
-    own = (
+    return (
         F.when(phrase.isNotNull(), quoted("query mentions annotation scaffolding", phrase))
         .when(term != "", quoted("query mentions annotation term", term))
         .when(generic != "", quoted("query uses generic category", generic))
     )
-    return F.coalesce(query_fault(t), own)
 
 
 def is_mirror_safe(t: Column) -> Column:
