@@ -10,4 +10,4 @@ from pyspark.sql import functions as F
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of the value. Written out, each use in a branch would compute the value again; a lambda's variable is a slot."""
-    return F.get(F.transform(F.array(value), body), 0)
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
