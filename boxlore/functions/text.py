@@ -191,3 +191,10 @@ def chat_record(system: Column, user_template: Column, query: Column, answer: Co
     turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     turns = [turn("system", system), turn("user", F.replace(user_template, F.lit("{query}"), query))]
     return F.array(*turns, *([turn("assistant", answer)] if answer is not None else []))
+
+
+def item_of_route(path: Column, suffix: str, prefix: str = "/api/item/") -> Column:
+    """The id in a request's path between prefix and suffix, decoded; null if it is empty or has a further part."""
+    middle = F.substr(path, F.lit(len(prefix) + 1), F.length(path) - len(prefix) - len(suffix))
+    fits = F.startswith(path, F.lit(prefix)) & F.endswith(path, F.lit(suffix)) & (F.length(path) > len(prefix) + len(suffix)) & ~F.contains(middle, F.lit("/"))
+    return F.when(fits, F.url_decode(F.replace(middle, F.lit("+"), F.lit("%2B"))))

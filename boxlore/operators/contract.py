@@ -145,3 +145,12 @@ def lookup(records: DataFrame, index: DataFrame, key: str) -> DataFrame:
 def has_repeats(rows: DataFrame, key: str) -> DataFrame:
     """One row: rows, distinct keys, and whether any repeats."""
     return rows.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys")).withColumn("repeats", F.col("rows") != F.col("keys"))
+
+
+def select_ids(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of the given ids; an id that repeats or has no row raises."""
+    asked = ids.groupBy(key).agg(F.count("*").alias("__n"))
+    x = asked.join(rows.withColumn("__there", F.lit(True)), key, "left")
+    fault = F.when(F.col("__n") > 1, "repeated id: ").when(F.col("__there").isNull(), "unknown id: ")
+    good = F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.col(key).cast("string"))).cast("boolean")).otherwise(True)
+    return x.where(good).select(rows.columns)

@@ -91,6 +91,32 @@ def continue_run(items: DataFrame, saved: DataFrame, name: str, **options) -> Da
     return saved.select("key", "bbox").unionAll(predict(pending(items, saved), name, **options))
 
 
+def run_in_steps(items: DataFrame, name: str, folder: str, step: int, on_commit: Callable[[int], None] | None = None, **options) -> DataFrame:
+    """The run's predictions, saved in ``folder`` every ``step`` items in order of ``pos``; a run that was stopped goes on where it is.
+
+    A step is committed by Spark's writer as a whole. A folder that holds all items is returned without loading a model.
+    """
+    spark = items.sparkSession
+
+    def saved() -> DataFrame:
+        try:
+            return spark.read.schema("key string, bbox array<double>").parquet(f"{folder}/predictions")
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return spark.createDataFrame([], "key string, bbox array<double>")
+            raise
+
+    done = 0
+    while True:
+        todo = pending(items, saved()).orderBy("pos").limit(step)
+        if todo.limit(1).isEmpty():
+            return saved()
+        predict(todo, name, **options).write.mode("append").parquet(f"{folder}/predictions")
+        done += 1
+        if on_commit is not None:
+            on_commit(done)
+
+
 def summary(predictions: DataFrame) -> DataFrame:
     """One row: predictions and valid ones."""
     return predictions.agg(F.count("*").alias("predictions"), F.count_if(valid_box(F.col("bbox")).isNotNull()).alias("valid"))

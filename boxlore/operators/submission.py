@@ -40,3 +40,20 @@ def template_faults(template: DataFrame, key: str = "key") -> DataFrame:
         .when((stem(F.col("visible")) != stem(F.col("infrared"))) | (stem(F.col("visible")) != stem(F.col("depth"))), "stems")
     )
     return template.select(key, fault.alias("fault")).where("fault is not null")
+
+
+#: The official template's size and the hash of its canonical JSON.
+OFFICIAL_COUNT = 5690
+OFFICIAL_SHA256 = "9d0f805728859fb51f47be4d2892f7c8f12f16ab17a9b5a79e49a433b4247ed2"
+
+
+def official_fault(template: DataFrame, key: str = "key", raw: str = "raw", count: int = OFFICIAL_COUNT, sha: str = OFFICIAL_SHA256) -> str | None:
+    """The first rule that a template breaks as a whole: its number of rows, a row's rule, or its content."""
+    from ..functions.hashing import dataset_fingerprint
+
+    if template.count() != count:
+        return "count"
+    first = template_faults(template, key).orderBy(key).first()
+    if first:
+        return f"{first[key]}: {first.fault}"
+    return None if dataset_fingerprint(template, key, raw) == sha else "content"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 import tempfile
@@ -59,8 +60,10 @@ def append_journal(edits: DataFrame, folder: str) -> None:
 
 
 def append_lines(path: str, lines: list[str]) -> None:
-    """Lines appended to a journal file by its one writer; a torn last line is ended first, so that it alone is lost."""
+    """Lines appended to a journal file under a lock; a torn last line is ended first, so that it alone is lost."""
     with open(path, "ab+") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        f.seek(0, os.SEEK_END)
         if f.tell():
             f.seek(-1, os.SEEK_END)
             if f.read(1) != b"\n":
@@ -83,6 +86,11 @@ def write_run(predictions: DataFrame, folder: str, metadata: dict) -> None:
     predictions.write.mode("overwrite").parquet(f"{folder}/predictions")
 
 
+def record(spark, folder: str, kind: str, value: dict) -> None:
+    """One record of a run's bookkeeping (a plan, a step, an epoch, the best so far, its end) appended to its table."""
+    spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").write.mode("append").text(f"{folder}/{kind}")
+
+
 def write_archive(submission: DataFrame, path: str, key: str = "key", most: int = 1_000_000) -> int:
     """A ZIP of one ``result.json``, read again and compared before it takes its place. Returns the number of rows.
 

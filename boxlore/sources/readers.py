@@ -156,3 +156,8 @@ def saved_progress(spark: SparkSession, folder: str) -> list[DataFrame]:
         held = json_object(spark, name).where("key = 'predictions'").select(F.from_json("raw", "map<string,array<double>>").alias("m"))
         out.append(held.select(F.explode("m").alias("key", "bbox")))
     return out
+
+
+def decoded(spark: SparkSession, root: str) -> DataFrame:
+    """(path, width, height, channels, data) of decoded pictures, by Spark's own reader."""
+    return spark.read.format("image").option("dropInvalid", "true").load(root).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data").toDF("path", "width", "height", "channels", "data")
