@@ -23,9 +23,11 @@ from .textops import ALNUM, Words, blocks, mix, powers, text_of
 PER_CLASS = 1500
 SAMPLE_BYTES = 6 << 20
 WINDOW, STRIDE = 32, 16
-WORDS, GRAMS, DIM, HIDDEN = 1 << 15, 1 << 14, 8, 8
+WORDS, GRAMS, DIM, HIDDEN = 1 << 18, 1 << 16, 8, 8
 #: Windows that are scored at once.
-CHUNK = 4096
+CHUNK = 2048
+#: Text bytes that are cut into words and grams at once.
+BLOCK = 3 << 17
 
 
 class Tokens:
@@ -249,8 +251,8 @@ def _telling(parts: list[Tokens], labels: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 4, seed: int = 3) -> Network:
-    """The network learned from (text, label) in the given order."""
+def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 4, least_steps: int = 150, seed: int = 3) -> Network:
+    """The network learned from (text, label) in the given order; a small sample is gone over more often, for ``least_steps`` a round."""
     net, rng = Network(seed), np.random.default_rng(seed)
     if not sample or len({y for _, y in sample}) < 2:
         net.p["k"][:] = -4.0 if all(y == 0 for _, y in sample) else 4.0
@@ -269,13 +271,14 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 4, seed:
         positive = order[(rank < 1 + turn) & (label[row[order]] == 1) & ((score[order] > 0) | (rank == 0))]
         clean = np.flatnonzero(label[row] == 0)
         worst = clean[np.argsort(-score[clean], kind="stable")[: len(positive)]]
-        negative = np.concatenate([worst, rng.choice(clean, min(len(clean), 4 * len(positive)), replace=False)]) if len(clean) else clean
+        negative = np.concatenate([worst, rng.choice(clean, min(len(clean), 4 * max(len(positive), 200)), replace=False)]) if len(clean) else clean
         picked, y = np.concatenate([positive, negative]), np.concatenate([np.ones(len(positive)), np.zeros(len(negative))])
-        for epoch in range(epochs):
+        turns = max(epochs, -(-least_steps // -(-len(picked) // 128)))
+        for epoch in range(turns):
             mixed = rng.permutation(len(picked))
             for a in range(0, len(mixed), 128):
                 k = mixed[a : a + 128]
-                net.step(t, first[picked[k]], n[picked[k]], y[k], rng, 0.01 if turn + epoch < rounds + 1 else 0.003)
+                net.step(t, first[picked[k]], n[picked[k]], y[k], rng, 0.01 if turn + 1 < rounds or 2 * epoch < turns else 0.003)
         if turn + 1 < rounds:
             score = np.concatenate([net.score_windows(x, *x.windows()[1:]) for x in parts])
     del net.moments
@@ -294,13 +297,13 @@ def scores(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, per_class: int = PER_CLASS) -> DataFrame:
     """The documents with a column ``__score``; every other column is carried along, so nothing is joined or shuffled."""
     sample = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), folds) != held, per_class, SAMPLE_BYTES)
-    sent = docs.sparkSession.sparkContext.broadcast(train(sample).p)  # of a fixed size, about 2 MB
+    sent = docs.sparkSession.sparkContext.broadcast(train(sample).p)  # of a fixed size, about 10 MB
     names = [c for c in docs.columns if c not in ("__score", "__text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.__new__(Network)
         net.p = sent.value
-        for block in blocks(batches, "__text", limit=1 << 20):
+        for block in blocks(batches, "__text", limit=BLOCK):
             p = scores(net, *text_of(block.column("__text")))
             yield pa.RecordBatch.from_arrays([block.column(c) for c in names] + [pa.array(p)], names=[*names, "__score"])
 
