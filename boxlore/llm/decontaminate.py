@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textops import ALNUM, Words, blocks, text_of
+from .textops import ALNUM, Words, blocks, text_of, thrifty
 
 #: Words between the positions of neighbouring documents; no phrase match crosses so wide a gap.
 GAP = 1 << 8
@@ -28,29 +28,33 @@ QUERY_BYTES = 8 << 20
 INDEX_SCHEMA = "doc_ids array<bigint>, n_words array<bigint>, terms binary, starts binary, positions binary"
 
 
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches):
+        words = Words(*text_of(block.column("text")), ALNUM)
+        hashes = words.hashes()
+        base = np.concatenate([[0], np.cumsum(words.count + GAP)[:-1]])
+        position = np.arange(len(hashes)) - words.first[words.doc] + base[words.doc]
+        order = np.argsort(hashes, kind="stable")
+        hashes, position = hashes[order], position[order]
+        starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+        terms = hashes[starts]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([words.count.tolist()], pa.list_(pa.int64())),
+             *(pa.array([x.tobytes()], pa.binary()) for x in (terms, np.append(starts, len(hashes)).astype(np.int32), position.astype(np.int32)))],
+            names=["doc_ids", "n_words", "terms", "starts", "positions"],
+        )
+
+
 def build_index(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """One row per shard of at most 2 MB of text: document ids, word counts, sorted term hashes and their postings.
 
     Words are runs of digits, letters and non-ASCII characters, with A-Z lower-cased. A null text has no words.
     """
+    return _texts(docs, id_column).mapInArrow(thrifty(_shards), INDEX_SCHEMA)
+
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            words = Words(*text_of(block.column("text")), ALNUM)
-            hashes = words.hashes()
-            base = np.concatenate([[0], np.cumsum(words.count + GAP)[:-1]])
-            position = np.arange(len(hashes)) - words.first[words.doc] + base[words.doc]
-            order = np.argsort(hashes, kind="stable")
-            hashes, position = hashes[order], position[order]
-            starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-            terms = hashes[starts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([words.count.tolist()], pa.list_(pa.int64())),
-                 *(pa.array([x.tobytes()], pa.binary()) for x in (terms, np.append(starts, len(hashes)).astype(np.int32), position.astype(np.int32)))],
-                names=["doc_ids", "n_words", "terms", "starts", "positions"],
-            )
-
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(shards, INDEX_SCHEMA)
+def _texts(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
 
 @dataclass
@@ -161,7 +165,7 @@ def search(index: DataFrame, items: DataFrame, window: int = 10, slop: int | Non
                     rows = [(row["doc_ids"][d], q.item_ids[n], int(b), int(q.length[p])) for p, d, b in zip(phrase, doc, begin - _base(row)[doc]) for n in q.items[p]]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc_id", "item_id", "position", "n_words"])
 
-        return index.mapInArrow(find, schema)
+        return index.mapInArrow(thrifty(find), schema)
 
     found = [over(sent) for sent in _blocks_of(items, window, query_bytes)]
     out = found[0]
@@ -213,7 +217,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, query_byt
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"],
                 )
 
-    return build_index(docs).mapInArrow(digest, schema)
+    # a shard is made and searched in one Python worker
+    return _texts(docs).mapInArrow(thrifty(lambda batches: digest(_shards(batches))), schema)
 
 
 def is_clean(n_hit: Column, n_words: Column, share: float) -> Column:

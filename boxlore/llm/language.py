@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .textops import LOWER, blocks, mix, text_of
+from .textops import LOWER, blocks, mix, text_of, thrifty
 
 BUCKETS = 1 << 12
 #: Languages that labels may name; more are an error, as the model is sent to every task.
@@ -71,7 +71,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(total[lang, bucket])], names=["lang", "bucket", "n"])
 
     counts = np.ones((len(languages), BUCKETS))
-    for r in source.mapInArrow(count, "lang bigint, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():  # at most languages x BUCKETS rows
+    for r in source.mapInArrow(thrifty(count), "lang bigint, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():  # at most languages x BUCKETS rows
         counts[r.lang, r.bucket] += r.n
     return languages, np.log(counts / counts.sum(1, keepdims=True))
 
@@ -126,7 +126,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     kind = source.schema["page_id"].dataType.simpleString()
     scored = source.select("page_id", host_of(F.col("url")).alias("host"), declared_language(F.col("html")).alias("declared"), "html")
-    scored = materialise(scored.mapInArrow(likelihood, f"page_id {kind}, host string, declared string, ll array<double>, p array<double>"), "likelihoods")
+    scored = materialise(scored.mapInArrow(thrifty(likelihood), f"page_id {kind}, host string, declared string, ll array<double>, p array<double>"), "likelihoods")
 
     names = [f"s{j}" for j in range(k)]
     hosts = materialise(scored.groupBy("host").agg(*_vector_sum("p", k)), "hosts")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, threshold_for_precision
-from .textops import blocks
+from .textops import blocks, thrifty
 
 #: Kinds in the order in which spans of one start are listed; the last two come from the method only.
 KINDS = ("email", "ip", "card", "phone", "ipv6", "secret")
@@ -245,4 +245,4 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", with_text: bool =
             columns = [batch.column(c) for c in own] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(clean, pa.string())] if with_text else []), names=own + names + (["redacted"] if with_text else []))
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(thrifty(run), schema)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import fold, labelled_sample
-from .textops import LOWER, VISIBLE, Words, blocks, mix, span_hashes, text_of
+from .textops import LOWER, VISIBLE, Words, blocks, mix, release, span_hashes, text_of, thrifty
 
 #: The model is fitted on at most so many labelled documents of each class and so many bytes of their texts.
 PER_CLASS = 3000
@@ -116,12 +116,14 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, t
     """
     sample = labelled_sample(docs, labels, "quality", fold(F.col("doc_id"), folds) != held, per_class, SAMPLE_BYTES)
     sent = docs.sparkSession.sparkContext.broadcast(fit(sample))  # DIMENSIONS floats, whatever the input
+    del sample
+    release()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             p = scores(sent.value, *text_of(block.column("text")))
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(thrifty(run), "doc_id bigint, score double")
     held_out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 from .components import connected_components
+from .textops import thrifty
 
 #: Vectors of a cell's part, about; vectors that a cell should hold; most pivots.
 PART, CELL, PIVOTS = 1500, 3000, 256
@@ -97,7 +98,7 @@ def range_links(vectors: DataFrame, threshold: float = 0.95, id_column: str = "v
                     names=["vec_id", "n", "cell", "r", "x"],
                 )
 
-    homes = materialise(usable.select("vec_id", "n", pad.alias("x")).mapInArrow(home, "vec_id bigint, n int, cell int, r double, x binary"), "homes")
+    homes = materialise(usable.select("vec_id", "n", pad.alias("x")).mapInArrow(thrifty(home), "vec_id bigint, n int, cell int, r double, x binary"), "homes")
     parts, radius = np.ones(number, np.int64), np.zeros(number)
     for r in homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("r")).collect():  # a row per pivot
         parts[r.cell], radius[r.cell] = -(-r.n // part), r.r
@@ -113,7 +114,7 @@ def range_links(vectors: DataFrame, threshold: float = 0.95, id_column: str = "v
             row, to = np.nonzero(near)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(row)) for k in ("vec_id", "n")] + [pa.array(to.astype(np.int32)), batch.column("x").take(pa.array(row))], names=["vec_id", "n", "cell", "x"])
 
-    moved = homes.mapInArrow(copies, "vec_id bigint, n int, cell int, x binary")
+    moved = homes.mapInArrow(thrifty(copies), "vec_id bigint, n int, cell int, x binary")
     # tiles of a cell: pairs of its parts (left <= right), and each part with each part of the copies (right < 0)
     count = F.element_at(F.array(*map(F.lit, parts.tolist())), F.col("cell") + 1)
     own = F.pmod(F.xxhash64("vec_id"), count).cast("int")
@@ -174,7 +175,7 @@ def range_links(vectors: DataFrame, threshold: float = 0.95, id_column: str = "v
         if tile_key is not None:
             yield from close()
 
-    return dealt.mapInArrow(join, links)
+    return dealt.mapInArrow(thrifty(join), links)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_column: str = "vec_id", column: str = "embedding", pivots: int | None = None, part: int = PART) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 from .components import connected_components
-from .textops import blocks
+from .textops import blocks, thrifty
 
 SEGMENTS, BITS = 8, 3
 #: Fingerprints of one key beyond this number are dealt to tiles, pairs of parts of about this size.
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", width: int = 3) ->
             fp = [fingerprint(b"" if x is None else x, width) for x in block.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(thrifty(run), "doc_id bigint, fp bigint")
 
 
 def chain_keys(fp) -> list:
@@ -157,7 +157,7 @@ def links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
         if held is not None:
             yield edges(*held)
 
-    return dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(scan, "a bigint, b bigint")
+    return dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(thrifty(scan), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", width: int = 3) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .textops import blocks, mix, span_hashes, text_of
+from .textops import blocks, mix, span_hashes, text_of, thrifty
 
 LENGTH = 200
 #: Bytes of an anchor's gram, by level.
@@ -191,7 +191,7 @@ def repeats_in(units: DataFrame, length: int = LENGTH, level: int = 0, limit: in
     with a very common anchor can be split.
     """
     limit = LIMIT if limit is None else limit
-    seen = units.mapInArrow(_occurrences(grams[level], length), "h bigint, ctx bigint, u1 bigint, u2 bigint, lo int, n int, c bigint")
+    seen = units.mapInArrow(thrifty(_occurrences(grams[level], length)), "h bigint, ctx bigint, u1 bigint, u2 bigint, lo int, n int, c bigint")
     twice = materialise(seen.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"), "twice")
     again = materialise(seen.join(twice, "h"), "anchors")
     contexts = materialise(again.groupBy("h", "ctx").agg(F.sum("c").alias("c"), F.min(F.struct("u1", "u2", "lo", "n")).alias("rep")).select("h", "ctx", "c", "rep.*"), "contexts")
@@ -201,7 +201,7 @@ def repeats_in(units: DataFrame, length: int = LENGTH, level: int = 0, limit: in
     cut = F.transform("asked", lambda r: F.struct(r["h"].alias("h"), r["ctx"].alias("ctx"), r["c"].alias("c"), r["m"].alias("m"), F.substring(F.col("bytes"), r["lo"] + 1, r["n"]).alias("bytes")))
     fetched = materialise(units.select("u1", "u2", "bytes").join(asked, ["u1", "u2"]).select(F.explode(cut).alias("x")).select("x.*"), "fetched")
     compared = fetched.where(F.col("m") <= limit).select("h", "ctx", "bytes").repartition("h").sortWithinPartitions("h", "ctx")
-    verdict = whole.unionAll(compared.mapInArrow(_compare(length), "h bigint, ctx bigint, group array<bigint>, span array<bigint>"))
+    verdict = whole.unionAll(compared.mapInArrow(thrifty(_compare(length)), "h bigint, ctx bigint, group array<bigint>, span array<bigint>"))
     hot = fetched.where(F.col("m") > limit)
     if hot.limit(1).count():
         hot = hot.select(F.col("h").alias("u1"), F.col("ctx").alias("u2"), "c", "bytes").dropDuplicates(["u1", "u2"])
@@ -267,5 +267,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
 
-    done = joined.mapInArrow(digest, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>, kept binary")
+    done = joined.mapInArrow(thrifty(digest), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>, kept binary")
     return done if with_text else done.drop("kept")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pii import base_spans
-from .textops import blocks
+from .textops import blocks, thrifty
 
 #: The vocabulary file of a byte-level BPE, as lines of base64 token and rank; another path may be given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -194,4 +194,4 @@ def token_counts(docs: DataFrame, edits: DataFrame | Callable[[str], Iterable[tu
                 rows.append((doc_id, n, len(todo), tree.tokens, len(text), tree.encoded - len(text)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names=["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars", "n_chars_encoded"])
 
-    return source.mapInArrow(run, "doc_id bigint, n_tokens bigint, n_edits bigint, n_tokens_edited bigint, n_chars bigint, n_chars_encoded bigint")
+    return source.mapInArrow(thrifty(run), "doc_id bigint, n_tokens bigint, n_edits bigint, n_tokens_edited bigint, n_chars bigint, n_chars_encoded bigint")

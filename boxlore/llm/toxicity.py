@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import fold, labelled_sample
-from .textops import ALNUM, Words, blocks, mix, powers, text_of
+from .textops import ALNUM, Words, blocks, mix, powers, release, text_of, thrifty
 
 #: The network is trained on at most so many labelled documents of each class and so many bytes of their texts.
 PER_CLASS = 1500
@@ -298,6 +298,8 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, pe
     """The documents with a column ``__score``; every other column is carried along, so nothing is joined or shuffled."""
     sample = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), folds) != held, per_class, SAMPLE_BYTES)
     sent = docs.sparkSession.sparkContext.broadcast(train(sample).p)  # of a fixed size, about 10 MB
+    del sample
+    release()
     names = [c for c in docs.columns if c not in ("__score", "__text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +310,7 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, pe
             yield pa.RecordBatch.from_arrays([block.column(c) for c in names] + [pa.array(p)], names=[*names, "__score"])
 
     source = docs.select(*names, F.col("text").cast("string").alias("__text"))
-    return source.mapInArrow(run, docs.select(*names).schema.add("__score", "double"))
+    return source.mapInArrow(thrifty(run), docs.select(*names).schema.add("__score", "double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, threshold: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
