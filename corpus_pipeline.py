@@ -24,6 +24,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = materialise(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     kept = docs.join(gone, "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return kept.select(docs.columns)
     # an id that occurs more than once is one document: its row of least text stays
     once = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from boxlore.llm import decontaminate, pii, simhash, toxicity
+from boxlore.llm import pii, simhash, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -96,4 +96,11 @@ def test_stages_take_effect(spark, folder):
 
 def test_run_is_the_stages(spark, folder):
     assert cp.run(spark, folder).select(F.sum("taken")).first()[0] > 0 and cp.ORACLE_SQL is None
-    assert decontaminate and [n for n, _ in cp.STAGES][0] == "toxicity"
+    assert [n for n, _ in cp.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "personal_data", "source_mixing"]
+
+
+def test_repeated_ids_are_one_document(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60")
+    once = cp.drop_near_duplicates(spark, docs.dropDuplicates(["doc_id"]), folder)
+    twice = cp.drop_near_duplicates(spark, docs.unionAll(docs), folder)
+    assert once.columns == docs.columns and sorted(map(repr, once.collect())) == sorted(map(repr, twice.collect()))
