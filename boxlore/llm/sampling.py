@@ -16,7 +16,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
     Only rows for which ``learn`` (over the labels' columns) holds are taken, those of smallest seeded hash first; null
     ids and labels are skipped, null texts are empty. The chosen ids, at most 2 * per_class, are broadcast to the scan of
-    the documents. Rows come in the same order on every run.
+    the documents. Each class has half of the bytes, and what the other leaves. A text that does not fit is passed over
+    alone, and texts over 1/128 of the bytes come after all others, the shortest first; a class's first text is taken at
+    any length. Rows come in the same order on every run.
     """
     # the position of a label row in the seeded order; the table's other columns are never read
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
@@ -24,11 +26,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     chosen = usable.where("label = 0").orderBy("place", "id").limit(per_class).unionAll(usable.where("label = 1").orderBy("place", "id").limit(per_class))
     ids = chosen.dropDuplicates(["id", "label"])
     found = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
-    found = found.withColumn("earlier", F.octet_length("text").cast("long")).select("place", "id", "label", "text", "earlier").orderBy("place", "id", "label", "text")
-    out, held = [], 0
+    size = F.octet_length("text").cast("long")
+    late = F.when(size > most_bytes // 128, size).otherwise(0)
+    found = found.select("place", "id", "label", "text", size.alias("size"), late.alias("late")).orderBy("late", "place", "id", "label", "text")
+    taken, aside, held, waiting = [], [], [0, 0], 0
+    seen, full = set(), set()
     for r in found.toLocalIterator():
-        held += r.earlier
-        if held > most_bytes and out:
-            break
-        out.append((r.text, r.label))
-    return out
+        if r.label not in seen or held[r.label] + r.size <= most_bytes // 2:
+            seen.add(r.label)
+            held[r.label] += r.size
+            taken.append(r)
+        elif waiting + r.size <= most_bytes:  # the other class may leave room
+            waiting += r.size
+            aside.append(r)
+        elif r.late:  # all that follow are as long or longer
+            full.add(r.label)
+            if len(full) == 2:
+                break
+    for r in aside:
+        if sum(held) + r.size <= most_bytes:
+            held[r.label] += r.size
+            taken.append(r)
+    return [(r.text, r.label) for r in sorted(taken, key=lambda r: (r.place, r.id, r.label, r.text))]
