@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from boxlore.llm import toxicity
 from boxlore.llm.sampling import labelled_sample
 
 
@@ -37,3 +38,10 @@ def test_nothing_is_cut_where_all_fits(spark):
 def test_a_class_of_one_long_text_is_kept(spark):
     got = taken(spark, ["x" * 5000, "a", "b"], [1, 0, 0], 1000)
     assert sorted(y for _, y in got) == [0, 0, 1]
+
+
+def test_toxicity_learns_from_all_chosen_documents_of_usual_length(spark):
+    n = toxicity.PER_CLASS
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.expr("repeat('some ', 500)").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert len(labelled_sample(docs, labels, "toxic", F.lit(True), n, toxicity.SAMPLE_BYTES)) == 2 * n
