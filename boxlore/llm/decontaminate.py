@@ -221,6 +221,29 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, query_byt
     return _texts(docs).mapInArrow(thrifty(lambda batches: digest(_shards(batches))), schema)
 
 
+def flagged(docs: DataFrame, items: DataFrame, window: int = 10, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """The documents with a column ``__contaminated``; every other column is carried along, so nothing is joined or shuffled.
+
+    A row is judged by its own text, whatever its doc_id, null or repeated. Null and empty texts are clean.
+    """
+    sent = _blocks_of(items, window, query_bytes)
+    names = [c for c in docs.columns if c not in ("__contaminated", "__text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "__text"):
+            numbered = pa.RecordBatch.from_arrays([pa.array(range(block.num_rows), pa.int64()), block.column("__text")], names=["id", "text"])
+            hit = np.zeros(block.num_rows, bool)
+            for shard in _shards([numbered]):
+                row = shard.to_pylist()[0]
+                for one in sent:
+                    begin = intersect(row, one.value)[1]
+                    hit[np.array(row["doc_ids"])[np.searchsorted(_base(row), begin, "right") - 1]] = True
+            yield pa.RecordBatch.from_arrays([block.column(c) for c in names] + [pa.array(hit)], names=[*names, "__contaminated"])
+
+    source = docs.select(*names, F.col("text").cast("string").alias("__text"))
+    return source.mapInArrow(thrifty(run), docs.select(*names).schema.add("__contaminated", "boolean"))
+
+
 def is_clean(n_hit: Column, n_words: Column, share: float) -> Column:
     """Whether at most ``share`` of a document's words were hit."""
     return n_hit <= n_words * F.lit(share)

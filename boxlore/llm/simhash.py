@@ -50,15 +50,16 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", width: int = 3) -> DataFrame:
-    """(doc_id, fp long): the fingerprint of each whole text; null and empty texts have 0."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", width: int = 3, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long, and the long columns ``carried``): the fingerprint of each whole text; null and empty texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             fp = [fingerprint(b"" if x is None else x, width) for x in block.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(np.array(fp, np.uint64).view(np.int64)), *map(block.column, carried)], names=["doc_id", "fp", *carried])
 
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(thrifty(run), "doc_id bigint, fp bigint")
+    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"), *carried)
+    return source.mapInArrow(thrifty(run), ", ".join(f"{c} bigint" for c in ("doc_id", "fp", *carried)))
 
 
 def chain_keys(fp) -> list:

@@ -6,11 +6,12 @@ personal data is redacted; what is left is mixed to the sources' target weights.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxlore.llm import decontaminate, mixture, pii, simhash, toxicity
 from boxlore.llm.common import materialise, table
+from boxlore.llm.components import connected_components
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,23 +20,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document of smallest id stays, once; rows without an id stay."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = materialise(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    """Of each component of linked fingerprints one document stays, once: that of smallest id.
+
+    A document is an id and a text, so rows of one id with different texts are different documents. One without an id
+    stays only where its component holds no id, and of several such one. Rows equal in both are one document.
+    """
+    key = ["__key1", "__key2"]  # 128 bits that stand for the id and the text
+    keyed = docs.select("*", *(F.xxhash64(F.lit(k), F.col("doc_id").isNull(), "doc_id", "text").alias(c) for k, c in enumerate(key)))
+    documents = simhash.fingerprints(keyed, carried=tuple(key)).groupBy("fp", "doc_id", *key).count()
+    nodes = materialise(documents.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *key, "count")).alias("first")), "nodes")
+    found = connected_components(simhash.links(nodes.select("fp", F.col("fp").alias("rep"))))
+    roots = nodes.join(found, nodes["fp"] == found["id"], "left").groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min("first").alias("first"))
+    stay = materialise(roots.select("first.*").select(*key, "count"), "stay")
+    once = keyed.join(stay.where("count = 1"), key, "left_semi").select(docs.columns)
+    repeated = stay.where("count > 1")
     if repeated.isEmpty():
-        return kept.select(docs.columns)
-    # an id that occurs more than once is one document: its row of least text stays
-    once = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").withColumn("__turn", turn).where("__turn = 1").select(docs.columns))
+        return once
+    return once.unionByName(keyed.join(repeated, key, "left_semi").dropDuplicates(key).select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which ten words of a benchmark item follow each other (or all of a shorter item) go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents in which ten words of a benchmark item follow each other (or all of a shorter item) go, with an id or without.
+
+    Null and empty texts stay.
+    """
+    return decontaminate.flagged(docs, table(spark, sf_dir, "benchmark")).where("not __contaminated").select(docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
