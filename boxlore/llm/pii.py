@@ -81,7 +81,7 @@ GENERATORS = (
     ("phone", re.compile(r"(?<![0-9.+-])\(?0?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20./-]?[0-9]{3,6}(?![0-9])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20.-]?[0-9]{4}){2}[\x20.-]?[0-9]{2,7}(?![0-9])")),
     ("ipv6", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}|:)(?::[0-9A-Fa-f]{1,4}){0,5}(?![0-9A-Fa-f:])")),
-    ("secret", re.compile(r"(?i:(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key))[\x20]?[:=][\x20]?[\"']?([A-Za-z0-9_./+-]{6,128})")),
+    ("secret", re.compile(r"(?i:(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key))[\x20]?[:=][\x20]?[\"']?([A-Za-z0-9_./+-]{6,})")),
 )
 #: Each generator's first look; a text without a match of it cannot have a proposal.
 _LOOK = (re.compile(r"(?:\[|\()at(?:\]|\))"), re.compile(r"[0-9]{3}"), re.compile(r"[0-9]{4}"), re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f:]"), re.compile(r"[:=][\x20]?[\"']?[A-Za-z0-9_./+-]{6}"))
