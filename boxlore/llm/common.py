@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,29 +10,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), a temporary one, set on the context too."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, Spark in this one process (as in tests) gets a temporary
+    one, set on the context too; on a cluster it raises, as executors would each write to a disk of their own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="boxlore-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def _path(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again, which cuts its lineage.
 
-    Every executor sees the files, so a lost executor costs nothing but its running tasks. They are deleted when the
-    driver's JVM ends.
+    Every executor sees the files, so a lost executor costs nothing but its running tasks. They are deleted by ``drop``, or
+    when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    jvm_path, files = _path(spark, path)
+    files.deleteOnExit(jvm_path)
     spark._jvm.System.gc()  # Spark deletes the shuffle files of jobs that are done when the driver collects its garbage
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``df``, once nothing reads it any more; any other DataFrame is left alone."""
+    if getattr(df, "kept_at", None):
+        jvm_path, files = _path(df.sparkSession, df.kept_at)
+        files.delete(jvm_path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

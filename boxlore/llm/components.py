@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop, materialise
 
 
 def _state(e: DataFrame) -> tuple:
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = _state(e)
     if before[0]:
         for _ in range(most_rounds):
-            e = materialise(_small_star(_large_star(e)), "stars")
+            last, e = e, materialise(_small_star(_large_star(e)), "stars")
+            drop(last)
             after = _state(e)
             if after == before:
                 break
