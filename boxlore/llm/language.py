@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .textops import LOWER, blocks, mix, text_of, thrifty
+from .textops import BLOCK_BYTES, LOWER, blocks, mix, text_of, thrifty
 
 BUCKETS = 1 << 12
 #: Languages that labels may name; more are an error, as the model is sent to every task.
@@ -32,14 +32,106 @@ EFFECTIVE = 40.0
 KAPPA, ALPHA = 5.0, 1.0
 
 _DROPPED = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)")
-_TAG = re.compile(r"<[^>]*>")
+_OPENED = re.compile(r"(?i)<(script|style)\b|<!--")
+_TAG = re.compile(r"<[A-Za-z/!?][^>]*(?:>|\Z)")
+#: Characters that are looked at together, at a piece's end, for a character reference or the beginning of an element.
+_TAIL = 1000
 
 
 def visible_text(source: str | None) -> str:
-    """The text of a page: scripts, styles, comments and tags are dropped, character references resolved."""
+    """The text of a page: scripts, styles, comments and tags are dropped, character references resolved.
+
+    Each match is found at once, so the time is in proportion to the page. What is opened and never closed goes to the
+    page's end; a ``<`` before anything but a letter, ``/``, ``!`` or ``?`` is text.
+    """
     return html.unescape(_TAG.sub(" ", _DROPPED.sub(" ", source or "")))
 
 
+def _without_elements(parts: Iterable[str]) -> Iterator[str]:
+    """Scripts, styles and comments dropped from a text that comes in parts."""
+    held, end = "", None  # the pattern that ends the element we are in
+    for part, last in _with_last(parts):
+        held += part
+        while True:
+            if end is not None:
+                found = end.search(held)
+                if not found:
+                    tail = held.rfind("<" if end is not _COMMENT_END else "-", max(0, len(held) - _TAIL))
+                    if tail < 0:
+                        held = ""
+                    elif end is _COMMENT_END:
+                        held = held[-2:]
+                    else:
+                        held = held[tail:]
+                    break
+                held, end = held[found.end() :], None
+                continue
+            found = _OPENED.search(held)
+            if not found or (found.end() == len(held) and not last):
+                cut = len(held) if last else max(held.rfind("<", max(0, len(held) - 8)), 0) if "<" in held[-8:] else len(held)
+                yield held[:cut]
+                held = held[cut:]
+                break
+            yield held[: found.start()] + " "
+            held, end = held[found.end() :], _ELEMENT_ENDS[found[1].lower()] if found[1] else _COMMENT_END
+
+
+_ELEMENT_ENDS = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style")}
+_COMMENT_END = re.compile("-->")
+
+
+def _with_last(parts: Iterable[str]) -> Iterator[tuple[str, bool]]:
+    before = None
+    for part in parts:
+        if before is not None:
+            yield before, False
+        before = part
+    yield before or "", True
+
+
+def _without_tags(parts: Iterable[str]) -> Iterator[str]:
+    held, inside = "", False
+    for part, last in _with_last(parts):
+        held += part
+        if inside:
+            at = held.find(">")
+            if at < 0:
+                held = ""
+                continue
+            held, inside = held[at + 1 :], False
+        at = held.rfind("<")
+        if at >= 0 and held.find(">", at) < 0:
+            first = _unclosed(held)
+            if first is not None:  # the last tag is still open: what it holds is dropped until its end
+                yield _TAG.sub(" ", held[:first]) + " "
+                held, inside = "", True
+                continue
+        keep = len(held) if last or not held.endswith("<") else len(held) - 1
+        yield _TAG.sub(" ", held[:keep])
+        held = held[keep:]
+
+
+def _unclosed(text: str) -> int | None:
+    """Where the tag begins that is not closed in the text."""
+    closed = text.rfind(">") + 1
+    for found in re.finditer(r"<[A-Za-z/!?]", text[closed:]):
+        return closed + found.start()
+    return None
+
+
+def visible_parts(parts: Iterable[str]) -> Iterator[str]:
+    """``visible_text`` of a text that comes in parts, in parts."""
+    held = ""
+    for part, last in _with_last(_without_tags(_without_elements(parts))):
+        held += part
+        cut = len(held)
+        if not last:
+            at = held.rfind("&", max(0, len(held) - _TAIL))
+            cut = at if at >= 0 else cut
+        yield html.unescape(held[:cut])
+        held = held[cut:]
+
+
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of every byte trigram, A-Z lowered; trigrams with an ASCII byte other than a letter or space are left out."""
     low = LOWER[data].astype(np.uint64)
@@ -52,6 +144,41 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row[inside], (mix(code[inside]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def _spans(n: int, limit: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of parts of n bytes that hold every trigram once: each goes on for two bytes into the next."""
+    for a in range(0, max(0, n - 2), limit):
+        yield a, min(n, a + limit + 2)
+
+
+def _decoded(data: np.ndarray, limit: int) -> Iterator[str]:
+    """A text's UTF-8 bytes as strings of about ``limit`` bytes."""
+    a = 0
+    while a < len(data):
+        b = min(a + limit, len(data))
+        while b < len(data) and data[b] & 0xC0 == 0x80:
+            b += 1
+        yield data[a:b].tobytes().decode()
+        a = b
+
+
+def likelihoods(logp: np.ndarray, texts: list[np.ndarray], limit: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(log-likelihoods by language, trigrams) of pages given as UTF-8 bytes; a long one is read in parts."""
+    k = len(logp)
+    if len(texts) == 1 and len(texts[0]) > limit:
+        ll, n, before = np.zeros((1, k)), np.zeros(1, np.int64), b""
+        for part in visible_parts(_decoded(texts[0], limit)):
+            before += part.encode("utf-8", "surrogatepass")
+            data = np.frombuffer(before, np.uint8)
+            for a, b in _spans(len(data), limit):
+                _, bucket = trigrams(data[a:b], np.array([0, b - a]))
+                ll += logp[:, bucket].sum(1)
+                n += len(bucket)
+            before = before[-2:]
+        return ll, n
+    row, bucket = trigrams(*text_of(pa.array([visible_text(x.tobytes().decode()) for x in texts], pa.large_string())))
+    return np.stack([np.bincount(row, logp[j][bucket], len(texts)) for j in range(k)], 1), np.bincount(row, minlength=len(texts))
+
+
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities of buckets by language) over all documents with a language and a text."""
     source = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -65,8 +192,10 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         number = {x: k for k, x in enumerate(languages)}
         for block in blocks(batches):
             own = np.array([number[x] for x in block.column("lang").to_pylist()], np.int64)
-            row, bucket = trigrams(*text_of(block.column("text")))
-            total += np.bincount(own[row] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
+            data, offsets = text_of(block.column("text"))
+            for a, b in _spans(len(data), BLOCK_BYTES) if block.num_rows == 1 else [(0, len(data))]:
+                row, bucket = trigrams(data[a:b], offsets if block.num_rows > 1 else np.array([0, b - a]))
+                total += np.bincount(own[row] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(total[lang, bucket])], names=["lang", "bucket", "n"])
 
@@ -82,16 +211,16 @@ def host_of(url: Column) -> Column:
 
 def _domain(host: Column) -> Column:
     """The last two labels of a host."""
-    return F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0)
+    return F.substring_index(host, ".", -2)
 
 
 def _suffix(host: Column) -> Column:
-    return F.regexp_extract(host, r"[^.]*$", 0)
+    return F.substring_index(host, ".", -1)
 
 
 def declared_language(page: Column) -> Column:
-    """The primary subtag of the html element's lang attribute, lower-cased; empty where there is none."""
-    return F.lower(F.regexp_extract(F.coalesce(page, F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
+    """The primary subtag of the html element's lang attribute, lower-cased; empty where there is none, or a ``<`` stands before it."""
+    return F.lower(F.regexp_extract(F.coalesce(page, F.lit("")), r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
 
 
 def _vector_sum(column: str, k: int) -> list[Column]:
@@ -103,8 +232,9 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     text_lang is what the text alone says, lang the fused answer and probability its posterior. A null or empty page has
     no text and no declaration, a null url the empty host; such evidence is neutral. Ties go to the first language in code-point
-    order. Without labelled documents lang is null. Rows of one id each give a row; an empty table gives an empty one.
-    Extra columns are ignored.
+    order. Without labelled documents lang is null; more than MOST_LANGUAGES of them raise, as the model goes to every task.
+    A very long page is read in parts, whole. Rows of one id each give a row; an empty table gives an empty one. Extra
+    columns are ignored.
     """
     spark = pages.sparkSession
     languages, logp = train(docs)
@@ -116,9 +246,8 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "html"):
-            row, bucket = trigrams(*text_of(pa.array([visible_text(x) for x in block.column("html").to_pylist()], pa.large_string())))
-            n = np.bincount(row, minlength=block.num_rows)
-            ll = np.stack([np.bincount(row, sent.value[j][bucket], block.num_rows) for j in range(k)], 1)
+            data, offsets = text_of(block.column("html"))
+            ll, n = likelihoods(sent.value, [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
             ll *= np.minimum(1, EFFECTIVE / np.maximum(n, 1))[:, None]
             p = np.exp(ll - ll.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)

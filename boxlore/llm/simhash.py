@@ -21,32 +21,38 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 from .components import connected_components
-from .textops import blocks, thrifty
+from .textops import VISIBLE, blocks, pieces, text_of, thrifty
 
 SEGMENTS, BITS = 8, 3
 #: Fingerprints of one key beyond this number are dealt to tiles, pairs of parts of about this size.
 TILE = 2000
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
-    """SimHash over the XXH64 of word shingles: a bit is 1 if over half of the shingles have it."""
-    words = text.lower().split()  # bytes: lowers A-Z only, splits at ASCII white space only
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(words) > width:
-        starts, ends = starts[: 1 - width], ends[width - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
+def fingerprint(text: bytes | np.ndarray, width: int = 3, seed: int = 42, piece: int = 1 << 20) -> int:
+    """SimHash over the XXH64 of word shingles: a bit is 1 if over half of the shingles have it. A long text is taken in pieces."""
+    data = np.frombuffer(text, np.uint8) if isinstance(text, bytes) else text
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
-    n = len(starts)
-    for at in range(0, n, 4096):
-        part = [joined[a:b] for a, b in zip(starts[at : at + 4096].tolist(), ends[at : at + 4096].tolist())]
-        h = np.fromiter(map(digest, part, repeat(seed)), np.uint64, len(part))
-        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    ones, n, before = np.zeros(64, np.int64), 0, []
+    for begin, end in pieces(data, VISIBLE, piece):
+        words = before + data[begin:end].tobytes().lower().split()  # bytes: lowers A-Z only, splits at ASCII white space only
+        if len(words) < width and (end < len(data) or not words):
+            before = words
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        if len(words) > width:
+            starts, ends = starts[: 1 - width or None], ends[width - 1 :]
+        elif n == 0 or len(words) == width:
+            starts, ends = starts[:1], ends[-1:]
+        else:  # nothing but the last words of the piece before
+            break
+        for at in range(0, len(starts), 4096):
+            part = [joined[a:b] for a, b in zip(starts[at : at + 4096].tolist(), ends[at : at + 4096].tolist())]
+            h = np.fromiter(map(digest, part, repeat(seed)), np.uint64, len(part))
+            ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(starts)
+        before = words[1 - width :] if width > 1 else []
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
@@ -55,7 +61,8 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", width: int = 3, car
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            fp = [fingerprint(b"" if x is None else x, width) for x in block.column("text").cast(pa.binary()).to_pylist()]
+            data, offsets = text_of(block.column("text"))
+            fp = [fingerprint(data[a:b], width) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(np.array(fp, np.uint64).view(np.int64)), *map(block.column, carried)], names=["doc_id", "fp", *carried])
 
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"), *carried)
@@ -90,8 +97,8 @@ def _chain(x: np.ndarray, start: int, most: int = BITS) -> np.ndarray:
     return keep
 
 
-def forest(fp: np.ndarray, start: int, half: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links within one key's rows (with ``half``, of links between the two halves too)."""
+def forest(fp: np.ndarray, start: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links within one key's rows."""
     n, out = len(fp), []
     todo = np.ones(n, bool)
     for first in range(n):

@@ -9,31 +9,33 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: A block holds at most so many text bytes (a single longer text makes a block of its own).
+#: A block holds at most so many text bytes; a single longer text makes a block of its own, which operators take in pieces.
 BLOCK_BYTES = 2 << 20
+#: Bytes whose words or hashes are found at once, whatever the block's length.
+CHUNK = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Bytes of words that are runs of digits, lower-case letters and any non-ASCII character.
+#: Bytes of words that are runs of digits, letters and any non-ASCII character.
 ALNUM = np.zeros(256, bool)
-ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
+ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 #: Bytes of words that are runs of anything but ASCII white space.
 VISIBLE = np.ones(256, bool)
 VISIBLE[[32, *range(9, 14)]] = False
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_TURN = 1 << 64
+_POWERS: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base modulo 2**64, and of its inverse."""
-    if len(_POWERS[0]) < n:
-        m = max(n, BLOCK_BYTES + 64)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            x = np.full(m, base, np.uint64)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """The first CHUNK + 1 powers of the hash base modulo 2**64, and of its inverse."""
+    if not _POWERS:
+        for base in (_BASE, pow(_BASE, -1, _TURN)):
+            x = np.full(CHUNK + 1, base, np.uint64)
             x[0] = 1
-            _POWERS[k] = np.cumprod(x, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+            _POWERS.append(np.cumprod(x, dtype=np.uint64))
+    return _POWERS[0], _POWERS[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -94,32 +96,71 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def pieces(data: np.ndarray, member: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of pieces of one text, of about ``limit`` bytes; no word is cut, so one that is longer makes its piece longer."""
+    at = 0
+    while at < len(data):
+        end = at + limit
+        while end < len(data):
+            outside = np.flatnonzero(~member[data[end : end + CHUNK]])
+            if len(outside):
+                end += int(outside[0])
+                break
+            end += CHUNK
+        end = min(end, len(data))
+        yield at, end
+        at = end
+
+
 class Words:
     """The words of a block: ``starts`` and ``ends`` (bytes in the block), ``doc`` (row of each word), ``count`` (words by row)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, member: np.ndarray, lower: bool = True):
-        self.data, self.offsets = (LOWER[data] if lower else data), offsets
-        inside = member[self.data]
-        first, last = inside.copy(), inside.copy()
-        first[1:] &= ~inside[:-1]
-        last[:-1] &= ~inside[1:]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, member: np.ndarray):
+        self.data, self.offsets = data, offsets
+        flips, was = [], False
+        for a in range(0, len(data), CHUNK):
+            inside = member[data[a : a + CHUNK]]
+            turn = np.flatnonzero(inside[1:] != inside[:-1]) + (a + 1)
+            flips.append(turn if inside[0] == was else np.concatenate([[a], turn]))
+            was = bool(inside[-1])
+        turns = np.concatenate([*flips, np.array([len(data)] if was else [], np.int64)]).astype(np.int64)
         cuts = np.unique(offsets)
         cuts = cuts[(cuts > 0) & (cuts < len(data))]
-        first[cuts] = inside[cuts]
-        last[cuts - 1] = inside[cuts - 1]
-        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        cuts = cuts[member[data[cuts - 1]] & member[data[cuts]]]  # a word of one row and one of the next adjoin
+        self.starts, self.ends = (np.sort(np.concatenate([x, cuts])) if len(cuts) else x for x in (turns[::2], turns[1::2]))
         self.first = np.searchsorted(self.starts, offsets[:-1])
         self.count = np.diff(np.append(self.first, len(self.starts)))
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.count)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        return span_hashes(self.data, self.starts, self.ends)
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: a polynomial modulo 2**64 by prefix sums, scrambled."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    def hashes(self, lower: bool = True) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, A-Z lowered."""
+        return span_hashes(self.data, self.starts, self.ends, LOWER if lower else None)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of byte spans, whose starts rise and whose ends rise: a polynomial modulo 2**64 by prefix sums, scrambled.
+
+    Sums run over chunks, so memory goes with the spans and not with the bytes. ``table`` maps bytes before they count.
+    """
+    up, down = powers()
+    at = [np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)]
+    before, scale = 0, 1
+    for a in range(0, len(data) + 1, CHUNK):
+        part = data[a : a + CHUNK]
+        if table is not None:
+            part = table[part]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        for place, out in ((starts, at[0]), (ends, at[1])):
+            x, y = np.searchsorted(place, (a, a + CHUNK))
+            if a + CHUNK > len(data):
+                y = len(place)
+            out[x:y] = sums[place[x:y] - a] * np.uint64(scale) + np.uint64(before)
+        before, scale = (before + int(sums[-1]) * scale) % _TURN, scale * int(up[CHUNK]) % _TURN
+    total = at[1] - at[0]
+    if len(data) < CHUNK:
+        return mix(total * down[starts])
+    step, far = int(down[CHUNK]), [1]
+    while len(far) <= len(data) // CHUNK:
+        far.append(far[-1] * step % _TURN)
+    return mix(total * down[starts % CHUNK] * np.array(far, np.uint64)[starts // CHUNK])

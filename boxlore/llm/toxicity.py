@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import fold, labelled_sample
-from .textops import ALNUM, Words, blocks, mix, powers, release, text_of, thrifty
+from .textops import ALNUM, CHUNK, LOWER, Words, blocks, mix, pieces, powers, release, text_of, thrifty
 
 #: The network is trained on at most so many labelled documents of each class and so many bytes of their texts.
 PER_CLASS = 1500
@@ -25,34 +25,44 @@ SAMPLE_BYTES = 16 << 20
 WINDOW, STRIDE = 32, 16
 WORDS, GRAMS, DIM, HIDDEN = 1 << 18, 1 << 16, 8, 8
 #: Windows that are scored at once.
-CHUNK = 2048
-#: Text bytes that are cut into words and grams at once.
-BLOCK = 3 << 17
+BATCH = 2048
+#: Bytes of a word beyond which its grams are counted by bucket rather than listed.
+LONG = 1 << 12
+#: Text bytes that are cut into words and grams at once; a longer text is taken in pieces.
+BLOCK = CHUNK - LONG
 
 
 class Tokens:
-    """Words of a block as numbers: a word bucket each, and byte-gram buckets with the word that each belongs to."""
+    """Words of a block as numbers: a word bucket each, and byte-gram buckets with the word that each belongs to.
+
+    ``weight`` is None, or how often each listed gram occurs: a very long word's grams are listed once a bucket.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         w = Words(data, offsets, ALNUM)
-        self.first, self.count = w.first, w.count
+        self.first, self.count, self.begins = w.first, w.count, w.starts
         self.word = (w.hashes() % np.uint64(WORDS)).astype(np.int64)
-        up, down = powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((w.data + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        n = w.ends - w.starts
-        grams, owners = [], []
-        for size, salt in ((3, 1), (4, 2), (5, 3)):
-            have = np.maximum(n - size + 1, 1)
-            owner = np.repeat(np.arange(len(n), dtype=np.int32), have)
-            start = w.starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(have) - have, have)
-            h = mix(((sums[np.minimum(start + size, w.ends[owner])] - sums[start]) * down[start]) ^ np.uint64(salt))
-            grams.append((h % np.uint64(GRAMS)).astype(np.int32))
-            owners.append(owner)
-        head = np.minimum(w.starts + 4, w.ends)  # how a word begins counts as a gram of its own
-        h = mix(((sums[head] - sums[w.starts]) * down[w.starts]) ^ np.uint64(9))
-        self.gram, self.owner = np.concatenate([*grams, (h % np.uint64(GRAMS)).astype(np.int32)]), np.concatenate([*owners, np.arange(len(n), dtype=np.int32)])
-        self.grams = np.maximum(np.bincount(self.owner, minlength=len(n)), 1).astype(np.float32)
+        self.weight = None
+        if len(data) <= CHUNK:
+            up, down = powers()
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((LOWER[data] + np.uint64(1)) * up[: len(data)], out=sums[1:])
+            spans = lambda start, end: (sums[end] - sums[start]) * down[start]
+            self.gram, self.owner = _grams(w.starts, w.ends, spans)
+        else:
+            spans = lambda start, end: _short_spans(data, start, end)
+            usual = w.ends - w.starts <= LONG
+            gram, owner = _grams(w.starts[usual], w.ends[usual], spans)
+            grams, owners, weights = [gram], [np.flatnonzero(usual).astype(np.int32)[owner]], [np.ones(len(gram), np.float32)]
+            for k in np.flatnonzero(~usual).tolist():
+                held = np.zeros(GRAMS, np.int64)
+                for a in range(int(w.starts[k]), int(w.ends[k]), LONG):
+                    held += _long_grams(a, min(a + LONG, int(w.ends[k])), int(w.starts[k]), int(w.ends[k]), spans)
+                grams.append(np.flatnonzero(held).astype(np.int32))
+                owners.append(np.full(len(grams[-1]), k, np.int32))
+                weights.append(held[grams[-1]].astype(np.float32))
+            self.gram, self.owner, self.weight = (np.concatenate(x) for x in (grams, owners, weights))
+        self.grams = np.maximum(np.bincount(self.owner, self.weight, len(self.word)), 1).astype(np.float32)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, first word, words) of all overlapping windows; the last of a row ends with it."""
@@ -63,6 +73,48 @@ class Tokens:
         return row, self.first[row] + inner, np.minimum(self.count[row], WINDOW)
 
 
+#: Sizes of byte grams, each with a salt of its own; how a word begins (its first four bytes) counts as a gram too.
+SIZES, HEAD = ((3, 1), (4, 2), (5, 3)), (4, 9)
+
+
+def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
+    return (mix(h ^ np.uint64(salt)) % np.uint64(GRAMS)).astype(np.int32)
+
+
+def _grams(starts: np.ndarray, ends: np.ndarray, spans) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, number of the word) of the grams of words; a word shorter than a gram is one."""
+    n = ends - starts
+    grams, owners = [], []
+    for size, salt in SIZES:
+        have = np.maximum(n - size + 1, 1)
+        owner = np.repeat(np.arange(len(n), dtype=np.int32), have)
+        start = starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(have) - have, have)
+        grams.append(_bucket(spans(start, np.minimum(start + size, ends[owner])), salt))
+        owners.append(owner)
+    grams.append(_bucket(spans(starts, np.minimum(starts + HEAD[0], ends)), HEAD[1]))
+    return np.concatenate(grams), np.concatenate([*owners, np.arange(len(n), dtype=np.int32)])
+
+
+def _long_grams(low: int, high: int, first: int, last: int, spans) -> np.ndarray:
+    """How many grams of the word [first, last) that start in [low, high) each bucket holds."""
+    out = np.zeros(GRAMS, np.int64)
+    for size, salt in SIZES:
+        start = np.arange(low, min(high, last - size + 1))
+        out += np.bincount(_bucket(spans(start, start + size), salt), minlength=GRAMS)
+    if low == first:
+        out[_bucket(spans(np.array([first]), np.array([first + HEAD[0]])), HEAD[1])] += 1
+    return out
+
+
+def _short_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The polynomial of spans of a few bytes, byte by byte."""
+    up, out = powers()[0], np.zeros(len(start), np.uint64)
+    for k in range(int((end - start).max(initial=0))):
+        inside = start + k < end
+        out += np.where(inside, (LOWER[data[np.where(inside, start + k, 0)]] + np.uint64(1)) * up[k], np.uint64(0))
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -80,6 +132,8 @@ class Network:
 
     def inputs(self, t: Tokens) -> np.ndarray:
         vectors = self.p["gram"][t.gram]
+        if t.weight is not None:
+            vectors *= t.weight[:, None]
         chars = np.stack([np.bincount(t.owner, vectors[:, k], len(t.word)) for k in range(DIM)], 1) / t.grams[:, None] if len(t.word) else np.zeros((0, DIM))
         return np.concatenate([self.p["word"][t.word], chars.astype(vectors.dtype)], 1)
 
@@ -147,9 +201,9 @@ class Network:
         gates = self.gates(self.inputs(t))
         out = np.zeros(len(first), np.float64)
         step = np.arange(WINDOW)[:, None]
-        for a in range(0, len(first), CHUNK):
-            f, m = first[a : a + CHUNK], step < n[a : a + CHUNK]
-            out[a : a + CHUNK] = self.forward(gates[np.where(m, f + step, f)], m.astype(gates.dtype))[0]
+        for a in range(0, len(first), BATCH):
+            f, m = first[a : a + BATCH], step < n[a : a + BATCH]
+            out[a : a + BATCH] = self.forward(gates[np.where(m, f + step, f)], m.astype(gates.dtype))[0]
         return out
 
     def step(self, t: Tokens, first: np.ndarray, n: np.ndarray, label: np.ndarray, rng: np.random.Generator, rate: float, drop: float = 0.4) -> float:
@@ -173,7 +227,7 @@ class Network:
             g[f"w{d}"], g[f"c{d}"] = inputs.T @ part, part.sum(0)
         gi = flat @ np.concatenate([self.p["wf"], self.p["wb"]], 1).T
         g["word"] = (sub.word, gi[:, :DIM] * dropped)
-        g["gram"] = (sub.gram, (gi[:, DIM:] / sub.grams[:, None])[sub.owner])
+        g["gram"] = (sub.gram, (gi[:, DIM:] / sub.grams[:, None])[sub.owner] * sub.weight[:, None])
         self._update(g, rate)
         return float(-np.log(np.where(label > 0, p, 1 - p) + 1e-9).mean())
 
@@ -199,25 +253,29 @@ def _subset(t: Tokens, used: np.ndarray) -> Tokens:
     sub = Tokens.__new__(Tokens)
     sub.owner = np.repeat(np.arange(len(used)), many)
     inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    sub.word, sub.gram, sub.grams = t.word[used], t.gram[t.starts[used][sub.owner] + inner], t.grams[used]
+    place = t.starts[used][sub.owner] + inner
+    sub.word, sub.gram, sub.grams, sub.weight = t.word[used], t.gram[place], t.grams[used], t.weight[place]
     return sub
 
 
-def _parts(texts: list[str], step: int = 60) -> list[Tokens]:
-    """The tokens of many texts, a few texts at a time, with the grams in order of their words."""
-    parts = []
-    for a in range(0, len(texts), step):
-        t = Tokens(*text_of(pa.array(texts[a : a + step], pa.large_string())))
+def _parts(texts: list[str]) -> tuple[list[Tokens], np.ndarray]:
+    """The tokens of many texts, a few texts at a time, with the grams in order of their words; and the number of texts up to each."""
+    parts, ends = [], []
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+    for block in blocks([batch], limit=BLOCK):
+        t = Tokens(*text_of(block.column("text")))
         order = np.argsort(t.owner, kind="stable")
         t.gram, t.owner = t.gram[order], t.owner[order]
+        t.weight = np.ones(len(order), np.float32) if t.weight is None else t.weight[order]
         parts.append(t)
-    return parts
+        ends.append(block.num_rows)
+    return parts, np.cumsum(ends)
 
 
 def _joined(parts: list[Tokens]) -> Tokens:
     t = Tokens.__new__(Tokens)
     before = np.cumsum([0] + [len(x.word) for x in parts])
-    for name in ("count", "word", "gram", "grams"):
+    for name in ("count", "word", "gram", "grams", "weight"):
         setattr(t, name, np.concatenate([getattr(x, name) for x in parts]))
     t.owner = np.concatenate([(x.owner + b).astype(np.int32) for x, b in zip(parts, before)])
     t.starts = np.searchsorted(t.owner, np.arange(len(t.word) + 1, dtype=np.int32))
@@ -259,10 +317,9 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 4, least
         net.p["o"][:] = 0
         return net
     texts, label = [x for x, _ in sample], np.array([y for _, y in sample])
-    parts = _parts(texts)
+    parts, ends = _parts(texts)
     t = _joined(parts)
     row, first, n = t.windows()
-    ends = np.cumsum([len(x.count) for x in parts])
     guess = np.concatenate(_telling(parts, np.split(label, ends[:-1])))
     score = np.array([guess[a : a + m].max() for a, m in zip(first, n)])
     for turn in range(rounds):
@@ -285,13 +342,47 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 4, least
     return net
 
 
-def scores(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Probabilities of label 1 of the rows of a block: the largest of their windows'; 0 for rows without words."""
+def _best(net: Network, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Tokens]:
+    """The largest score of each row's windows, before the logistic, and the block's tokens."""
     t = Tokens(data, offsets)
     row, first, n = t.windows()
     out = np.full(len(offsets) - 1, -np.inf)
     np.maximum.at(out, row, net.score_windows(t, first, n))
-    return 1 / (1 + np.exp(-np.clip(out, -35, 35))) * (t.count > 0)
+    return out, t
+
+
+def _long_best(net: Network, data: np.ndarray, piece: int) -> tuple[np.ndarray, int]:
+    """The same of one long text, and its words. Each piece begins a number of strides after the one before, far enough back to
+    hold every window that was not whole, so the pieces' windows are those of the text."""
+    best, words, begin = np.full(1, -np.inf), 0, 0
+    for _, end in pieces(data, ALNUM, piece):
+        part = data[begin:end]
+        t = Tokens(part, np.array([0, len(part)]))
+        had = int(t.count[0])
+        if end < len(data) and had < 2 * WINDOW:
+            continue  # too few words as yet: the next piece begins here again
+        _, first, n = t.windows()
+        if end < len(data):
+            whole = (had - WINDOW) // STRIDE * STRIDE  # where the last whole window of the text begins
+            aligned = first % STRIDE == 0
+            first, n, begin = first[aligned], n[aligned], begin + int(t.begins[whole])
+            words += whole
+        else:
+            words += had
+        best = np.maximum(best, net.score_windows(t, first, n).max(initial=-np.inf))
+    return best, words
+
+
+def scores(net: Network, data: np.ndarray, offsets: np.ndarray, piece: int = BLOCK) -> np.ndarray:
+    """Probabilities of label 1 of the rows of a block: the largest of their windows'; 0 for rows without words. One long row is
+    taken in pieces, with the windows of the whole."""
+    if len(offsets) == 2 and len(data) > piece:
+        out, words = _long_best(net, data, piece)
+        count = np.array([words])
+    else:
+        out, t = _best(net, data, offsets)
+        count = t.count
+    return 1 / (1 + np.exp(-np.clip(out, -35, 35))) * (count > 0)
 
 
 def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, per_class: int = PER_CLASS) -> DataFrame:
@@ -317,8 +408,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1,
     """Per document: doc_id, held_out, score, predicted (1 where score >= threshold).
 
     Labels are learned only where crc32(doc_id as text) modulo ``folds`` is not ``held``. Null and empty texts, and those
-    without a letter or digit, score 0; a null doc_id is never held out; labels of one class only give one score to all;
-    an empty table gives an empty one. Rows of one id each give a row. Extra columns are ignored.
+    without a letter or digit, score 0; a long text is scored piece by piece, in all its windows; a null doc_id is never held
+    out; with labels of one class only, or none, every text with words has one constant score: 0.018 if the class is 0 or
+    there is none, else 0.982; an empty table gives an empty one. Rows of one id each give a row. Extra columns are ignored.
     """
     found = scored(docs.select("doc_id", "text"), labels, folds, held, per_class)
     held_out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
