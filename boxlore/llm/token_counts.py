@@ -9,6 +9,7 @@ stands), encodes just that region anew, and updates the sums on the path to the
 from __future__ import annotations
 
 import base64
+import functools
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -48,26 +49,46 @@ def cut(text: str, least: int = LEAF) -> list[str]:
 
 
 class _Node:
-    __slots__ = ("left", "right", "text", "chars", "tokens", "leaves")
+    __slots__ = ("left", "right", "text", "chars", "tokens", "height")
 
     def __init__(self, left: _Node | None = None, right: _Node | None = None, text: str = "", tokens: int = 0):
         self.left, self.right, self.text = left, right, text
-        self.chars, self.tokens, self.leaves = len(text), tokens, 1
-        if left is not None:
-            self.sum()
-
-    def sum(self) -> None:
-        self.chars, self.tokens, self.leaves = (getattr(self.left, k) + getattr(self.right, k) for k in ("chars", "tokens", "leaves"))
+        if left is None:
+            self.chars, self.tokens, self.height = len(text), tokens, 0
+        else:
+            self.chars, self.tokens, self.height = left.chars + right.chars, left.tokens + right.tokens, 1 + max(left.height, right.height)
 
 
 def _balanced(nodes: list[_Node]) -> _Node:
-    while len(nodes) > 1:
-        nodes = [_Node(nodes[k], nodes[k + 1]) if k + 1 < len(nodes) else nodes[k] for k in range(0, len(nodes), 2)]
-    return nodes[0]
+    """One tree of leaves."""
+    middle = len(nodes) // 2
+    return _Node(_balanced(nodes[:middle]), _balanced(nodes[middle:])) if middle else nodes[0]
+
+
+def _joined(left: _Node, right: _Node) -> _Node:
+    """Two trees as one whose sides' heights differ by at most one everywhere, in steps of the difference of their heights."""
+    if left.height > right.height + 1:
+        return _turned(left.left, _joined(left.right, right))
+    if right.height > left.height + 1:
+        return _turned(_joined(left, right.left), right.right)
+    return _Node(left, right)
+
+
+def _turned(left: _Node, right: _Node) -> _Node:
+    """A node of two sides whose heights differ by at most two, turned once or twice where they do."""
+    if right.height > left.height + 1:
+        if right.left.height > right.right.height:
+            return _Node(_Node(left, right.left.left), _Node(right.left.right, right.right))
+        return _Node(_Node(left, right.left), right.right)
+    if left.height > right.height + 1:
+        if left.right.height > left.left.height:
+            return _Node(_Node(left.left, left.right.left), _Node(left.right.right, right))
+        return _Node(left.left, _Node(left.right, right))
+    return _Node(left, right)
 
 
 class TokenTree:
-    """A document's segment tree; ``tokens`` is the count of its present text, ``encoded`` the characters encoded so far."""
+    """A document's segment tree, kept balanced by height; ``tokens`` is the count of its present text, ``encoded`` the characters encoded so far."""
 
     def __init__(self, text: str, count: Callable[[str], int], leaf: int = LEAF):
         self.count, self.leaf, self.encoded = count, leaf, 0
@@ -100,37 +121,21 @@ class TokenTree:
         if start == end and not new:
             return
         self.root = self._replace(self.root, 0, start - _REACH, end + _REACH, start, end, new)
-        if self.root.leaves > 8 and self._depth() > 4 * self.root.leaves.bit_length():
-            self.root = _balanced(list(self._leaves(self.root)))
-
-    def _depth(self) -> int:
-        x, n = self.root, 0
-        while x.left is not None:
-            x, n = max((x.left, x.right), key=lambda y: y.leaves), n + 1
-        return n
 
     def _replace(self, node: _Node, at: int, low: int, high: int, start: int, end: int, new: str) -> _Node:
         """The tree below ``node``, which begins at character ``at``, after the edit; low and high bound what it touches."""
-        while True:
-            if node.left is None:
-                break
+        if node.left is not None:
             middle = at + node.left.chars
             if high <= middle:
-                node.left = self._replace(node.left, at, low, high, start, end, new)
-            elif low >= middle:
-                node.right = self._replace(node.right, middle, low, high, start, end, new)
-            else:
-                break
-            node.sum()
-            return node
+                return _joined(self._replace(node.left, at, low, high, start, end, new), node.right)
+            if low >= middle:
+                return _joined(node.left, self._replace(node.right, middle, low, high, start, end, new))
         # the edit touches a leaf, or both sides of this node: split off the leaves that it leaves alone
-        before, touched, after = [], [], []
-        for leaf, first in self._near(node, at, low, high, before, after):
-            touched.append((leaf, first))
+        before, after = [], []
+        touched = list(self._near(node, at, low, high, before, after))
         base = touched[0][1]
         region = "".join(x.text for x, _ in touched)
-        middle_tree = self._tree(region[: start - base] + new + region[end - base :])
-        return _balanced([*before, middle_tree, *after])
+        return functools.reduce(_joined, [*before, self._tree(region[: start - base] + new + region[end - base :]), *after])
 
     def _near(self, node: _Node, at: int, low: int, high: int, before: list, after: list) -> Iterator[tuple[_Node, int]]:
         """Leaves that [low, high) meets, in order; subtrees to their left and right go to ``before`` and ``after``."""

@@ -61,3 +61,19 @@ def test_query(spark, count):
     edits = spark.createDataFrame([(4, 2, 0, 5, "AB"), (4, 1, 0, 0, "some more words "), (9, 1, 0, 1, "x"), (None, 1, 0, 1, "x")], "doc_id long, turn int, start int, end int, replacement string")
     by = sorted((tuple(r)[:4] for r in tc.token_counts(docs, edits).collect() if r.doc_id == 4), key=repr)
     assert by == sorted([(4, count("x"), 2, count("ABmore words x")), (4, count("word " * 40_000), 2, count("ABmore words " + "word " * 40_000))], key=repr)
+
+
+def test_many_appends_behind_a_large_insert_stay_balanced(count):
+    tree = tc.TokenTree("word and " * 180, count, 64)
+    tree.edit(800, 800, "some more " * 20_000)
+    for _ in range(10_000):
+        tree.edit(tree.root.chars, tree.root.chars, " and more words here to add")
+
+    def height(node):
+        if node.left is None:
+            return 0
+        a, b = height(node.left), height(node.right)
+        assert abs(a - b) <= 1
+        return 1 + max(a, b)
+
+    assert height(tree.root) == tree.root.height < 25 and tree.tokens == count(tree.text())
