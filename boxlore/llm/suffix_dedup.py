@@ -32,21 +32,22 @@ GRAMS = (48, 120, 180, 200)
 LIMIT = 2000
 #: Bytes of contexts that are sorted at once.
 BATCH = 1 << 19
-#: Window starts handled at once, so that a place fits below the hash in 64 bits.
-PIECE = 1 << 22
+#: Window starts handled at once, whatever the text's length; a place among them fits below the hash in 64 bits.
+PIECE = 1 << 19
 NO_ID = -(1 << 63)
 
 #: A span is its first byte times two to this power, plus its length.
 SPAN_BITS = 20
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, gram: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor hash, first window, last window) of each run of windows that name one anchor; places are in ``data``."""
-    out = []
+def anchors(data: np.ndarray, offsets: np.ndarray, gram: int, length: int = LENGTH, piece: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, anchor hash, first window, last window, context hash) of each run of windows that name one anchor, a piece of the data
+    at a time; places are in ``data``. A run that goes on into the next piece gives a context in each."""
+    piece = PIECE if piece is None else piece
     span = length - gram + 1
     ends = offsets[1:]
-    for begin in range(0, max(len(data) - length + 1, 0), PIECE):
-        part = data[begin : begin + PIECE + length - 1]
+    for begin in range(0, max(len(data) - length + 1, 0), piece):
+        part = data[begin : begin + piece + length - 1]
         n = len(part) - gram + 1
         g = span_hashes(part, np.arange(n), np.arange(n) + gram)
         key = (g & ~np.uint64(0xFFFFFF)) | np.arange(n, dtype=np.uint64)
@@ -64,25 +65,21 @@ def anchors(data: np.ndarray, offsets: np.ndarray, gram: int, length: int = LENG
             new = np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1) | (row[1:] != row[:-1])])
             first = np.flatnonzero(new)
             last = np.concatenate([first[1:], [len(start)]]) - 1
-            out.append((row[first], g[at[first]], start[first], start[last]))
-    if not out:
-        none = np.zeros(0, np.int64)
-        return none, none.astype(np.uint64), none, none
-    row, h, first, last = (np.concatenate(x) for x in zip(*out))
-    return row, h, first, last
+            ctx = mix(span_hashes(part, start[first] - begin, start[last] - begin + length) ^ np.uint64(0xC0117E47))
+            yield row[first], g[at[first]], start[first], start[last], ctx
 
 
 def _occurrences(gram: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "bytes"):
             data, offsets = text_of(block.column("bytes"))
-            row, h, first, last = anchors(data, offsets, gram, length)
-            ctx = mix(span_hashes(data, first, last + length) ^ np.uint64(0xC0117E47))
-            u1, u2, c = (block.column(k).to_numpy(zero_copy_only=False)[row] for k in ("u1", "u2", "c"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(u1), pa.array(u2), pa.array((first - offsets[row]).astype(np.int32)), pa.array((last - first + length).astype(np.int32)), pa.array(c)],
-                names=["h", "ctx", "u1", "u2", "lo", "n", "c"],
-            )
+            names = [block.column(k).to_numpy(zero_copy_only=False) for k in ("u1", "u2", "c")]
+            for row, h, first, last, ctx in anchors(data, offsets, gram, length):
+                u1, u2, c = (x[row] for x in names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(u1), pa.array(u2), pa.array((first - offsets[row]).astype(np.int32)), pa.array((last - first + length).astype(np.int32)), pa.array(c)],
+                    names=["h", "ctx", "u1", "u2", "lo", "n", "c"],
+                )
 
     return run
 
@@ -198,8 +195,8 @@ def repeats_in(units: DataFrame, length: int = LENGTH, level: int = 0, limit: in
     whole = contexts.where("c > 1").select("h", "ctx", F.array("ctx").alias("group"), F.array(F.col("n").cast("long")).alias("span"))
     many = materialise(contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "many")
     asked = contexts.join(many, "h").groupBy("u1", "u2").agg(F.collect_list(F.struct("h", "ctx", "c", "m", "lo", "n")).alias("asked"))
-    cut = F.transform("asked", lambda r: F.struct(r["h"].alias("h"), r["ctx"].alias("ctx"), r["c"].alias("c"), r["m"].alias("m"), F.substring(F.col("bytes"), r["lo"] + 1, r["n"]).alias("bytes")))
-    fetched = materialise(units.select("u1", "u2", "bytes").join(asked, ["u1", "u2"]).select(F.explode(cut).alias("x")).select("x.*"), "fetched")
+    fetched = units.select("u1", "u2", "bytes").join(asked, ["u1", "u2"]).select("bytes", F.explode("asked").alias("r"))
+    fetched = materialise(fetched.select("r.h", "r.ctx", "r.c", "r.m", F.substring("bytes", F.col("r.lo") + 1, F.col("r.n")).alias("bytes")), "fetched")
     compared = fetched.where(F.col("m") <= limit).select("h", "ctx", "bytes").repartition("h").sortWithinPartitions("h", "ctx")
     verdict = whole.unionAll(compared.mapInArrow(thrifty(_compare(length)), "h bigint, ctx bigint, group array<bigint>, span array<bigint>"))
     hot = fetched.where(F.col("m") > limit)
@@ -220,49 +217,68 @@ def _units(docs: DataFrame, id_column: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("u1"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("u2"), F.lit(1).cast("long").alias("c"), F.coalesce(text, F.lit("")).cast("binary").alias("bytes"))
 
 
+def _distinct(units: DataFrame) -> DataFrame:
+    """The units, those of repeated rows once, with their number in ``c``. Only if a row repeats are any texts moved, and the
+    repeated ones are put together before they are."""
+    repeated = materialise(units.groupBy("u1", "u2").agg(F.sum("c").alias("many")).where("many > 1"), "repeated")
+    if repeated.isEmpty():
+        return units
+    once = units.join(repeated, ["u1", "u2"], "left_anti")
+    more = units.join(repeated, ["u1", "u2"]).groupBy("u1", "u2").agg(F.first("many").alias("c"), F.first("bytes").alias("bytes"))
+    return materialise(once.unionByName(more), "units")
+
+
 def maximal_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id") -> DataFrame:
     """(group_id, n_bytes, doc_id, start): each maximal repeat of at least ``length`` bytes, with all its occurrences.
 
     A repeat is maximal within its anchor's context, so it is cut at less than twice ``length`` bytes; a longer one is
     given as several that overlap or adjoin, and their union is the whole.
     """
-    found = repeats_in(_units(docs, id_column), length).select("u1", F.explode(F.arrays_zip("group", _moved().alias("span"))).alias("r"))
+    found = repeats_in(_distinct(_units(docs, id_column)), length).select("u1", F.explode(F.arrays_zip("group", _moved().alias("span"))).alias("r"))
     span = F.col("r.span")
     return found.select(F.col("r.group").alias("group_id"), span.bitwiseAND((1 << SPAN_BITS) - 1).alias("n_bytes"), F.nullif("u1", F.lit(NO_ID)).alias("doc_id"), F.shiftright(span, SPAN_BITS).alias("start")).distinct()
 
 
+def _runs(spans: np.ndarray) -> np.ndarray:
+    """Packed spans as rows of [first byte, byte after the last] of what they cover together."""
+    spans = np.sort(spans)
+    x = spans >> SPAN_BITS
+    y = np.maximum.accumulate(x + (spans & ((1 << SPAN_BITS) - 1)))
+    new = np.concatenate([[True], x[1:] > y[:-1]]) if len(x) else np.zeros(0, bool)
+    return np.stack([x[new], y[np.append(np.flatnonzero(new)[1:] - 1, len(y) - 1)]], 1) if len(x) else np.zeros((0, 2), np.int64)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", with_text: bool = False) -> DataFrame:
     """Per document: what is left if each byte that a maximal repeat of at least ``length`` bytes covers is removed.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of [first byte, byte after the last]), and with
     ``with_text`` the kept bytes. Every occurrence is removed, in the same document too; spans are judged on the input.
     Null texts are empty; texts shorter than ``length`` stay whole; null doc_ids stay null; a row that occurs twice is
-    repeated, so it is removed in both. An empty table gives an empty one. Extra columns are ignored.
+    repeated, so it is removed in both, and however often it occurs its text is searched once. A very long text is taken
+    in pieces. An empty table gives an empty one. Extra columns are ignored.
     """
     units = _units(docs, id_column)
-    found = repeats_in(units, length)
-    # a document's spans are bounded by its own length
+    found = repeats_in(_distinct(units), length)
+    # of one row of each name, so a document's spans are bounded by its own length
     covered = found.groupBy("u1", "u2").agg(F.flatten(F.collect_list(_moved())).alias("spans"))
     joined = units.select("u1", "u2", "bytes").join(covered, ["u1", "u2"], "left").select("u1", "bytes", "spans")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "bytes"):
             out = []
-            for u1, text, spans in zip(*(batch.column(k).to_pylist() for k in ("u1", "bytes", "spans"))):
-                runs: list[list[int]] = []
-                for p in sorted(spans or ()):
-                    x = p >> SPAN_BITS
-                    y = x + p - (x << SPAN_BITS)
-                    if runs and x <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], y)
-                    else:
-                        runs.append([x, y])
-                kept, at = [], 0
-                for x, y in runs:
-                    kept.append(text[at:x])
+            data, offsets = text_of(batch.column("bytes"))
+            for k, u1 in enumerate(batch.column("u1").to_pylist()):
+                text = data[offsets[k] : offsets[k + 1]]
+                found = batch.column("spans")[k].values
+                runs = _runs(found.to_numpy(zero_copy_only=False)) if found is not None else np.zeros((0, 2), np.int64)
+                h, left, kept, at = hashlib.sha256(), 0, [], 0
+                for x, y in [*runs.tolist(), [len(text), len(text)]]:
+                    h.update(text[at:x])
+                    left += x - at
+                    if with_text:
+                        kept.append(text[at:x].tobytes())
                     at = y
-                left = b"".join([*kept, text[at:]])
-                out.append((None if u1 == NO_ID else u1, len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), runs, left if with_text else None))
+                out.append((None if u1 == NO_ID else u1, len(text), len(text) - left, len(runs), h.hexdigest(), runs.tolist(), b"".join(kept) if with_text else None))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())), pa.binary()]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)

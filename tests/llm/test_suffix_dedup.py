@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,25 @@ def test_groups_have_all_occurrences(spark):
         text = {1: "1" + p + "!", 2: "22" + p + "?", 3: p + "#" + p}[r.doc_id]
         assert text[r.start : r.start + r.n_bytes] in p and r.n_bytes >= 200
     assert any(g == {(1, 1), (2, 2), (3, 0), (3, 261)} for g in groups.values())
+
+
+def test_many_repeated_rows_are_searched_once(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choices("abcdefgh ", k=719))
+    rows = [(None, text)] * 20_000 + [(1, text), (2, "x" + text[:300]), (3, "short")]
+    got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, 719, 719, 1, 20_000), (1, 719, 719, 1, 1), (2, 301, 300, 1, 1), (3, 5, 0, 0, 1)], key=repr)
+
+
+def test_pieces_give_the_same(spark, monkeypatch):
+    texts = corpus(3)
+    monkeypatch.setattr(sd, "PIECE", 300)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {}
+    for k, (data, offsets) in enumerate([sd.text_of(pa.array([t or "" for t in texts]))]):
+        for piece in (1 << 19, 300):
+            runs = list(sd.anchors(data, offsets, 48, piece=piece))
+            whole[piece] = sorted((int(r), w) for rows, _, first, last, _ in runs for r, a, b in zip(rows, first, last) for w in range(a, b + 1))
+    assert whole[300] == whole[1 << 19] and len(whole[300]) > 1000
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.remove_repeats(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == brute(texts, 200)
