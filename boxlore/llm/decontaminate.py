@@ -1,10 +1,10 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
 ``build_index`` cuts the documents into shards and stores each shard's token postings (term, then word position).
-``search`` intersects the offset-adjusted posting lists of a phrase from its rarest term in the shard on, so a phrase
-costs what its rarest words cost; it returns every exact phrase match and, if asked, every proximity match. Shards are
-made and searched where the documents lie: nothing is shuffled, no key gathers rows, and a lost executor repeats only
-the shards of its own tasks. The phrases are sent to the tasks in blocks of a bounded number of words.
+Searches intersect the offset-adjusted posting lists of a phrase from its rarest term in the shard on, so a phrase costs
+what its rarest words cost; they find every exact phrase match and every proximity match. The phrases go to the tasks in
+blocks of a bounded number of bytes, one pass over the stored index for each, so that neither the driver nor a worker
+ever holds more than one block. No key gathers rows, and a lost executor repeats only the shards of its own tasks.
 """
 
 from __future__ import annotations
@@ -15,233 +15,350 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textops import ALNUM, Words, blocks, text_of, thrifty
+from .common import materialise
+from .textops import ALNUM, BLOCK_BYTES, Words, blocks, pieces, text_of, thrifty
 
-#: Words between the positions of neighbouring documents; no phrase match crosses so wide a gap.
-GAP = 1 << 8
-#: Bytes of item texts that are sent to the tasks at once; more items go in several blocks, each a pass of its own.
-QUERY_BYTES = 8 << 20
+#: Bytes of item texts that are searched for in one pass.
+QUERY_BYTES = 4 << 20
+#: Words that the parts of a long document share, and so the longest span that a match may take.
+REACH = 256
+#: Words by which a proximity match may be longer than its window.
+SLOP = 2
 
-INDEX_SCHEMA = "doc_ids array<bigint>, n_words array<bigint>, terms binary, starts binary, positions binary"
+INDEX_SCHEMA = "rows array<bigint>, doc_ids array<bigint>, firsts array<bigint>, n_words array<bigint>, held array<bigint>, terms binary, starts binary, positions binary"
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches):
-        words = Words(*text_of(block.column("text")), ALNUM)
-        hashes = words.hashes()
-        base = np.concatenate([[0], np.cumsum(words.count + GAP)[:-1]])
-        position = np.arange(len(hashes)) - words.first[words.doc] + base[words.doc]
-        order = np.argsort(hashes, kind="stable")
-        hashes, position = hashes[order], position[order]
-        starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-        terms = hashes[starts]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([words.count.tolist()], pa.list_(pa.int64())),
-             *(pa.array([x.tobytes()], pa.binary()) for x in (terms, np.append(starts, len(hashes)).astype(np.int32), position.astype(np.int32)))],
-            names=["doc_ids", "n_words", "terms", "starts", "positions"],
-        )
-
-
-def build_index(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """One row per shard of at most 2 MB of text: document ids, word counts, sorted term hashes and their postings.
+@dataclass
+class Shard:
+    """Documents, or a part of a long one: the number and id of each, its first word there, how many words the shard adds to those
+    of the parts before, how many it holds, and the postings."""
+
+    rows: np.ndarray
+    doc_ids: list
+    firsts: np.ndarray
+    n_words: np.ndarray
+    held: np.ndarray
+    terms: np.ndarray
+    starts: np.ndarray
+    positions: np.ndarray
+
+    def base(self) -> np.ndarray:
+        """The position of each document's first word."""
+        return np.concatenate([[0], np.cumsum(self.held)])
+
+
+def _shard(words: Words, rows: np.ndarray, doc_ids: list, firsts: np.ndarray, skip: int = 0) -> Shard:
+    hashes = words.hashes()
+    order = np.argsort(hashes, kind="stable")  # words stand in order of their positions
+    hashes = hashes[order]
+    starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+    return Shard(rows, doc_ids, firsts, words.count - skip, words.count, hashes[starts], np.append(starts, len(hashes)).astype(np.int64), order)
+
+
+def shards(block: pa.RecordBatch, number: int = 0, limit: int = BLOCK_BYTES) -> Iterator[Shard]:
+    """The shards of a block of rows (id, text), whose rows are numbered from ``number``; a long row's parts overlap by REACH words."""
+    data, offsets = text_of(block.column("text"))
+    ids = block.column("id").to_pylist()
+    if block.num_rows > 1 or len(data) <= limit:
+        words = Words(data, offsets, ALNUM)
+        yield _shard(words, np.arange(number, number + len(ids)), ids, np.zeros(len(ids), np.int64))
+        return
+    begin = skip = first = 0
+    for _, end in pieces(data, ALNUM, limit):
+        words = Words(data[begin:end], np.array([0, end - begin]), ALNUM)
+        yield _shard(words, np.array([number]), ids, np.array([first]), skip)
+        keep = words.starts[-REACH + 1 :]
+        first += int(words.count[0]) - len(keep)
+        skip = len(keep)
+        begin = begin + int(keep[0]) if skip else end
+
+
+def build_index(docs: DataFrame, id_column: str = "doc_id", limit: int = BLOCK_BYTES) -> DataFrame:
+    """One row per shard of about ``limit`` bytes of text. Rows are numbered by task, so read an index only after it is written.
 
     Words are runs of digits, letters and non-ASCII characters, with A-Z lower-cased. A null text has no words.
     """
-    return _texts(docs, id_column).mapInArrow(thrifty(_shards), INDEX_SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        names = ("rows", "doc_ids", "firsts", "n_words", "held", "terms", "starts", "positions")
+        for block in blocks(batches, limit=limit):
+            for s in shards(block, number, limit):
+                lists = [pa.array([list(x)], pa.list_(pa.int64())) for x in (s.rows, s.doc_ids, s.firsts, s.n_words, s.held)]
+                binary = [pa.array([x.tobytes()], pa.binary()) for x in (s.terms, s.starts.astype(np.int32), s.positions.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(lists + binary, names=names)
+            number += block.num_rows
+
+    return _texts(docs, id_column).mapInArrow(thrifty(run), INDEX_SCHEMA)
 
 
 def _texts(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
+    """Shards of an index, one at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            lists = [batch.column(c)[k].as_py() for c in ("rows", "doc_ids", "firsts", "n_words", "held")]
+            terms, starts, positions = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("terms", np.uint64), ("starts", np.int32), ("positions", np.int32)))
+            yield Shard(np.array(lists[0]), lists[1], *(np.array(x, np.int64) for x in lists[2:]), terms, starts.astype(np.int64), positions.astype(np.int64))
+
+
 @dataclass
 class Phrases:
-    """Distinct phrases as rows of term numbers, with the items that hold each."""
+    """Windows of items as rows of term numbers."""
 
     vocabulary: np.ndarray  # sorted term hashes
     terms: np.ndarray  # phrases x longest, numbers in vocabulary, -1 beyond the end
     length: np.ndarray
-    items: list[list[int]]  # numbers of the items of each phrase
-    item_ids: list[int]
+    item: np.ndarray  # the number of each phrase's item
+    item_ids: list
 
 
-def phrases_of(items: list[tuple[int, str | None]], window: int) -> Phrases:
+def phrases_of(items: list[tuple[str | None, str]], window: int) -> Phrases:
     """All windows of ``window`` consecutive words of the items; a shorter item that has words is one phrase."""
-    found: dict[tuple, list[int]] = {}
-    ids = []
-    for n, (item_id, text) in enumerate(items):
-        ids.append(item_id)
-        if not text:
-            continue
-        h = Words(*text_of(pa.array([text])), ALNUM).hashes().tolist()
-        for k in range(max(1, len(h) - window + 1) if h else 0):
-            held = found.setdefault(tuple(h[k : k + window]), [])
-            if not held or held[-1] != n:
-                held.append(n)
-    vocabulary = np.unique(np.array([x for p in found for x in p], np.uint64))
-    terms = np.full((len(found), window), -1, np.int64)
-    for k, p in enumerate(found):
-        terms[k, : len(p)] = np.searchsorted(vocabulary, np.array(p, np.uint64))
-    return Phrases(vocabulary, terms, np.array([len(p) for p in found], np.int64), list(found.values()), ids)
-
-
-def _postings(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["starts"], np.int32).astype(np.int64), np.frombuffer(row["positions"], np.int32).astype(np.int64)
-
-
-def intersect(row: dict, q: Phrases, slop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, position of its first word) of each match in a shard, by posting lists joined from the rarest term on.
-
-    With ``slop`` it finds proximity matches instead: every term of the phrase lies within ``slop`` more words than the
-    phrase is long, in any order, of an occurrence of its rarest term; the position is that occurrence.
-    """
-    terms, starts, positions = _postings(row)
-    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(terms) or not len(q.terms):
-        return nothing
-    at = np.minimum(np.searchsorted(terms, q.vocabulary), len(terms) - 1)
-    df = np.where(terms[at] == q.vocabulary, starts[at + 1] - starts[at], 0)
-    used = q.terms >= 0
-    counts = np.where(used, df[q.terms], np.iinfo(np.int64).max)
+    words = Words(*text_of(pa.array([x for _, x in items], pa.large_string())), ALNUM)
+    many = np.where(words.count > 0, np.maximum(words.count - window + 1, 1), 0)
+    item = np.repeat(np.arange(len(items), dtype=np.int32), many)
+    start = words.first[item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+    length = np.minimum(words.count[item], window).astype(np.int32)
+    vocabulary, number = np.unique(words.hashes(), return_inverse=True)
+    number = np.append(number, -1).astype(np.int32)
+    inner = np.arange(window)
+    terms = number[np.where(inner < length[:, None], start[:, None] + inner, len(number) - 1)] if len(item) else np.zeros((0, window), np.int32)
+    return Phrases(vocabulary, terms, length, item, [i for i, _ in items])
+
+
+def _candidates(s: Shard, q: Phrases):
+    """Phrases all of whose terms the shard has, their terms from the rarest on, and each occurrence of the rarest as a candidate."""
+    at = np.minimum(np.searchsorted(s.terms, q.vocabulary), len(s.terms) - 1)
+    df = np.append(np.where(s.terms[at] == q.vocabulary, s.starts[at + 1] - s.starts[at], 0), np.iinfo(np.int32).max).astype(np.int32)
+    counts = df[q.terms]  # a term of number -1, beyond the end, is the most frequent
     alive = np.flatnonzero(counts.min(1) > 0)
-    if not len(alive):
-        return nothing
     order = np.argsort(counts[alive], axis=1, kind="stable")
-    rare = q.terms[alive, order[:, 0]]
-    lists = df[rare]
-    # all postings of each phrase's rarest term, as candidates
+    rare = q.terms[alive, order[:, 0]] if len(alive) else np.zeros(0, np.int64)
+    lists = df[rare].astype(np.int64)
     which = np.repeat(np.arange(len(alive)), lists)
     inner = np.arange(lists.sum()) - np.repeat(np.cumsum(lists) - lists, lists)
-    seen = positions[starts[at[rare]][which] + inner]
-    begin = seen - (order[:, 0][which] if slop is None else 0)
-    key = np.repeat(np.arange(len(terms), dtype=np.int64) << 32, np.diff(starts)) + positions
+    seen = s.positions[s.starts[at[rare]][which] + inner]
+    key = np.repeat(np.arange(len(s.terms), dtype=np.int64) << 32, np.diff(s.starts)) + s.positions
+    return alive, order, at, which, seen, key
+
+
+def intersect(s: Shard, q: Phrases, slop: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """[(phrase, position of its first word) of each exact match], by posting lists joined from the rarest term on; with ``slop``
+    also (phrase, position of its rarest term) of each proximity match: some run of at most ``slop`` more words than the
+    phrase has, in one document, holds all its terms, in any order."""
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not len(s.terms) or not len(q.terms):
+        return [nothing] * (1 if slop is None else 2)
+    alive, order, at, cause, seen, key = _candidates(s, q)
+    last = len(key) - 1
+    which, begin = cause, seen - order[:, 0][cause]
     for k in range(1, q.terms.shape[1]):
         offset = order[which, k]
         term = q.terms[alive[which], offset]
-        there = term >= 0
-        base = at[term] << 32
-        if slop is None:
-            spot = np.minimum(np.searchsorted(key, base + begin + offset), len(key) - 1)
-            keep = ~there | (key[spot] == base + begin + offset)
-        else:
-            reach = q.length[alive[which]] + slop - 1
-            spot = np.searchsorted(key, base + np.maximum(begin - reach, 0))
-            keep = ~there | ((spot < len(key)) & (key[np.minimum(spot, len(key) - 1)] <= base + begin + reach))
+        want = (at[term] << 32) + begin + offset
+        keep = (term < 0) | (key[np.minimum(np.searchsorted(key, want), last)] == want)
         which, begin = which[keep], begin[keep]
+    base = s.base()
+    doc = np.searchsorted(base, begin, "right") - 1
+    keep = (begin >= 0) & (begin + q.length[alive[which]] <= base[np.minimum(doc + 1, len(base) - 1)])  # positions of documents adjoin
+    found = [(alive[which[keep]], begin[keep])]
     if slop is None:
-        keep = begin >= 0
-        which, begin = which[keep], begin[keep]
-    return alive[which], begin
-
-
-def _blocks_of(items: DataFrame, window: int, query_bytes: int) -> list:
-    """The items as broadcast phrases, in blocks of about ``query_bytes``."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + int(total) // query_bytes
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    spark = items.sparkSession
-    return [spark.sparkContext.broadcast(phrases_of(sorted(((r.item_id, r.text) for r in items.where(part == k).toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")), window)) for k in range(n)]
-
-
-def _base(row: dict) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(np.array(row["n_words"], np.int64) + GAP)])
+        return found
+    which, doc = cause, np.searchsorted(base, seen, "right") - 1
+    low, high, long = base[doc], base[doc + 1], q.length[alive[cause]].astype(np.int64) + slop
+    for k in range(1, q.terms.shape[1]):  # near enough on either side
+        term = q.terms[alive[which], order[which, k]]
+        first = (at[term] << 32) + np.maximum(low, seen - long + 1)
+        spot = key[np.minimum(np.searchsorted(key, first), last)]
+        keep = (term < 0) | ((spot >= first) & (spot < (at[term] << 32) + np.minimum(high, seen + long)))
+        which, seen, low, high, long = (x[keep] for x in (which, seen, low, high, long))
+    held = np.zeros(len(which), bool)
+    for back in range(int(long.max(initial=0))):  # a run that begins ``back`` words before the rarest term
+        todo = np.flatnonzero(~held & (back < long) & (seen - back >= low))
+        begin = seen[todo] - back
+        end = np.minimum(begin + long[todo], high[todo])
+        good = np.ones(len(todo), bool)
+        for k in range(1, q.terms.shape[1]):
+            term = q.terms[alive[which[todo]], order[which[todo], k]]
+            first = (at[term] << 32) + begin
+            spot = key[np.minimum(np.searchsorted(key, first), last)]
+            good &= (term < 0) | ((spot >= first) & (spot < (at[term] << 32) + end))
+        held[todo[good]] = True
+    return [*found, (alive[which[held]], seen[held])]
+
+
+def _query_blocks(items: DataFrame, window: int, query_bytes: int) -> Iterator[Phrases]:
+    """The items' phrases, in blocks of about ``query_bytes`` of text; a longer item is cut where no window is lost."""
+    if window > REACH:
+        raise ValueError(f"a window has at most {REACH} words")
+    held, size = [], 0
+    for r in items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        begin = 0
+        for _, end in pieces(data, ALNUM, query_bytes) if len(data) > query_bytes else [(0, len(data))]:
+            part = data[begin:end]
+            held.append((r.item_id, part.tobytes().decode()))
+            size += len(part)
+            if end < len(data):
+                back = Words(part, np.array([0, len(part)]), ALNUM).starts[-window + 1 :] if window > 1 else []
+                begin = begin + int(back[0]) if len(back) else end
+            if size >= query_bytes:
+                yield phrases_of(held, window)
+                held, size = [], 0
+    if held:
+        yield phrases_of(held, window)
+
+
+def _passes(index: DataFrame, items: DataFrame, window: int, query_bytes: int, find, schema: str) -> DataFrame:
+    """``find`` of every shard and every block of phrases: a job over the index for each block, which is given up after it."""
+    spark, out = index.sparkSession, None
+    for q in _query_blocks(items, window, query_bytes):
+        sent = spark.sparkContext.broadcast(q)
+        del q
+        found = materialise(index.mapInArrow(thrifty(lambda batches, sent=sent: find(sent.value, batches)), schema), "found")
+        sent.destroy()
+        out = found if out is None else out.unionAll(found)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def search(index: DataFrame, items: DataFrame, window: int = 10, slop: int | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """(doc_id, item_id, position, n_words): every match of a window of an item; position counts a document's words from 0."""
-    schema = "doc_id bigint, item_id bigint, position bigint, n_words bigint"
+    """(doc_id, item_id, position, n_words): every match of a window of an item; position counts a document's words from 0.
 
-    def over(sent):
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = sent.value
-            for batch in batches:
-                for row in batch.to_pylist():
-                    phrase, begin = intersect(row, q, slop)
-                    doc = np.searchsorted(_base(row), begin, "right") - 1
-                    rows = [(row["doc_ids"][d], q.item_ids[n], int(b), int(q.length[p])) for p, d, b in zip(phrase, doc, begin - _base(row)[doc]) for n in q.items[p]]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc_id", "item_id", "position", "n_words"])
+    With ``slop`` the proximity matches, each at its rarest term (in the shard). No match crosses documents. A null doc_id or
+    item_id is null here too.
+    """
+    if slop is not None and window + slop > REACH:
+        raise ValueError(f"a match spans at most {REACH} words")
 
-        return index.mapInArrow(thrifty(find), schema)
+    def find(q: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _read(batches):
+            phrase, begin = intersect(s, q, slop)[-1]
+            base = s.base()
+            doc = np.searchsorted(base, begin, "right") - 1
+            columns = [pa.array([s.doc_ids[d] for d in doc.tolist()], pa.int64()), pa.array([q.item_ids[i] for i in q.item[phrase].tolist()], pa.string()), pa.array(begin - base[doc] + s.firsts[doc], pa.int64()), pa.array(q.length[phrase].astype(np.int64)), pa.array(s.rows[doc])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "position", "n_words", "row"])
 
-    found = [over(sent) for sent in _blocks_of(items, window, query_bytes)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
-    return out.distinct() if slop is not None or len(found) > 1 else out
+    kind = items.schema["item_id"].dataType
+    found = _passes(index, items, window, query_bytes, find, "doc_id bigint, item_id string, position bigint, n_words bigint, row bigint")
+    return found.distinct().select("doc_id", F.col("item_id").cast(kind).alias("item_id"), "position", "n_words")
 
 
-def _sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def _merged(spans: np.ndarray) -> np.ndarray:
+    """Rows of [first, after the last], as runs that do not overlap or adjoin."""
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    end = np.maximum.accumulate(spans[:, 1]) if len(spans) else spans[:, 1]
+    new = np.concatenate([[True], spans[1:, 0] > end[:-1]]) if len(spans) else np.zeros(0, bool)
+    return np.stack([spans[new, 0], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]], 1) if len(spans) else spans
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, query_bytes: int = QUERY_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = SLOP, query_bytes: int = QUERY_BYTES, limit: int = BLOCK_BYTES) -> DataFrame:
     """Per document: how many of its words lie in a window of a benchmark item, and of which items.
 
-    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and hit_spans (array of [first word, word after
-    the last]) of the covered runs. Null or empty texts have no words and are clean; a null doc_id stays null and a
-    repeated doc_id gives a row each time; an empty item matches nothing; items with one id count once.
-    Extra columns are ignored. Items beyond ``query_bytes`` are searched block by block and joined by shard row.
+    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items with a proximity match: all words of a
+    window within ``slop`` more words than it has, in any order; exact matches are such too), and hit_spans (array of
+    [first word, word after the last]) of the covered runs. Null or empty texts have no words and are clean; a null doc_id
+    stays null and a repeated doc_id gives a row each time; an empty item matches nothing; items with one id count once,
+    and so do all items without an id, which count but have no id to list. Extra columns are ignored. Documents of any
+    length are searched whole, and any number of items, a pass over the stored index for each block of ``query_bytes``.
     """
-    sent = _blocks_of(items, window, query_bytes)
-    schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hit_spans array<array<bigint>>"
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = _sha("")
+    index = materialise(build_index(docs, limit=limit), "index")
+
+    def find(q: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _read(batches):
+            base = s.base()
+            spans: dict[int, np.ndarray] = {}
+            named: list[dict[int, set]] = [{}, {}]
+            for (phrase, begin), names in zip(intersect(s, q, slop), named):
+                doc = np.searchsorted(base, begin, "right") - 1
+                pair = np.unique(doc * len(q.item_ids) + q.item[phrase])
+                for d, i in zip((pair // len(q.item_ids)).tolist(), (pair % len(q.item_ids)).tolist()):
+                    names.setdefault(d, set()).add(q.item_ids[i])
+                if names is named[0]:
+                    for d in names:
+                        here = doc == d
+                        first = begin[here] - base[d] + s.firsts[d]
+                        spans[d] = _merged(np.stack([first, first + q.length[phrase[here]]], 1))
+            some = sorted(named[1])
+            columns = [pa.array(s.rows[some], pa.int64()) if some else pa.array([], pa.int64()), pa.array([list(named[0].get(d, ())) for d in some], pa.list_(pa.string())), pa.array([list(named[1][d]) for d in some], pa.list_(pa.string()))]
+            columns.append(pa.array([spans[d].tolist() if d in spans else [] for d in some], pa.list_(pa.list_(pa.int64()))))
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "items", "near", "spans"])
+
+    found = _passes(index, items, window, query_bytes, find, "row bigint, items array<string>, near array<string>, spans array<array<bigint>>")
+    every = index.select(F.explode(F.arrays_zip("rows", "doc_ids", "n_words")).alias("d")).select("d.*")
+    every = every.groupBy(F.col("rows").alias("row")).agg(F.max("doc_ids").alias("doc_id"), F.sum("n_words").alias("n_words"))
+    together = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    # what one document has of blocks and parts, bounded by its own length
+    hits = found.groupBy("row").agg(together("items").alias("items"), together("near").alias("near"), F.flatten(F.collect_list("spans")).alias("spans"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                base, n = _base(row), len(row["doc_ids"])
-                edge = np.zeros(base[-1] + 1, np.int64)
-                items_of: dict[int, set[str]] = {}
-                for one in sent:
-                    q = one.value
-                    phrase, begin = intersect(row, q)
-                    np.add.at(edge, begin, 1)
-                    np.add.at(edge, begin + q.length[phrase], -1)
-                    for d, p in set(zip((np.searchsorted(base, begin, "right") - 1).tolist(), phrase.tolist())):
-                        items_of.setdefault(d, set()).update(str(q.item_ids[x]) for x in q.items[p])
-                hit = np.cumsum(edge)[:-1] > 0
-                turn = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                spans: dict[int, list] = {}
-                for a, b in turn.reshape(-1, 2).tolist():
-                    d = int(np.searchsorted(base, a, "right")) - 1
-                    spans.setdefault(d, []).append([a - int(base[d]), b - int(base[d])])
-                held = [sorted(items_of.get(d, ())) for d in range(n)]
-                n_hit = [sum(b - a for a, b in spans.get(d, ())) for d in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["n_words"], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in held], pa.int64()),
-                     pa.array([_sha(",".join(x)) if x else none for x in held]), pa.array([x > 0 for x in n_hit]), pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.list_(pa.int64())))],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"],
-                )
-
-    # a shard is made and searched in one Python worker
-    return _texts(docs).mapInArrow(thrifty(lambda batches: digest(_shards(batches))), schema)
+            spans = [_merged(np.array(x or [], np.int64).reshape(-1, 2)) for x in batch.column("spans").to_pylist()]
+            n_hit = [int((x[:, 1] - x[:, 0]).sum()) for x in spans]
+            held = [x or [] for x in batch.column("items").to_pylist()]
+            sha = [hashlib.sha256(",".join(sorted(i for i in x if i is not None)).encode()).hexdigest() for x in held]
+            columns = [batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in held], pa.int64()), pa.array(sha, pa.string())]
+            columns += [pa.array([n > 0 for n in n_hit], pa.bool_()), pa.array([len(x or []) for x in batch.column("near").to_pylist()], pa.int64()), pa.array([x.tolist() for x in spans], pa.list_(pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", "hit_spans"])
 
+    schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, n_near bigint, hit_spans array<array<bigint>>"
+    return every.join(hits, "row", "left").mapInArrow(finish, schema)
 
-def flagged(docs: DataFrame, items: DataFrame, window: int = 10, query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """The documents with a column ``__contaminated``; every other column is carried along, so nothing is joined or shuffled.
 
-    A row is judged by its own text, whatever its doc_id, null or repeated. Null and empty texts are clean.
-    """
-    sent = _blocks_of(items, window, query_bytes)
-    names = [c for c in docs.columns if c not in ("__contaminated", "__text")]
+def _hit(block: pa.RecordBatch, q: Phrases) -> np.ndarray:
+    """Which rows of a block (a column ``__text``) hold a phrase."""
+    hit = np.zeros(block.num_rows, bool)
+    numbered = pa.RecordBatch.from_arrays([pa.array(range(block.num_rows), pa.int64()), block.column("__text")], names=["id", "text"])
+    for s in shards(numbered):
+        begin = intersect(s, q)[0][1]
+        hit[s.rows[np.searchsorted(s.base(), begin, "right") - 1]] = True
+    return hit
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "__text"):
-            numbered = pa.RecordBatch.from_arrays([pa.array(range(block.num_rows), pa.int64()), block.column("__text")], names=["id", "text"])
-            hit = np.zeros(block.num_rows, bool)
-            for shard in _shards([numbered]):
-                row = shard.to_pylist()[0]
-                for one in sent:
-                    begin = intersect(row, one.value)[1]
-                    hit[np.array(row["doc_ids"])[np.searchsorted(_base(row), begin, "right") - 1]] = True
-            yield pa.RecordBatch.from_arrays([block.column(c) for c in names] + [pa.array(hit)], names=[*names, "__contaminated"])
 
+def flagged(docs: DataFrame, items: DataFrame, window: int = 10, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """The documents with a column ``__contaminated``; every other column is carried along, and nothing is joined or shuffled.
+
+    A row is judged by its own text, whatever its doc_id, null or repeated. Null and empty texts are clean. Shards are made
+    and searched in one worker. Only where the items take more than one block are the flags, by a hash of each row's id and
+    text, joined to the documents at the end.
+    """
+    spark = docs.sparkSession
+    names = [c for c in docs.columns if c not in ("__contaminated", "__text", "__key1", "__key2")]
     source = docs.select(*names, F.col("text").cast("string").alias("__text"))
-    return source.mapInArrow(thrifty(run), docs.select(*names).schema.add("__contaminated", "boolean"))
+    queue = _query_blocks(items, window, query_bytes)
+    q, more = next(queue, None), next(queue, None)
+    if q is None:
+        return docs.select(*names, F.lit(False).alias("__contaminated"))
+    if more is None:
+        sent = spark.sparkContext.broadcast(q)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in blocks(batches, "__text"):
+                yield pa.RecordBatch.from_arrays([block.column(c) for c in names] + [pa.array(_hit(block, sent.value))], names=[*names, "__contaminated"])
+
+        return source.mapInArrow(thrifty(run), docs.select(*names).schema.add("__contaminated", "boolean"))
+    key = ["__key1", "__key2"]
+    keyed = source.select("*", *(F.xxhash64(F.lit(k), F.col("doc_id").isNull(), "doc_id", "__text").alias(c) for k, c in enumerate(key)))
+    hits = None
+    while q is not None:
+        sent = spark.sparkContext.broadcast(q)
+
+        def keys(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for block in blocks(batches, "__text"):
+                yield pa.RecordBatch.from_arrays([block.column(c) for c in key], names=key).filter(pa.array(_hit(block, sent.value)))
+
+        found = materialise(keyed.select(*key, "__text").mapInArrow(thrifty(keys), ", ".join(f"{c} bigint" for c in key)).distinct(), "hits")
+        sent.destroy()
+        hits = found if hits is None else hits.unionAll(found)
+        q, more = more, next(queue, None)
+    return keyed.join(hits.distinct().withColumn("__contaminated", F.lit(True)), key, "left").select(*names, F.coalesce("__contaminated", F.lit(False)).alias("__contaminated"))
 
 
 def is_clean(n_hit: Column, n_words: Column, share: float) -> Column:

@@ -56,6 +56,51 @@ def test_against_brute_force(spark):
 def test_blocks_of_items_give_the_same(spark):
     docs, items = corpus()
     assert run(spark, docs, items, query_bytes=200) == brute(docs, items)
+    assert run(spark, docs, items + [(97, "a b " * 300 + "x1")], query_bytes=300) == brute(docs, items + [(97, "a b " * 300 + "x1")])
+
+
+def test_long_documents_in_parts_give_the_same(spark):
+    docs, items = corpus()
+    assert run(spark, docs, items, limit=1500) == brute(docs, items)
+
+
+def near(text, item, window=10, slop=2):
+    w, i = words(text), words(item)
+    for k in range(max(1, len(i) - window + 1) if i else 0):
+        p = set(i[k : k + window])
+        n = len(i[k : k + window]) + slop
+        if any(p <= set(w[a : a + n]) for a in range(len(w))):
+            return True
+    return False
+
+
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(8)
+    items = [(k, " ".join(rng.choices("abcdefgh", k=rng.choice([1, 2, 5, 12])))) for k in range(12)] + [(None, "g h"), (None, "a z")]
+    docs = [(k, " ".join(rng.choices("abcdefghxyzuv", k=rng.randint(0, 40)))) for k in range(60)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (1 << 20, 40):
+        got = {r.doc_id: r.n_near for r in dec.contamination(d, i, window=4, limit=limit).collect()}
+        assert got == {k: len({x for x, item in items if near(t, item, 4)}) for k, t in docs}
+    index = dec.build_index(d)
+    for slop in (0, 3, 250):
+        got = {(r.doc_id, r.item_id) for r in dec.search(index, i, 4, slop).collect()}
+        assert got == {(k, x) for k, t in docs for x, item in items if near(t, item, 4, slop)}
+
+
+def test_items_without_an_id_count_once_and_are_not_listed(spark):
+    docs, items = [(1, "a b"), (2, "b c"), (3, "x")], [(None, "a"), (None, "b"), (5, "b")]
+    sha = hashlib.sha256(b"5").hexdigest()
+    assert [(r[0], r[2], r[3], r[4], r[5]) for r in run(spark, docs, items)] == [(1, 2, 2, sha, True), (2, 1, 2, sha, True), (3, 0, 0, hashlib.sha256(b"").hexdigest(), False)]
+
+
+def test_flags_are_the_same_for_one_block_and_many(spark):
+    docs, items = corpus()
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(((r[0], r[5]) for r in brute(docs, items)), key=repr)
+    for size in (1 << 20, 200):
+        assert sorted(((r.doc_id, r["__contaminated"]) for r in dec.flagged(d, i, query_bytes=size).collect()), key=repr) == want
+    assert not any(r["__contaminated"] for r in dec.flagged(d, i.limit(0)).collect())
 
 
 def test_empty_tables(spark):
