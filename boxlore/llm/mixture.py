@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents of a source that share one bucket of the seeded order, on average.
-BUCKET = 2000
-
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0) -> DataFrame:
     """(source, rank, source_size, n_docs, target) from (source, source_size, n_docs), a row per source.
@@ -40,33 +37,78 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return x.select("source", "rank", "source_size", "n_docs", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def _reached(rows: DataFrame, key: Column) -> DataFrame:
+    """(rank, key, left, n, sum): of each source the first key, in order, at which the running size goes beyond ``left``; there
+    left is what remains of it, and n and sum are the key's rows and their size."""
+    sums = rows.groupBy("rank", "left", key.alias("key")).agg(F.sum("size").alias("sum"), F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("sum").over(Window.partitionBy("rank").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = sums.withColumn("left", F.col("left") - earlier).where("left >= 0 and sum > left")
+    return materialise(at.select("rank", "key", "left", "n", "sum"), "reached")
+
+
+def _boundaries(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """(rank, b_place, b_tie, b_left, b_n): where in its seeded order each source's fraction ends.
+
+    It is found digit by digit: sums by the first digits of the place, then by whole places behind those digits, and, where
+    rows share a place, by the first digits of their texts' hashes, then by whole hashes. A step looks only at the rows of
+    the key that the one before has reached, and adds them up before any shuffle, so neither equal ids nor equal rows, be
+    they a third of all, are ever in one task.
+    """
+    rows = sized.join(sources.select(F.col("source").alias("s"), "rank", F.col("quota").alias("left")), F.col("source").eqNullSafe(F.col("s")))
+    rows = rows.select("rank", "left", "size", "place", "tie")
+
+    def within(key: Column, at: DataFrame) -> DataFrame:
+        reached = at.select(F.col("rank").alias("r"), "key", F.col("left").alias("l"))
+        return rows.join(reached, (F.col("rank") == F.col("r")) & (key == F.col("key"))).select("rank", F.col("l").alias("left"), "size", "place", "tie")
+
+    place, tie = F.col("place"), F.col("tie")
+    rows = within(F.substring("place", 1, 4), _reached(rows, F.substring("place", 1, 4)))
+    at = _reached(rows, place)
+    places = at.select("rank", F.col("key").alias("b_place"))
+    rows = within(place, at)
+    if at.where("n > 1").limit(1).count():
+        head = F.shiftright(tie, 48)
+        rows = within(head, _reached(rows, head))
+    return _reached(rows, tie).join(places, "rank").select(F.col("rank").alias("r"), "b_place", F.col("key").alias("b_tie"), F.col("left").alias("b_left"), F.col("n").alias("b_n"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0, seed: str = "mix", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` and size, source_size, target, taken: how many of its words each document gives to the mix.
 
     taken = whole repetitions (the floor of target / source_size) times the size, plus a fraction: in the seeded order of
     md5(seed:doc_id) within the source, documents are repeated once more until the rest of the target is used up, the
     last of them in part. So the words taken of a source are its target's floor, and no document is taken more than
-    ``epochs`` times. Sources are cut into buckets of that order, of about BUCKET documents; running sums go over
-    buckets, then within one, so a source that holds most rows is spread over tasks. A null or empty text has size 0 and
-    nothing is taken; null sources are one source, the last; rows of one doc_id are ordered by their texts' hashes; an
-    empty table gives an empty one. Extra columns are dropped unless named in ``columns``.
+    ``epochs`` times. Where in the order that is, is found from sums; each document then only compares its place with its
+    source's, so no text is ever sorted or shuffled. A null or empty text has size 0 and nothing is taken; null sources
+    are one source, the last; rows of one doc_id are ordered by their texts' hashes, equal rows in no order of their own;
+    an empty table gives an empty one. Extra columns are dropped unless named in ``columns``.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     place = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     own = [F.col(c).alias(f"own_{c}") for c in columns]
-    sized = docs.select(*own, "source", size.alias("size"), place.alias("place"), F.xxhash64("text").alias("tie"))
-    if "text" not in columns:
-        sized = materialise(sized, "sizes")
+    every = docs.select(*own, "source", size.alias("size"), place.alias("place"), F.xxhash64("text").alias("tie"))
+    if "text" in columns:  # the sizes are counted again when the documents are read, which is less than to write them
+        sized = materialise(every.select("source", "size", "place", "tie"), "sizes")
+    else:
+        sized = every = materialise(every, "sizes")
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, share, epochs)
-    sources = materialise(sources, "sources")
-    x = sized.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("source", "s")
-    parts = F.ceil(F.col("n_docs") / BUCKET)
-    x = x.withColumn("bucket", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("double") * parts / F.lit(float(1 << 32))).cast("long"))
-    sums = x.groupBy("rank", "bucket").agg(F.sum("size").alias("sum"))
-    sums = sums.select("rank", "bucket", F.coalesce(F.sum("sum").over(Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
-    inner = Window.partitionBy("rank", "bucket").orderBy("place", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(sums, ["rank", "bucket"])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    quota = F.floor("target") - whole * F.col("source_size")
-    more = F.greatest(F.lit(0), F.least(F.col("size"), quota - F.col("earlier") - F.col("inner")))
-    return x.select(*(F.col(f"own_{c}").alias(c) for c in columns), "size", "source_size", "target", (whole * F.col("size") + more).cast("long").alias("taken"))
+    sources = sources.withColumn("whole", whole).withColumn("quota", (F.floor("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    sources = materialise(sources, "sources")
+    boundaries = _boundaries(sized, sources)
+    sources = materialise(sources.join(boundaries, F.col("rank") == F.col("r"), "left").withColumnRenamed("source", "s"), "boundaries")
+    x = every.join(sources, F.col("source").eqNullSafe(F.col("s")))
+    here = (F.col("place") == F.col("b_place")) & (F.col("tie") == F.col("b_tie"))
+    before = F.col("b_place").isNull() | (F.col("place") < F.col("b_place")) | ((F.col("place") == F.col("b_place")) & (F.col("tie") < F.col("b_tie")))
+    out = lambda x, more: x.select(*(F.col(f"own_{c}").alias(c) for c in columns), "size", "source_size", "target", (F.col("whole") * F.col("size") + more).cast("long").alias("taken"))
+    fraction = F.when(before, F.col("size")).when(here, F.col("b_left")).otherwise(0)
+    if not sources.where("b_n > 1").limit(1).count():
+        return out(x, fraction)
+    # equal rows share the boundary: they are numbered by partition, each after the rows of the partitions before
+    equal = F.coalesce(here & (F.col("b_n") > 1), F.lit(False))
+    tied = materialise(x.where(equal).withColumn("row", F.monotonically_increasing_id()), "tied").withColumn("part", F.shiftright("row", 33))
+    parts = tied.groupBy("rank", "part").agg(F.count("*").alias("n"))
+    parts = parts.select("rank", "part", F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    number = F.col("ahead") + F.row_number().over(Window.partitionBy("rank", "part").orderBy("row")) - 1
+    tied = tied.join(parts, ["rank", "part"]).withColumn("number", number)
+    return out(x.where(~equal), fraction).unionByName(out(tied, F.greatest(F.lit(0), F.least("size", F.col("b_left") - F.col("number") * F.col("size")))))
