@@ -26,15 +26,15 @@ def _path(spark: SparkSession, path: str):
     return jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again, which cuts its lineage.
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet (with the writer's ``options``) to the shared folder and read it again, which cuts its lineage.
 
     Every executor sees the files, so a lost executor costs nothing but its running tasks. They are deleted by ``drop``, or
     when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     jvm_path, files = _path(spark, path)
     files.deleteOnExit(jvm_path)
     spark._jvm.System.gc()  # Spark deletes the shuffle files of jobs that are done when the driver collects its garbage

@@ -20,8 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .textops import ALNUM, BLOCK_BYTES, Words, blocks, pieces, text_of, thrifty
+from .textops import ALNUM, Words, blocks, pieces, text_of, thrifty
 
+#: Bytes of text in a shard, about: its postings are small objects for the JVM too, which writes and reads them.
+SHARD_BYTES = 1 << 18
+#: How an index is written: its columns are no dictionary's, and row groups are small.
+INDEX_OPTIONS = {"parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false"}
 #: Bytes of item texts that are searched for in one pass.
 QUERY_BYTES = 4 << 20
 #: Words that the parts of a long document share, and so the longest span that a match may take.
@@ -59,7 +63,7 @@ def _shard(words: Words, rows: np.ndarray, doc_ids: list, firsts: np.ndarray, sk
     return Shard(rows, doc_ids, firsts, words.count - skip, words.count, hashes[starts], np.append(starts, len(hashes)).astype(np.int64), order)
 
 
-def shards(block: pa.RecordBatch, number: int = 0, limit: int = BLOCK_BYTES) -> Iterator[Shard]:
+def shards(block: pa.RecordBatch, number: int = 0, limit: int = SHARD_BYTES) -> Iterator[Shard]:
     """The shards of a block of rows (id, text), whose rows are numbered from ``number``; a long row's parts overlap by REACH words."""
     data, offsets = text_of(block.column("text"))
     ids = block.column("id").to_pylist()
@@ -77,7 +81,7 @@ def shards(block: pa.RecordBatch, number: int = 0, limit: int = BLOCK_BYTES) ->
         begin = begin + int(keep[0]) if skip else end
 
 
-def build_index(docs: DataFrame, id_column: str = "doc_id", limit: int = BLOCK_BYTES) -> DataFrame:
+def build_index(docs: DataFrame, id_column: str = "doc_id", limit: int = SHARD_BYTES) -> DataFrame:
     """One row per shard of about ``limit`` bytes of text. Rows are numbered by task, so read an index only after it is written.
 
     Words are runs of digits, letters and non-ASCII characters, with A-Z lower-cased. A null text has no words.
@@ -259,7 +263,7 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]], 1) if len(spans) else spans
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = SLOP, query_bytes: int = QUERY_BYTES, limit: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = SLOP, query_bytes: int = QUERY_BYTES, limit: int = SHARD_BYTES) -> DataFrame:
     """Per document: how many of its words lie in a window of a benchmark item, and of which items.
 
     Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items with a proximity match: all words of a
@@ -269,7 +273,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int
     and so do all items without an id, which count but have no id to list. Extra columns are ignored. Documents of any
     length are searched whole, and any number of items, a pass over the stored index for each block of ``query_bytes``.
     """
-    index = materialise(build_index(docs, limit=limit), "index")
+    index = materialise(build_index(docs, limit=limit), "index", **INDEX_OPTIONS)
 
     def find(q: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _read(batches):

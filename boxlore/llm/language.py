@@ -26,6 +26,8 @@ from .textops import BLOCK_BYTES, LOWER, blocks, mix, text_of, thrifty
 BUCKETS = 1 << 12
 #: Languages that labels may name; more are an error, as the model is sent to every task.
 MOST_LANGUAGES = 200
+#: Bytes of a very long page that are read at once.
+PART = 1 << 19
 #: Trigrams' weight as independent evidence: a text counts as at most so many.
 EFFECTIVE = 40.0
 #: Strength of the parent's prior at each level, and smoothing of the declared and suffix tables.
@@ -161,7 +163,7 @@ def _decoded(data: np.ndarray, limit: int) -> Iterator[str]:
         a = b
 
 
-def likelihoods(logp: np.ndarray, texts: list[np.ndarray], limit: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+def likelihoods(logp: np.ndarray, texts: list[np.ndarray], limit: int = PART) -> tuple[np.ndarray, np.ndarray]:
     """(log-likelihoods by language, trigrams) of pages given as UTF-8 bytes; a long one is read in parts."""
     k = len(logp)
     if len(texts) == 1 and len(texts[0]) > limit:
