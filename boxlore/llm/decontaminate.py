@@ -93,7 +93,8 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", limit: int = SHARD_B
         for block in blocks(batches, limit=limit):
             for s in shards(block, number, limit):
                 lists = [pa.array([list(x)], pa.list_(pa.int64())) for x in (s.rows, s.doc_ids, s.firsts, s.n_words, s.held)]
-                binary = [pa.array([x.tobytes()], pa.binary()) for x in (s.terms, s.starts.astype(np.int32), s.positions.astype(np.int32))]
+                small = np.uint16 if len(s.positions) <= 1 << 16 else np.int32
+                binary = [pa.array([x.tobytes()], pa.binary()) for x in (s.terms, s.starts.astype(np.int32), s.positions.astype(small))]
                 yield pa.RecordBatch.from_arrays(lists + binary, names=names)
             number += block.num_rows
 
@@ -109,7 +110,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
     for batch in batches:
         for k in range(batch.num_rows):
             lists = [batch.column(c)[k].as_py() for c in ("rows", "doc_ids", "firsts", "n_words", "held")]
-            terms, starts, positions = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("terms", np.uint64), ("starts", np.int32), ("positions", np.int32)))
+            terms, starts = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("terms", np.uint64), ("starts", np.int32)))
+            positions = np.frombuffer(batch.column("positions")[k].as_buffer(), np.uint16 if starts[-1] <= 1 << 16 else np.int32)
             yield Shard(np.array(lists[0]), lists[1], *(np.array(x, np.int64) for x in lists[2:]), terms, starts.astype(np.int64), positions.astype(np.int64))
 
 
