@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name, is_human, is_pending, seed_alias, stem
+from .ordering import numbered
 
 
 def items(dataset: DataFrame, split: str, seeded: bool = False) -> DataFrame:
@@ -67,13 +68,8 @@ def review_progress(entries: DataFrame) -> DataFrame:
 
 
 def positions(entries: DataFrame) -> DataFrame:
-    """The entries with ``number``, their place in order of ids, counted by ranges of the order rather than in one task."""
-    ranged = entries.repartitionByRange("id").withColumn("__part", F.spark_partition_id())
-    counts = ranged.groupBy("__part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__part", before.alias("__before"))  # a row per partition
-    number = F.row_number().over(Window.partitionBy("__part").orderBy("id"))
-    return ranged.withColumn("__n", number).join(F.broadcast(offsets), "__part").withColumn("number", F.col("__n") + F.col("__before")).drop("__part", "__n", "__before")
+    """The entries with ``number``, their place in order of ids, counted by ranges of ids rather than in one task."""
+    return numbered(entries, F.col("id"), "number")
 
 
 def next_pending(entries: DataFrame, current: int, backwards: bool = False, pos: str = "pos") -> DataFrame:

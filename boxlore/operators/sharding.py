@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
 from .splits import MOST_GROUPS
 
 
@@ -47,29 +48,9 @@ def shard_scenes(rows: DataFrame, shards: int, scene: str = "scene", only: list[
 
 
 def shard_pending(items: DataFrame, done: DataFrame, shards: int, key: str = "key", pos: str = "pos") -> DataFrame:
-    """Items not done yet with a column ``shard``: dealt in turn in order of ``pos``.
-
-    The rank is counted per range of ``pos`` and offset by the ranges before, so no task sees all rows.
-    """
+    """Items not done yet with a column ``shard``: dealt in turn in order of ``pos``."""
     pending = items.join(done.select(key), key, "left_anti")
-    return with_rank(pending, pos).withColumn("shard", ((F.col("rank") - 1) % shards).cast("int")).drop("rank")
-
-
-def with_rank(rows: DataFrame, pos: str, buckets: int = 256) -> DataFrame:
-    """The rows with ``rank`` 1, 2, ... in order of the distinct numbers in ``pos``, by counts of equal ranges of ``pos``."""
-    low, high = rows.agg(F.min(pos), F.max(pos)).first()
-    if low is None:
-        return rows.withColumn("rank", F.lit(None).cast("long"))
-    width = max(1, -(-(high - low + 1) // buckets))
-    x = rows.withColumn("__bucket", F.floor((F.col(pos) - low) / width).cast("int"))
-    counts = sorted((r[0], r[1]) for r in x.groupBy("__bucket").count().collect())  # at most ``buckets`` rows
-    before, total = [], 0
-    for bucket, n in counts:
-        before.append((bucket, total))
-        total += n
-    offsets = rows.sparkSession.createDataFrame(before, "__bucket int, __before long")
-    rank = F.row_number().over(Window.partitionBy("__bucket").orderBy(pos))
-    return x.withColumn("__rank", rank).join(F.broadcast(offsets), "__bucket").withColumn("rank", F.col("__rank") + F.col("__before")).drop("__bucket", "__rank", "__before")
+    return numbered(pending, F.col(pos), "rank").withColumn("shard", ((F.col("rank") - 1) % shards).cast("int")).drop("rank")
 
 
 def first_items(rows: DataFrame, limit: int, pos: str = "pos") -> DataFrame:
@@ -83,5 +64,6 @@ def by_locality(rows: DataFrame, key: str = "key") -> DataFrame:
 
 
 def epoch_order(rows: DataFrame, seed: int, epoch: int, key: str = "key") -> DataFrame:
-    """A seeded order that changes by epoch."""
-    return rows.orderBy(F.xxhash64(F.lit(seed + epoch), F.col(key)), key)
+    """The rows with ``place`` 1, 2, ...: a seeded order that changes by epoch, that of the hashes of seed + epoch and key."""
+    order = F.md5(F.concat(F.lit(f"{seed + epoch}:"), F.col(key).cast("string")).cast("binary"))
+    return numbered(rows, F.concat(order, F.lit(":"), F.col(key).cast("string")), "place")

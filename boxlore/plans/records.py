@@ -15,7 +15,8 @@ from .registry import query, table
 _V = "CAST(CAST(floor(value) AS BIGINT) % 50 AS DOUBLE) / 100"
 _ANN = "CASE WHEN event_type = 'signup' THEN 'ann' || CAST(event_id % 3 AS VARCHAR) || ':absent' WHEN event_id % 4 = 0 THEN 'seed' WHEN event_id % 9 = 5 THEN 'ann:todo' ELSE 'ann' || CAST(event_id % 3 AS VARCHAR) END"
 _QUERY = "CASE WHEN event_type = 'click' AND event_id % 5 <> 0 THEN 'q' || CAST(event_id AS VARCHAR) WHEN event_type = 'click' THEN '' WHEN event_type = 'view' AND event_id % 2 = 0 THEN 'v' || CAST(event_id AS VARCHAR) END"
-_ITEM = "lpad(CAST(user_id % 40 AS VARCHAR), 3, '0') || '_' || lpad(CAST(user_id AS VARCHAR), 4, '0')"
+#: Users are items here, numbered so that some are in the dataset and some are not.
+_ITEM = "lpad(CAST(user_id * 13 % 40 AS VARCHAR), 3, '0') || '_' || lpad(CAST(user_id * 13 AS VARCHAR), 9, '0')"
 _TYPED = f"e AS (SELECT event_id AS pos, {_ITEM} AS id, event_type <> 'click' AND NOT (event_type = 'view' AND event_id % 13 = 0) AS has, event_type IN ('purchase', 'view') AS boxed, {_V} AS v, nullif({_QUERY}, '') AS query, {_ANN} AS annotator, CAST(event_id AS VARCHAR) AS ts FROM events)"
 #: The state after the records: the last box event, the query, and who is named.
 _REPLAY = f"""
@@ -59,12 +60,12 @@ def journal_parse(spark, sf_dir):
     return journal.parse_records(journal_lines(spark, sf_dir)).select("id", "pos", F.col("has_bbox").alias("has"), "query")
 
 
-_DATA_ID = "lpad(CAST(c_custkey % 40 AS VARCHAR), 3, '0') || '_' || lpad(CAST(c_custkey AS VARCHAR), 4, '0')"
-_DATA = f"d AS (SELECT {_DATA_ID} AS id, 'Raw/' || lpad(CAST(c_custkey % 40 AS VARCHAR), 3, '0') || '/color/' || CAST(c_custkey // 7 AS VARCHAR) || '.png' AS visible, CASE WHEN c_custkey % 5 <> 0 THEN CAST(0.5 AS DOUBLE) END AS x1, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE c_name END AS query, CASE WHEN c_custkey % 8 = 0 THEN 'human' WHEN c_custkey % 8 = 1 THEN '' END AS annotator FROM customer WHERE c_custkey % 3 <> 0)"
+_DATA_ID = "lpad(CAST(c_custkey % 40 AS VARCHAR), 3, '0') || '_' || lpad(CAST(c_custkey AS VARCHAR), 9, '0')"
+_DATA = f"d AS (SELECT {_DATA_ID} AS id, 'Raw/' || lpad(CAST(c_custkey % 40 AS VARCHAR), 3, '0') || '/color/' || CAST(c_custkey // 7 AS VARCHAR) || '.png' AS visible, CASE WHEN c_custkey % 5 <> 0 THEN CAST(0.5 AS DOUBLE) END AS x1, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE c_name END AS query, CASE WHEN c_custkey % 8 = 0 THEN 'human' WHEN c_custkey % 8 = 1 THEN '' END AS annotator FROM customer)"
 
 
 def _dataset(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
+    c = table(spark, sf_dir, "customer")
     seq = F.lpad((F.col("c_custkey") % 40).cast("string"), 3, "0")
     box = F.when(F.col("c_custkey") % 5 != 0, F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9), F.lit(1.0)))
     return c.select(
@@ -148,14 +149,14 @@ def session_next_pending(spark, sf_dir):
     return session.next_pending(session.positions(_live(spark, sf_dir)).withColumnRenamed("number", "pos"), 100)
 
 
-@query(f"WITH {_LIVE}, n AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos FROM v) SELECT 'id' AS kind, min(pos) FILTER (starts_with(id, '007')) AS pos FROM n UNION ALL SELECT 'path', min(pos) FILTER (contains(image, '/13.png')) FROM n UNION ALL SELECT 'number', CAST(11 AS BIGINT)")
+@query(f"WITH {_LIVE}, n AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos FROM v) SELECT 'id' AS kind, min(pos) FILTER (starts_with(id, '007')) AS pos FROM n UNION ALL SELECT 'path', min(pos) FILTER (contains(image, '/13.png')) FROM n UNION ALL SELECT 'number', min(pos) FILTER (pos = 11) FROM n")
 def session_find(spark, sf_dir):
     p = session.positions(_live(spark, sf_dir)).withColumn("pos", F.col("number") - 1)
     one = lambda kind, text: session.find(p, text).select(F.lit(kind).alias("kind"), "pos")
     return one("id", "007").unionAll(one("path", "/13.png")).unionAll(one("number", "#12"))
 
 
-@query(f"WITH {_LIVE} SELECT it.id, 'box' AS kind, it.annotator AS value FROM it LEFT JOIN r ON it.id = r.id WHERE gt IS NOT NULL AND r.x1 IS NULL UNION ALL SELECT it.id, 'query', it.query FROM it LEFT JOIN r ON it.id = r.id WHERE it.query <> '' AND r.query IS NULL")
+@query(f"WITH {_LIVE} SELECT it.id, 'box' AS kind, coalesce(it.annotator, CASE WHEN it.status = 'annotated' THEN 'human' ELSE 'seed' END) AS value FROM it LEFT JOIN r ON it.id = r.id WHERE gt IS NOT NULL AND r.x1 IS NULL UNION ALL SELECT it.id, 'query', it.query FROM it LEFT JOIN r ON it.id = r.id WHERE it.query <> '' AND r.query IS NULL")
 def session_seeds(spark, sf_dir):
     boxes, queries = journal.to_seed(session.items(_dataset(spark, sf_dir), "val"), _state(spark, sf_dir))
     value = F.col("annotator")
@@ -244,9 +245,9 @@ def first_items(spark, sf_dir):
     return sharding.first_items(truth(spark, sf_dir), 100, "key").select("key", "scene")
 
 
-@query(f"SELECT count(*) AS n, CAST(sum(key) AS BIGINT) AS keys FROM ({TRUTH_SQL})")
+@query(f"SELECT key, row_number() OVER (ORDER BY md5('45:' || key) || ':' || key) AS place FROM ({TRUTH_SQL})")
 def epoch_order(spark, sf_dir):
-    return sharding.epoch_order(truth(spark, sf_dir), 42, 3).agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
+    return sharding.epoch_order(truth(spark, sf_dir), 42, 3).select("key", "place")
 
 
 # ---- contracts ----------------------------------------------------------------------------------------------------
@@ -375,10 +376,11 @@ def training_metric_faults(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(k.alias("key"), training.metric_fault(k % 50, F.lit(40), acc, iou, k % 45).alias("fault"))
 
 
-@query("SELECT user_id AS run, event_id AS at, CAST(event_id - lag(event_id) OVER w AS DOUBLE) * 2 / (event_id - lag(event_id) OVER w) AS rate FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+@query("WITH e AS (SELECT user_id AS run, event_id AS t, event_id * 2 + event_id * event_id % 7 AS done FROM events), r AS (SELECT *, (done - lag(done) OVER w) / CAST(t - lag(t) OVER w AS DOUBLE) AS rate FROM e WINDOW w AS (PARTITION BY run ORDER BY t)) SELECT run, t AS \"at\", rate, CASE WHEN rate > 0 THEN (1000000000 - done) / rate END AS left_ FROM r")
 def inference_throughput(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("at"), (F.col("event_id") * 2).alias("done"), F.lit(10**6).alias("total"))
-    return inference.throughput(e).select("run", "at", "rate")
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), i.alias("at"), (i * 2 + i * i % 7).alias("done"), F.lit(10**9).alias("total"))
+    return inference.throughput(e).select("run", "at", "rate", F.col("left").alias("left_"))
 
 
 # ---- hashes -------------------------------------------------------------------------------------------------------
@@ -389,9 +391,10 @@ def hash_contents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", hashing.file_hash(F.col("text").cast("binary")).alias("sha"))
 
 
-@query("SELECT event_id, sha256('{\"k\":' || regexp_extract(props, '[0-9]+') || '}') AS sha FROM events")
+@query("SELECT o_orderkey AS key, sha256('{\"a\":[' || o_totalprice || ',true,null],\"clerk\":\"x\\ty\\u00e9 ' || o_orderstatus || '\",\"n\":{\"k\":' || o_custkey || ',\"z\":' || -o_totalprice || '}}') AS sha FROM orders")
 def hash_canonical_json(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.sha2(hashing.canonical_json(F.col("props")), 256).alias("sha"))
+    raw = F.concat(F.lit('{ "n": {"z": -'), F.col("o_totalprice").cast("string"), F.lit(', "k" : '), F.col("o_custkey").cast("string"), F.lit('}, "clerk": "x\\ty\u00e9 '), F.col("o_orderstatus"), F.lit('",\n"a": ['), F.col("o_totalprice").cast("string"), F.lit(", true, null]}"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.sha2(hashing.canonical_json(raw), 256).alias("sha"))
 
 
 @query("WITH s AS (SELECT string_agg('\"' || c_custkey || '\":{\"k\":' || c_nationkey || '}', ',' ORDER BY CAST(c_custkey AS VARCHAR)) AS j FROM customer) SELECT sha256('{' || j || '}') AS sha FROM s")
