@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxlore.llm import decontaminate, mixture, pii, simhash, toxicity
-from boxlore.llm.common import materialise, table
+from boxlore.llm.common import drop, materialise, table
 from boxlore.llm.components import connected_components
 
 
@@ -66,9 +66,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; what a stage has read is deleted once its own rows are written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialise(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        read, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        drop(read)
+    return STAGES[-1][1](spark, docs, sf_dir)
