@@ -9,6 +9,9 @@ from .common import materialise
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Digits of a place, 32 of the seeded hash of the id and 16 of the text's, that each step of the search for a source's boundary
+#: looks at; the last step is taken as soon as at most FEW rows of a source are left.
+STEPS, FEW = (2, 4, 6, 8, 32, 34, 36, 38, 48), 1000
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0) -> DataFrame:
     """(source, rank, source_size, n_docs, target) from (source, source_size, n_docs), a row per source.
@@ -47,29 +50,26 @@ def _reached(rows: DataFrame, key: Column) -> DataFrame:
 
 
 def _boundaries(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """(rank, b_place, b_tie, b_left, b_n): where in its seeded order each source's fraction ends.
+    """(r, b_place, b_left, b_n): where in its seeded order each source's fraction ends.
 
-    It is found digit by digit: sums by the first digits of the place, then by whole places behind those digits, and, where
-    rows share a place, by the first digits of their texts' hashes, then by whole hashes. A step looks only at the rows of
-    the key that the one before has reached, and adds them up before any shuffle, so neither equal ids nor equal rows, be
-    they a third of all, are ever in one task.
+    It is found digit by digit: sums by the first two digits of the place, by the next two among the rows behind those, and
+    so on until few rows are left, whose whole places are then added up. Sums are made before any shuffle, so neither equal
+    ids nor equal rows, be they a third of all, are ever in one task.
     """
     rows = sized.join(sources.select(F.col("source").alias("s"), "rank", F.col("quota").alias("left")), F.col("source").eqNullSafe(F.col("s")))
-    rows = rows.select("rank", "left", "size", "place", "tie")
-
-    def within(key: Column, at: DataFrame) -> DataFrame:
+    rows = rows.select("rank", "left", "size", "place")
+    at, most = None, FEW + 1
+    for digits in STEPS:
+        if most <= FEW:
+            digits = STEPS[-1]
+        prefix = F.substring("place", 1, digits)
+        at = _reached(rows, prefix)
+        if digits == STEPS[-1]:
+            break
+        most = at.agg(F.max("n")).first()[0] or 0
         reached = at.select(F.col("rank").alias("r"), "key", F.col("left").alias("l"))
-        return rows.join(reached, (F.col("rank") == F.col("r")) & (key == F.col("key"))).select("rank", F.col("l").alias("left"), "size", "place", "tie")
-
-    place, tie = F.col("place"), F.col("tie")
-    rows = within(F.substring("place", 1, 4), _reached(rows, F.substring("place", 1, 4)))
-    at = _reached(rows, place)
-    places = at.select("rank", F.col("key").alias("b_place"))
-    rows = within(place, at)
-    if at.where("n > 1").limit(1).count():
-        head = F.shiftright(tie, 48)
-        rows = within(head, _reached(rows, head))
-    return _reached(rows, tie).join(places, "rank").select(F.col("rank").alias("r"), "b_place", F.col("key").alias("b_tie"), F.col("left").alias("b_left"), F.col("n").alias("b_n"))
+        rows = rows.join(reached, (F.col("rank") == F.col("r")) & (prefix == F.col("key"))).select("rank", F.col("l").alias("left"), "size", "place")
+    return at.select(F.col("rank").alias("r"), F.col("key").alias("b_place"), F.col("left").alias("b_left"), F.col("n").alias("b_n"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0, seed: str = "mix", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -85,10 +85,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     place = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    place = F.concat(place, F.lpad(F.hex(F.xxhash64("text")), 16, "0"))
     own = [F.col(c).alias(f"own_{c}") for c in columns]
-    every = docs.select(*own, "source", size.alias("size"), place.alias("place"), F.xxhash64("text").alias("tie"))
+    every = docs.select(*own, "source", size.alias("size"), place.alias("place"))
     if "text" in columns:  # the sizes are counted again when the documents are read, which is less than to write them
-        sized = materialise(every.select("source", "size", "place", "tie"), "sizes")
+        sized = materialise(every.select("source", "size", "place"), "sizes")
     else:
         sized = every = materialise(every, "sizes")
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, share, epochs)
@@ -98,8 +99,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     boundaries = _boundaries(sized, sources)
     sources = materialise(sources.join(boundaries, F.col("rank") == F.col("r"), "left").withColumnRenamed("source", "s"), "boundaries")
     x = every.join(sources, F.col("source").eqNullSafe(F.col("s")))
-    here = (F.col("place") == F.col("b_place")) & (F.col("tie") == F.col("b_tie"))
-    before = F.col("b_place").isNull() | (F.col("place") < F.col("b_place")) | ((F.col("place") == F.col("b_place")) & (F.col("tie") < F.col("b_tie")))
+    here, before = F.col("place") == F.col("b_place"), F.col("b_place").isNull() | (F.col("place") < F.col("b_place"))
     out = lambda x, more: x.select(*(F.col(f"own_{c}").alias(c) for c in columns), "size", "source_size", "target", (F.col("whole") * F.col("size") + more).cast("long").alias("taken"))
     fraction = F.when(before, F.col("size")).when(here, F.col("b_left")).otherwise(0)
     if not sources.where("b_n > 1").limit(1).count():
