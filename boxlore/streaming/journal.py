@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.journal import merge, parse_records
+from .source import JournalSource
 
 STATE = "bbox array<double>, query string, absent boolean, annotator string, ts string"
 OUTPUT = f"id string, {STATE}"
+#: Parts of a merged dataset, by a hash of the id; a batch writes only those that it touches.
+PARTS = 64
 
 
-def tail(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
-    """Records of new journal files, (file time, file, line) as their order. Files are read whole, as lines have no numbers
-    otherwise; one file per batch keeps the order between files."""
-    text = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", files_per_batch).load(folder)
-    # a position that rises with the file's time, then with the line; a journal file has under a million lines
-    lines = text.select(F.unix_millis("_metadata.file_modification_time").alias("at"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    return parse_records(lines.select((F.col("at") * 1_000_000 + F.col("n")).alias("pos"), "line"))
+def tail(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a journal file or folder of them, as lines are appended and files added; ``path`` must be mounted on every
+    executor. Within a batch ``pos`` is the order of the files' times, then of their lines."""
+    spark.dataSource.register(JournalSource)
+    return parse_records(spark.readStream.format(JournalSource.name()).load(path))
 
 
 def _replay(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -53,17 +54,66 @@ def live_state(records: DataFrame) -> DataFrame:
     return records.groupBy("id").applyInPandasWithState(_replay, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def _part():
+    return F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
+
+
+def _versions(spark: SparkSession, dataset: str) -> dict[int, list[int]]:
+    """The versions of each part of a merged dataset, by the names of its folders."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{dataset.rstrip('/')}/part=*/v=*")
+    found: dict[int, list[int]] = {}
+    for status in pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []:
+        folder = status.getPath()
+        found.setdefault(int(folder.getParent().getName()[5:]), []).append(int(folder.getName()[2:]))
+    return found
+
+
+def _write(rows: DataFrame, touched: DataFrame, dataset: str, version: int) -> None:
+    """The rows as a version of the touched parts; a row without an id stands for a part that may have no other."""
+    marks = touched.select(F.col("part"))
+    out = rows.withColumn("part", _part()).unionByName(marks, allowMissingColumns=True).withColumn("v", F.lit(version))
+    out.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "v").parquet(dataset)
+
+
+def _read(spark: SparkSession, dataset: str, chosen: dict[int, int]) -> DataFrame:
+    paths = [f"{dataset.rstrip('/')}/part={p}/v={v}" for p, v in chosen.items()]
+    return spark.read.option("basePath", dataset).parquet(*paths).where("id is not null").drop("part", "v")
+
+
+def begin_merged(rows: DataFrame, dataset: str) -> None:
+    """Write a dataset to merge into, as version -1 of every part."""
+    _write(rows, rows.sparkSession.range(PARTS).select(F.col("id").cast("int").alias("part")), dataset, -1)
+
+
+def current(spark: SparkSession, dataset: str) -> DataFrame:
+    """The dataset as the last batches have left it."""
+    return _read(spark, dataset, {p: max(v) for p, v in _versions(spark, dataset).items()})
+
+
 def keep_merged(records: DataFrame, dataset: str, sizes: DataFrame | None, checkpoint: str, on_commit: Callable[[int], None] | None = None):
-    """A query that merges each batch's touched ids into the dataset folder, as a new version beside the last.
+    """A query that merges each batch's touched ids into a dataset that ``begin_merged`` has written.
 
-    Versions are ``v=<batch>``; a batch that is run again writes its version again, so a restart changes nothing. Returns
-    the writer; start it with ``.start()``.
+    Only the parts that hold a touched id are read and written, as a version of the batch's number beside the one before;
+    older ones are deleted. A batch that is run again starts from the versions before it and overwrites its own, so a
+    restart changes nothing. Returns the writer; start it with ``.start()``.
     """
 
     def commit(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.parquet(f"{dataset}/v={number - 1}")
-        merge(before, batch, sizes).write.mode("overwrite").parquet(f"{dataset}/v={number}")
+        held = batch.persist()
+        try:
+            touched = [r.part for r in held.select(_part().alias("part")).distinct().collect()]  # at most PARTS numbers
+            if touched:
+                versions = _versions(spark, dataset)
+                before = {p: max(v for v in versions[p] if v < number) for p in touched}
+                parts = spark.createDataFrame([(p,) for p in touched], "part int")
+                _write(merge(_read(spark, dataset, before), held, sizes), parts, dataset, number)
+                for p, v in before.items():
+                    for old in (x for x in versions[p] if x < v):
+                        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{dataset.rstrip('/')}/part={p}/v={old}")
+                        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        finally:
+            held.unpersist()
         if on_commit is not None:
             on_commit(number)
 

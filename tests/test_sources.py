@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import struct
 import zipfile
 
@@ -142,7 +143,6 @@ def test_writers(spark, tmp_path):
 
 def test_stream_replays_as_the_batch_does(spark, tmp_path):
     import os
-    import random
 
     rng = random.Random(3)
     folder, n = tmp_path / "journal", 0
@@ -173,13 +173,73 @@ def test_stream_replays_as_the_batch_does(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(lines)), "pos long, line string")
     assert seen == {r.id: tuple(r)[1:] for r in journal.replay(journal.parse_records(df)).collect()}
 
-    start = spark.createDataFrame([("001_1", "v", "i", "d", None, 4, 3, "")], "id string, visible string, infrared string, depth string, bbox array<double>, width int, height int, query string")
-    start.write.parquet(f"{tmp_path}/data/v=-1")
-    sizes = spark.createDataFrame([(f"Raw/001/color/{k}.png", 8, 6) for k in range(25)], "visible string, width int, height int")
-    done = []
-    q = stream.keep_merged(stream.tail(spark, str(folder)), f"{tmp_path}/data", sizes, str(tmp_path / "c2"), done.append).trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = spark.read.parquet(f"{tmp_path}/data/v={max(done)}")
-    full = {i for i, s in seen.items() if s[0] is not None and s[1]}
-    assert full <= {r.id for r in last.select("id").collect()} and done == [0, 1, 2]
-    assert last.where(F.col("id") == "001_1").count() <= 1
+
+
+def test_stream_reads_on_in_a_file_that_grows(spark, tmp_path):
+    rng = random.Random(5)
+    folder = tmp_path / "journal"
+    folder.mkdir()
+    schema = "id string, visible string, infrared string, depth string, bbox array<double>, width int, height int, query string"
+    start = [(f"001_{k}", f"v{k}", "i", "d", None, 4, 3, "") for k in range(0, 60, 2)]
+    begun = spark.createDataFrame(start, schema)
+    stream.begin_merged(begun, f"{tmp_path}/data")
+    sizes = spark.createDataFrame([(f"Raw/001/color/{k}.png", 8, 6) for k in range(60)], "visible string, width int, height int")
+    lines, done, n, held = [], [], 0, start
+
+    def some(count):
+        nonlocal n
+        out = []
+        for _ in range(count):
+            r = {"id": f"001_{rng.randrange(60)}", "annotator": rng.choice(["a", "a:absent", "b:todo"]), "ts": str(n)}
+            if rng.random() < 0.8:
+                r["bbox"] = rng.choice([[0.1, 0.2, 0.3, 0.4 + n / 10_000], None])
+            if rng.random() < 0.7:
+                r["query"] = f"q{n} é"
+            out.append(json.dumps(r, ensure_ascii=False))
+            n += 1
+        return out
+
+    def run(new):
+        nonlocal held
+        q = stream.keep_merged(stream.tail(spark, str(folder)), f"{tmp_path}/data", sizes, str(tmp_path / "c"), done.append).trigger(availableNow=True).start()
+        q.awaitTermination()
+        records = journal.parse_records(spark.createDataFrame(list(enumerate(lines)), "pos long, line string"))
+        ids = {json.loads(x)["id"] for x in new}  # what was deleted and comes back later is a new row
+        held = journal.merge(spark.createDataFrame(held, schema), journal.replay(records).where(F.col("id").isin(ids)), sizes).collect()
+        assert sorted(map(repr, stream.current(spark, f"{tmp_path}/data").select(begun.columns).collect())) == sorted(map(repr, held))
+
+    path = folder / "p.jsonl"
+    for k, count in enumerate((50, 3, 40)):
+        new = some(count)
+        writers.append_lines(str(path), new)  # to the one file, between the runs
+        lines += new
+        run(new)
+        assert len(done) == k + 1
+    with open(path, "a") as f:
+        f.write('{"id": "001_1", "bbox": [0.5, 0.5')  # not ended yet
+    run([])
+    writers.append_lines(str(path), some(0))
+    new = some(5)
+    (folder / "other.jsonl").write_text("\n".join(new) + "\n")
+    lines += ['{"id": "001_1", "bbox": [0.5, 0.5', *new]
+    run(new)
+    touched = {v for p in (tmp_path / "data").glob("part=*") for v in [len(list(p.glob("v=*")))]}
+    assert touched <= {1, 2}  # no more than the last version and the one before
+
+
+def test_spans_of_a_file_hold_each_line_once(tmp_path):
+    from boxlore.streaming.source import JournalReader
+
+    rng = random.Random(2)
+    path = tmp_path / "j.jsonl"
+    lines = ["é" * rng.randint(0, 30) for _ in range(200)]
+    path.write_text("\n".join(lines) + "\ntorn", encoding="utf-8")
+    for split in (1, 7, 64, 1 << 20):
+        reader = JournalReader(str(path), split)
+        end = reader.latestOffset()
+        got = sorted(r for part in reader.partitions(reader.initialOffset(), end) for r in reader.read(part))
+        assert [line for _, line in got] == lines
+        assert reader.partitions(end, reader.latestOffset()) == []
+    path.write_text("short\n")
+    with pytest.raises(ValueError, match="shrunk"):
+        JournalReader(str(path)).partitions(end, JournalReader(str(path)).latestOffset())
