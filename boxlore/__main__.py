@@ -1,4 +1,7 @@
-"""``python -m boxlore evaluate|fuse|submit|split``: the operators over files."""
+"""``python -m boxlore evaluate|fuse|submit|split|infer|package``: the operators over files.
+
+Predictions are one JSON object in a file that ends in ``.json``, else a folder that holds a table; every command reads both.
+"""
 
 from __future__ import annotations
 
@@ -29,6 +32,23 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--ratio", type=float, default=0.8)
     b.add_argument("--seed", type=int, default=42)
     b.add_argument("--out", required=True)
+    i = sub.add_parser("infer", help="predictions of an adapter, saved in steps, by shards if asked; a stopped run goes on")
+    i.add_argument("items")
+    i.add_argument("--adapter", default="stand-in")
+    i.add_argument("--folder", required=True, help="where the run's steps are saved")
+    i.add_argument("--shards", type=int, default=1)
+    i.add_argument("--step", type=int, default=100)
+    i.add_argument("--limit", type=int, default=0)
+    i.add_argument("--out", required=True)
+    k = sub.add_parser("package", help="an approved artifact from generated queries and a split's index")
+    k.add_argument("generation")
+    k.add_argument("index")
+    k.add_argument("--split", required=True, choices=("train", "val"))
+    k.add_argument("--run-id", required=True)
+    k.add_argument("--prompt-hash", required=True)
+    k.add_argument("--key-format", default="auto", choices=("auto", "item_id", "sample_id"))
+    k.add_argument("--lenient", action="store_true", help="queries of a broken style are no error")
+    k.add_argument("--out", required=True)
     return p
 
 
@@ -36,7 +56,8 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     from pyspark.sql import SparkSession
 
-    from .operators import build, evaluate, fusion, submission
+    from .functions.hashing import dataset_fingerprint, source_fingerprint
+    from .operators import build, contract, evaluate, fusion, inference, package, submission
     from .sinks import writers
     from .sources import readers, settings
 
@@ -50,7 +71,26 @@ def main(argv: list[str] | None = None) -> int:
             raise SystemExit("one weight for each file")
         for path in a.predictions:
             settings.distinct_paths(path, a.out)
-        fusion.fuse([(readers.predictions(spark, p), w) for p, w in zip(a.predictions, weights)], a.threshold).write.mode("overwrite").parquet(a.out)
+        writers.save_predictions(fusion.fuse([(readers.predictions(spark, p), w) for p, w in zip(a.predictions, weights)], a.threshold), a.out)
+    elif a.command == "infer":
+        settings.distinct_paths(a.items, a.out)
+        items = readers.inference_items(spark, a.items, a.limit)
+        if a.shards > 1:
+            found = inference.run_in_shards(items, a.adapter, a.folder, a.shards, a.step)
+        else:
+            found = inference.run_in_steps(items, a.adapter, a.folder, a.step)
+        writers.save_predictions(found, a.out)
+        print(json.dumps(inference.summary(found).first().asDict()))
+    elif a.command == "package":
+        index = readers.inference_items(spark, a.index).withColumnRenamed("key", "id").drop("pos", "query")
+        items = package.refuse(package.from_generation(readers.generation(spark, a.generation), index, a.key_format), a.lenient)
+        data = package.with_raw(items).persist()
+        prints = {"source_fingerprint": source_fingerprint(data), "dataset_fingerprint": dataset_fingerprint(data)}
+        metadata = package.metadata(items, a.split, a.run_id, a.prompt_hash, prints)
+        fault = contract.artifact_fault(metadata, data, a.split, a.run_id, strict=not a.lenient)
+        if fault:
+            raise SystemExit(fault)
+        writers.write_artifact(items.drop("pos"), metadata, a.out)
     elif a.command == "submit":
         items = readers.inference_items(spark, a.template).drop("pos", "bbox", "width", "height")
         print(writers.write_archive(submission.build_submission(items, readers.predictions(spark, a.predictions), allow_fallback=a.allow_fallback), a.out))

@@ -64,3 +64,11 @@ def prompt_length(prompt: Column, whole: Column) -> Column:
 
 def padded(values: Column, length: Column, fill: int) -> Column:
     return F.concat(values, F.array_repeat(F.lit(fill).cast("long"), F.greatest(F.lit(0), length - F.size(values))))
+
+
+def collated(batch: Column, pad: int, ignored: int = -100) -> Column:
+    """A batch, an array of structs (input_ids, labels, attention_mask), with every array padded on its right to the longest:
+    ids by ``pad``, labels by ``ignored``, the mask by 0."""
+    longest = F.array_max(F.transform(batch, lambda r: F.size(r["input_ids"])))
+    fill = (("input_ids", pad), ("labels", ignored), ("attention_mask", 0))
+    return F.transform(batch, lambda r: F.struct(*(padded(r[c], longest, v).alias(c) for c, v in fill)))

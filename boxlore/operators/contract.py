@@ -108,6 +108,34 @@ def artifact_fault(metadata: dict, data: DataFrame, split: str, run_id: str | No
     return next((f"{name}: {faults[name]}" for name in ("empty_query", "bad_bbox", "missing_field") if name in faults), None)
 
 
+def training_fault(train: tuple[dict, DataFrame], val: tuple[dict, DataFrame], run_id: str | None = None, strict: bool = True, allow_pending: bool = False) -> str | None:
+    """The first broken rule of two artifacts (metadata, data) that are trained and validated on: each one's own, then what both
+    must share, then ids and scenes that both have."""
+    from .package import disagreement
+    from .splits import overlaps
+
+    for split, (metadata, data) in (("train", train), ("val", val)):
+        fault = artifact_fault(metadata, data, split, run_id, strict, allow_pending)
+        if fault:
+            return f"{split}: {fault}"
+    field = disagreement(train[0], val[0])
+    if field:
+        return f"both: {field}"
+    sides = [d.select("id", scene_of(F.col("id"), F.col("visible")).alias("scene")) for _, d in (train, val)]
+    for column in ("id", "scene"):
+        shared = [r[0] for r in overlaps(*sides, column).collect()]  # five at most
+        if shared:
+            return f"both: {column} {shared}"
+    return None
+
+
+def check_training(train: tuple[dict, DataFrame], val: tuple[dict, DataFrame], **options) -> None:
+    """Raises the first rule that ``training_fault`` finds broken."""
+    fault = training_fault(train, val, **options)
+    if fault:
+        raise ValueError(fault)
+
+
 def collisions(data: DataFrame, frame: str = "visible") -> DataFrame:
     """(frame, query_key, n) of queries that a frame has more than once."""
     return data.groupBy(frame, collision_key(F.col("query")).alias("query_key")).agg(F.count("*").alias("n")).where("n > 1")

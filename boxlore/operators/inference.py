@@ -7,6 +7,7 @@ stays in the JVM.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
@@ -14,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import stand_in_box, valid_box
-from .resume import pending
-from .sharding import by_locality
+from .resume import checked, pending, shard_gaps, unite
+from .sharding import by_locality, shard_pending
 
 #: Rows of an Arrow batch go to the adapter in batches of its own size.
 PREDICTION = "key string, bbox array<double>"
+#: Decoded pictures that a worker keeps.
+PICTURES = 32
 
 
 class Adapter(Protocol):
@@ -53,14 +56,14 @@ def stand_in(items: DataFrame) -> DataFrame:
 
 def predict(items: DataFrame, name: str, batch: int = 2, columns: tuple[str, ...] = ("key", "visible", "query"), decode: Callable[[str], object] | None = None) -> DataFrame:
     """(key, bbox) of every item. ``decode`` turns a path into a picture; rows of a partition come by picture, and the last
-    one decoded is kept, so that each is read once. An answer that is no valid box is null."""
+    PICTURES decoded are kept, so that each is read once. An answer that is no valid box is null."""
     if name == "stand-in":
         return stand_in(items)
     make = adapter(name)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
-        last: tuple[str | None, object] = (None, None)
+        picture = lru_cache(PICTURES)(decode) if decode is not None else None
         for frame in frames:
             if not len(frame):
                 continue
@@ -72,10 +75,8 @@ def predict(items: DataFrame, name: str, batch: int = 2, columns: tuple[str, ...
             for a in range(0, len(rows), batch):
                 part = rows[a : a + batch]
                 for row in part:
-                    if decode is not None:
-                        if row["visible"] != last[0]:
-                            last = (row["visible"], decode(row["visible"]))
-                        row["image"] = last[1]
+                    if picture is not None:
+                        row["image"] = picture(row["visible"])
                 answers = model.predict(part)
                 if len(answers) != len(part):
                     raise ValueError("an adapter must answer each row")
@@ -117,6 +118,32 @@ def run_in_steps(items: DataFrame, name: str, folder: str, step: int, on_commit:
             on_commit(done)
 
 
+def run_in_shards(items: DataFrame, name: str, folder: str, shards: int, step: int, on_commit: Callable[[int], None] | None = None, **options) -> DataFrame:
+    """The run's predictions by shards: what no shard has saved yet is dealt in turn in order of ``pos``, and each shard saves its
+    own steps in ``folder/shard=k``. A shard that has not done all that it was dealt raises, as does a key with two answers.
+    A run that was stopped, with as many shards or others, goes on with what is left."""
+    from ..sources.readers import predictions, shard_folders
+
+    spark = items.sparkSession
+
+    def saved() -> DataFrame:
+        found = [predictions(spark, p) for p in shard_folders(spark, folder)]
+        return checked(unite(found, disjoint=True)) if found else spark.createDataFrame([], "key string, bbox array<double>")
+
+    dealt = shard_pending(items, saved(), shards).select(*items.columns, "shard").persist()
+    try:
+        for shard in range(shards):
+            own = dealt.where(F.col("shard") == shard).drop("shard")
+            if not own.limit(1).isEmpty():
+                run_in_steps(own, name, f"{folder}/shard={shard}", step, on_commit, **options)
+        left = shard_gaps(dealt, saved()).orderBy("shard").first()
+        if left:
+            raise ValueError(f"shard {left.shard} has done {left.done} of {left.assigned}")
+    finally:
+        dealt.unpersist()
+    return saved()
+
+
 def summary(predictions: DataFrame) -> DataFrame:
     """One row: predictions and valid ones."""
     return predictions.agg(F.count("*").alias("predictions"), F.count_if(valid_box(F.col("bbox")).isNotNull()).alias("valid"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import APPROVED_FIELDS
 from ..functions.text import clean_query, collision_key, item_key
 from . import contract
 
@@ -43,6 +44,12 @@ def refuse(items: DataFrame, lenient: bool = False) -> DataFrame:
     return items.drop("fault")
 
 
+def with_raw(items: DataFrame) -> DataFrame:
+    """The items with ``raw``, each one's fields as the artifact has them."""
+    fields = F.struct(*(F.col(c) for c in APPROVED_FIELDS))
+    return items.withColumn("raw", F.to_json(fields, {"ignoreNullFields": "false"}))
+
+
 def metadata(items: DataFrame, split: str, run_id: str, prompt_hash: str, fingerprints: dict[str, str]) -> dict:
     """An approved artifact's metadata with the counts of its items."""
     from .journal import counts

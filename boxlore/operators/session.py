@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import file_name, is_human, is_pending, seed_alias, stem
+from ..functions.text import file_name, is_canonical_path, is_human, is_pending, seed_alias, stem
 from .ordering import numbered
 
 
@@ -98,3 +98,14 @@ def find(entries: DataFrame, text: str, pos: str = "pos") -> DataFrame:
 def store_of(corpus: DataFrame, stores: list[str], default: str) -> DataFrame:
     """The rows with ``store``: their corpus if it has a store, else the default."""
     return corpus.withColumn("store", F.when(F.col("corpus").isin(stores), F.col("corpus")).otherwise(F.lit(default)))
+
+
+def pictures(entries: DataFrame, asked: DataFrame, files: DataFrame, roots: list[str]) -> DataFrame:
+    """(image, path): where each picture that was asked for lies: only pictures of the session, below the first root that has
+    the file; null where none has or the session does not name it. files: path; asked: image."""
+    named = entries.select("image").distinct().withColumn("named", F.lit(True))
+    x = asked.select("image").distinct().join(named, "image", "left")
+    places = F.posexplode(F.transform(F.array(*map(F.lit, roots)), lambda r: F.concat(r, F.lit("/"), F.col("image"))))
+    x = x.select("image", "named", places.alias("turn", "path")).join(files.select("path", F.lit(True).alias("there")), "path", "left")
+    found = F.min(F.when(F.col("named") & F.col("there") & is_canonical_path(F.col("image")), F.struct("turn", "path")))
+    return x.groupBy("image").agg(found["path"].alias("path"))

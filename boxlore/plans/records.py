@@ -403,9 +403,90 @@ def hash_dataset(spark, sf_dir):
     return spark.createDataFrame([(hashing.dataset_fingerprint(c),)], "sha string")
 
 
-@query()
+@query("WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS k, sha256(c_name) AS h FROM customer) SELECT CAST(CAST('0x' || substr(md5(k), 1, 8) AS BIGINT) % 1024 AS INTEGER) AS bucket, count(*) AS rows, sha256(string_agg(k || ':' || h, ',' ORDER BY k, h)) AS sha256 FROM c GROUP BY 1")
 def hash_partitions(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("f"))
     return hashing.partition_hashes(c, "id", F.col("f"))
 
 
+@query("SELECT sha256('[' || string_agg('\"' || c_custkey || '\"', ',' ORDER BY CAST(c_custkey AS VARCHAR)) || ']') AS sha FROM customer")
+def hash_keys(spark, sf_dir):
+    keys = [str(r.c_custkey) for r in table(spark, sf_dir, "customer").select("c_custkey").toLocalIterator()]
+    return spark.createDataFrame([(hashing.key_hash(keys),)], "sha string")
+
+
+_SOURCE = "'{\"bbox\":[' || (s_suppkey % 50 / CAST(100 AS DOUBLE)) || ',0.5],\"depth\":\"d' || s_suppkey || '\",\"height\":480,\"infrared\":null,\"visible\":\"v' || s_suppkey || '\",\"width\":' || s_nationkey || '}'"
+
+
+@query(f"SELECT sha256('{{' || string_agg('\"' || s_suppkey || '\":' || {_SOURCE}, ',' ORDER BY CAST(s_suppkey AS VARCHAR)) || '}}') AS sha FROM supplier")
+def hash_source(spark, sf_dir):
+    """The query and unknown fields do not count, a missing field counts as null."""
+    k = F.col("s_suppkey").cast("string")
+    box = ((F.col("s_suppkey") % 50) / F.lit(100.0)).cast("string")
+    raw = F.concat(F.lit('{"width": '), F.col("s_nationkey").cast("string"), F.lit(', "query": "q'), k, F.lit('", "visible": "v'), k, F.lit('", "bbox": ['), box, F.lit('0, 0.50], "height": 480, "depth": "d'), k, F.lit('", "more": 1}'))
+    return spark.createDataFrame([(hashing.source_fingerprint(table(spark, sf_dir, "supplier").select(k.alias("id"), raw.alias("raw"))),)], "sha string")
+
+
+# ---- sessions' pictures and stores, ids, training windows ---------------------------------------------------------
+
+
+@query("SELECT c_custkey AS key, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment ELSE 'val' END AS store FROM customer")
+def session_stores(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("corpus"))
+    return session.store_of(c, ["BUILDING", "MACHINERY"], "val").select("key", "store")
+
+
+@query(
+    "WITH e AS (SELECT DISTINCT p_brand || '/' || p_size || '.png' AS image FROM part), a AS (SELECT DISTINCT CASE WHEN l_suppkey % 9 = 0 THEN '../x.png' ELSE p_brand || '/' || l_quantity || '.png' END AS image FROM lineitem JOIN part ON l_partkey = p_partkey), "
+    "f AS (SELECT DISTINCT 'r' || (p_size % 3) || '/' || p_brand || '/' || p_size || '.png' AS path FROM part UNION SELECT 'r1/../x.png') "
+    "SELECT a.image, CASE WHEN a.image NOT LIKE '..%' AND a.image IN (SELECT image FROM e) THEN (SELECT min(path) FROM f WHERE path IN ('r0/' || a.image, 'r1/' || a.image)) END AS path FROM a"
+)
+def session_pictures(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    png = lambda size: F.concat("p_brand", F.lit("/"), size.cast("string"), F.lit(".png"))
+    lines = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    asked = lines.select(F.when(F.col("l_suppkey") % 9 == 0, "../x.png").otherwise(png(F.col("l_quantity"))).alias("image"))
+    files = part.select(F.concat(F.lit("r"), (F.col("p_size") % 3).cast("string"), F.lit("/"), png(F.col("p_size"))).alias("path")).distinct().unionAll(spark.createDataFrame([("r1/../x.png",)], "path string"))
+    return session.pictures(part.select(png(F.col("p_size")).alias("image")), asked, files, ["r0", "r1"])
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS total FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)")
+def contract_select_ids(spark, sf_dir):
+    ids = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("id")).distinct()
+    return contract.select_ids(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("total")), ids)
+
+
+_ROWS = "r AS (SELECT l_orderkey AS key, list(CAST(l_partkey AS BIGINT) ORDER BY l_linenumber, l_partkey, l_suppkey) AS ids, list(CASE WHEN l_linenumber < 4 THEN -100 ELSE CAST(l_partkey AS BIGINT) END ORDER BY l_linenumber, l_partkey, l_suppkey) AS labels FROM lineitem GROUP BY 1)"
+_JOIN = "array_to_string({0}, ',')"
+
+
+def _token_rows(spark, sf_dir):
+    order = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(order.alias("o"))
+    part = lambda o: o["l_partkey"].cast("long")
+    return rows.select("key", F.transform("o", part).alias("ids"), F.transform("o", lambda o: F.when(o["l_linenumber"] < 4, F.lit(-100).cast("long")).otherwise(part(o))).alias("labels"))
+
+
+@query(
+    f"WITH {_ROWS}, f AS (SELECT key, ids, labels, coalesce(list_position(list_transform(labels, lambda v: v <> -100), TRUE), 0) AS first FROM r) "
+    f"SELECT key, CAST(CASE WHEN first > 0 THEN least(len(labels), len(labels) - first + 2) ELSE 0 END AS INTEGER) AS keep, {_JOIN.format('CASE WHEN first > 0 THEN list_append(labels[greatest(first, 2):], -100) ELSE [] END')} AS ahead, "
+    "CASE WHEN len(ids) > 2 AND ids[1] <> ids[2] THEN 2 END AS prompt FROM f"
+)
+def training_windows(spark, sf_dir):
+    """A prompt that is the first two ids, or those turned round where they differ and no prefix."""
+    x = _token_rows(spark, sf_dir).withColumn("w", schedule.supervised_window(F.col("labels")))
+    prompt = F.when(F.get("ids", 0) == F.get("ids", 1), F.array(F.lit(-1).cast("long"))).otherwise(F.slice("ids", 1, 2))
+    text = lambda a: F.array_join(F.transform(a, lambda v: v.cast("string")), ",")
+    return x.select("key", "w.keep", text(F.col("w.labels")).alias("ahead"), schedule.prompt_length(prompt, F.col("ids")).alias("prompt"))
+
+
+@query(
+    f"WITH {_ROWS}, b AS (SELECT key // 4 AS batch, max(len(ids)) AS longest FROM r GROUP BY 1), p AS (SELECT r.*, longest - len(ids) AS more FROM r JOIN b ON key // 4 = batch) "
+    f"SELECT key, {_JOIN.format('ids || list_transform(range(0, more), lambda v: 7)')} AS input_ids, {_JOIN.format('labels || list_transform(range(0, more), lambda v: -100)')} AS labels, repeat('1', len(ids)) || repeat('0', more) AS mask FROM p"
+)
+def training_collated(spark, sf_dir):
+    member = F.struct("key", F.col("ids").alias("input_ids"), "labels", F.transform("ids", lambda v: F.lit(1).cast("long")).alias("attention_mask"))
+    batches = _token_rows(spark, sf_dir).groupBy(F.floor(F.col("key") / 4)).agg(F.array_sort(F.collect_list(member)).alias("rows"))
+    x = batches.select(F.explode(F.arrays_zip(F.col("rows.key").alias("key"), schedule.collated(F.col("rows"), 7).alias("c"))).alias("r")).select("r.key", "r.c.*")
+    text = lambda c, by=",": F.array_join(F.transform(c, lambda v: v.cast("string")), by)
+    return x.select("key", text("input_ids").alias("input_ids"), text("labels").alias("labels"), text("attention_mask", "").alias("mask"))

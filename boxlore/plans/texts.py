@@ -138,6 +138,22 @@ def text_collisions(spark, sf_dir):
     return contract.collisions(table(spark, sf_dir, "part").select(F.col("p_brand").alias("visible"), F.col("p_name").alias("query")))
 
 
+@query("SELECT p_brand AS visible, trim(lower(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS query_key, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1")
+def text_collisions_exact(spark, sf_dir):
+    """The folding beyond lower case, over names of ASCII letters, where both are one."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("visible"), t.collision_key(F.col("p_name"), exact=True).alias("query_key"))
+    return p.groupBy("visible", "query_key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+_ROUTE = "CASE c_custkey % 5 WHEN 0 THEN '/api/item/' || CAST(c_custkey AS VARCHAR) || '%23%C3%A9+1/bbox' WHEN 1 THEN '/api/item//bbox' WHEN 2 THEN '/api/item/a/b/bbox' WHEN 3 THEN '/api/items/' || c_name || '/bbox' ELSE '/api/item/' || c_name || '/bbox' END"
+
+
+@query(f"WITH r AS (SELECT c_custkey AS key, {_ROUTE} AS path FROM customer) SELECT key, CASE WHEN key % 5 IN (0, 4) THEN url_decode(regexp_extract(path, '^/api/item/([^/]+)/bbox$', 1)) END AS item FROM r")
+def text_routes(spark, sf_dir):
+    path = F.expr(_ROUTE.replace("AS VARCHAR", "AS STRING"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), t.item_of_route(path, "/bbox").alias("item"))
+
+
 _ID = "CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE lpad(CAST(o_custkey AS VARCHAR), 4, '0') || '_' || CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 2 = 0 THEN '_b' ELSE '' END END"
 _PATH = "CASE o_orderkey % 5 WHEN 0 THEN 'Raw/' || CAST(o_custkey AS VARCHAR) || '/color/a.b.png' WHEN 1 THEN '/abs/x.png' WHEN 2 THEN 'a/../b.png' WHEN 3 THEN 'Raw//c.png' ELSE 'Raw/007/color/.hidden' END"
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import fcntl
+import hashlib
 import json
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -73,6 +75,37 @@ def append_lines(path: str, lines: list[str]) -> None:
         os.fsync(f.fileno())
 
 
+def record_line(sample_id: str, annotator: str, ts: str, bbox: list[float] | None = None, query: str | None = None, boxed: bool = False) -> str:
+    """A journal record. With ``boxed`` the box is written even if it is null, which deletes it or, by an ``:absent`` annotator,
+    says that there is nothing."""
+    record: dict = {"id": sample_id}
+    if boxed:
+        record["bbox"] = bbox
+    if query is not None:
+        record["query"] = query
+    return json.dumps({**record, "annotator": annotator, "ts": ts}, ensure_ascii=False)
+
+
+def now() -> str:
+    """The present second in UTC, as records carry it."""
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def set_box(journal: str, sample_id: str, bbox: list[float], annotator: str) -> None:
+    """Append that an item's box was set."""
+    append_lines(journal, [record_line(sample_id, annotator, now(), [float(v) for v in bbox], boxed=True)])
+
+
+def set_query(journal: str, sample_id: str, query: str, annotator: str) -> None:
+    """Append that an item's query was set; its box stays."""
+    append_lines(journal, [record_line(sample_id, annotator, now(), query=query)])
+
+
+def delete_box(journal: str, sample_id: str, annotator: str) -> None:
+    """Append that an item's box was deleted; an annotator that ends in ``:absent`` says that there is none to draw."""
+    append_lines(journal, [record_line(sample_id, annotator, now(), boxed=True)])
+
+
 def write_snapshot(state: DataFrame, folder: str) -> None:
     """Boxes, queries and absences of a store as three tables."""
     for name, rows in (("predictions", state.where("bbox is not null").select("id", "bbox")), ("queries", state.where("query is not null").select("id", "query")), ("absent", state.where("absent").select("id", "annotator"))):
@@ -91,27 +124,91 @@ def record(spark, folder: str, kind: str, value: dict) -> None:
     spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").write.mode("append").text(f"{folder}/{kind}")
 
 
-def write_archive(submission: DataFrame, path: str, key: str = "key", most: int = 1_000_000) -> int:
-    """A ZIP of one ``result.json``, read again and compared before it takes its place. Returns the number of rows.
+def json_parts(rows: DataFrame, key: str = "key", value: str | None = None) -> Iterator[str]:
+    """One JSON object, a member for each row in order of the key, in parts: of the column ``value``, or of all columns but the key.
 
-    The file is one JSON object by its format; rows come sorted, partition by partition, and more than ``most`` raise.
+    The text is that of Python's ``json`` with an indent of two. Rows come from the cluster a partition at a time. A repeated
+    key raises.
     """
-    rows = {}
-    for r in submission.orderBy(key).toLocalIterator():
+    last, first = None, True
+    for r in rows.orderBy(key).toLocalIterator(prefetchPartitions=True):
         item = r.asDict(recursive=True)
-        rows[item.pop(key)] = item
-        if len(rows) > most:
-            raise ValueError(f"more than {most} rows")
-    body = json.dumps(rows, ensure_ascii=False, indent=2)
-    aside = f"{path}.staged"
-    with zipfile.ZipFile(aside, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("result.json", body)
-    with zipfile.ZipFile(aside) as z:
-        if z.namelist() != ["result.json"] or z.read("result.json").decode() != body:
-            Path(aside).unlink()
+        k = item.pop(key)
+        if k == last and not first:
+            raise ValueError(f"repeated key {k!r}")
+        body = json.dumps(item if value is None else item[value], ensure_ascii=False, indent=2).replace("\n", "\n  ")
+        yield ("{\n" if first else ",\n") + f"  {json.dumps(k, ensure_ascii=False)}: {body}"
+        last, first = k, False
+    yield "{}" if first else "\n}"
+
+
+def write_predictions(predictions: DataFrame, path: str, key: str = "key") -> None:
+    """One JSON object of key to box, by a temporary file that is renamed when it is whole."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    aside = Path(f"{path}.staged")
+    try:
+        with open(aside, "w", encoding="utf-8") as f:
+            f.writelines(json_parts(predictions.select(key, "bbox"), key, "bbox"))
+            f.write("\n")
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(aside, target)
+    except BaseException:
+        aside.unlink(missing_ok=True)
+        raise
+
+
+def save_predictions(predictions: DataFrame, path: str) -> None:
+    """A JSON object if the path ends in ``.json``, else a table, which has no bound."""
+    if path.endswith(".json"):
+        write_predictions(predictions, path)
+    else:
+        predictions.write.mode("overwrite").parquet(path)
+
+
+def write_artifact(items: DataFrame, metadata: dict, path: str, key: str = "id") -> None:
+    """One JSON object of the metadata and, below ``data``, the items by id; it takes its place when it is whole."""
+    aside = Path(f"{path}.staged")
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    try:
+        with open(aside, "w", encoding="utf-8") as f:
+            f.write(f'{{"metadata": {json.dumps(metadata, ensure_ascii=False)}, "data": ')
+            f.writelines(json_parts(items, key))
+            f.write("}\n")
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(aside, path)
+    except BaseException:
+        aside.unlink(missing_ok=True)
+        raise
+
+
+def write_archive(submission: DataFrame, path: str, key: str = "key") -> int:
+    """A ZIP of one ``result.json``, read again and compared by its hash before it takes its place. Returns the number of rows.
+
+    The file is one JSON object by its format; it is written and read back part by part, and never held whole.
+    """
+    aside, written, read, n = Path(f"{path}.staged"), hashlib.sha256(), hashlib.sha256(), -1
+    try:
+        with zipfile.ZipFile(aside, "w", zipfile.ZIP_DEFLATED) as z, z.open("result.json", "w", force_zip64=True) as f:
+            for part in json_parts(submission, key):
+                written.update(part.encode())
+                f.write(part.encode())
+                n += 1
+        with zipfile.ZipFile(aside) as z:
+            if z.namelist() != ["result.json"]:
+                raise OSError("the archive does not read back")
+            with z.open("result.json") as f:
+                while part := f.read(1 << 20):
+                    read.update(part)
+        if read.digest() != written.digest():
             raise OSError("the archive does not read back")
-    os.replace(aside, path)
-    return len(rows)
+        os.replace(aside, path)
+    except BaseException:
+        aside.unlink(missing_ok=True)
+        raise
+    return n
 
 
 def manifest(stats: DataFrame, fingerprints: dict[str, str], **more: object) -> dict:

@@ -143,19 +143,37 @@ def generation(spark: SparkSession, path: str) -> DataFrame:
     return x
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(at) and files.getFileStatus(at).isDirectory()
+
+
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(key, bbox) of a prediction file; a null box stays apart from a missing key."""
+    """(key, bbox) of a prediction file, one JSON object, or of a folder that the engine wrote as a table; a null box stays apart
+    from a missing key."""
+    if is_folder(spark, path):
+        return spark.read.parquet(path).select(F.col("key").cast("string").alias("key"), F.col("bbox").cast("array<double>").alias("bbox"))
     return json_object(spark, path).select("key", F.from_json("raw", "array<double>").alias("bbox"))
 
 
 def saved_progress(spark: SparkSession, folder: str) -> list[DataFrame]:
-    """Predictions (key, bbox) of each saved source of a run: its checkpoint, then its shards' in order of their names."""
+    """Predictions (key, bbox) of each saved source of a run: the tables that steps of this engine have saved, then its checkpoint
+    file, then its shards' in order of their names."""
+    tables = [p for p in (f"{folder}/predictions", *shard_folders(spark, folder)) if is_folder(spark, p)]
     names = [r.path for r in listing(spark, folder, "*checkpoint.json").select("path").collect()]  # a few files
     out = []
     for name in sorted(names, key=lambda p: (not p.endswith("/checkpoint.json"), p)):
         held = json_object(spark, name).where("key = 'predictions'").select(F.from_json("raw", "map<string,array<double>>").alias("m"))
         out.append(held.select(F.explode("m").alias("key", "bbox")))
-    return out
+    return [predictions(spark, p) for p in tables] + out
+
+
+def shard_folders(spark: SparkSession, folder: str) -> list[str]:
+    """The tables of a run's shards, by their numbers."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/shard=*/predictions")
+    found = [s.getPath() for s in pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []]
+    return [str(p) for p in sorted(found, key=lambda p: int(p.getParent().getName()[6:]))]
 
 
 def decoded(spark: SparkSession, root: str) -> DataFrame:

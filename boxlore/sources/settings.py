@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 SECTIONS = ("run", "hyperparameters")
@@ -14,33 +15,52 @@ def _scalar(text: str):
         return low == "true"
     if low in ("", "null", "~"):
         return None
-    for kind in (int, float):
-        try:
-            return kind(text)
-        except ValueError:
-            pass
-    return text.strip("\"'")
+    if re.fullmatch(r"[-+]?[0-9]+", text):
+        return int(text)
+    if re.fullmatch(r"[-+]?(?:[0-9]+\.[0-9]*|\.[0-9]+)(?:[eE][-+][0-9]+)?", text):  # as YAML has it, 1e-4 is no number
+        return float(text)
+    return text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'" else text
 
 
-def load_config(path: str) -> dict[str, dict]:
-    """The two sections of a settings file, each a flat mapping; any other section or shape is an error."""
-    out: dict[str, dict] = {s: {} for s in SECTIONS}
+def _plain(path: str) -> dict:
+    """A file of flat sections of scalars: what is read without a YAML parser. Anything else is an error, not a guess."""
+    out: dict = {}
     section = None
     for number, line in enumerate(Path(path).read_text(encoding="utf-8").splitlines(), 1):
-        body = line.split(" #")[0].rstrip()
-        if not body.strip() or body.lstrip().startswith("#"):
+        quoted = re.sub(r"\"[^\"]*\"|'[^']*'", lambda m: "q" * len(m[0]), line)  # a # in quotes is no comment
+        at = re.search(r"(?:^|\s)#", quoted)
+        body = line[: at.start()].rstrip() if at else line.rstrip()
+        if not body.strip():
             continue
         name, colon, value = body.strip().partition(":")
-        if not colon:
-            raise ValueError(f"{path}:{number}: not a mapping")
+        value = value.strip()
+        if not colon or value[:1] in ("[", "{", "|", ">", "&", "*", "!") or body.strip().startswith("- "):
+            raise ValueError(f"{path}:{number}: only flat sections of scalars are read without a YAML parser")
         if body[0] not in " \t":
-            if name not in SECTIONS or value.strip():
-                raise ValueError(f"{path}:{number}: sections are {SECTIONS}")
-            section = name
-        elif section is None:
+            section = out[name] = _scalar(value) if value else {}
+        elif not isinstance(section, dict):
             raise ValueError(f"{path}:{number}: outside a section")
         else:
-            out[section][name.strip()] = _scalar(value.strip())
+            section[name.strip()] = _scalar(value)
+    return out
+
+
+def load_config(path: str) -> dict[str, dict]:
+    """The two sections of a settings file, each a mapping; any other section or shape is an error.
+
+    The whole of YAML is read where its parser is installed, flat sections of scalars otherwise.
+    """
+    try:
+        import yaml
+    except ImportError:
+        held = _plain(path)
+    else:
+        held = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    if not isinstance(held, dict) or not set(held) <= set(SECTIONS):
+        raise ValueError(f"{path}: a mapping of the sections {SECTIONS} is wanted")
+    out = {name: held.get(name) or {} for name in SECTIONS}
+    if not all(isinstance(v, dict) for v in out.values()):
+        raise ValueError(f"{path}: a section is a mapping")
     return out
 
 

@@ -89,7 +89,7 @@ def test_generation_and_progress(spark, tmp_path):
 
 
 def test_settings(tmp_path):
-    path = put(tmp_path / "c.yaml", "# c\nrun:\n  name: x\n  batch: 2\nhyperparameters:\n  rate: 1e-4\n  amp: true\n")
+    path = put(tmp_path / "c.yaml", "# c\nrun:\n  name: x\n  batch: 2\nhyperparameters:\n  rate: 1.0e-4\n  amp: true\n")
     assert settings.load_config(path) == {"run": {"name": "x", "batch": 2}, "hyperparameters": {"rate": 1e-4, "amp": True}}
     with pytest.raises(ValueError):
         settings.load_config(put(tmp_path / "d.yaml", "other:\n  a: 1\n"))
@@ -141,6 +141,52 @@ def test_writers(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/run/predictions").count() == 2
 
 
+def test_archive_is_pythons_json_in_parts(spark, tmp_path):
+    rows = [(f"k{n}", f'é "{n}"\nline', [0.1 * n, 0.0, 1.0, 1e-7], None) for n in range(300)]
+    df = spark.createDataFrame(rows, "key string, query string, bbox array<double>, more string").repartition(5)
+    assert writers.write_archive(df, f"{tmp_path}/a.zip") == 300
+    want = {k: {"query": q, "bbox": b, "more": m} for k, q, b, m in sorted(rows)}
+    with zipfile.ZipFile(f"{tmp_path}/a.zip") as z:
+        assert z.read("result.json").decode() == json.dumps(want, ensure_ascii=False, indent=2)
+    assert writers.write_archive(df.limit(0), f"{tmp_path}/e.zip") == 0
+    with pytest.raises(ValueError, match="repeated"):
+        writers.write_archive(df.unionAll(df.limit(1)), f"{tmp_path}/r.zip")
+    assert not list(tmp_path.glob("r.zip*"))
+    writers.write_predictions(df, f"{tmp_path}/p.json")
+    assert json.loads((tmp_path / "p.json").read_text()) == {k: b for k, _, b, _ in rows}
+    for place in ("p.json", "table"):
+        writers.save_predictions(df.select("key", "bbox"), f"{tmp_path}/{place}")
+        assert {r.key: r.bbox for r in readers.predictions(spark, f"{tmp_path}/{place}").collect()} == {k: b for k, _, b, _ in rows}
+
+
+def test_store_writes_are_journal_records(spark, tmp_path):
+    path = str(tmp_path / "journal.jsonl")
+    writers.set_box(path, "001_1", [0, 0, 1, 1], "ann")
+    writers.set_query(path, "001_1", "the é box", "ann")
+    writers.set_box(path, "001_2", [0, 0, 1, 1], "ann")
+    writers.delete_box(path, "001_2", "ann:absent")
+    writers.set_box(path, "001_3", [0, 0, 1, 1], "ann")
+    writers.delete_box(path, "001_3", "ann")
+    state = journal.replay(journal.parse_records(readers.json_lines(spark, path), pos="place"))
+    got = {r.id: (r.bbox, r.query, r.absent, r.annotator) for r in state.collect()}
+    assert got == {"001_1": ([0.0, 0.0, 1.0, 1.0], "the é box", False, "ann"), "001_2": (None, None, True, "ann:absent"), "001_3": (None, None, False, None)}
+    assert all(r["ts"].endswith("Z") and len(r["ts"]) == 20 for r in map(json.loads, open(path)))
+
+
+def test_whole_yaml_and_its_flat_part(tmp_path, monkeypatch):
+    text = 'run:\n  tag: "a # b"  # c\n  batch: 2\n  none: ~\nhyperparameters:\n  rate: 2.5e-4\n  name: it\n'
+    want = {"run": {"tag": "a # b", "batch": 2, "none": None}, "hyperparameters": {"rate": 2.5e-4, "name": "it"}}
+    assert settings.load_config(put(tmp_path / "a.yaml", text)) == want == settings._plain(str(tmp_path / "a.yaml"))
+    pytest.importorskip("yaml")
+    nested = "run:\n  parts: [q, k]\n  more:\n    deep: 1\n  text: |\n    one\n    two\nhyperparameters:\n"
+    assert settings.load_config(put(tmp_path / "b.yaml", nested)) == {"run": {"parts": ["q", "k"], "more": {"deep": 1}, "text": "one\ntwo\n"}, "hyperparameters": {}}
+    with pytest.raises(ValueError, match="without a YAML parser"):
+        settings._plain(str(tmp_path / "b.yaml"))
+    for bad in ("run: 5\n", "- run\n", "run:\n  a: 1\nother: {}\n"):
+        with pytest.raises(ValueError):
+            settings.load_config(put(tmp_path / "c.yaml", bad))
+
+
 def test_stream_replays_as_the_batch_does(spark, tmp_path):
     import os
 
