@@ -3,10 +3,11 @@
 A passage counts if at least ``LENGTH`` bytes start in two places. Every window of LENGTH bytes names the smallest hash
 among its grams of ``GRAMS[0]`` bytes as its anchor; equal windows name equal anchors, so windows of different anchors
 never need to meet. The windows that share one anchor occurrence form a context of less than twice LENGTH bytes. Equal
-contexts are counted before anything else; only anchors that have several different contexts have their bytes fetched,
-each once. These contexts' suffixes are grouped by their first LENGTH bytes and those groups whose left neighbours
-differ are suffix-sorted; a stack scan over the common prefixes visits the interval tree and outputs each interval that
-left neighbours differ in, a maximal repeat, with all its occurrences. Whatever is repeated lies in one of them.
+contexts are counted before anything else; each anchor that occurs more than once has the bytes of its different
+contexts fetched, each context once, with its count. Their suffixes, as often as their contexts occur (twice stands for
+more), are grouped by their first LENGTH bytes and those groups whose left neighbours differ are suffix-sorted; a stack
+scan over the common prefixes visits the interval tree and outputs each interval that left neighbours differ in, a
+maximal repeat, with all its occurrences. Whatever is repeated lies in one of them.
 
 An anchor with more than ``LIMIT`` different contexts (a very common line between other texts) is cut again by longer
 grams, and at last by whole windows, which have one context each: no task ever holds an unbounded group.
@@ -120,8 +121,8 @@ def interval_repeats(suffixes: list[bytes], left: list[int], least: int) -> list
     return found
 
 
-def _within(keys: list[tuple[int, int]], contexts: list[bytes], length: int) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-    """For each context (of anchors' whole groups): its maximal repeats as (group, first byte, length)."""
+def _within(keys: list[tuple[int, int]], contexts: list[bytes], copies: list[int], length: int) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """For each context (of anchors' whole groups; ``copies``: how often it occurs): its maximal repeats as (group, first byte, length)."""
     data = np.frombuffer(b"".join(contexts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in contexts])])
     count = np.diff(offsets) - length + 1
@@ -133,25 +134,26 @@ def _within(keys: list[tuple[int, int]], contexts: list[bytes], length: int) ->
     head = head[order]
     first = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
     size = np.diff(np.append(first, len(head)))
+    weight = np.add.reduceat(np.minimum(np.array(copies), 2)[owner[order]], first)
     left = np.where(inner == 0, 300, data[np.maximum(start - 1, 0)].astype(np.int64))[order]
     low, high = np.minimum.reduceat(left, first), np.maximum.reduceat(left, first)
     out: dict[int, list[tuple[int, int, int]]] = {}
-    for k in np.flatnonzero((size > 1) & ((low != high) | (high == 300))).tolist():
-        run = order[first[k] : first[k] + size[k]].tolist()
+    for k in np.flatnonzero((weight > 1) & ((low != high) | (high == 300))).tolist():
+        run = [x for x in order[first[k] : first[k] + size[k]].tolist() for _ in range(min(copies[owner[x]], 2))]
         at = [(int(owner[x]), int(inner[x])) for x in run]
         sides = [-1 if i == 0 else contexts[o][i - 1] for o, i in at]
         for n, members in interval_repeats([contexts[o][i:] for o, i in at], sides, length):
             o, i = at[members[0]]
             group = int.from_bytes(hashlib.blake2b(contexts[o][i : i + n], digest_size=8).digest(), "little", signed=True)
-            for m in members:
-                out.setdefault(at[m][0], []).append((group, at[m][1], n))
+            for o, i in {at[m] for m in members}:
+                out.setdefault(o, []).append((group, i, n))
     for o, found in out.items():
         yield (*keys[o], found)
 
 
 def _compare(length: int):
-    def rows(keys, contexts):
-        found = list(_within(keys, contexts, length))
+    def rows(keys, contexts, copies):
+        found = list(_within(keys, contexts, copies, length))
         columns = [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)]
         columns.append(pa.array([[g for g, _, _ in x[2]] for x in found], pa.list_(pa.int64())))
         columns.append(pa.array([[(a << SPAN_BITS) + n for _, a, n in x[2]] for x in found], pa.list_(pa.int64())))
@@ -160,19 +162,21 @@ def _compare(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[tuple[int, int]] = []
         contexts: list[bytes] = []
+        copies: list[int] = []
         held = 0
         for batch in batches:
-            for h, ctx, text in zip(*(batch.column(k).to_pylist() for k in ("h", "ctx", "bytes"))):
+            for h, ctx, c, text in zip(*(batch.column(k).to_pylist() for k in ("h", "ctx", "c", "bytes"))):
                 if keys and keys[-1] == (h, ctx):  # a repeated row of the table
                     continue
                 if held >= BATCH and keys[-1][0] != h:
-                    yield rows(keys, contexts)
-                    keys, contexts, held = [], [], 0
+                    yield rows(keys, contexts, copies)
+                    keys, contexts, copies, held = [], [], [], 0
                 keys.append((h, ctx))
                 contexts.append(text)
+                copies.append(c)
                 held += len(text)
         if keys:
-            yield rows(keys, contexts)
+            yield rows(keys, contexts, copies)
 
     return run
 
@@ -192,13 +196,12 @@ def repeats_in(units: DataFrame, length: int = LENGTH, level: int = 0, limit: in
     twice = materialise(seen.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"), "twice")
     again = materialise(seen.join(twice, "h"), "anchors")
     contexts = materialise(again.groupBy("h", "ctx").agg(F.sum("c").alias("c"), F.min(F.struct("u1", "u2", "lo", "n")).alias("rep")).select("h", "ctx", "c", "rep.*"), "contexts")
-    whole = contexts.where("c > 1").select("h", "ctx", F.array("ctx").alias("group"), F.array(F.col("n").cast("long")).alias("span"))
-    many = materialise(contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "many")
+    many = materialise(contexts.groupBy("h").agg(F.count("*").alias("m")), "many")
     asked = contexts.join(many, "h").groupBy("u1", "u2").agg(F.collect_list(F.struct("h", "ctx", "c", "m", "lo", "n")).alias("asked"))
     fetched = units.select("u1", "u2", "bytes").join(asked, ["u1", "u2"]).select("bytes", F.explode("asked").alias("r"))
     fetched = materialise(fetched.select("r.h", "r.ctx", "r.c", "r.m", F.substring("bytes", F.col("r.lo") + 1, F.col("r.n")).alias("bytes")), "fetched")
-    compared = fetched.where(F.col("m") <= limit).select("h", "ctx", "bytes").repartition("h").sortWithinPartitions("h", "ctx")
-    verdict = whole.unionAll(compared.mapInArrow(thrifty(_compare(length)), "h bigint, ctx bigint, group array<bigint>, span array<bigint>"))
+    compared = fetched.where(F.col("m") <= limit).select("h", "ctx", "c", "bytes").repartition("h").sortWithinPartitions("h", "ctx")
+    verdict = compared.mapInArrow(thrifty(_compare(length)), "h bigint, ctx bigint, group array<bigint>, span array<bigint>")
     hot = fetched.where(F.col("m") > limit)
     if hot.limit(1).count():
         hot = hot.select(F.col("h").alias("u1"), F.col("ctx").alias("u2"), "c", "bytes").dropDuplicates(["u1", "u2"])
