@@ -65,3 +65,34 @@ def test_learns_only_from_the_other_folds(spark):
     held = quality.fold(F.col("doc_id"), 5) == 0
     turned = x.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
     assert sorted(quality.quality(d, x).collect()) == sorted(quality.quality(d, turned).collect())
+
+
+def test_fitted_weights_are_those_of_plain_updates():
+    docs, labels = corpus(40)
+    truth = dict(labels)
+    z, n = {}, {}
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.05, 0.1
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= l1:
+            return 0.0
+        return -(z[k] - np.sign(z[k]) * l1) / ((beta + np.sqrt(n[k])) / alpha + l2)
+
+    for _ in range(4):
+        for i, text in docs:
+            _, features, count = quality.ngrams(*text_of(pa.array([text])))
+            x = {0: 1.0}
+            for f in features.tolist():
+                x[f] = x.get(f, 0.0) + quality.SCALE / max(int(count[0]), 1)
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + np.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - truth[i]) * v
+                sigma = (np.sqrt(n.get(k, 0.0) + g * g) - np.sqrt(n.get(k, 0.0))) / alpha
+                z[k] = z.get(k, 0.0) + g - sigma * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    got = quality.fit([(t, truth[i]) for i, t in docs])
+    want = np.zeros(quality.DIMENSIONS, np.float32)
+    for k in z:
+        want[k] = weight(k)
+    assert np.allclose(got, want, atol=1e-4) and (want != 0).sum() > 100

@@ -86,3 +86,59 @@ def test_one_class_or_no_labels(spark):
     x = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
     assert all(r.predicted == 0 for r in tx.toxicity(d, x).collect())
     assert all(r.predicted == 0 for r in tx.toxicity(d, x.limit(0)).collect())
+
+
+def plain_score(net, text):
+    """The network run step by step over every window of 32 words, by the definition."""
+    import math
+    import re
+
+    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    if not words:
+        return 0.0
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    base, mask = tx.powers()[0], (1 << 64) - 1
+
+    def poly(b):
+        return sum((c + 1) * int(base[k]) for k, c in enumerate(b)) & mask
+
+    def hashed(b, salt=0):
+        return int(tx.mix(np.array([poly(b) ^ salt], np.uint64))[0])
+
+    def vector(word):
+        b = word.encode()
+        grams = [hashed(b[k : k + size], salt) % tx.GRAMS for size, salt in ((3, 1), (4, 2), (5, 3)) for k in range(max(1, len(b) - size + 1))]
+        grams.append(hashed(b[:4], 9) % tx.GRAMS)
+        return np.concatenate([p["word"][hashed(b) % tx.WORDS], np.mean([p["gram"][g] for g in grams], axis=0)])
+
+    sig, h = lambda v: 1 / (1 + np.exp(-v)), tx.HIDDEN
+    x = [vector(w) for w in words]
+    starts = sorted({*range(0, max(1, len(words) - tx.WINDOW + 1), tx.STRIDE), max(0, len(words) - tx.WINDOW)})
+    best = -math.inf
+    for s in starts:
+        window = x[s : s + tx.WINDOW]
+        states = {}
+        for d in "fb":
+            state, out = np.zeros(h), []
+            for v in window if d == "f" else window[::-1]:
+                g, r = v @ p[f"w{d}"] + p[f"c{d}"], state @ p[f"u{d}"]
+                z, reset = sig(g[:h] + r[:h]), sig(g[h : 2 * h] + r[h : 2 * h])
+                new = np.tanh(g[2 * h :] + reset * r[2 * h :])
+                state = z * state + (1 - z) * new
+                out.append(state)
+            states[d] = out if d == "f" else out[::-1]
+        both = [np.concatenate(v) for v in zip(states["f"], states["b"])]
+        e = np.array([np.tanh(v @ p["a"]) @ p["v"] for v in both])
+        share = np.exp(e - e.max())
+        best = max(best, float((share / share.sum()) @ np.array(both) @ p["o"] + p["k"][0]))
+    return 1 / (1 + math.exp(-best))
+
+
+def test_scores_are_those_of_the_plain_network(corpus):
+    docs, labels = corpus
+    truth = dict(labels)
+    net = tx.train([(t, truth[i]) for i, t in docs[:200]], rounds=2, epochs=1, least_steps=20)
+    texts = [t for _, t in docs[200:230]] + ["", "?!", "x", "ÉTÉ Été nasty", "vile " * 33, " ".join(f"w{k}" for k in range(97)), "a" * 300 + " zorkx"]
+    for data, offsets in (text_of(pa.array(texts)),):
+        got = tx.scores(net, data, offsets)
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=2e-5)
