@@ -97,8 +97,8 @@ def _chain(x: np.ndarray, start: int, most: int = BITS) -> np.ndarray:
     return keep
 
 
-def forest(fp: np.ndarray, start: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links within one key's rows."""
+def forest(fp: np.ndarray, start: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links within one key's rows; with ``side``, of those between rows of different sides."""
     n, out = len(fp), []
     todo = np.ones(n, bool)
     for first in range(n):
@@ -108,9 +108,9 @@ def forest(fp: np.ndarray, start: int) -> list[tuple[int, int]]:
         queue = [first]
         while queue:
             v = queue.pop()
-            rest = np.flatnonzero(todo)
+            rest = np.flatnonzero(todo if side is None else todo & (side != side[v]))
             if not len(rest):
-                break
+                continue
             near = rest[_chain(fp[rest] ^ fp[v], start)]
             todo[near] = False
             out.extend((v, int(x)) for x in near)
@@ -126,13 +126,15 @@ def links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
     keyed = nodes.select("fp", "rep", F.explode(F.array(*chain_keys(F.col("fp")))).alias("key"))
     hot = keyed.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    tiles = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, part) * F.col("parts") + F.greatest(j, part)))
-    dealt = keyed.join(hot, "key", "left").select("key", "fp", "rep", F.explode(tiles).alias("tile"))
+    tile_of = lambda tile, side: F.struct(tile.alias("tile"), side.cast("int").alias("side"))
+    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: tile_of(F.least(j, part) * F.col("parts") + F.greatest(j, part), F.when(j == part, 2).otherwise((j < part).cast("int"))))
+    tiles = F.when(F.col("parts").isNull(), F.array(tile_of(F.lit(0), F.lit(2)))).otherwise(every)
+    dealt = keyed.join(hot, "key", "left").select("key", "fp", "rep", F.explode(tiles).alias("t")).select("key", "fp", "rep", "t.*")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # rows of the last run of a batch, which may go on
 
-        def edges(key, tile_, fp, rep):
+        def edges(key, tile_, fp, rep, side):
             cut = np.flatnonzero((key[1:] != key[:-1]) | (tile_[1:] != tile_[:-1])) + 1
             begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
             a, b = [], []
@@ -145,7 +147,7 @@ def links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
                 b.append(rep[s + 1])
             for k in np.flatnonzero(size > 2):
                 s = slice(begin[k], end[k])
-                e = np.array(forest(fp[s], int(key[begin[k]] >> 32) // 3), np.int64).reshape(-1, 2)
+                e = np.array(forest(fp[s], int(key[begin[k]] >> 32) // 3, None if side[begin[k]] == 2 else side[s]), np.int64).reshape(-1, 2)
                 a.append(rep[s][e[:, 0]])
                 b.append(rep[s][e[:, 1]])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -153,7 +155,7 @@ def links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "tile", "fp", "rep")]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "tile", "fp", "rep", "side")]
             cols[2] = cols[2].view(np.uint64)
             if held is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
