@@ -23,7 +23,7 @@ from .components import connected_components
 from .textops import thrifty
 
 #: Vectors of a cell's part, about; vectors that a cell should hold; most pivots.
-PART, CELL, PIVOTS = 1500, 3000, 256
+PART, CELL, PIVOTS = 4000, 3000, 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
