@@ -325,22 +325,28 @@ def training_losses(spark, sf_dir):
     return training.losses(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("epoch"), F.col("l_extendedprice").alias("loss"), F.col("l_linenumber").cast("long").alias("n")))
 
 
-@query("SELECT i AS batch, least(16, 1003 - (i // 16) * 16) AS \"window\", (i + 1) % 16 = 0 OR i + 1 = 1003 AS steps FROM (SELECT unnest(range(0, 1003)) AS i) WHERE i >= 5")
+_COUNT = "n AS (SELECT count(*) AS n FROM orders), r AS (SELECT unnest(range(0, n + n // 10)) AS i, n, n // 20 AS w FROM n)"
+
+
+@query(f"WITH {_COUNT} SELECT i AS batch, least(16, n - (i // 16) * 16) AS \"window\", (i + 1) % 16 = 0 OR i + 1 = n AS steps FROM r WHERE i >= 5 AND i < n")
 def training_accumulation(spark, sf_dir):
-    return training.accumulation_plan(spark, 1003, 16, skip=5)
+    """An epoch of as many batches as there are orders."""
+    return training.accumulation_plan(spark, table(spark, sf_dir, "orders").count(), 16, skip=5)
 
 
 def _rates(decay: str) -> str:
-    return f"CASE WHEN i < 50 THEN i / CAST(50 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) + CAST(0.9 AS DOUBLE) * ({decay}) END"
+    return f"CASE WHEN i < w THEN i / CAST(w AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) + CAST(0.9 AS DOUBLE) * ({decay}) END"
 
 
-_PROGRESS = "least(CAST(1 AS DOUBLE), (i - 50) / CAST(950 AS DOUBLE))"
+_PROGRESS = "least(CAST(1 AS DOUBLE), (i - w) / CAST(n - w AS DOUBLE))"
 
 
-@query(f"SELECT i AS step, CAST(CAST({_rates(f'CAST(0.5 AS DOUBLE) * (1 + cos(pi() * {_PROGRESS}))')} AS DECIMAL(12,9)) AS DOUBLE) AS cosine, CAST(CAST({_rates(f'1 - {_PROGRESS}')} AS DECIMAL(12,9)) AS DOUBLE) AS linear, CAST(CAST({_rates('1')} AS DECIMAL(12,9)) AS DOUBLE) AS constant FROM (SELECT unnest(range(0, 1100)) AS i)")
+@query(f"WITH {_COUNT} SELECT i AS step, CAST(CAST({_rates(f'CAST(0.5 AS DOUBLE) * (1 + cos(pi() * {_PROGRESS}))')} AS DECIMAL(12,9)) AS DOUBLE) AS cosine, CAST(CAST({_rates(f'1 - {_PROGRESS}')} AS DECIMAL(12,9)) AS DOUBLE) AS linear, CAST(CAST({_rates('1')} AS DECIMAL(12,9)) AS DOUBLE) AS constant FROM r")
 def training_rates(spark, sf_dir):
-    i, total, warm = F.col("id"), F.lit(1000), F.lit(50)
-    return spark.range(1100).select(i.alias("step"), *(schedule.rate_factor(i, total, warm, k).cast("decimal(12,9)").cast("double").alias(k) for k in ("cosine", "linear", "constant")))
+    """A run of as many steps as there are orders, a twentieth of them to warm up, and a tenth beyond its end."""
+    n = table(spark, sf_dir, "orders").count()
+    i, total, warm = F.col("id"), F.lit(n), F.lit(n // 20)
+    return spark.range(n + n // 10).select(i.alias("step"), *(schedule.rate_factor(i, total, warm, k).cast("decimal(12,9)").cast("double").alias(k) for k in ("cosine", "linear", "constant")))
 
 
 @query("SELECT o_orderkey AS key, CAST(ceil(o_orderkey / CAST(16 AS DOUBLE)) AS BIGINT) AS per_epoch, CAST(ceil(ceil(o_orderkey / CAST(4 AS DOUBLE)) / 16) * 3 AS BIGINT) AS steps, CAST(floor(o_orderkey * CAST(0.03 AS DOUBLE)) AS BIGINT) AS warmup, CASE WHEN o_orderkey % 10 = 0 THEN '-' WHEN o_orderkey >= 3600 THEN (o_orderkey // 3600) || 'h' || lpad(CAST(o_orderkey % 3600 // 60 AS VARCHAR), 2, '0') || 'm' WHEN o_orderkey >= 60 THEN (o_orderkey // 60) || 'm' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') || 's' ELSE o_orderkey || 's' END AS left_, o_orderkey * 2 AS budget FROM orders")
