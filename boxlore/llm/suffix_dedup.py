@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .textops import blocks, mix, span_hashes, text_of, thrifty
+from .textops import CHUNK, blocks, mix, powers, span_hashes, text_of, thrifty
 
 LENGTH = 200
 #: Bytes of an anchor's gram, by level.
@@ -34,7 +34,7 @@ LIMIT = 2000
 #: Bytes of contexts that are sorted at once.
 BATCH = 1 << 19
 #: Window starts handled at once, whatever the text's length; a place among them fits below the hash in 64 bits.
-PIECE = 1 << 19
+PIECE = CHUNK - 2 * LENGTH
 NO_ID = -(1 << 63)
 
 #: A span is its first byte times two to this power, plus its length.
@@ -47,10 +47,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, gram: int, length: int = LENG
     piece = PIECE if piece is None else piece
     span = length - gram + 1
     ends = offsets[1:]
+    up, down = powers()
     for begin in range(0, max(len(data) - length + 1, 0), piece):
         part = data[begin : begin + piece + length - 1]
         n = len(part) - gram + 1
-        g = span_hashes(part, np.arange(n), np.arange(n) + gram)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        g = mix((sums[gram:] - sums[:-gram]) * down[:n])  # as span_hashes of every gram
         key = (g & ~np.uint64(0xFFFFFF)) | np.arange(n, dtype=np.uint64)
         width = 1
         while 2 * width <= span:
@@ -66,7 +69,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, gram: int, length: int = LENG
             new = np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1) | (row[1:] != row[:-1])])
             first = np.flatnonzero(new)
             last = np.concatenate([first[1:], [len(start)]]) - 1
-            ctx = mix(span_hashes(part, start[first] - begin, start[last] - begin + length) ^ np.uint64(0xC0117E47))
+            low, high = start[first] - begin, start[last] - begin + length
+            ctx = mix(mix((sums[high] - sums[low]) * down[low]) ^ np.uint64(0xC0117E47))
             yield row[first], g[at[first]], start[first], start[last], ctx
 
 

@@ -143,6 +143,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
     Sums run over chunks, so memory goes with the spans and not with the bytes. ``table`` maps bytes before they count.
     """
     up, down = powers()
+    if len(data) <= CHUNK:
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(((data if table is None else table[data]) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * down[starts])
     at = [np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)]
     before, scale = 0, 1
     for a in range(0, len(data) + 1, CHUNK):
@@ -158,8 +162,6 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
             out[x:y] = sums[place[x:y] - a] * np.uint64(scale) + np.uint64(before)
         before, scale = (before + int(sums[-1]) * scale) % _TURN, scale * int(up[CHUNK]) % _TURN
     total = at[1] - at[0]
-    if len(data) < CHUNK:
-        return mix(total * down[starts])
     step, far = int(down[CHUNK]), [1]
     while len(far) <= len(data) // CHUNK:
         far.append(far[-1] * step % _TURN)

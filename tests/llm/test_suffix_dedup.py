@@ -108,9 +108,9 @@ def test_pieces_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     whole = {}
     for k, (data, offsets) in enumerate([sd.text_of(pa.array([t or "" for t in texts]))]):
-        for piece in (1 << 19, 300):
+        for piece in (sd.CHUNK - 400, 300):
             runs = list(sd.anchors(data, offsets, 48, piece=piece))
             whole[piece] = sorted((int(r), w) for rows, _, first, last, _ in runs for r, a, b in zip(rows, first, last) for w in range(a, b + 1))
-    assert whole[300] == whole[1 << 19] and len(whole[300]) > 1000
+    assert whole[300] == whole[sd.CHUNK - 400] and len(whole[300]) > 1000
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.remove_repeats(docs).collect()}
     assert [got[k] for k in range(len(texts))] == brute(texts, 200)
