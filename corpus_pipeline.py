@@ -19,6 +19,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, table(spark, sf_dir, "labels")).where("__score < 0.7").select(docs.columns)
 
 
+#: Keys of documents that are sent to every task instead of dealing the documents out; 16 bytes each.
+SENT = 1 << 19
+
+
+def _sent(keys: DataFrame) -> DataFrame:
+    """The keys, marked to be sent to every task if they are few; beyond SENT the join is Spark's to plan, by a shuffle of both sides."""
+    return F.broadcast(keys) if keys.count() <= SENT else keys
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked fingerprints one document stays, once: that of smallest id.
 
@@ -27,16 +36,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     key = ["__key1", "__key2"]  # 128 bits that stand for the id and the text
     keyed = docs.select("*", *(F.xxhash64(F.lit(k), F.col("doc_id").isNull(), "doc_id", "text").alias(c) for k, c in enumerate(key)))
-    documents = simhash.fingerprints(keyed, carried=tuple(key)).groupBy("fp", "doc_id", *key).count()
-    nodes = materialise(documents.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *key, "count")).alias("first")), "nodes")
+    documents = materialise(simhash.fingerprints(keyed, carried=tuple(key)).groupBy("fp", "doc_id", *key).count(), "documents")
+    nodes = materialise(documents.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *key)).alias("first")), "nodes")
     found = connected_components(simhash.links(nodes.select("fp", F.col("fp").alias("rep"))))
     roots = nodes.join(found, nodes["fp"] == found["id"], "left").groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min("first").alias("first"))
-    stay = materialise(roots.select("first.*").select(*key, "count"), "stay")
-    once = keyed.join(stay.where("count = 1"), key, "left_semi").select(docs.columns)
-    repeated = stay.where("count > 1")
+    stay = roots.select("first.*").select(*key)
+    go = materialise(documents.select(*key).join(stay, key, "left_anti"), "go")
+    repeated = materialise(documents.where("count > 1").select(*key).join(go, key, "left_anti"), "repeated")
+    kept = keyed.join(_sent(go), key, "left_anti")
     if repeated.isEmpty():
-        return once
-    return once.unionByName(keyed.join(repeated, key, "left_semi").dropDuplicates(key).select(docs.columns))
+        return kept.select(docs.columns)
+    once = kept.join(_sent(repeated), key, "left_anti")
+    return once.unionByName(keyed.join(_sent(repeated), key, "left_semi").dropDuplicates(key)).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
