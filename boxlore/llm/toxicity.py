@@ -227,7 +227,7 @@ class Network:
             g[f"w{d}"], g[f"c{d}"] = inputs.T @ part, part.sum(0)
         gi = flat @ np.concatenate([self.p["wf"], self.p["wb"]], 1).T
         g["word"] = (sub.word, gi[:, :DIM] * dropped)
-        g["gram"] = (sub.gram, (gi[:, DIM:] / sub.grams[:, None])[sub.owner] * sub.weight[:, None])
+        g["gram"] = (sub.gram, (gi[:, DIM:] / sub.grams[:, None])[sub.owner] * (1 if sub.weight is None else sub.weight[:, None]))
         self._update(g, rate)
         return float(-np.log(np.where(label > 0, p, 1 - p) + 1e-9).mean())
 
@@ -254,59 +254,77 @@ def _subset(t: Tokens, used: np.ndarray) -> Tokens:
     sub.owner = np.repeat(np.arange(len(used)), many)
     inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     place = t.starts[used][sub.owner] + inner
-    sub.word, sub.gram, sub.grams, sub.weight = t.word[used], t.gram[place], t.grams[used], t.weight[place]
+    sub.word, sub.gram, sub.grams, sub.weight = t.word[used], t.gram[place], t.grams[used], None if t.weight is None else t.weight[place]
     return sub
 
 
-def _parts(texts: list[str]) -> tuple[list[Tokens], np.ndarray]:
-    """The tokens of many texts, a few texts at a time, with the grams in order of their words; and the number of texts up to each."""
-    parts, ends = [], []
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
-    for block in blocks([batch], limit=BLOCK):
-        t = Tokens(*text_of(block.column("text")))
-        order = np.argsort(t.owner, kind="stable")
-        t.gram, t.owner = t.gram[order], t.owner[order]
-        t.weight = np.ones(len(order), np.float32) if t.weight is None else t.weight[order]
-        parts.append(t)
-        ends.append(block.num_rows)
-    return parts, np.cumsum(ends)
+def _slice(t: Tokens, a: int, b: int) -> Tokens:
+    """The words from a to before b of joined tokens, as a view but for the grams' owners."""
+    sub = Tokens.__new__(Tokens)
+    low, high = t.starts[a], t.starts[b]
+    sub.word, sub.gram, sub.grams, sub.weight = t.word[a:b], t.gram[low:high], t.grams[a:b], None if t.weight is None else t.weight[low:high]
+    sub.owner = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(t.starts[a : b + 1]))
+    return sub
 
 
-def _joined(parts: list[Tokens]) -> Tokens:
+def _joined(texts: list[str]) -> tuple[Tokens, list[tuple[int, int]]]:
+    """The tokens of many texts, with the grams in order of their words, held once; and ranges of texts that are small together."""
+    held: dict[str, list] = {k: [] for k in ("count", "word", "gram", "grams", "many", "weight")}
+    ranges, at = [], 0
+    for block in blocks([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])], limit=BLOCK):
+        t = Tokens(*text_of(block.column("text")))
+        order = np.argsort(t.owner, kind="stable")
+        held["gram"].append(t.gram[order])
+        held["weight"].append(None if t.weight is None else t.weight[order])
+        held["many"].append(np.bincount(t.owner, minlength=len(t.word)).astype(np.int32))
+        for k in ("count", "word", "grams"):
+            held[k].append(getattr(t, k))
+        ranges.append((at, at + block.num_rows))
+        at += block.num_rows
+    long = any(w is not None for w in held["weight"])
+    held["weight"] = [np.ones(len(g), np.float32) if w is None else w for w, g in zip(held["weight"], held["gram"])] if long else []
     t = Tokens.__new__(Tokens)
-    before = np.cumsum([0] + [len(x.word) for x in parts])
-    for name in ("count", "word", "gram", "grams", "weight"):
-        setattr(t, name, np.concatenate([getattr(x, name) for x in parts]))
-    t.owner = np.concatenate([(x.owner + b).astype(np.int32) for x, b in zip(parts, before)])
-    t.starts = np.searchsorted(t.owner, np.arange(len(t.word) + 1, dtype=np.int32))
-    del t.owner  # the starts say as much
+    for k in ("count", "word", "gram", "grams", "weight"):
+        parts = held.pop(k)
+        setattr(t, k, np.concatenate(parts) if parts else None)
+        del parts
+    t.starts = np.concatenate([[0], np.cumsum(np.concatenate(held["many"]), dtype=np.int64)])
     t.first = np.cumsum(t.count) - t.count
-    return t
+    return t, ranges
 
 
-def _telling(parts: list[Tokens], labels: list[np.ndarray]) -> list[np.ndarray]:
+def _telling(t: Tokens, ranges: list[tuple[int, int]], label: np.ndarray) -> np.ndarray:
     """A first guess of each word's weight: the largest log-odds, over its buckets, of lying in toxic documents."""
-    sizes = (WORDS, GRAMS)
-    held = [np.zeros((2, n)) for n in sizes]
-
-    def buckets(t: Tokens):
-        return ((t.word, np.arange(len(t.word))), (t.gram, t.owner))
-
-    for t, label in zip(parts, labels):
-        doc = np.repeat(np.arange(len(label)), t.count)
-        for (bucket, owner), counts in zip(buckets(t), held):
-            pair = np.unique(bucket.astype(np.int64) * len(label) + doc[owner])
+    held = [np.zeros((2, n)) for n in (WORDS, GRAMS)]
+    words = np.append(t.first, len(t.word))
+
+    def slices():
+        for a, b in ranges:
+            sub = _slice(t, words[a], words[b])
+            yield a, b, len(sub.word), ((sub.word, np.arange(len(sub.word))), (sub.gram, sub.owner))
+
+    for a, b, _, buckets in slices():
+        doc = np.repeat(np.arange(b - a), t.count[a:b])
+        for (bucket, owner), counts in zip(buckets, held):
+            pair = np.unique(bucket.astype(np.int64) * (b - a) + doc[owner])
             for k in (0, 1):
-                counts[k] += np.bincount(pair[label[pair % len(label)] == k] // len(label), minlength=counts.shape[1])
-    many = [max(1, sum(int((x == k).sum()) for x in labels)) for k in (0, 1)]
+                counts[k] += np.bincount(pair[label[a + pair % (b - a)] == k] // (b - a), minlength=counts.shape[1])
+    many = [max(1, int((label == k).sum())) for k in (0, 1)]
     odds = [np.log((c[1] / many[1] + 1e-3) / (c[0] / many[0] + 1e-3)) for c in held]
     out = []
-    for t in parts:
-        guess = np.full(len(t.word), -9.0)
-        for (bucket, owner), o in zip(buckets(t), odds):
+    for _, _, n, buckets in slices():
+        guess = np.full(n, -9.0)
+        for (bucket, owner), o in zip(buckets, odds):
             np.maximum.at(guess, owner, o[bucket])
         out.append(guess)
-    return out
+    return np.concatenate(out)
+
+
+def _places(t: Tokens, ranges: list[tuple[int, int]], row: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first word, word after the last, first window, window after the last) of each range of texts."""
+    words = np.append(t.first, len(t.word))
+    for a, b in ranges:
+        yield int(words[a]), int(words[b]), *np.searchsorted(row, (a, b)).tolist()
 
 
 def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 4, least_steps: int = 150, seed: int = 3) -> Network:
@@ -316,12 +334,13 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 4, least
         net.p["k"][:] = -4.0 if all(y == 0 for _, y in sample) else 4.0
         net.p["o"][:] = 0
         return net
-    texts, label = [x for x, _ in sample], np.array([y for _, y in sample])
-    parts, ends = _parts(texts)
-    t = _joined(parts)
+    label = np.array([y for _, y in sample])
+    t, ranges = _joined([x for x, _ in sample])
+    del sample  # its texts go too, if no one else holds them
     row, first, n = t.windows()
-    guess = np.concatenate(_telling(parts, np.split(label, ends[:-1])))
+    guess = _telling(t, ranges, label)
     score = np.array([guess[a : a + m].max() for a, m in zip(first, n)])
+    del guess
     for turn in range(rounds):
         order = np.lexsort((-score, row))
         rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
@@ -337,7 +356,7 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 4, least
                 k = mixed[a : a + 128]
                 net.step(t, first[picked[k]], n[picked[k]], y[k], rng, 0.01 if turn + 1 < rounds or 2 * epoch < turns else 0.003)
         if turn + 1 < rounds:
-            score = np.concatenate([net.score_windows(x, *x.windows()[1:]) for x in parts])
+            score = np.concatenate([net.score_windows(_slice(t, low, high), first[x:y] - low, n[x:y]) for low, high, x, y in _places(t, ranges, row)])
     del net.moments
     return net
 
@@ -387,9 +406,9 @@ def scores(net: Network, data: np.ndarray, offsets: np.ndarray, piece: int = BLO
 
 def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, per_class: int = PER_CLASS) -> DataFrame:
     """The documents with a column ``__score``; every other column is carried along, so nothing is joined or shuffled."""
-    sample = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), folds) != held, per_class, SAMPLE_BYTES)
-    sent = docs.sparkSession.sparkContext.broadcast(train(sample).p)  # of a fixed size, about 10 MB
-    del sample
+    # nothing here holds the sample while it is learned from
+    net = train(labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), folds) != held, per_class, SAMPLE_BYTES))
+    sent = docs.sparkSession.sparkContext.broadcast(net.p)  # of a fixed size, about 10 MB
     release()
     names = [c for c in docs.columns if c not in ("__score", "__text")]
 
