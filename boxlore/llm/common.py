@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Where that is unset, Spark in this one process (as in tests) gets a temporary
-    one, set on the context too; on a cluster it raises, as executors would each write to a disk of their own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="boxlore-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+from ..sources.scratch import shared_folder
 
 
 def _path(spark: SparkSession, path: str):
