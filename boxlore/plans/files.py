@@ -50,7 +50,7 @@ def source_predictions(spark, sf_dir):
 
 
 @query(
-    "WITH l AS (SELECT l_suppkey % 40 AS s, l_partkey AS f, row_number() OVER (PARTITION BY l_suppkey % 40, l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) AS n, l_orderkey, l_quantity FROM lineitem) "
+    "WITH l AS (SELECT l_suppkey % 40 AS s, l_partkey AS f, row_number() OVER (PARTITION BY l_suppkey % 40, l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_quantity DESC) AS n, l_orderkey, l_quantity FROM lineitem) "
     "SELECT 'sequence=' || s AS sequence, f || '.png' AS filename, CAST(-l_orderkey AS INTEGER) AS x, CAST(floor(l_quantity) AS INTEGER) AS w FROM l WHERE n = 1"
 )
 def source_groundtruth(spark, sf_dir):
@@ -58,8 +58,8 @@ def source_groundtruth(spark, sf_dir):
     path, k = scratch(spark, "groundtruth"), F.col("l_orderkey").cast("string")
     number = F.concat(F.lit(" -"), k, F.lit(".75 , 2, "), F.col("l_quantity").cast("string"), F.lit(" ,4"))
     line = F.concat(F.lit(" "), F.col("l_partkey").cast("string"), F.lit(".png,"), number, F.lit("\n# a comment, 1, 2, 3, 4\n\nfive, 1, 2\n"))
-    lines = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).alias("sequence"), "l_orderkey", "l_linenumber", "l_suppkey", line.alias("value"))
-    lines = lines.repartition(40, "sequence").sortWithinPartitions("sequence", "l_orderkey", "l_linenumber", "l_suppkey").select("sequence", "value")
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).alias("sequence"), "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", line.alias("value"))
+    lines = lines.repartition(40, "sequence").sortWithinPartitions("sequence", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity").select("sequence", "value")
     lines.write.partitionBy("sequence").text(path)
     return readers.groundtruth(spark, f"{path}/*/*.txt").select("sequence", "filename", "x", "w")
 
