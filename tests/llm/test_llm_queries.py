@@ -12,7 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 
 COLUMNS = {
     "op3": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
-    "op4": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op4": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, n_near bigint",
     "op5": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
     "op6": "doc_id bigint, held_out boolean, score double, predicted int",
     "op7": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
