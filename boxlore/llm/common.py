@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.scratch import shared_folder
 
 
+#: Spark's setting of the bytes of an Arrow batch, the value that it has if no one sets it, and the one that the operators take.
+ARROW_BYTES, UNSET, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(4 << 20)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let texts go to Python workers in batches of 4 MB, where the session has no size of its own: of 64 MB, Spark's default, an
+    executor holds several at a time, in the JVM and in Python. A longer row still is a batch."""
+    if spark.conf.get(ARROW_BYTES, None) == UNSET:
+        spark.conf.set(ARROW_BYTES, BATCH_BYTES)
+
+
 def _path(spark: SparkSession, path: str):
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -21,6 +32,7 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     when the driver's JVM ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     jvm_path, files = _path(spark, path)
@@ -39,4 +51,5 @@ def drop(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
