@@ -63,7 +63,7 @@ def test_shards_go_on_and_must_be_whole(spark, tmp_path, monkeypatch):
         inference.run_in_shards(items, "stand-in", str(tmp_path / "other"), 2, 4)
 
 
-def test_pictures_are_decoded_once_while_32_are_kept(spark, tmp_path):
+def test_pictures_are_decoded_once_while_32_are_kept(spark, tmp_path, monkeypatch):
     class Echo:
         def load(self):
             pass
@@ -78,7 +78,7 @@ def test_pictures_are_decoded_once_while_32_are_kept(spark, tmp_path):
             f.write(path + "\n")
         return path
 
-    inference.register("echo", Echo)
+    monkeypatch.setitem(inference._REGISTRY, "echo", Echo)
     rows = [(f"k{n:03d}", f"v{n % 20}", "q") for n in range(100)]
     items = spark.createDataFrame(rows, "key string, visible string, query string").coalesce(1)
     assert all(r.bbox == [0.0, 0.0, 1.0, 1.0] for r in inference.predict(items, "echo", decode=decode).collect())
