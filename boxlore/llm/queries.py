@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixture, pii, quality, range_join, simhash, suffix_dedup, token_counts, toxicity
+from . import byte_bpe, decontaminate, language, mixture, pii, quality, range_join, simhash, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encoded_digests(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
@@ -116,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_counts, op2_language_id, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_embedding_near_dedup,
         op6_quality_classifier, op7_source_mixing, op8_simhash_near_dedup, op9_personal_data, op10_toxicity,
+        op12_byte_bpe,
     )
 }
 ORACLES: dict[str, str] = {"op3_suffix_array_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op5_embedding_near_dedup": OP5_SQL, "op7_source_mixing": OP7_SQL}

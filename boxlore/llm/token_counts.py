@@ -1,48 +1,48 @@
 """Edit-aware token counts: a segment tree of pre-token runs per document, of which edits re-encode only what they touch.
 
-A leaf holds a run of whole pre-tokens. Leaves meet only between a letter and a space that a letter follows: there the
-tokenizer's pattern always starts a new pre-token, whatever else the text holds. An edit replaces the leaves it lies in,
-with the neighbour where it comes within two characters of a boundary (only those characters decide that the boundary
-stands), encodes just that region anew, and updates the sums on the path to the root.
+A leaf holds a run of whole pre-tokens. Leaves meet only where two characters alone decide that the tokenizer's pattern
+starts a new pre-token, whatever else the text holds: before white space that follows something else, behind a run of
+letters or of digits, and between signs (but the apostrophe) and letters or digits. An edit replaces the leaves it lies
+in, with the neighbour where it comes within two characters of a boundary, encodes just that region anew, and updates the
+sums on the path to the root. A single pre-token (of white space, or of one script without a sign) is the least that can be
+encoded, so a leaf is longer where a pre-token is.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
-import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import BOUNDARY, Vocabulary, compiled, read_vocabulary
 from .pii import base_spans
 from .textops import blocks, thrifty
 
 #: The vocabulary file of a byte-level BPE, as lines of base64 token and rank; another path may be given.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Fixed value: the pre-token pattern that this vocabulary goes with.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a leaf, at least (but for the last).
 LEAF = 512
-_BOUNDARY = re.compile(r"(?<=[^\W\d_])(?= [^\W\d_])")
 _REACH = 2
 
 
+@functools.cache
+def _boundary():
+    return compiled(BOUNDARY)
+
+
 def load(lines: bytes) -> Callable[[str], int]:
     """A function that counts a text's tokens."""
-    import tiktoken
-
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
-    encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: len(encoding.encode_ordinary(text))
+    vocabulary = Vocabulary(lines)
+    return lambda text: len(vocabulary.encode(text))
 
 
 def cut(text: str, least: int = LEAF) -> list[str]:
     """The text as runs of whole pre-tokens."""
-    out, at = [], 0
-    while m := _BOUNDARY.search(text, at + least):
+    out, at, search = [], 0, _boundary().search
+    while m := search(text, at + least):
         out.append(text[at : m.start()])
         at = m.start()
     return [*out, text[at:]] if at < len(text) or not out else out
@@ -150,15 +150,6 @@ class TokenTree:
             yield from self._near(node.right, at + node.left.chars, low, high, before, after)
 
 
-def read_vocabulary(spark: SparkSession, path: str) -> bytes:
-    """The file's bytes, by Python on the driver or else by Spark's readers."""
-    try:
-        with open(path, "rb") as f:
-            return f.read()
-    except OSError:
-        return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-
-
 def redactions(text: str) -> list[tuple[int, int, str]]:
     """The edits of the query: every base span of personal data is replaced by its kind, from the last to the first."""
     spans, out, at = base_spans(text), [], 0

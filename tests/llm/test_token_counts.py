@@ -77,3 +77,25 @@ def test_many_appends_behind_a_large_insert_stay_balanced(count):
         return 1 + max(a, b)
 
     assert height(tree.root) == tree.root.height < 25 and tree.tokens == count(tree.text())
+
+
+@pytest.mark.parametrize("filler", [" ", "\n", "^", "0", "a", "漢"])
+def test_a_run_of_millions(count, filler):
+    tree = tc.TokenTree("a" + filler * 2_000_000 + " b", count)
+    assert tree.tokens > 100_000
+
+
+def test_texts_of_digits_signs_lines_or_one_script_have_leaves(count):
+    for text in ("12.5, 13.7, " * 10_000, "----++++\n\n" * 12_000, "，漢字。" * 30_000, "12\n\n13\n" * 20_000):
+        tree = tc.TokenTree(text, count)
+        before, rng = tree.encoded, random.Random(5)
+        for _ in range(20):
+            at = rng.randrange(len(text))
+            tree.edit(at, at + 1, "7")
+        assert tree.encoded - before < 20 * 4 * tc.LEAF and tree.tokens == count(tree.text())
+
+
+def test_long_white_space_through_spark(spark, count):
+    text = "a" + " " * 1_000_000 + "b"
+    docs = spark.createDataFrame([(1, text), (2, "x y")], "doc_id long, text string")
+    assert sorted(tuple(r)[:3] for r in tc.token_counts(docs).collect()) == [(1, count(text), 0), (2, 2, 0)]
