@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, language, mixture, pii, quality, range_join, simhash, suffix_dedup, token_counts, toxicity
+from . import byte_bpe, decontaminate, language, mixture, pii, quality, range_join, simhash, suffix_dedup, token_counts, toxicity, vector_codes
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded_digests(table(spark, sf_dir, "documents"))
 
@@ -115,12 +119,34 @@ y AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor
 SELECT doc_id, size, source_size, target, whole * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - whole * source_size - earlier)) AS taken FROM y
 """
 
+def _op11_rounds() -> str:
+    """Assignment ``a``k to codebook ``c``k, and the codebook after it."""
+    step = """
+d{k} AS MATERIALIZED (SELECT r, v.part, entry, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{k} AS c ON v.part = c.part AND v.pos = c.pos GROUP BY r, v.part, entry),
+a{k} AS MATERIALIZED (SELECT r, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM d{k} GROUP BY r, part),"""
+    move = """
+c{n} AS MATERIALIZED (SELECT c.entry, c.part, c.pos, coalesce(m.x, c.x) AS x FROM c{k} AS c LEFT JOIN
+    (SELECT a.entry, v.part, v.pos, CAST((sum(v.x) - ((sum(v.x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x FROM a{k} AS a JOIN v USING (r, part) GROUP BY a.entry, v.part, v.pos) AS m USING (entry, part, pos)),"""
+    return step.format(k=0) + move.format(k=0, n=1) + step.format(k=1) + move.format(k=1, n=2) + step.format(k=2)
+
+
+OP11_SQL = rf"""
+WITH e AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, embedding FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS MATERIALIZED (SELECT r, (i - 1) // s AS part, (i - 1) % s AS pos, CAST(floor(256 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x
+                   FROM (SELECT r, embedding, len(embedding) // 16 AS s, unnest(generate_series(1, len(embedding))) AS i FROM e)),
+c0 AS MATERIALIZED (SELECT r AS entry, part, pos, x FROM v WHERE r < 64),{_op11_rounds()}
+t AS (SELECT r, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY r),
+h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN t USING (r), h
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_language_id, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_embedding_near_dedup,
         op6_quality_classifier, op7_source_mixing, op8_simhash_near_dedup, op9_personal_data, op10_toxicity,
-        op12_byte_bpe,
+        op11_vector_codes, op12_byte_bpe,
     )
 }
-ORACLES: dict[str, str] = {"op3_suffix_array_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op5_embedding_near_dedup": OP5_SQL, "op7_source_mixing": OP7_SQL}
+ORACLES: dict[str, str] = {"op3_suffix_array_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op5_embedding_near_dedup": OP5_SQL, "op7_source_mixing": OP7_SQL, "op11_vector_codes": OP11_SQL}
