@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, language, mixture, pii, quality, range_join, simhash, suffix_dedup, token_counts, toxicity, vector_codes
+from . import byte_bpe, collocations, decontaminate, language, mixture, pii, quality, range_join, simhash, suffix_dedup, token_counts, toxicity, vector_codes
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
@@ -141,12 +145,28 @@ h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN t USING (r), h
 """
 
+OP13_SQL = r"""
+WITH p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+      unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+i AS (SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(generate_series(1, k - m + 1)) AS s FROM (SELECT *, unnest(generate_series(2, k - 1)) AS m FROM c WHERE k > 2)) GROUP BY ALL),
+o AS (SELECT c.* FROM c LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+x AS (SELECT *, array_to_string(w[1:j], ' ') AS first, array_to_string(w[j + 1:], ' ') AS rest FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM o)),
+s AS (SELECT x.lang, x.phrase, x.a, x.j, l.f AS l, r.f AS r, n, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+      FROM x JOIN f AS l ON l.lang = x.lang AND l.phrase = x.first JOIN f AS r ON r.lang = x.lang AND r.phrase = x.rest JOIN t ON t.lang = x.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM b WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_language_id, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_embedding_near_dedup,
         op6_quality_classifier, op7_source_mixing, op8_simhash_near_dedup, op9_personal_data, op10_toxicity,
-        op11_vector_codes, op12_byte_bpe,
+        op11_vector_codes, op12_byte_bpe, op13_collocations,
     )
 }
-ORACLES: dict[str, str] = {"op3_suffix_array_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op5_embedding_near_dedup": OP5_SQL, "op7_source_mixing": OP7_SQL, "op11_vector_codes": OP11_SQL}
+ORACLES: dict[str, str] = {"op3_suffix_array_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op5_embedding_near_dedup": OP5_SQL, "op7_source_mixing": OP7_SQL, "op11_vector_codes": OP11_SQL, "op13_collocations": OP13_SQL}
