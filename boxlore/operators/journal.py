@@ -11,22 +11,33 @@ from pyspark.sql import functions as F
 
 from ..functions.text import scene_of
 
-RECORD = "id string, bbox array<string>, query string, annotator string, ts string"
+#: A record's members, each as whatever it is; of a name that is there twice the last counts.
+RECORD = "id variant, bbox variant, query variant, annotator variant, ts variant"
 #: What a journal record becomes: ``has_bbox`` tells a null box from a missing one.
 RECORDS = "pos long, id string, has_bbox boolean, bbox array<double>, query string, annotator string, ts string"
+#: Queries, as JSON, that set none.
+_NOTHING = ("0", "-0", "0.0", "-0.0", "false", "[]", "{}")
 
 
 def parse_records(lines: DataFrame, line: str = "line", pos: str = "pos") -> DataFrame:
-    """Records from JSON lines. Blank, torn and non-object lines and those without an id go; a bad box stays as ``has_bbox`` null,
-    as such a record changes neither box nor annotator."""
-    r = F.from_json(F.col(line), RECORD, {"mode": "PERMISSIVE"})
+    """Records from JSON lines. Blank, torn and non-object lines and those whose id is no text or empty go.
+
+    A box is four values that make numbers (numbers, texts of numbers, and true and false as 1 and 0). A bad one stays as
+    ``has_bbox`` null, as such a record changes neither box nor annotator. A query of another kind than text is its JSON.
+    """
     keys = F.json_object_keys(line)
-    x = lines.where(F.trim(line) != "").select(F.col(pos).alias("pos"), F.col(line).alias("line"), r.alias("r"), keys.alias("keys")).where("r.id <> '' and keys is not null")
-    raw = F.get_json_object("line", "$.bbox")
-    numbers = F.transform("r.bbox", lambda v: v.try_cast("double"))
-    good = (F.size("r.bbox") == 4) & ~F.exists(numbers, lambda v: v.isNull())
-    has = F.when(~F.array_contains("keys", "bbox"), F.lit(False)).when(raw.isNull() | good, F.lit(True))
-    return x.select("pos", F.col("r.id").alias("id"), has.alias("has_bbox"), F.when(good, numbers).alias("bbox"), F.nullif("r.query", F.lit("")).alias("query"), F.col("r.annotator").alias("annotator"), F.col("r.ts").alias("ts"))
+    x = lines.where(F.trim(line) != "").select(F.col(pos).alias("pos"), F.from_json(F.col(line), RECORD).alias("r"), keys.alias("keys"))
+    text = lambda c: F.try_variant_get(f"r.{c}", "$", "string")
+    kind = lambda c: F.schema_of_variant(f"r.{c}")
+    x = x.where(F.col("keys").isNotNull() & (kind("id") == "STRING") & (text("id") != ""))
+    numbers = F.transform(F.try_variant_get("r.bbox", "$", "array<variant>"), lambda v: F.try_variant_get(v, "$", "double"))
+    good = F.coalesce((F.size(numbers) == 4) & ~F.exists(numbers, lambda v: v.isNull()), F.lit(False))
+    null = F.is_variant_null("r.bbox")
+    has = F.when(~F.array_contains("keys", "bbox"), F.lit(False)).when(null | good, F.lit(True))
+    json = F.to_json("r.query")
+    query = F.when(kind("query") == "STRING", F.nullif(text("query"), F.lit(""))).when(~F.is_variant_null("r.query") & ~json.isin(*_NOTHING), json)
+    query = F.when(json == "true", "True").otherwise(query)
+    return x.select("pos", text("id").alias("id"), has.alias("has_bbox"), F.when(good, numbers).alias("bbox"), query.alias("query"), text("annotator").alias("annotator"), text("ts").alias("ts"))
 
 
 def replay(records: DataFrame) -> DataFrame:

@@ -98,26 +98,28 @@ def source_complete_samples(spark, sf_dir):
     return readers.complete_samples(frames, files).select("key")
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 4 <> 3 THEN CAST(0.25 AS DOUBLE) END AS x1, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS query, c_custkey % 4 = 3 AS absent FROM customer")
+@query(
+    "SELECT CAST(c_custkey AS VARCHAR) AS id, CASE c_custkey % 4 WHEN 3 THEN NULL ELSE c_custkey % 5 + CAST(0.5 AS DOUBLE) END AS x1, CASE WHEN c_custkey % 3 = 0 THEN 'again ' || c_name WHEN c_custkey % 2 = 0 THEN c_name END AS query, c_custkey % 4 = 3 AS absent, "
+    "CASE WHEN c_custkey % 4 = 3 THEN 'b:absent' ELSE CASE WHEN c_custkey % 5 > 0 THEN 'b' ELSE 'a' END END AS annotator FROM customer"
+)
 def journal_appended(spark, sf_dir):
-    """Three appends to a journal: every box, some queries, and some boxes that are said to be absent."""
+    """Five appends to a journal, of which later ones take back earlier ones by their order alone."""
     c, path = table(spark, sf_dir, "customer"), scratch(spark, "journal")
-    k, box = F.col("c_custkey"), F.array(*map(F.lit, (0.25, 0.0, 1.0, 1.0)))
+    k = F.col("c_custkey")
+    box = lambda x: F.array(x.cast("double"), *map(F.lit, (0.0, 9.0, 9.0)))
+    none, no_box = F.lit(None).cast("string"), F.lit(None).cast("array<double>")
 
     def append(rows, has, bbox, text, who):
         edits = rows.select(k.cast("string").alias("id"), F.lit(has).alias("has_bbox"), bbox.alias("bbox"), text.alias("query"), F.lit(who).alias("annotator"), F.lit("t").alias("ts"))
         writers.append_journal(journal.as_lines(edits), path)
-        parts.append(readers.json_lines(spark, path))
-
-    parts: list = []
-    none = F.lit(None).cast("string")
-    append(c, True, box, none, "ann")
-    append(c.where("c_custkey % 2 = 0"), False, F.lit(None).cast("array<double>"), F.col("c_name"), "ann")
-    append(c.where("c_custkey % 4 = 3"), True, F.lit(None).cast("array<double>"), none, "ann:absent")
-    # files of one folder have no order among them but that of the appends: an absence comes last
-    lines = parts[-1].withColumn("turn", F.when(F.contains("line", F.lit(":absent")), 2).when(F.contains("line", F.lit("query")), 1).otherwise(0))
-    records = journal.parse_records(lines.withColumn("at", F.struct("turn", "place")), pos="at")
-    return journal.replay(records).select("id", F.get("bbox", 0).alias("x1"), "query", "absent")
+
+    append(c, True, box(F.lit(0.5)), none, "a")
+    append(c.where("c_custkey % 2 = 0"), False, no_box, F.col("c_name"), "a")
+    append(c.where("c_custkey % 5 > 0"), True, box(k % 5 + 0.5), none, "b")
+    append(c.where("c_custkey % 3 = 0"), False, no_box, F.concat(F.lit("again "), "c_name"), "a")
+    append(c.where("c_custkey % 4 = 3"), True, no_box, none, "b:absent")
+    records = journal.parse_records(readers.json_lines(spark, path))
+    return journal.replay(records).select("id", F.get("bbox", 0).alias("x1"), "query", "absent", "annotator")
 
 
 @query(f"WITH {_REPLAY} SELECT id, 'box' AS kind, CAST(x1 AS VARCHAR) AS value FROM r WHERE x1 IS NOT NULL UNION ALL SELECT id, 'query', query FROM r WHERE query IS NOT NULL UNION ALL SELECT id, 'absent', annotator FROM r WHERE absent")

@@ -15,6 +15,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import commit
+
 
 def write_json(path: str, value: object, indent: int | None = 2) -> None:
     """One JSON file, by a temporary one beside it that is renamed when it is on disk."""
@@ -56,9 +58,20 @@ def publish(outputs: dict[str, Callable[[str], None]], force: bool = False) -> N
         os.replace(aside, path)
 
 
-def append_journal(edits: DataFrame, folder: str) -> None:
-    """JSON lines (a column ``value``) appended to a journal folder as a new file; what is there is never rewritten."""
-    edits.select("value").coalesce(1).write.mode("append").text(folder)  # one append is one file, which keeps its lines in order
+def append_journal(edits: DataFrame, folder: str) -> int:
+    """Append JSON lines (a column ``value``) to a journal folder, in the order of the DataFrame's partitions; its entry's number.
+
+    The lines are written aside by all tasks and then take the next free number in one rename, so an append is there as a whole
+    or not at all, appends of several writers have one order, and what is there is never rewritten.
+    """
+    spark = edits.sparkSession
+    staged = commit.staging(folder)
+    try:
+        edits.select("value").write.option("lineSep", "\n").text(staged)
+        return commit.add_entry(spark, folder, staged)
+    except BaseException:
+        commit.discard(spark, staged)
+        raise
 
 
 def append_lines(path: str, lines: list[str]) -> None:

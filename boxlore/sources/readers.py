@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.commit import DIGITS, last_entry
+
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
@@ -25,12 +27,41 @@ def json_object(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, line) of a line file, in order of file and line.
+    """(pos, line) of a journal, which is one line file or a folder of numbered appends; ``pos`` orders the lines.
 
-    Text splits carry no line numbers, so each file is read whole and exploded: a journal is one writer's file.
+    Files are split by bytes, so a journal of any size is read by many tasks: a line's place is the number of its append, the
+    part of it, the byte at which its split begins, and its turn within that. A folder of several files without numbers has
+    no order, and raises; what is staged there is not read. Lines that are no UTF-8 go.
     """
-    x = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return x.select("file", F.posexplode(F.split("value", "\n")).alias("n", "line")).select(F.struct("file", "n").alias("place"), "line")
+    read = spark.read.option("lineSep", "\n")
+    place = _metadata_place(F.lit(0).cast("long"), F.lit(0))
+    if is_folder(spark, path):
+        if last_entry(spark, path):
+            name = F.col("_metadata.file_path")
+            number = F.regexp_extract(name, rf"/(\d{{{DIGITS}}})/[^/]*\z", 1).cast("long")
+            place = _metadata_place(number, F.regexp_extract(name, r"part-(\d+)[^/]*\z", 1).cast("int"))
+            path = f"{path.rstrip('/')}/{'[0-9]' * DIGITS}"
+        elif len(plain_files(spark, path)) > 1:
+            raise ValueError(f"{path}: several files without numbers have no order; append them one after the other")
+    elif not glob_files(spark, path):
+        return spark.createDataFrame([], "pos struct<entry: bigint, part: int, block: bigint, turn: bigint>, line string")
+    x = read.text(path).select(place.alias("pos"), F.col("value").alias("line"))
+    return x.where(F.is_valid_utf8("line"))
+
+
+def _metadata_place(entry: Column, part: Column) -> Column:
+    return F.struct(entry.alias("entry"), part.alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("turn"))
+
+
+def glob_files(spark: SparkSession, pattern: str) -> list[str]:
+    """The files that a path or a pattern names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return [str(s.getPath()) for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or [] if s.isFile()]
+
+
+def plain_files(spark: SparkSession, folder: str) -> list[str]:
+    """A folder's own files but for hidden and marker ones."""
+    return [f for f in glob_files(spark, f"{folder.rstrip('/')}/*") if not f.rsplit("/", 1)[1].startswith((".", "_"))]
 
 
 def groundtruth(spark: SparkSession, glob: str) -> DataFrame:

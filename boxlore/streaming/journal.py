@@ -12,22 +12,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.journal import merge, parse_records
 from .source import JournalSource
 
-STATE = "bbox array<double>, query string, absent boolean, annotator string, ts string"
-OUTPUT = f"id string, {STATE}"
+LIVE = "bbox array<double>, query string, absent boolean, annotator string, ts string"
+OUTPUT = f"id string, {LIVE}"
+#: ``known``: a box event or a query-only record has said whose the row is, be it nobody's.
+STATE = f"{LIVE}, known boolean"
 #: Parts of a merged dataset, by a hash of the id; a batch writes only those that it touches.
 PARTS = 64
 
 
 def tail(spark: SparkSession, path: str) -> DataFrame:
     """Records of a journal file or folder of them, as lines are appended and files added; ``path`` must be mounted on every
-    executor. Within a batch ``pos`` is the order of the files' times, then of their lines."""
+    executor. In a folder of numbered appends ``pos`` is the order of these; of other files within a batch, that of their times."""
     spark.dataSource.register(JournalSource)
     return parse_records(spark.readStream.format(JournalSource.name()).load(path))
 
 
 def _replay(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    bbox, query, absent, annotator, ts = state.get if state.exists else (None, None, False, None, None)
-    known = annotator is not None or ts is not None
+    bbox, query, absent, annotator, ts, known = state.get if state.exists else (None, None, False, None, None, False)
     rows = pd.concat(list(frames)).sort_values("pos")
     for r in rows.to_dict("records"):
         if isinstance(r["query"], str):
@@ -45,7 +46,7 @@ def _replay(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
             bbox, absent, annotator, ts, known = None, True, r["annotator"], r["ts"], True
         else:
             bbox, absent, annotator, ts, known = None, False, None, None, False
-    state.update((bbox, query, absent, annotator, ts))
+    state.update((bbox, query, absent, annotator, ts, known))
     yield pd.DataFrame({"id": [key[0]], "bbox": [bbox], "query": [query], "absent": [absent], "annotator": [annotator], "ts": [ts]})
 
 

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..sinks.commit import DIGITS
+
 #: Bytes of a file that one task reads.
 SPLIT = 64 << 20
 _BLOCK = 1 << 16
-#: Bits of a position that count a file's bytes; those above count the files of a batch.
-FILE_BITS = 44
+#: Bits of a position that count the bytes of an append or file; those above are the append's number or count a batch's files.
+FILE_BITS = 40
 
 
 def _local(path: str) -> str:
@@ -27,6 +30,19 @@ def _files(path: str) -> list[str]:
     return [path] if os.path.exists(path) else []
 
 
+def _entries(path: str) -> list[int]:
+    """The numbers of a journal folder's appends, which have no gap among them."""
+    if not os.path.isdir(path):
+        return []
+    return sorted(int(e.name) for e in os.scandir(path) if e.is_dir() and len(e.name) == DIGITS and e.name.isdigit())
+
+
+def _parts(path: str, number: int) -> list[str]:
+    """The files of an append in the order in which it was written."""
+    folder = os.path.join(path, f"{number:0{DIGITS}d}")
+    return sorted(_files(folder), key=lambda p: (int((re.findall(r"part-(\d+)", os.path.basename(p)) or ["0"])[0]), p))
+
+
 def whole_lines(path: str) -> int:
     """The number of bytes up to the end of the last ended line; a line that is still being written waits."""
     with open(path, "rb") as f:
@@ -43,39 +59,51 @@ def whole_lines(path: str) -> int:
 
 @dataclass
 class Span(InputPartition):
-    """Lines of a file that begin in [begin, end); ``first`` is where the batch's lines of this file begin."""
+    """Lines of a file that begin in [begin, end); ``first`` is where the batch's lines of this file begin, ``base`` the position
+    of its first byte."""
 
     path: str
-    number: int
+    base: int
     first: int
     begin: int
     end: int
 
 
 class JournalReader(DataSourceStreamReader):
-    """Offsets: by file name, the bytes that were read and the file's time then, in nanoseconds."""
+    """Offsets: the number of the last append that was read, and by name of other files the bytes that were read and the file's
+    time then, in nanoseconds."""
 
     def __init__(self, path: str, split: int = SPLIT):
         self.path, self.split = path, split
 
     def initialOffset(self) -> dict:
-        return {"files": {}}
+        return {"entry": 0, "files": {}}
 
     def latestOffset(self) -> dict:
-        return {"files": {os.path.basename(p): {"bytes": whole_lines(p), "at": os.stat(p).st_mtime_ns} for p in _files(self.path)}}
+        numbers = _entries(self.path)
+        return {"entry": numbers[-1] if numbers else 0, "files": {os.path.basename(p): {"bytes": whole_lines(p), "at": os.stat(p).st_mtime_ns} for p in _files(self.path)}}
+
+    def _spans(self, path: str, base: int, first: int, last: int) -> list[Span]:
+        return [Span(path, base, first, a, min(last, a + self.split)) for a in range(first, last, self.split)]
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
-        grown = []
+        grown, out = [], []
+        for number in range(start.get("entry", 0) + 1, end.get("entry", 0) + 1):
+            base = number << FILE_BITS
+            for path in _parts(self.path, number):
+                size = os.path.getsize(path)
+                out += self._spans(path, base, 0, size)
+                base += size
         for name, to in end["files"].items():
             had = start["files"].get(name, {"bytes": 0})["bytes"]
             if to["bytes"] < had:
                 raise ValueError(f"{name} has shrunk: a journal is only appended to")
             if to["bytes"] > had:
                 grown.append((to["at"], name, had, to["bytes"]))
-        out = []
-        for number, (_, name, first, last) in enumerate(sorted(grown)):
-            path = os.path.join(self.path, name) if os.path.isdir(self.path) else self.path
-            out += [Span(path, number, first, a, min(last, a + self.split)) for a in range(first, last, self.split)]
+        if grown and end.get("entry", 0):
+            raise ValueError("a journal is a folder of numbered appends, or files that grow, not both")
+        for turn, (_, name, first, last) in enumerate(sorted(grown)):
+            out += self._spans(os.path.join(self.path, name) if os.path.isdir(self.path) else self.path, turn << FILE_BITS, first, last)
         return out
 
     def read(self, partition: Span) -> Iterator[tuple[int, str]]:
@@ -89,7 +117,7 @@ class JournalReader(DataSourceStreamReader):
                 line = f.readline()
                 if not line:
                     break
-                yield (partition.number << FILE_BITS) + at, line.decode("utf-8", "replace").rstrip("\r\n")
+                yield partition.base + at, line.decode("utf-8", "replace").rstrip("\r\n")
                 at += len(line)
 
     def commit(self, end: dict) -> None:

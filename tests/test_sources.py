@@ -167,7 +167,7 @@ def test_store_writes_are_journal_records(spark, tmp_path):
     writers.delete_box(path, "001_2", "ann:absent")
     writers.set_box(path, "001_3", [0, 0, 1, 1], "ann")
     writers.delete_box(path, "001_3", "ann")
-    state = journal.replay(journal.parse_records(readers.json_lines(spark, path), pos="place"))
+    state = journal.replay(journal.parse_records(readers.json_lines(spark, path)))
     got = {r.id: (r.bbox, r.query, r.absent, r.annotator) for r in state.collect()}
     assert got == {"001_1": ([0.0, 0.0, 1.0, 1.0], "the é box", False, "ann"), "001_2": (None, None, True, "ann:absent"), "001_3": (None, None, False, None)}
     assert all(r["ts"].endswith("Z") and len(r["ts"]) == 20 for r in map(json.loads, open(path)))
