@@ -1,25 +1,30 @@
 """Phrase collocations from vertical positional lists.
 
 The texts are cut into shards, each of one language. A shard holds, for every word, the sorted list of its positions;
-a piece's end leaves a gap, so that two words are neighbours just where their positions are. The list of a phrase is found
-from the list of its first words: its positions, moved by its length, are merged with the postings of the word behind. The
-length of a list is the phrase's count in the shard; sums over shards tell which phrases are frequent, and only their lists
-are extended, to phrases whose last words are frequent too. No list leaves its shard: what is shuffled is a row for each
-phrase and shard.
+a piece's end leaves a gap, so that two words are neighbours just where their positions are. Occurrences of a phrase are
+found from those of its first words: their positions, moved by the phrase's length, are merged with the postings of the
+word behind. The length of a phrase's list is its count in the shard, and the sum over shards its frequency.
+
+Which phrases to extend is known before any phrase is shuffled: each pass counts the occurrences of one length by a hash
+of the phrase, and only phrases whose bucket reaches the least frequency are extended, if their last words' bucket does
+as well. A bucket's count is never below that of its phrases, so none is lost; the lists that are left at the end are
+counted exactly, by their text. No list leaves its shard.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, materialise
-from .textops import CHUNK, LOWER, thrifty
+from .textops import CHUNK, LOWER, mix, span_hashes, thrifty
 
 #: Longest phrase, least count of a candidate, and phrases of a language's report.
 LONGEST, LEAST, REPORTED = 5, 100, 2000
@@ -29,6 +34,11 @@ SHARE = 100
 SHARD_BYTES = 6 << 20
 #: Shuffled rows of a report's first cut by language and hash, so that no task sorts a language alone.
 SALTS = 64
+#: Words a bucket holds on average, and how many buckets there are at least and at most: a task counts in as many bytes, and an
+#: eighth of that is sent to every task. With more words than both allow, buckets say less and more phrases are counted by text.
+LOAD, FEWEST, MOST = 32, 1 << 12, 1 << 27
+#: Buckets of a shuffled row.
+SEGMENT = 1 << 12
 
 #: Fixed values of the contract: what ends a piece, and what ends a word.
 _ENDS = np.zeros(256, bool)
@@ -36,7 +46,7 @@ _ENDS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _GAPS = _ENDS.copy()
 _GAPS[[32, 9]] = True
 
-_SHARD = "shard bigint, lang string, owned bigint, words array<string>, ptr binary, positions binary, list_words binary, list_ptr binary, list_positions binary"
+_SHARD = "lang string, owned bigint, n bigint, words array<string>, ptr binary, positions binary"
 
 
 class Lists:
@@ -48,44 +58,33 @@ class Lists:
     @classmethod
     def of(cls, ids: np.ndarray, positions: np.ndarray, n: int) -> Lists:
         """Lists of the positions, which rise, by id."""
-        order = np.argsort(ids, kind="stable")
-        return cls(np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=n))]), positions[order])
+        return cls(np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=n))]), positions[np.argsort(ids, kind="stable")])
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.ptr)
 
-    def ids(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.ptr) - 1), self.counts)
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        """All positions in order, and the list of each; no two lists share one."""
+        at = np.full(int(self.positions.max(initial=-1)) + 1, -1, np.int32)
+        at[self.positions] = np.repeat(np.arange(len(self.ptr) - 1, dtype=np.int32), self.counts)
+        places = np.flatnonzero(at >= 0)
+        return places, at[places]
 
-    def only(self, keep: np.ndarray) -> Lists:
-        """The lists whose numbers are given, in that order."""
-        sizes = self.counts[keep]
-        ptr = np.concatenate([[0], np.cumsum(sizes)])
-        return Lists(ptr, self.positions[np.repeat(self.ptr[keep] - ptr[:-1], sizes) + np.arange(ptr[-1])])
 
+def extend(at: np.ndarray, behind: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which, word): the occurrences at ``at``, of phrases of ``length`` words, that a word's posting goes on, and which posting.
 
-def extend(lists: Lists, words: Lists, length: int, owned: int) -> tuple[np.ndarray, np.ndarray, Lists]:
-    """(first, word, lists): the lists of phrases of one word more, each with the list and the word that it is made of.
-
-    A phrase of ``length`` words at p and a word at p + length make a longer one, if p + 1 begins a phrase of the lists as
-    well; phrases that begin behind ``owned`` belong to the next shard, so nothing is known of those.
+    Two merges of sorted lists: with the postings ``behind``, and of the occurrences with themselves, as the last words of a
+    longer phrase must occur in it too.
     """
-    order = np.argsort(lists.positions, kind="stable")  # every position begins one phrase at most
-    at, ids = lists.positions[order], lists.ids()[order]
-    place = np.argsort(words.positions, kind="stable")
-    behind, word = words.positions[place], words.ids()[place]
     found = np.searchsorted(behind, at + length)
     hit = found < len(behind)
     hit[hit] = behind[found[hit]] == at[hit] + length
     if length > 1:  # of a single word the word behind is the last words
-        hit[:-1] &= (at[1:] == at[:-1] + 1) | (at[:-1] + 1 >= owned)
-        hit[-1:] &= at[-1:] + 1 >= owned
-    first, last, at = ids[hit], word[found[hit]], at[hit]
-    pair = first.astype(np.int64) * max(len(words.ptr) - 1, 1) + last
-    kinds, number = np.unique(pair, return_inverse=True)
-    made = Lists.of(number, at, len(kinds))
-    return kinds // max(len(words.ptr) - 1, 1), kinds % max(len(words.ptr) - 1, 1), made
+        hit[:-1] &= at[1:] == at[:-1] + 1
+        hit[-1:] = False
+    return hit, found[hit]
 
 
 class _Shard:
@@ -102,35 +101,19 @@ class _Shard:
             self.at += int(positions[-1]) + 2
         self.bytes += size
 
-    def row(self, shard: int, lang: str, owned: int | None = None) -> pa.RecordBatch:
+    def row(self, lang: str, owned: int | None = None) -> pa.RecordBatch:
         """``owned``: phrases that begin there or behind belong to the next shard."""
         coded = pa.chunked_array([w for w, _ in self.parts], pa.large_string()).combine_chunks()
         coded = (coded if isinstance(coded, pa.Array) else pa.concat_arrays(coded.chunks)).dictionary_encode()
         positions = np.concatenate([p for _, p in self.parts])
         lists = Lists.of(coded.indices.to_numpy(), positions, len(coded.dictionary))
-        return _row(shard, lang, int(positions[-1]) + 1 if owned is None else owned, coded.dictionary, lists)
-
-
-def _row(shard: int, lang: str, owned: int, words: pa.Array, lists: Lists, phrases: tuple[np.ndarray, Lists] | None = None) -> pa.RecordBatch:
-    """A shard's row. Phrases: the numbers of their words, one row each, and their lists."""
-    numbers = lambda x, kind: pa.array([None if x is None else x.astype(kind).tobytes()], pa.binary())
-    ids, found = phrases or (None, None)
-    cells = [
-        pa.array([shard], pa.int64()), pa.array([lang], pa.string()), pa.array([owned], pa.int64()),
-        pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())),
-        numbers(lists.ptr, np.int64), numbers(_steps(lists), np.int32),
-        numbers(ids, np.int32), numbers(found and found.ptr, np.int64), numbers(found and _steps(found), np.int32),
-    ]
-    return pa.RecordBatch.from_arrays(cells, names=["shard", "lang", "owned", "words", "ptr", "positions", "list_words", "list_ptr", "list_positions"])
-
-
-def _steps(lists: Lists) -> np.ndarray:
-    """Positions as differences, which pack well."""
-    return np.diff(lists.positions, prepend=0)
-
-
-def _lists(ptr: bytes, steps: bytes) -> Lists:
-    return Lists(np.frombuffer(ptr, np.int64), np.cumsum(np.frombuffer(steps, np.int32), dtype=np.int64))
+        owned = int(positions[-1]) + 1 if owned is None else owned
+        cells = [
+            pa.array([lang], pa.string()), pa.array([owned], pa.int64()), pa.array([int((positions < owned).sum())], pa.int64()),
+            pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string())),
+            pa.array([lists.ptr.astype(np.int32).tobytes()], pa.binary()), pa.array([np.diff(lists.positions, prepend=0).astype(np.int32).tobytes()], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(cells, names=["lang", "owned", "n", "words", "ptr", "positions"])
 
 
 def words_of(data: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -168,9 +151,6 @@ def _sharded(limit: int):
     """Rows of shards of a partition's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 32
         open_: dict[str, _Shard] = {}
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
@@ -183,21 +163,17 @@ def _sharded(limit: int):
                         lang = max(open_, key=lambda x: open_[x].bytes)
                         shard = open_.pop(lang)
                         if shard.parts:
-                            yield shard.row(number, lang)
-                            number += 1
+                            yield shard.row(lang)
                     continue
-                for row in _long(text, limit, lang, number):  # a text that is longer than a shard is cut into some of its own
-                    yield row
-                    number += 1
+                yield from _long(text, limit, lang)  # a text that is longer than a shard is cut into some of its own
         for lang, shard in open_.items():
             if shard.parts:
-                yield shard.row(number, lang)
-                number += 1
+                yield shard.row(lang)
 
     return thrifty(run)
 
 
-def _long(text: bytes, limit: int, lang: str, number: int) -> Iterator[pa.RecordBatch]:
+def _long(text: bytes, limit: int, lang: str) -> Iterator[pa.RecordBatch]:
     """Shards of one long text: each owns the phrases that begin in it, and holds the words behind that they go on with."""
     data = np.frombuffer(text, np.uint8)
     begin = 0
@@ -216,89 +192,154 @@ def _long(text: bytes, limit: int, lang: str, number: int) -> Iterator[pa.Record
             shard = _Shard()
             keep = inside + LONGEST - 1
             shard.add(words[:keep], positions[:keep], 0)
-            yield shard.row(number, lang, int(positions[inside - 1]) + 1)
-            number += 1
+            yield shard.row(lang, int(positions[inside - 1]) + 1)
         begin = end
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Shards one by one, as Arrow's own values."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield {name: batch[name][k] for name in batch.schema.names}
-
-
-def _phrases(row: dict) -> tuple[Lists, pa.Array, np.ndarray, Lists]:
-    """A shard's words' lists, its words, and its phrases with their lists; at first these are the words."""
-    words = row["words"].values.cast(pa.large_string())
-    lists = _lists(row["ptr"].as_buffer(), row["positions"].as_buffer())
-    if not row["list_words"].is_valid:
-        return lists, words, np.arange(len(words))[:, None], lists
-    found = _lists(row["list_ptr"].as_buffer(), row["list_positions"].as_buffer())
-    return lists, words, np.frombuffer(row["list_words"].as_buffer(), np.int32).reshape(len(found.ptr) - 1, -1), found
-
-
-def _spelled(words: pa.Array, phrases: np.ndarray) -> pa.Array:
-    parts = [words.take(pa.array(phrases[:, k])) for k in range(phrases.shape[1])]
-    return pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if len(parts) > 1 else parts[0]
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each phrase of each shard: shard, its number there, language, phrase, and the length of its owned list."""
-    for row in _rows(batches):
-        _, words, phrases, lists = _phrases(row)
-        below = np.concatenate([[0], np.cumsum(lists.positions < row["owned"].as_py())])
-        counts = below[lists.ptr[1:]] - below[lists.ptr[:-1]]
-        some = np.flatnonzero(counts)
-        for a in range(0, len(some), 1 << 15):
-            part = some[a : a + (1 << 15)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.repeat(row["shard"], len(part)), pa.array(part, pa.int32()), pa.repeat(row["lang"], len(part)), _spelled(words, phrases[part]).cast(pa.string()), pa.array(counts[part], pa.int64())],
-                names=["shard", "number", "lang", "phrase", "n"],
-            )
-
-
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards with the lists of one word more, of those phrases whose numbers are frequent."""
-    for row in _rows(batches):
-        lists, words, phrases, found = _phrases(row)
-        frequent, owned, length = np.sort(row["frequent"].values.to_numpy()), row["owned"].as_py(), phrases.shape[1]
-        if length == 1:  # from now on only frequent words have postings
-            words, lists = words.take(pa.array(frequent)), lists.only(frequent)
-            phrases, found = np.arange(len(words))[:, None], lists
-        else:
-            phrases, found = phrases[frequent], found.only(frequent)
-        mine = found.positions < owned
-        ids = found.ids()[mine]
-        found = Lists(np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(phrases)))]), found.positions[mine])
-        first, word, made = extend(found, lists, length, owned)
-        if len(first):
-            yield _row(row["shard"].as_py(), row["lang"].as_py(), owned, words, lists, (np.column_stack([phrases[first], word]), made))
-
-
-def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, list[DataFrame]]:
-    """(totals, levels): all words of each language (lang, n), and of each length the phrases with at least ``least``
-    occurrences (lang, phrase, f), both as written tables."""
+class Buckets:
+    """Which buckets of hashes reach the least frequency, for each length; a power of two of them."""
+
+    def __init__(self, n: int):
+        self.n, self.maps = n, {}
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.n.bit_length() + 1)).astype(np.int64)
+
+    def frequent(self, length: int, keys: np.ndarray) -> np.ndarray:
+        at = self.of(keys)
+        return (self.maps[length][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+class _Read:
+    """A shard as its rows' words and their merged lists, and the occurrences of phrases in it."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        self.lang, self.owned = batch["lang"][row].as_py(), batch["owned"][row].as_py()
+        self.words = batch["words"][row].values
+        ptr, steps = (np.frombuffer(batch[c][row].as_buffer(), np.int32) for c in ("ptr", "positions"))
+        self.at, self.ids = Lists(ptr, np.cumsum(steps, dtype=np.int64)).merged()
+
+    def keys(self) -> np.ndarray:
+        """A hash of each word of the language."""
+        data = np.frombuffer(self.words.buffers()[2] or b"", np.uint8)
+        offsets = np.frombuffer(self.words.buffers()[1], np.int32)[self.words.offset : self.words.offset + len(self.words) + 1].astype(np.int64)
+        own = np.frombuffer(self.lang.encode(), np.uint8)
+        seed = span_hashes(own, np.array([0]), np.array([len(own)]))
+        return mix(span_hashes(data, offsets[:-1], offsets[1:]) ^ seed)
+
+    def chain(self, buckets: Buckets, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, at, keys, before, word) of the occurrences of each length, where the buckets leave any: their places, hashes,
+        and of which occurrence of the length before and which posting each is made. Those of known buckets are cut to the
+        frequent ones before they are extended."""
+        behind, ids, keys = self.at, self.ids, self.keys()[self.ids]
+        at, word_keys, before, word = behind, keys, np.arange(len(behind)), np.arange(len(behind))
+        for length in range(1, longest + 1):
+            if length > 1:
+                hit, word = extend(at, behind, length - 1)
+                before = np.flatnonzero(hit)
+                at, keys = at[hit], mix(keys[hit] * np.uint64(0x9E3779B97F4A7C15) + word_keys[word])
+            if length in buckets.maps:
+                keep = buckets.frequent(length, keys)
+                at, keys, before, word = at[keep], keys[keep], before[keep], word[keep]
+                if length == 1:  # from now on only frequent words have postings
+                    behind, word_keys, self.ids = at, keys, ids[keep]
+            yield length, at, keys, before, word
+
+
+def _bucketed(sent: Broadcast, length: int, least: int):
+    """Of a partition, the buckets' counts of one length, no higher than the least frequency; a row for each segment that has any."""
+    kind = np.uint8 if least < 1 << 7 else np.uint32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = sent.value
+        total = np.zeros(buckets.n, kind)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                shard = _Read(batch, row)
+                for found, at, keys, _, _ in shard.chain(buckets, length):
+                    if found == length:
+                        places, counts = np.unique(buckets.of(keys[at < shard.owned]), return_counts=True)
+                        total[places] = np.minimum(np.minimum(counts, least) + total[places], least)
+        for a in range(0, buckets.n, SEGMENT):
+            part = total[a : a + SEGMENT]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([a // SEGMENT], pa.int32()), pa.array([zlib.compress(part.astype(np.uint32).tobytes() if kind is np.uint32 else part.tobytes(), 1)], pa.binary())], names=["segment", "counts"])
+
+    return thrifty(run), kind
+
+
+def _summed(least: int, kind):
+    """Which buckets of a partition's segments are frequent, a bit for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for segment, counts in zip(batch["segment"].to_pylist(), batch["counts"].to_pylist()):
+                own = np.frombuffer(zlib.decompress(counts), kind)
+                held = totals.get(segment)
+                totals[segment] = own.astype(np.uint32) if held is None else np.minimum(held + own, least).astype(np.uint32)
+        for segment, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["segment", "bits"])
+
+    return thrifty(run)
+
+
+def _counted(sent: Broadcast, longest: int):
+    """A row for each phrase of each shard that the buckets leave: language, phrase, and the length of its list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = sent.value
+        for batch in batches:
+            for row in range(batch.num_rows):
+                shard = _Read(batch, row)
+                phrases = spelled = None
+                for length, at, _, before, word in shard.chain(buckets, longest):
+                    if length == 1:
+                        number = shard.ids.astype(np.int64)
+                        kinds, number = np.unique(number, return_inverse=True)
+                        words = single = shard.words.take(pa.array(kinds))
+                        own, spelled, word_number = number, single, number
+                    else:
+                        pair = number[before] * max(len(words), 1) + word_number[word]
+                        kinds, own = np.unique(pair, return_inverse=True)
+                        spelled = pc.binary_join_element_wise(phrases.take(pa.array(kinds // max(len(words), 1))), words.take(pa.array(kinds % max(len(words), 1))), " ")
+                    number, phrases = own, spelled
+                    lists = Lists.of(own[at < shard.owned], at[at < shard.owned], len(spelled))
+                    some = np.flatnonzero(lists.counts)
+                    for a in range(0, len(some), 1 << 15):
+                        part = some[a : a + (1 << 15)]
+                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(shard.lang), len(part)), spelled.take(pa.array(part)), pa.array(lists.counts[part], pa.int64())], names=["lang", "phrase", "n"])
+
+    return thrifty(run)
+
+
+def bucket_count(words: int) -> int:
+    """A power of two of buckets for so many words."""
+    return min(max(FEWEST, 1 << max(words // LOAD, 1).bit_length()), MOST)
+
+
+def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(totals, phrases): all words of each language (lang, n), and the phrases of up to ``longest`` words with at least
+    ``least`` occurrences (lang, phrase, f), both as written tables."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     shards = materialise(texts.mapInArrow(_sharded(shard_bytes), _SHARD), "postings", compression="zstd")
-    totals, levels = None, []
+    totals = materialise(shards.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    context = docs.sparkSession.sparkContext
+    buckets = Buckets(bucket_count(totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
     for length in range(1, longest + 1):
-        counted = shards.mapInArrow(thrifty(_counted), "shard bigint, number int, lang string, phrase string, n bigint")
-        if totals is None:
-            counted = materialise(counted, "words", compression="zstd")
-            totals = materialise(counted.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-        all_shards = F.sum("n").over(Window.partitionBy("lang", "phrase"))  # a phrase has a row for each shard, its hot ones too
-        found = materialise(counted.select("shard", "number", "lang", "phrase", all_shards.alias("f")).where(F.col("f") >= least), "frequent", compression="zstd")
-        levels.append(materialise(found.groupBy("lang", "phrase").agg(F.first("f").alias("f")), "level"))
-        if length < longest:
-            numbers = found.groupBy("shard").agg(F.collect_list("number").alias("frequent"))  # of one shard: bounded by its bytes
-            before, shards = shards, materialise(shards.join(numbers, "shard").mapInArrow(thrifty(_extended), _SHARD), "lists", compression="zstd")
-            drop(before)
-        drop(found)
-        if length == 1:
-            drop(counted)
+        sent = context.broadcast(buckets)  # no more than longest * MOST / 8 bytes
+        count, kind = _bucketed(sent, length, least)
+        rows = shards.mapInArrow(count, "segment int, counts binary").repartition("segment").mapInArrow(_summed(least, kind), "segment int, bits binary")
+        bits = np.zeros(buckets.n // 8, np.uint8)
+        for r in rows.collect():  # an eighth of a byte for each bucket
+            bits[r.segment * SEGMENT // 8 :][: SEGMENT // 8] = np.frombuffer(r.bits, np.uint8)
+        sent.unpersist()
+        buckets.maps[length] = bits
+    sent = context.broadcast(buckets)
+    counted = shards.mapInArrow(_counted(sent, longest), "lang string, phrase string, n bigint")
+    phrases = materialise(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "phrases")
     drop(shards)
-    return totals, levels
+    return totals, phrases
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, reported: int = REPORTED, share: int = SHARE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -312,10 +353,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, re
     Null texts are empty, a null lang is ``und``, rows of one id count each, an empty table has no rows; extra columns are
     ignored. Arithmetic is in integers of up to 38 digits.
     """
-    totals, levels = frequencies(docs, least, longest, shard_bytes)
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
+    totals, every = frequencies(docs, least, longest, shard_bytes)
     words = F.split("phrase", " ")
     candidates = every.select("lang", "phrase", F.col("f").alias("a"), words.alias("w")).where(F.size("w") > 1)
     part = lambda a, n: F.array_join(F.slice("w", a, n), " ")

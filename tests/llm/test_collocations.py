@@ -79,20 +79,30 @@ def test_scores_beyond_64_bits(spark, monkeypatch):
     table = lambda rows, schema: spark.createDataFrame(rows, schema)
     big = 10**13
     totals = table([("en", 2 * big)], "lang string, n long")
-    levels = [table([("en", "a", big), ("en", "b", big - 1)], "lang string, phrase string, f long"), table([("en", "a b", big // 3)], "lang string, phrase string, f long")]
-    monkeypatch.setattr(co, "frequencies", lambda *a: (totals, levels))
+    phrases = table([("en", "a", big), ("en", "b", big - 1), ("en", "a b", big // 3)], "lang string, phrase string, f long")
+    monkeypatch.setattr(co, "frequencies", lambda *a: (totals, phrases))
     got = co.collocations(table([], SCHEMA)).collect()
     assert [tuple(r) for r in got] == [("en", 1, "a b", big // 3, big, big - 1, 2 * big, 1000 * (big // 3) * 2 * big // (big * (big - 1)))]
 
 
 def test_extend_is_a_merge_of_neighbours():
-    #          0 1 2 gap 4 5
     words = co.Lists.of(np.array([0, 1, 0, 1, 0]), np.array([0, 1, 2, 4, 5]), 2)
-    first, word, made = co.extend(words, words, 1, 6)
-    assert [(int(a), int(b), made.positions[made.ptr[k] : made.ptr[k + 1]].tolist()) for k, (a, b) in enumerate(zip(first, word))] == [(0, 1, [0]), (1, 0, [1, 4])]
-    two = co.Lists(np.array([0, 1, 3]), np.array([0, 1, 4]))
-    first, word, made = co.extend(two, words, 2, 6)
-    assert (first.tolist(), word.tolist(), made.positions.tolist()) == ([0], [0], [0])
+    at, ids = words.merged()
+    assert at.tolist() == [0, 1, 2, 4, 5] and ids.tolist() == [0, 1, 0, 1, 0]
+    hit, word = co.extend(at, at, 1)
+    assert at[hit].tolist() == [0, 1, 4] and ids[word].tolist() == [1, 0, 0]
+    hit, word = co.extend(at[hit], at, 2)
+    assert hit.tolist() == [True, False, False] and word.tolist() == [2]
+
+
+def test_buckets_of_any_number_lose_no_phrase(spark, monkeypatch):
+    rows = corpus(3, 60, 200)
+    monkeypatch.setattr(co, "FEWEST", 1 << 13)
+    fine = run(spark, rows, least=150)  # counts beyond a byte's half
+    monkeypatch.setattr(co, "MOST", 8)
+    monkeypatch.setattr(co, "SEGMENT", 8)
+    assert run(spark, rows, least=150) == fine == brute(rows, 150)
+    assert co.bucket_count(0) == 8
 
 
 def test_words_and_positions():
