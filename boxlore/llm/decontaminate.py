@@ -1,10 +1,12 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
 ``build_index`` cuts the documents into shards and stores each shard's token postings (term, then word position).
-Searches intersect the offset-adjusted posting lists of a phrase from its rarest term in the shard on, so a phrase costs
-what its rarest words cost; they find every exact phrase match and every proximity match. The phrases go to the tasks in
-blocks of a bounded number of bytes, one pass over the stored index for each, so that neither the driver nor a worker
-ever holds more than one block. No key gathers rows, and a lost executor repeats only the shards of its own tasks.
+Searches intersect the offset-adjusted posting lists of a phrase from its rarest term on, and find every exact phrase match
+and every proximity match. How rare a term is follows from the whole index, and phrases are listed under their rarest
+term: a shard looks its own terms up, so it only meets phrases whose rarest term it has, and equal phrases once. The
+phrases go to the tasks in blocks of a bounded number of bytes, one pass over the stored index for each, so that neither
+the driver nor a worker ever holds more than one block. No key gathers rows, and a lost executor repeats only the shards
+of its own tasks.
 """
 
 from __future__ import annotations
@@ -115,19 +117,60 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
             yield Shard(np.array(lists[0]), lists[1], *(np.array(x, np.int64) for x in lists[2:]), terms, starts.astype(np.int64), positions.astype(np.int64))
 
 
+class Owners:
+    """Which items have each of some rows: numbers of items, listed by row."""
+
+    def __init__(self, rows: np.ndarray, items: np.ndarray, n: int):
+        pair = np.unique(rows.astype(np.int64) << 32 | items)
+        self.ptr, self.items = np.searchsorted(pair >> 32, np.arange(n + 1)), pair & 0xFFFFFFFF
+
+    def spread(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which, item): for each of the rows asked for, its place among them with each of its items."""
+        sizes = (self.ptr[1:] - self.ptr[:-1])[rows]
+        which = np.repeat(np.arange(len(rows)), sizes)
+        return which, self.items[np.repeat(self.ptr[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(which))]
+
+
+@dataclass
+class Group:
+    """Different rows of term numbers, -1 beyond their end, listed under their rarest term; ``order`` has a row's places from the
+    rarest term on, ``length`` its words."""
+
+    terms: np.ndarray
+    length: np.ndarray
+    owners: Owners
+    order: np.ndarray
+    ptr: np.ndarray
+    rows: np.ndarray
+
+    @classmethod
+    def of(cls, terms: np.ndarray, length: np.ndarray, item: np.ndarray, rank: np.ndarray) -> Group:
+        """``rank``: of each term, 0 for the rarest."""
+        whole = np.ascontiguousarray(np.column_stack([terms, length]).astype(np.int32))
+        _, first, number = np.unique(whole.view(f"V{whole.shape[1] * 4}").ravel(), return_index=True, return_inverse=True)
+        terms, length = terms[first], length[first]
+        order = np.argsort(np.append(rank, len(rank))[terms], axis=1, kind="stable").astype(np.int16)
+        rarest = terms[np.arange(len(terms)), order[:, 0]] if len(terms) else np.zeros(0, np.int32)
+        return cls(terms, length, Owners(number, item, len(first)), order, np.concatenate([[0], np.cumsum(np.bincount(rarest, minlength=len(rank)))]), np.argsort(rarest, kind="stable"))
+
+
 @dataclass
 class Phrases:
-    """Windows of items as rows of term numbers."""
+    """Windows of items: as they are written for exact matches, and as sets of terms for those by proximity."""
 
     vocabulary: np.ndarray  # sorted term hashes
-    terms: np.ndarray  # phrases x longest, numbers in vocabulary, -1 beyond the end
-    length: np.ndarray
-    item: np.ndarray  # the number of each phrase's item
+    counts: np.ndarray  # how often each stands in the windows
+    windows: Group
+    sets: Group | None
     item_ids: list
 
 
-def phrases_of(items: list[tuple[str | None, str]], window: int) -> Phrases:
-    """All windows of ``window`` consecutive words of the items; a shorter item that has words is one phrase."""
+def phrases_of(items: list[tuple[str | None, str]], window: int, totals=None, near: bool = False) -> Phrases:
+    """All windows of ``window`` consecutive words of the items; a shorter item that has words is one phrase.
+
+    ``totals`` tells for sorted term hashes how often each occurs where is searched, for their ranks; without it they are ranked by
+    how often the windows have them.
+    """
     words = Words(*text_of(pa.array([x for _, x in items], pa.large_string())), ALNUM)
     many = np.where(words.count > 0, np.maximum(words.count - window + 1, 1), 0)
     item = np.repeat(np.arange(len(items), dtype=np.int32), many)
@@ -137,72 +180,104 @@ def phrases_of(items: list[tuple[str | None, str]], window: int) -> Phrases:
     number = np.append(number, -1).astype(np.int32)
     inner = np.arange(window)
     terms = number[np.where(inner < length[:, None], start[:, None] + inner, len(number) - 1)] if len(item) else np.zeros((0, window), np.int32)
-    return Phrases(vocabulary, terms, length, item, [i for i, _ in items])
-
-
-def _candidates(s: Shard, q: Phrases):
-    """Phrases all of whose terms the shard has, their terms from the rarest on, and each occurrence of the rarest as a candidate."""
-    at = np.minimum(np.searchsorted(s.terms, q.vocabulary), len(s.terms) - 1)
-    df = np.append(np.where(s.terms[at] == q.vocabulary, s.starts[at + 1] - s.starts[at], 0), np.iinfo(np.int32).max).astype(np.int32)
-    counts = df[q.terms]  # a term of number -1, beyond the end, is the most frequent
-    alive = np.flatnonzero(counts.min(1) > 0)
-    order = np.argsort(counts[alive], axis=1, kind="stable")
-    rare = q.terms[alive, order[:, 0]] if len(alive) else np.zeros(0, np.int64)
-    lists = df[rare].astype(np.int64)
-    which = np.repeat(np.arange(len(alive)), lists)
-    inner = np.arange(lists.sum()) - np.repeat(np.cumsum(lists) - lists, lists)
-    seen = s.positions[s.starts[at[rare]][which] + inner]
-    key = np.repeat(np.arange(len(s.terms), dtype=np.int64) << 32, np.diff(s.starts)) + s.positions
-    return alive, order, at, which, seen, key
+    counts = np.bincount(number[:-1], minlength=len(vocabulary))
+    rank = np.empty(len(vocabulary), np.int32)
+    rank[np.lexsort((vocabulary, counts if totals is None else totals(vocabulary)))] = np.arange(len(vocabulary), dtype=np.int32)
+    sets = None
+    if near:
+        found = np.sort(terms, axis=1)[:, ::-1].copy()
+        found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
+        sets = Group.of(np.sort(found, axis=1)[:, ::-1].copy(), length, item, rank)
+    return Phrases(vocabulary, counts, Group.of(terms, length, item, rank), sets, [i for i, _ in items])
+
+
+#: Occurrences of rarest terms that are tried at once.
+CANDIDATES = 1 << 18
+
+
+def _candidates(s: Shard, g: Group, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, position) of each occurrence of the rarest term of rows all of whose terms the shard has, some at a time."""
+    here = np.flatnonzero(at[:-1] >= 0)
+    sizes = g.ptr[here + 1] - g.ptr[here]
+    alive = g.rows[np.repeat(g.ptr[here] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+    for k in range(1, g.terms.shape[1]):
+        term = g.terms[alive, g.order[alive, k]]
+        alive = alive[(term < 0) | (at[term] >= 0)]
+    rare = at[g.terms[alive, g.order[alive, 0]]]
+    lists = s.starts[rare + 1] - s.starts[rare]
+    ends = np.cumsum(lists)
+    low = 0
+    while low < len(alive):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] - lists[low] + CANDIDATES, "right")))
+        part = lists[low:high]
+        which = np.repeat(np.arange(low, high), part)
+        yield alive[which], s.positions[s.starts[rare[which]] + np.arange(len(which)) - np.repeat(np.cumsum(part) - part, part)]
+        low = high
+
+
+def _exact(s: Shard, g: Group, at: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    base, last = s.base(), len(key) - 1
+    for row, seen in _candidates(s, g, at):
+        begin = seen - g.order[row, 0]
+        for k in range(1, g.terms.shape[1]):
+            offset = g.order[row, k]
+            term = g.terms[row, offset]
+            want = (at[term] << 32) + begin + offset
+            keep = (term < 0) | (key[np.minimum(np.searchsorted(key, want), last)] == want)
+            row, begin = row[keep], begin[keep]
+        doc = np.searchsorted(base, begin, "right") - 1
+        keep = (begin >= 0) & (begin + g.length[row] <= base[np.minimum(doc + 1, len(base) - 1)])  # positions of documents adjoin
+        yield row[keep], begin[keep]
+
+
+def _near(s: Shard, g: Group, at: np.ndarray, key: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    base, last = s.base(), len(key) - 1
+    for row, seen in _candidates(s, g, at):
+        doc = np.searchsorted(base, seen, "right") - 1
+        low, high, long = base[doc], base[doc + 1], g.length[row].astype(np.int64) + slop
+
+        def next_of(k: int, some: np.ndarray, first: np.ndarray) -> np.ndarray:
+            """Where the k-th rarest term of some rows next occurs from there on; where a row has none, there."""
+            term = g.terms[row[some], g.order[row[some], k]]
+            spot = key[np.minimum(np.searchsorted(key, (at[term] << 32) + first), last)]
+            beyond = (spot >> 32 != at[term]) | ((spot & 0xFFFFFFFF) < first)
+            return np.where(term < 0, first, np.where(beyond, np.iinfo(np.int64).max >> 1, spot & 0xFFFFFFFF))
+
+        every = np.arange(len(row))
+        for k in range(1, g.terms.shape[1]):  # near enough on either side
+            keep = next_of(k, every, np.maximum(low, seen - long + 1)[every]) < np.minimum(high, seen + long)[every]
+            every = every[keep]
+        # a run begins where it may at the earliest, and then as far on as the term that is missing from it asks for
+        held, begin, todo = np.zeros(len(row), bool), np.maximum(low, seen - long + 1), every
+        while len(todo):
+            reach = begin[todo].copy()
+            for k in range(1, g.terms.shape[1]):
+                reach = np.maximum(reach, next_of(k, todo, begin[todo]))
+            good = (reach < begin[todo] + long[todo]) & (reach < high[todo]) & (seen[todo] < begin[todo] + long[todo])
+            held[todo[good]] = True
+            begin[todo] = np.maximum(begin[todo] + 1, reach - long[todo] + 1)  # no earlier run reaches that term
+            todo = todo[~good & (reach < high[todo]) & (begin[todo] <= seen[todo])]
+        yield row[held], seen[held]
 
 
 def intersect(s: Shard, q: Phrases, slop: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """[(phrase, position of its first word) of each exact match], by posting lists joined from the rarest term on; with ``slop``
-    also (phrase, position of its rarest term) of each proximity match: some run of at most ``slop`` more words than the
+    """[(window, position of its first word) of each exact match], by posting lists joined from the rarest term on; with ``slop``
+    also (set, position of its rarest term) of each proximity match: some run of at most ``slop`` more words than the
     phrase has, in one document, holds all its terms, in any order."""
     nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(s.terms) or not len(q.terms):
+    if not len(s.terms) or not len(q.vocabulary):
         return [nothing] * (1 if slop is None else 2)
-    alive, order, at, cause, seen, key = _candidates(s, q)
-    last = len(key) - 1
-    which, begin = cause, seen - order[:, 0][cause]
-    for k in range(1, q.terms.shape[1]):
-        offset = order[which, k]
-        term = q.terms[alive[which], offset]
-        want = (at[term] << 32) + begin + offset
-        keep = (term < 0) | (key[np.minimum(np.searchsorted(key, want), last)] == want)
-        which, begin = which[keep], begin[keep]
-    base = s.base()
-    doc = np.searchsorted(base, begin, "right") - 1
-    keep = (begin >= 0) & (begin + q.length[alive[which]] <= base[np.minimum(doc + 1, len(base) - 1)])  # positions of documents adjoin
-    found = [(alive[which[keep]], begin[keep])]
-    if slop is None:
-        return found
-    which, doc = cause, np.searchsorted(base, seen, "right") - 1
-    low, high, long = base[doc], base[doc + 1], q.length[alive[cause]].astype(np.int64) + slop
-    for k in range(1, q.terms.shape[1]):  # near enough on either side
-        term = q.terms[alive[which], order[which, k]]
-        first = (at[term] << 32) + np.maximum(low, seen - long + 1)
-        spot = key[np.minimum(np.searchsorted(key, first), last)]
-        keep = (term < 0) | ((spot >= first) & (spot < (at[term] << 32) + np.minimum(high, seen + long)))
-        which, seen, low, high, long = (x[keep] for x in (which, seen, low, high, long))
-    held = np.zeros(len(which), bool)
-    for back in range(int(long.max(initial=0))):  # a run that begins ``back`` words before the rarest term
-        todo = np.flatnonzero(~held & (back < long) & (seen - back >= low))
-        begin = seen[todo] - back
-        end = np.minimum(begin + long[todo], high[todo])
-        good = np.ones(len(todo), bool)
-        for k in range(1, q.terms.shape[1]):
-            term = q.terms[alive[which[todo]], order[which[todo], k]]
-            first = (at[term] << 32) + begin
-            spot = key[np.minimum(np.searchsorted(key, first), last)]
-            good &= (term < 0) | ((spot >= first) & (spot < (at[term] << 32) + end))
-        held[todo[good]] = True
-    return [*found, (alive[which[held]], seen[held])]
-
-
-def _query_blocks(items: DataFrame, window: int, query_bytes: int) -> Iterator[Phrases]:
-    """The items' phrases, in blocks of about ``query_bytes`` of text; a longer item is cut where no window is lost."""
+    spot = np.minimum(np.searchsorted(q.vocabulary, s.terms), len(q.vocabulary) - 1)
+    mine = np.flatnonzero(q.vocabulary[spot] == s.terms)
+    at = np.full(len(q.vocabulary) + 1, -1, np.int64)  # where the shard has each term; the last for none
+    at[spot[mine]] = mine
+    key = np.repeat(np.arange(len(s.terms), dtype=np.int64) << 32, np.diff(s.starts)) + s.positions
+    found = [_exact(s, q.windows, at, key)] + ([] if slop is None else [_near(s, q.sets, at, key, slop)])
+    return [tuple(np.concatenate(x) for x in zip(nothing, *parts)) for parts in found]
+
+
+def _query_blocks(items: DataFrame, window: int, query_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
+    """The items, in blocks of about ``query_bytes`` of text; a longer item is cut where no window is lost."""
     if window > REACH:
         raise ValueError(f"a window has at most {REACH} words")
     held, size = [], 0
@@ -217,18 +292,44 @@ def _query_blocks(items: DataFrame, window: int, query_bytes: int) -> Iterator[P
                 back = Words(part, np.array([0, len(part)]), ALNUM).starts[-window + 1 :] if window > 1 else []
                 begin = begin + int(back[0]) if len(back) else end
             if size >= query_bytes:
-                yield phrases_of(held, window)
+                yield held
                 held, size = [], 0
     if held:
-        yield phrases_of(held, window)
+        yield held
+
+
+def occurrences(index: DataFrame):
+    """A function of sorted term hashes: how often each occurs in the index. Only the terms asked for are counted, in the tasks."""
 
+    def totals(vocabulary: np.ndarray) -> np.ndarray:
+        sent = index.sparkSession.sparkContext.broadcast(vocabulary)  # of one block of items
 
-def _passes(index: DataFrame, items: DataFrame, window: int, query_bytes: int, find, schema: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(sent.value), np.int64)
+            for batch in batches:
+                for terms, starts in zip(batch["terms"], batch["starts"]):
+                    terms, starts = np.frombuffer(terms.as_buffer(), np.uint64), np.frombuffer(starts.as_buffer(), np.int32)
+                    spot = np.minimum(np.searchsorted(sent.value, terms), len(sent.value) - 1)
+                    mine = sent.value[spot] == terms
+                    total[spot[mine]] += np.diff(starts)[mine]
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["term", "n"])
+
+        out = np.zeros(len(vocabulary), np.int64)
+        if len(vocabulary):
+            found = index.select("terms", "starts").mapInArrow(thrifty(run), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+            out[found["term"].to_numpy()] = found["n"].to_numpy()
+        sent.destroy()
+        return out
+
+    return totals
+
+
+def _passes(index: DataFrame, items: DataFrame, window: int, query_bytes: int, near: bool, find, schema: str) -> DataFrame:
     """``find`` of every shard and every block of phrases: a job over the index for each block, which is given up after it."""
-    spark, out = index.sparkSession, None
-    for q in _query_blocks(items, window, query_bytes):
-        sent = spark.sparkContext.broadcast(q)
-        del q
+    spark, out, totals = index.sparkSession, None, occurrences(index)
+    for block in _query_blocks(items, window, query_bytes):
+        sent = spark.sparkContext.broadcast(phrases_of(block, window, totals, near))
         found = materialise(index.mapInArrow(thrifty(lambda batches, sent=sent: find(sent.value, batches)), schema), "found")
         sent.destroy()
         out = found if out is None else out.unionAll(found)
@@ -238,22 +339,24 @@ def _passes(index: DataFrame, items: DataFrame, window: int, query_bytes: int, f
 def search(index: DataFrame, items: DataFrame, window: int = 10, slop: int | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(doc_id, item_id, position, n_words): every match of a window of an item; position counts a document's words from 0.
 
-    With ``slop`` the proximity matches, each at its rarest term (in the shard). No match crosses documents. A null doc_id or
-    item_id is null here too.
+    With ``slop`` the proximity matches, each at its rarest term in the index. No match crosses documents. A null doc_id or
+    item_id is null here too. Terms' counts take a job over a stored index, so read one that is written.
     """
     if slop is not None and window + slop > REACH:
         raise ValueError(f"a match spans at most {REACH} words")
 
     def find(q: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _read(batches):
+            group = q.windows if slop is None else q.sets
             phrase, begin = intersect(s, q, slop)[-1]
-            base = s.base()
+            which, item = group.owners.spread(phrase)
+            phrase, begin, base = phrase[which], begin[which], s.base()
             doc = np.searchsorted(base, begin, "right") - 1
-            columns = [pa.array([s.doc_ids[d] for d in doc.tolist()], pa.int64()), pa.array([q.item_ids[i] for i in q.item[phrase].tolist()], pa.string()), pa.array(begin - base[doc] + s.firsts[doc], pa.int64()), pa.array(q.length[phrase].astype(np.int64)), pa.array(s.rows[doc])]
+            columns = [pa.array([s.doc_ids[d] for d in doc.tolist()], pa.int64()), pa.array([q.item_ids[i] for i in item.tolist()], pa.string()), pa.array(begin - base[doc] + s.firsts[doc], pa.int64()), pa.array(group.length[phrase].astype(np.int64)), pa.array(s.rows[doc])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "position", "n_words", "row"])
 
     kind = items.schema["item_id"].dataType
-    found = _passes(index, items, window, query_bytes, find, "doc_id bigint, item_id string, position bigint, n_words bigint, row bigint")
+    found = _passes(index, items, window, query_bytes, slop is not None, find, "doc_id bigint, item_id string, position bigint, n_words bigint, row bigint")
     return found.distinct().select("doc_id", F.col("item_id").cast(kind).alias("item_id"), "position", "n_words")
 
 
@@ -282,22 +385,24 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int
             base = s.base()
             spans: dict[int, np.ndarray] = {}
             named: list[dict[int, set]] = [{}, {}]
-            for (phrase, begin), names in zip(intersect(s, q, slop), named):
+            for (phrase, begin), names, group in zip(intersect(s, q, slop), named, (q.windows, q.sets)):
                 doc = np.searchsorted(base, begin, "right") - 1
-                pair = np.unique(doc * len(q.item_ids) + q.item[phrase])
+                once = np.unique(doc << 32 | phrase)
+                which, item = group.owners.spread(once & 0xFFFFFFFF)
+                pair = np.unique((once >> 32)[which] * len(q.item_ids) + item)
                 for d, i in zip((pair // len(q.item_ids)).tolist(), (pair % len(q.item_ids)).tolist()):
                     names.setdefault(d, set()).add(q.item_ids[i])
                 if names is named[0]:
                     for d in names:
                         here = doc == d
                         first = begin[here] - base[d] + s.firsts[d]
-                        spans[d] = _merged(np.stack([first, first + q.length[phrase[here]]], 1))
+                        spans[d] = _merged(np.stack([first, first + q.windows.length[phrase[here]]], 1))
             some = sorted(named[1])
             columns = [pa.array(s.rows[some], pa.int64()) if some else pa.array([], pa.int64()), pa.array([list(named[0].get(d, ())) for d in some], pa.list_(pa.string())), pa.array([list(named[1][d]) for d in some], pa.list_(pa.string()))]
             columns.append(pa.array([spans[d].tolist() if d in spans else [] for d in some], pa.list_(pa.list_(pa.int64()))))
             yield pa.RecordBatch.from_arrays(columns, names=["row", "items", "near", "spans"])
 
-    found = _passes(index, items, window, query_bytes, find, "row bigint, items array<string>, near array<string>, spans array<array<bigint>>")
+    found = _passes(index, items, window, query_bytes, True, find, "row bigint, items array<string>, near array<string>, spans array<array<bigint>>")
     every = index.select(F.explode(F.arrays_zip("rows", "doc_ids", "n_words")).alias("d")).select("d.*")
     every = every.groupBy(F.col("rows").alias("row")).agg(F.max("doc_ids").alias("doc_id"), F.sum("n_words").alias("n_words"))
     together = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
@@ -339,7 +444,8 @@ def flagged(docs: DataFrame, items: DataFrame, window: int = 10, query_bytes: in
     names = [c for c in docs.columns if c not in ("__contaminated", "__text", "__key1", "__key2")]
     source = docs.select(*names, F.col("text").cast("string").alias("__text"))
     queue = _query_blocks(items, window, query_bytes)
-    q, more = next(queue, None), next(queue, None)
+    phrases = lambda block: None if block is None else phrases_of(block, window)
+    q, more = phrases(next(queue, None)), next(queue, None)
     if q is None:
         return docs.select(*names, F.lit(False).alias("__contaminated"))
     if more is None:
@@ -363,7 +469,7 @@ def flagged(docs: DataFrame, items: DataFrame, window: int = 10, query_bytes: in
         found = materialise(keyed.select(*key, "__text").mapInArrow(thrifty(keys), ", ".join(f"{c} bigint" for c in key)).distinct(), "hits")
         sent.destroy()
         hits = found if hits is None else hits.unionAll(found)
-        q, more = more, next(queue, None)
+        q, more = phrases(more), next(queue, None)
     return keyed.join(hits.distinct().withColumn("__contaminated", F.lit(True)), key, "left").select(*names, F.coalesce("__contaminated", F.lit(False)).alias("__contaminated"))
 
 
