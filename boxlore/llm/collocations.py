@@ -31,7 +31,7 @@ LONGEST, LEAST, REPORTED = 5, 100, 2000
 #: A phrase goes if a longer one that holds it has at least so many hundredths of its count.
 SHARE = 100
 #: Text bytes of a shard; a shard's lists and what is made of them take some thirty times its words.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 12 << 20
 #: Shuffled rows of a report's first cut by language and hash, so that no task sorts a language alone.
 SALTS = 64
 #: Words a bucket holds on average, and how many buckets there are at least and at most: a task counts in as many bytes, and an
@@ -39,6 +39,8 @@ SALTS = 64
 LOAD, FEWEST, MOST = 32, 1 << 12, 1 << 27
 #: Buckets of a shuffled row.
 SEGMENT = 1 << 12
+#: Buckets for each segment that phrases are added up in, and phrases that a task adds up before it gives them on.
+SEGMENT_PHRASES, HELD = 1 << 15, 1 << 21
 
 #: Fixed values of the contract: what ends a piece, and what ends a word.
 _ENDS = np.zeros(256, bool)
@@ -284,31 +286,85 @@ def _summed(least: int, kind):
     return thrifty(run)
 
 
-def _counted(sent: Broadcast, longest: int):
-    """A row for each phrase of each shard that the buckets leave: language, phrase, and the length of its list."""
+_PHRASES = pa.schema([("lang", pa.string()), ("phrase", pa.large_string()), ("n", pa.int64())])
+
+
+def _together(parts: list[pa.Table]) -> pa.Table:
+    """Counts of each phrase, added up."""
+    return pa.concat_tables(parts).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"]).cast(_PHRASES)
+
+
+def _packed(table: pa.Table) -> bytes:
+    """In order, so that neighbours share much, and compressed."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, _PHRASES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table.sort_by([("lang", "ascending"), ("phrase", "ascending")]))
+    return out.getvalue().to_pybytes()
+
+
+def _counted(sent: Broadcast, longest: int, segments: int):
+    """Of a partition, the lengths of the lists that the buckets leave, added up by phrase: a row for each segment of the phrases."""
+
+    def rows(held: dict[int, list[pa.Table]]) -> Iterator[pa.RecordBatch]:
+        for segment, parts in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([_packed(_together(parts))], pa.binary())], names=["segment", "phrases"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = sent.value
+        held: dict[int, list[pa.Table]] = {}
+        size = 0
         for batch in batches:
             for row in range(batch.num_rows):
                 shard = _Read(batch, row)
-                phrases = spelled = None
-                for length, at, _, before, word in shard.chain(buckets, longest):
-                    if length == 1:
-                        number = shard.ids.astype(np.int64)
-                        kinds, number = np.unique(number, return_inverse=True)
-                        words = single = shard.words.take(pa.array(kinds))
-                        own, spelled, word_number = number, single, number
-                    else:
-                        pair = number[before] * max(len(words), 1) + word_number[word]
-                        kinds, own = np.unique(pair, return_inverse=True)
-                        spelled = pc.binary_join_element_wise(phrases.take(pa.array(kinds // max(len(words), 1))), words.take(pa.array(kinds % max(len(words), 1))), " ")
-                    number, phrases = own, spelled
-                    lists = Lists.of(own[at < shard.owned], at[at < shard.owned], len(spelled))
-                    some = np.flatnonzero(lists.counts)
-                    for a in range(0, len(some), 1 << 15):
-                        part = some[a : a + (1 << 15)]
-                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(shard.lang), len(part)), spelled.take(pa.array(part)), pa.array(lists.counts[part], pa.int64())], names=["lang", "phrase", "n"])
+                for spelled, counts, keys in _lengths(shard, buckets, longest):
+                    segment = (keys % np.uint64(segments)).astype(np.int64)
+                    order = np.argsort(segment, kind="stable")
+                    ends = np.searchsorted(segment[order], np.arange(segments + 1))
+                    for k in np.flatnonzero(np.diff(ends)).tolist():
+                        part = pa.array(order[ends[k] : ends[k + 1]])
+                        held.setdefault(k, []).append(pa.table([pa.repeat(pa.scalar(shard.lang), len(part)), spelled.take(part), pa.array(counts).take(part)], schema=_PHRASES))
+                    size += len(counts)
+                if size > HELD:
+                    held = {k: [_together(x)] for k, x in held.items()}
+                    size = sum(x[0].num_rows for x in held.values())
+                if size > HELD // 2:  # more would not become less
+                    yield from rows(held)
+                    held, size = {}, 0
+        yield from rows(held)
+
+    return thrifty(run)
+
+
+def _lengths(shard: _Read, buckets: Buckets, longest: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(phrases, lengths of their lists, hashes) of each length, of those that begin in the shard's own words."""
+    number = spelled = words = word_number = None
+    for length, at, keys, before, word in shard.chain(buckets, longest):
+        if length == 1:
+            kinds, first, number = np.unique(shard.ids, return_index=True, return_inverse=True)
+            words = spelled = shard.words.cast(pa.large_string()).take(pa.array(kinds))
+            word_number = number
+        else:
+            kinds, first, number = np.unique(number[before] * max(len(words), 1) + word_number[word], return_index=True, return_inverse=True)
+            spelled = pc.binary_join_element_wise(spelled.take(pa.array(kinds // max(len(words), 1))), words.take(pa.array(kinds % max(len(words), 1))), pa.scalar(" ", pa.large_string()))
+        counts = Lists.of(number[at < shard.owned], at[at < shard.owned], len(spelled)).counts
+        some = np.flatnonzero(counts)
+        yield spelled.take(pa.array(some)), counts[some], keys[first[some]]
+
+
+def _added(least: int):
+    """The frequent phrases of a partition's segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.Table]] = {}
+        for batch in batches:
+            for segment, phrases in zip(batch["segment"].to_pylist(), batch["phrases"]):
+                own = held.setdefault(segment, [])
+                own.append(pa.ipc.open_stream(phrases.as_buffer()).read_all())
+                if len(own) > 64:
+                    held[segment] = [_together(own)]
+        for segment in list(held):
+            total = _together(held.pop(segment))
+            yield from total.filter(pc.field("n") >= least).rename_columns(["lang", "phrase", "f"]).cast(pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])).to_batches(1 << 15)
 
     return thrifty(run)
 
@@ -336,8 +392,8 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sha
         sent.unpersist()
         buckets.maps[length] = bits
     sent = context.broadcast(buckets)
-    counted = shards.mapInArrow(_counted(sent, longest), "lang string, phrase string, n bigint")
-    phrases = materialise(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "phrases")
+    counted = shards.mapInArrow(_counted(sent, longest, max(64, buckets.n // SEGMENT_PHRASES)), "segment int, phrases binary")
+    phrases = materialise(counted.repartition("segment").mapInArrow(_added(least), "lang string, phrase string, f bigint"), "phrases")
     drop(shards)
     return totals, phrases
 
@@ -355,16 +411,27 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, re
     """
     totals, every = frequencies(docs, least, longest, shard_bytes)
     words = F.split("phrase", " ")
-    candidates = every.select("lang", "phrase", F.col("f").alias("a"), words.alias("w")).where(F.size("w") > 1)
-    part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
-    inner = candidates.select("lang", F.explode(F.array(part(F.lit(1), F.size("w") - 1), part(F.lit(2), F.size("w") - 1))).alias("phrase"), "a")
-    longer = inner.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    alone = candidates.join(longer, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longer") < share * F.col("a"), F.lit(True))).drop("longer")
-    cut = alone.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
-    cut = cut.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("first"), part(F.col("k") + 1, F.size("w") - F.col("k")).alias("rest"))
-    cut = cut.join(every.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"]).join(every.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
-    scored = cut.join(totals, "lang").select("lang", "phrase", "a", "n", "k", "l", "r", F.expr("cast(a as decimal(38, 0)) * 1000 * n div (cast(l as decimal(38, 0)) * r)").alias("score"))
-    lowest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("x")).select("lang", "phrase", "x.*")
+    numbered = materialise(every.select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", "f", F.size(words).alias("size")), "numbered")  # written, so that an id stays
+    part = lambda a, n: F.array_join(F.slice(words, a, n), " ")
+    candidates = numbered.where("size > 1")
+    ends = candidates.where("size > 2").select("lang", F.col("f").alias("longer"), F.explode(F.array(part(F.lit(1), F.col("size") - 1), part(F.lit(2), F.col("size") - 1))).alias("phrase"))
+    longer = ends.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
+    inside = longer.join(candidates, ["lang", "phrase"]).where(100 * F.col("longer") >= share * F.col("f")).select("id")
+    # each cut asks for the frequencies of both its parts; the answers meet by the candidate's number
+    cut = F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k")
+    cuts = candidates.select("id", "lang", "phrase", "size", cut)
+    asked = cuts.select("id", "lang", "k", F.explode(F.array(F.struct(F.lit(True).alias("left"), part(F.lit(1), F.col("k")).alias("of")), F.struct(F.lit(False).alias("left"), part(F.col("k") + 1, F.col("size") - F.col("k")).alias("of")))).alias("x"))
+    answers = asked.select("id", "lang", "k", "x.left", F.col("x.of").alias("phrase")).join(numbered.select("lang", "phrase", "f"), ["lang", "phrase"]).select("id", "k", "left", "f")
+    own = candidates.select("id", F.lit(0).alias("k"), F.lit(True).alias("left"), "f")
+    gone = inside.select("id", F.lit(-1).alias("k"), F.lit(True).alias("left"), F.lit(0).cast("long").alias("f"))
+    answer = lambda k, left: F.max(F.when((F.col("k") == k) & (F.col("left") == left), F.col("f")))
+    sides = [answer(k, left).alias(f"{name}{k}") for k in range(1, longest) for name, left in (("l", True), ("r", False))]
+    met = answers.unionByName(own).unionByName(gone).groupBy("id").agg(answer(0, True).alias("a"), answer(-1, True).alias("gone"), *sides).where("gone is null")
+    exact = "decimal(38, 0)"
+    met = met.join(candidates.select("id", "lang", "phrase"), "id").join(totals, "lang")
+    score = lambda k: F.expr(f"cast(a as {exact}) * 1000 * n div (cast(l{k} as {exact}) * r{k})")
+    scores = [F.when(F.col(f"l{k}").isNotNull(), F.struct(score(k).alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))) for k in range(1, longest)]
+    lowest = met.select("lang", "phrase", "a", "n", F.array_min(F.array_compact(F.array(*scores))).alias("x")).select("lang", "phrase", "a", "n", "x.score", "x.l", "x.r")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     salted = lowest.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     some = salted.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("place") <= reported)
