@@ -6,6 +6,7 @@ Predictions are one JSON object in a file that ends in ``.json``, else a folder
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 
@@ -35,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     i = sub.add_parser("infer", help="predictions of an adapter, saved in steps, by shards if asked; a stopped run goes on")
     i.add_argument("items")
     i.add_argument("--adapter", default="stand-in")
+    i.add_argument("--module", help="a module that registers the adapter; executors must be able to import it")
     i.add_argument("--folder", required=True, help="where the run's steps are saved")
     i.add_argument("--shards", type=int, default=1)
     i.add_argument("--step", type=int, default=100)
@@ -42,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--out", required=True)
     k = sub.add_parser("package", help="an approved artifact from generated queries and a split's index")
     k.add_argument("generation")
-    k.add_argument("index")
+    k.add_argument("index", help="a split's index as one JSON object, as a table, or the folder of tables that split writes")
     k.add_argument("--split", required=True, choices=("train", "val"))
     k.add_argument("--run-id", required=True)
     k.add_argument("--prompt-hash", required=True)
@@ -74,6 +76,8 @@ def main(argv: list[str] | None = None) -> int:
         writers.save_predictions(fusion.fuse([(readers.predictions(spark, p), w) for p, w in zip(a.predictions, weights)], a.threshold), a.out)
     elif a.command == "infer":
         settings.distinct_paths(a.items, a.out)
+        if a.module:
+            importlib.import_module(a.module)
         items = readers.inference_items(spark, a.items, a.limit)
         if a.shards > 1:
             found = inference.run_in_shards(items, a.adapter, a.folder, a.shards, a.step)
@@ -82,7 +86,8 @@ def main(argv: list[str] | None = None) -> int:
         writers.save_predictions(found, a.out)
         print(json.dumps(inference.summary(found).first().asDict()))
     elif a.command == "package":
-        index = readers.inference_items(spark, a.index).withColumnRenamed("key", "id").drop("pos", "query")
+        side = f"{a.index.rstrip('/')}/split={a.split}"
+        index = readers.inference_items(spark, side if readers.is_folder(spark, side) else a.index).withColumnRenamed("key", "id").drop("pos", "query")
         items = package.refuse(package.from_generation(readers.generation(spark, a.generation), index, a.key_format), a.lenient)
         data = package.with_raw(items).persist()
         prints = {"source_fingerprint": source_fingerprint(data), "dataset_fingerprint": dataset_fingerprint(data)}

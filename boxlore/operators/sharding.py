@@ -48,9 +48,10 @@ def shard_scenes(rows: DataFrame, shards: int, scene: str = "scene", only: list[
 
 
 def shard_pending(items: DataFrame, done: DataFrame, shards: int, key: str = "key", pos: str = "pos") -> DataFrame:
-    """Items not done yet with a column ``shard``: dealt in turn in order of ``pos``."""
+    """Items not done yet with a column ``shard``, dealt in turn in order of ``pos``, and their ``turn`` within it from 0."""
     pending = items.join(done.select(key), key, "left_anti")
-    return numbered(pending, F.col(pos), "rank").withColumn("shard", ((F.col("rank") - 1) % shards).cast("int")).drop("rank")
+    rank = F.col("rank") - 1
+    return numbered(pending, F.col(pos), "rank").withColumns({"shard": (rank % shards).cast("int"), "turn": F.floor(rank / shards).cast("long")}).drop("rank")
 
 
 def first_items(rows: DataFrame, limit: int, pos: str = "pos") -> DataFrame:
@@ -63,6 +64,21 @@ def by_locality(rows: DataFrame, key: str = "key") -> DataFrame:
     return rows.sortWithinPartitions(F.coalesce(F.nullif("visible", F.lit("")), key), key)
 
 
+#: Rows of one picture that one task takes; a picture with more is dealt to several.
+PICTURE_ROWS = 2000
+
+
+def by_picture(rows: DataFrame, key: str = "key", most: int = PICTURE_ROWS) -> DataFrame:
+    """The rows dealt out by picture and sorted by it, so that a picture is decoded once. One with more than ``most`` rows is found
+    by its count and dealt in as many parts as it needs, each of which decodes it; no other picture is divided."""
+    picture = F.coalesce(F.nullif("visible", F.lit("")), F.col(key).cast("string"))
+    named = rows.withColumn("__picture", picture)
+    heavy = named.groupBy(F.col("__picture").alias("__heavy")).agg(F.ceil(F.count("*") / most).cast("int").alias("__parts")).where("__parts > 1")
+    part = F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(F.col(key)), F.col("__parts"))).otherwise(F.lit(0))
+    dealt = named.join(heavy, F.col("__picture") == F.col("__heavy"), "left").withColumn("__part", part)
+    return dealt.repartition("__picture", "__part").sortWithinPartitions("__picture", "__part", key).select(*rows.columns)
+
+
 def epoch_order(rows: DataFrame, seed: int, epoch: int, key: str = "key") -> DataFrame:
     """The rows with ``place`` 1, 2, ...: a seeded order that changes by epoch, that of the hashes of seed + epoch and key."""
     order = F.md5(F.concat(F.lit(f"{seed + epoch}:"), F.col(key).cast("string")).cast("binary"))

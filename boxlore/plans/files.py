@@ -16,12 +16,10 @@ from .registry import query, table
 
 
 def _object(spark, rows, name: str) -> str:
-    """A file of one JSON object: the rows' (pos, key, raw) as members in order of pos. The format holds it in one value."""
+    """One JSON object of the rows' (pos, key, raw) in order of pos, which all tasks write."""
     path = scratch(spark, name)
-    member = F.concat(F.lit('"'), "key", F.lit('": '), "raw")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", member.alias("m")))), lambda s: s["m"]), ", ")
-    rows.agg(F.concat(F.lit("{"), body, F.lit("}")).alias("value")).write.text(path)
-    return f"{path}/*.txt"
+    writers.write_object(rows, path, "pos")
+    return path
 
 
 def _orders(spark, sf_dir):
@@ -38,7 +36,7 @@ def source_items(spark, sf_dir):
     path = lambda m: F.concat(F.lit(f'"{m}": "Images/{m}/'), c, F.lit('.png", '))
     raw = F.concat(F.lit("{"), path("visible"), path("infrared"), path("depth"), F.lit('"query": "the \\u00e9 '), "o_orderstatus", F.lit('"}'))
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("key"), raw.alias("raw"))
-    return readers.inference_items(spark, _object(spark, rows, "items")).select(F.col("pos").cast("long").alias("pos"), "key", "visible", "depth", "query")
+    return readers.inference_items(spark, _object(spark, rows, "items")).select("pos", "key", "visible", "depth", "query")
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS x1 FROM orders")
@@ -75,9 +73,11 @@ def source_hash_table(spark, sf_dir):
 def source_generation(spark, sf_dir):
     k = F.col("p_partkey")
     record = F.to_json(F.struct(k.cast("string").alias("sample_id"), F.col("p_size").alias("object_index"), F.col("p_name").alias("query"), (k % 2 == 0).alias("collision")))
-    records = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, record.alias("r")))), lambda s: s["r"]), ",")
-    held = table(spark, sf_dir, "part").agg(F.concat(F.lit("["), records, F.lit("]")).alias("raw")).select(F.lit(0).alias("pos"), F.lit("records").alias("key"), "raw")
-    return readers.generation(spark, _object(spark, held, "generation")).select(F.col("pos").cast("long").alias("pos"), "sample_id", "object_index", "query", "collision")
+    rows, path = table(spark, sf_dir, "part").select(k.alias("k"), record.alias("record")), scratch(spark, "generation")
+    ends = rows.agg(F.min("k").alias("first"), F.max("k").alias("last")).first()
+    opens = F.when(F.col("k") == ends["first"], '{"metadata": {}, "records": [').otherwise(",")
+    rows.orderBy("k").select(F.concat(opens, "record", F.when(F.col("k") == ends["last"], "]}").otherwise("")).alias("value")).write.text(path)
+    return readers.generation(spark, path).select("pos", "sample_id", "object_index", "query", "collision")
 
 
 @query("SELECT p_partkey AS key, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 THEN CAST(p_size * 1000 AS BIGINT) END AS width, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 THEN CAST(p_partkey AS BIGINT) END AS height FROM part")
@@ -137,22 +137,42 @@ def _work(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("pos"), F.col("p_partkey").cast("string").alias("key"), F.concat(F.lit("the "), "p_name").alias("query"), F.lit("").alias("visible"))
 
 
-_STEPS = "SELECT CAST(p_partkey AS VARCHAR) AS key, length('the ' || p_name) > 0 AS answered FROM part"
+class Measure:
+    """An adapter whose boxes follow from how long a query is; every seventh answer is no box."""
 
+    def load(self) -> None:
+        pass
 
-@query(_STEPS)
+    def predict(self, rows: list[dict]) -> list[list[float] | None]:
+        sizes = [len(r["query"]) for r in rows]
+        return [None if n % 7 == 0 else [0.0, 0.125, (n % 5 + 1) / 8, (n % 4 + 2) / 8] for n in sizes]
+
+
+def _measured(work):
+    """The work's answers by that adapter's rule, registered for this run."""
+    inference.register("measure", Measure)
+    return "measure"
+
+
+_MEASURED = """SELECT CAST(p_partkey AS VARCHAR) AS key, CASE WHEN n % 7 <> 0 THEN CAST(0.0 AS DOUBLE) END AS x1, CASE WHEN n % 7 <> 0 THEN CAST(0.125 AS DOUBLE) END AS y1,
+CASE WHEN n % 7 <> 0 THEN (n % 5 + 1) / CAST(8 AS DOUBLE) END AS x2, CASE WHEN n % 7 <> 0 THEN (n % 4 + 2) / CAST(8 AS DOUBLE) END AS y2 FROM (SELECT p_partkey, length('the ' || p_name) AS n FROM part)"""
+
+
+@query(_MEASURED)
 def inference_in_steps(spark, sf_dir):
-    """A run that saves its answers twice on the way, read from what it has saved."""
+    """An adapter's answers, of a run that was stopped after a part of its work and went on, in three steps, from what it has saved."""
     work, path = _work(spark, sf_dir), scratch(spark, "run")
-    inference.run_in_steps(work, "stand-in", path, -(-work.count() // 2))
-    return readers.saved_progress(spark, path)[0].join(inference.stand_in(work).select("key", F.col("bbox").alias("b")), "key").select("key", (F.col("bbox") == F.col("b")).alias("answered"))
+    n = work.count()
+    inference.run_in_steps(work.where(F.col("pos") % 3 == 0), _measured(work), path, n)
+    inference.run_in_steps(work, "measure", path, -(-n // 3))
+    return flat(readers.saved_progress(spark, path)[0])
 
 
-@query(_STEPS)
+@query(_MEASURED)
 def inference_in_shards(spark, sf_dir):
+    """The same by four shards at a time, in two rounds."""
     work, path = _work(spark, sf_dir), scratch(spark, "shards")
-    found = inference.run_in_shards(work, "stand-in", path, 2, work.count())
-    return found.join(inference.stand_in(work).select("key", F.col("bbox").alias("b")), "key").select("key", (F.col("bbox") == F.col("b")).alias("answered"))
+    return flat(inference.run_in_shards(work, _measured(work), path, 4, max(1, -(-work.count() // 8))))
 
 
 @query(f"SELECT key, x1, y1, x2, y2 FROM ({TRUTH_SQL})")
@@ -160,11 +180,14 @@ def training_valid_boxes(spark, sf_dir):
     return flat(training.require_valid_boxes(truth(spark, sf_dir).select("key", "bbox")))
 
 
-@query("WITH f AS (SELECT doc_id, doc_id % 4 AS k, sha256(coalesce(text, '')) AS sha FROM documents) SELECT doc_id, k = 0 AS trusted FROM f")
+@query(
+    "WITH f AS (SELECT doc_id, doc_id % 4 AS k, sha256(coalesce(text, '')) AS sha FROM documents) "
+    "SELECT doc_id, CASE k WHEN 0 THEN 'manifest_' || sha WHEN 1 THEN 'manifest_' || upper(sha) || 'A' WHEN 2 THEN sha ELSE NULL END AS fingerprint, k = 0 AS trusted FROM f"
+)
 def text_fingerprints(spark, sf_dir):
     sha, k = F.sha2(F.coalesce("text", F.lit("")), 256), F.col("doc_id") % 4
     print_ = F.when(k == 0, F.concat(F.lit("manifest_"), sha)).when(k == 1, F.concat(F.lit("manifest_"), F.upper(sha), F.lit("A"))).when(k == 2, sha)
-    return table(spark, sf_dir, "documents").select("doc_id", t.is_trusted_fingerprint(print_).alias("trusted"))
+    return table(spark, sf_dir, "documents").select("doc_id", print_.alias("fingerprint"), t.is_trusted_fingerprint(print_).alias("trusted"))
 
 
 @query(

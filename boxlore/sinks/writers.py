@@ -180,6 +180,19 @@ def save_predictions(predictions: DataFrame, path: str) -> None:
         predictions.write.mode("overwrite").parquet(path)
 
 
+def write_object(rows: DataFrame, folder: str, pos: str, key: str = "key", raw: str = "raw") -> None:
+    """A folder of files that are, one after the other, one JSON object: a member for each row, in order of ``pos``, of its key and
+    its raw JSON. Every task writes its own part."""
+    ends = rows.agg(F.min(pos).alias("first"), F.max(pos).alias("last")).first()
+    quoted = F.to_json(F.array(F.col(key)))  # within brackets
+    named = F.concat(F.expr("substring(__k, 2, length(__k) - 2)"), F.lit(": "), F.col(raw))
+    if ends["first"] is None:
+        rows.sparkSession.createDataFrame([("{}",)], "value string").coalesce(1).write.text(folder)
+        return
+    opens, closes = F.when(F.col(pos) == F.lit(ends["first"]), "{").otherwise(","), F.when(F.col(pos) == F.lit(ends["last"]), "}").otherwise("")
+    rows.withColumn("__k", quoted).orderBy(pos).select(F.concat(opens, named, closes).alias("value")).write.text(folder)
+
+
 def write_artifact(items: DataFrame, metadata: dict, path: str, key: str = "id") -> None:
     """One JSON object of the metadata and, below ``data``, the items by id; it takes its place when it is whole."""
     aside = Path(f"{path}.staged")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered
 from ..sinks.commit import DIGITS, last_entry
+from .jsonparts import JsonObject
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
@@ -13,17 +15,12 @@ def _rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_object(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, key, raw) of the members of a JSON object, in file order, each member as its raw text.
+    """(pos, key, raw) of the members of a JSON object, numbered in file order, each member as its raw text.
 
-    A file that is not an object raises, and so does a repeated key at any depth, which the parser of variants refuses.
-    The object is one value of a text column, which bounds the file to 2 GB; line-delimited sources have no such bound.
+    A file that is not an object raises, and so does a repeated key at any depth. The file may be of any size: it is read by
+    ranges, see ``jsonparts``; a folder's files, in the order of their names, are one object. Only a member is held whole.
     """
-    guarded = _rows(spark, path).withColumn("checked", F.parse_json("value"))
-    bad = F.raise_error(F.lit("not a JSON object"))
-    member = F.from_json("value", "map<string,string>")
-    kind = F.schema_of_variant("checked")
-    x = guarded.select(F.when(kind.startswith("OBJECT"), member).otherwise(bad.cast("map<string,string>")).alias("m"))
-    return x.select(F.posexplode("m").alias("pos", "key", "raw"))
+    return JsonObject(spark, path).members()
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -112,10 +109,9 @@ def complete_samples(frames: DataFrame, files: DataFrame, columns: tuple[str, ..
 
 def hash_table(spark: SparkSession, path: str) -> DataFrame:
     """(sha, stem) of test pictures from JSON in any of four layouts: hash to stems, stem to hash, hash to anything, or a list."""
-    text = _rows(spark, path)
-    first = text.select(F.regexp_extract("value", r"\A\s*(.)", 1)).first()[0]
-    if first == "[":
-        return text.select(F.explode(F.from_json("value", "array<string>")).alias("sha")).select("sha", F.lit(None).cast("string").alias("stem"))
+    first = spark.read.option("lineSep", ",").text(path).select(F.regexp_extract("value", r"\A\s*(.)", 1)).first()
+    if first and first[0] == "[":
+        return _rows(spark, path).select(F.explode(F.from_json("value", "array<string>")).alias("sha")).select("sha", F.lit(None).cast("string").alias("stem"))
     members = json_object(spark, path)
     head = members.orderBy("pos").first()
     sha = F.lit(64)
@@ -149,12 +145,18 @@ def inference_items(spark: SparkSession, path: str, limit: int = 0) -> DataFrame
     """(pos, key, visible, infrared, depth, query, bbox, width, height) of an artifact, an index or an official template.
 
     An artifact keeps its rows below ``data``. A template is known by its first row's path, and its three paths get the
-    test set's folder put before them. Rows that are no objects raise.
+    test set's folder put before them. Rows that are no objects raise. A table (of ids or keys and fields, as ``split``
+    writes its index) is numbered by key.
     """
-    x = json_object(spark, path)
-    if {r.key for r in x.where(F.col("key").isin("metadata", "data")).select("key").collect()} == {"metadata", "data"}:
-        data = x.where("key = 'data'").select(F.from_json("raw", "map<string,string>").alias("m"))
-        x = data.select(F.posexplode("m").alias("pos", "key", "raw"))
+    if is_table(spark, path):
+        held = spark.read.parquet(path)
+        key = "key" if "key" in held.columns else "id"
+        fields = [F.col(f[0]).cast(f[1]).alias(f[0]) if f[0] in held.columns else F.lit(None).cast(f[1]).alias(f[0]) for f in (x.split(" ", 1) for x in ITEM.split(", "))]
+        rows = numbered(held.select(F.col(key).cast("string").alias("key"), *fields), F.col("key"), "pos").withColumn("pos", F.col("pos") - 1)
+        rows = rows.select("pos", "key", *(x.split(" ", 1)[0] for x in ITEM.split(", ")))
+        return rows.orderBy("pos").limit(limit) if limit else rows
+    whole = JsonObject(spark, path)
+    x = whole.within("data") if whole.last < 64 and set(whole.keys()) >= {"metadata", "data"} else whole.members()
     item = F.when(F.startswith(F.trim("raw"), F.lit("{")), F.from_json("raw", ITEM)).otherwise(F.raise_error(F.concat(F.lit("not an object: "), F.col("key"))).cast(f"struct<{', '.join(p.replace(' ', ': ', 1) for p in ITEM.split(', '))}>"))
     rows = x.select("pos", "key", item.alias("i")).select("pos", "key", "i.*")
     head = rows.orderBy("pos").select("visible").first()
@@ -163,12 +165,12 @@ def inference_items(spark: SparkSession, path: str, limit: int = 0) -> DataFrame
     return rows.orderBy("pos").limit(limit) if limit else rows
 
 
-GENERATION = "array<struct<sample_id: string, sequence_id: string, object_index: int, bbox: array<double>, query: string, collision: boolean>>"
+GENERATION = "sample_id string, sequence_id string, object_index int, bbox array<double>, query string, collision boolean"
 
 
 def generation(spark: SparkSession, path: str) -> DataFrame:
     """(pos, sample_id, sequence_id, object_index, bbox, query, collision) of a generation file; no records raises."""
-    x = json_object(spark, path).where("key = 'records'").select(F.posexplode(F.from_json("raw", GENERATION)).alias("pos", "r")).select("pos", "r.*")
+    x = JsonObject(spark, path).within("records", "list").select("pos", F.from_json("raw", GENERATION).alias("r")).select("pos", "r.*")
     if x.limit(1).isEmpty():
         raise ValueError("the generation has no records")
     return x
@@ -180,23 +182,27 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return files.exists(at) and files.getFileStatus(at).isDirectory()
 
 
+def is_table(spark: SparkSession, path: str) -> bool:
+    """Whether the path is a folder of Parquet files, or of numbered entries of such; another folder's files are one JSON object."""
+    here = path.rstrip("/")
+    return is_folder(spark, path) and bool(last_entry(spark, path) or glob_files(spark, f"{here}/*.parquet"))
+
+
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(key, bbox) of a prediction file, one JSON object, or of a folder that the engine wrote as a table; a null box stays apart
-    from a missing key."""
-    if is_folder(spark, path):
-        return spark.read.parquet(path).select(F.col("key").cast("string").alias("key"), F.col("bbox").cast("array<double>").alias("bbox"))
+    """(key, bbox) of predictions as one JSON object or as a table; a null box stays apart from a missing key."""
+    if is_table(spark, path):
+        return spark.read.option("recursiveFileLookup", "true").parquet(path).select(F.col("key").cast("string").alias("key"), F.col("bbox").cast("array<double>").alias("bbox"))
     return json_object(spark, path).select("key", F.from_json("raw", "array<double>").alias("bbox"))
 
 
 def saved_progress(spark: SparkSession, folder: str) -> list[DataFrame]:
     """Predictions (key, bbox) of each saved source of a run: the tables that steps of this engine have saved, then its checkpoint
     file, then its shards' in order of their names."""
-    tables = [p for p in (f"{folder}/predictions", *shard_folders(spark, folder)) if is_folder(spark, p)]
+    tables = [p for p in (f"{folder}/predictions", *shard_folders(spark, folder)) if is_table(spark, p)]
     names = [r.path for r in listing(spark, folder, "*checkpoint.json").select("path").collect()]  # a few files
     out = []
     for name in sorted(names, key=lambda p: (not p.endswith("/checkpoint.json"), p)):
-        held = json_object(spark, name).where("key = 'predictions'").select(F.from_json("raw", "map<string,array<double>>").alias("m"))
-        out.append(held.select(F.explode("m").alias("key", "bbox")))
+        out.append(JsonObject(spark, name).within("predictions").select("key", F.from_json("raw", "array<double>").alias("bbox")))
     return [predictions(spark, p) for p in tables] + out
 
 

@@ -2,12 +2,13 @@
 
 import json
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from boxlore import __main__ as command
-from boxlore.operators import contract, inference
+from boxlore.operators import contract, inference, sharding
 from boxlore.sources import readers
 
 
@@ -58,7 +59,7 @@ def test_shards_go_on_and_must_be_whole(spark, tmp_path, monkeypatch):
     assert sum(s.count() for s in readers.saved_progress(spark, folder)) == 20
     before = len(commits)
     assert inference.run_in_shards(items, "no such adapter", folder, 5, 4, commits.append).count() == 20 and len(commits) == before
-    monkeypatch.setattr(inference, "run_in_steps", lambda *a, **k: None)
+    monkeypatch.setattr(inference, "_run", lambda *a, **k: None)
     with pytest.raises(ValueError, match="shard 0 has done 0 of"):
         inference.run_in_shards(items, "stand-in", str(tmp_path / "other"), 2, 4)
 
@@ -83,6 +84,51 @@ def test_pictures_are_decoded_once_while_32_are_kept(spark, tmp_path, monkeypatc
     items = spark.createDataFrame(rows, "key string, visible string, query string").coalesce(1)
     assert all(r.bbox == [0.0, 0.0, 1.0, 1.0] for r in inference.predict(items, "echo", decode=decode).collect())
     assert sorted(log.read_text().split()) == sorted({v for _, v, _ in rows})
+    log.write_text("")  # one picture has a third of the rows
+    rows = [(f"k{n:04d}", "hot" if n % 3 == 0 else f"v{n % 40}", "q") for n in range(1200)]
+    items = spark.createDataFrame(rows, "key string, visible string, query string").repartition(7)
+    parted = sharding.by_picture(items, most=100)
+    assert sorted(map(tuple, parted.collect())) == sorted(rows)
+    monkeypatch.setattr(inference, "by_picture", lambda x: sharding.by_picture(x, most=100))
+    assert inference.predict(items, "echo", decode=decode).where("bbox[3] = 1").count() == 1200
+    decoded = Counter(log.read_text().split())
+    assert decoded.pop("hot") <= 4 and set(decoded.values()) == {1} and len(decoded) == len({v for _, v, _ in rows}) - 1
+
+
+def test_a_step_costs_what_it_holds_and_is_saved_whole(spark, tmp_path, monkeypatch):
+    items = spark.createDataFrame([(n, f"k{n:02d}", f"v{n}", f"the box {n}") for n in range(23)], "pos long, key string, visible string, query string")
+    want = {r.key: r.bbox for r in inference.stand_in(items).collect()}
+    folder, asked = str(tmp_path / "run"), []
+    monkeypatch.setattr(inference, "predict", lambda todo, name, **k: (asked.append(todo.count()), inference.stand_in(todo))[1])
+
+    def stop(step):
+        if step == 2:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        inference.run_in_steps(items, "stand-in", folder, 5, stop)
+    assert asked == [5, 5] and sorted(p.name for p in (tmp_path / "run" / "predictions").iterdir()) == ["000000000001", "000000000002"]
+    assert {r.key for r in readers.predictions(spark, f"{folder}/predictions").collect()} == {f"k{n:02d}" for n in range(10)}
+    got = inference.run_in_steps(items, "stand-in", folder, 6)
+    assert asked == [5, 5, 6, 6, 1] and {r.key: r.bbox for r in got.collect()} == want and got.count() == 23
+
+
+def test_split_package_and_a_module_of_adapters(spark, tmp_path, monkeypatch, template):
+    boxes = spark.createDataFrame([(s, f"{s:03d}_{n}", f"Raw/{s:03d}/color/{n}.png", [0.1, 0.2, 0.5, 0.25 + n / 10], 64, 48) for s in (1, 2) for n in range(3)], "scene int, id string, visible string, bbox array<double>, width int, height int")
+    index = boxes.withColumns({"infrared": F.replace("visible", F.lit("color"), F.lit("infrared")), "depth": F.replace("visible", F.lit("color"), F.lit("depth")), "split": F.when(F.col("scene") == 1, "train").otherwise("val")})
+    index.write.partitionBy("split").parquet(f"{tmp_path}/index")  # as the command writes it
+    for split, scene in (("train", 1), ("val", 2)):
+        records = [{"sample_id": f"{scene:03d}_{n}", "object_index": 1, "query": f"The {w} dog by the fence."} for n, w in enumerate(("big", "old", "wet"))]
+        generation = put(tmp_path / f"{split}.json", {"metadata": {}, "records": records})
+        for place in (f"{tmp_path}/index", f"{tmp_path}/index/split={split}"):
+            assert command.main(["package", generation, place, "--split", split, "--run-id", "r", "--prompt-hash", "p", "--out", f"{tmp_path}/{split}_out.json"]) == 0
+        held = json.loads((tmp_path / f"{split}_out.json").read_text())
+        assert set(held["data"]) == {f"{scene:03d}_{n}" for n in range(3)} and held["data"][f"{scene:03d}_1"]["bbox"] == [0.1, 0.2, 0.5, 0.35]
+    (tmp_path / "own_adapters.py").write_text("from boxlore.operators import inference\nfrom boxlore.plans.files import Measure\ninference.register('own', Measure)\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert command.main(["infer", template, "--adapter", "own", "--module", "own_adapters", "--folder", str(tmp_path / "run"), "--out", str(tmp_path / "p.json")]) == 0
+    got = json.loads((tmp_path / "p.json").read_text())
+    assert got["000001_001"] == [0.0, 0.125, (11 % 5 + 1) / 8, (11 % 4 + 2) / 8] and len(got) == 12
 
 
 def test_package_and_both_sides(spark, tmp_path):
