@@ -2,48 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-#: Ranges that an order is cut into; each is numbered by one task, which may spill.
-BUCKETS = 64
-#: Sampled keys for each range.
-SAMPLED = 40
+from ..sources.scratch import scratch
 
+#: Bits of a row's place that count the rows of its range; those above are the range's number.
+_BITS = 33
 
-def bounds_of(rows: DataFrame, key: Column, buckets: int = BUCKETS) -> list:
-    """At most ``buckets`` - 1 keys that cut the rows into ranges of about equal numbers, from a sample of SAMPLED keys a range."""
-    sample = rows.select(key.alias("k")).where("k is not null").orderBy(F.rand(7)).limit(buckets * SAMPLED).collect()
-    keys = sorted(r.k for r in sample)  # code points sort as Spark's bytes do
-    step = len(keys) / buckets
-    return sorted({keys[int(n * step)] for n in range(1, buckets)}) if keys else []
 
-
-def range_of(key: Column, bounds: list) -> Column:
-    """The number of bounds that are not above the key, by bisection; null for a null key."""
-
-    def branch(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key < F.lit(bounds[middle]), branch(low, middle)).otherwise(branch(middle + 1, high))
-
-    return F.when(key.isNotNull(), branch(0, len(bounds)))
-
-
-def numbered(rows: DataFrame, key: Column, name: str, buckets: int = BUCKETS) -> DataFrame:
+def numbered(rows: DataFrame, key: Column, name: str, ranges: int | None = None) -> DataFrame:
     """The rows with ``name``: 1, 2, ... in order of the key, nulls first; rows of equal keys in any order.
 
-    The ranges' bounds are drawn once and are values in the plan, so a row's range follows from its key alone, however a
-    shuffle deals or coalesces partitions. Each range is counted, offset by the counts before and numbered on its own.
+    Spark cuts the order into ranges, as many as a shuffle has partitions (or ``ranges``), from a sample of its own; a row's turn
+    breaks ties, so a key that most rows share is cut as well. Each range is sorted and written with its rows' places, so the
+    numbers stay what they are however often they are read; what is left is to add the counts of the ranges before.
     """
-    part = F.coalesce(range_of(key, bounds_of(rows, key, buckets)) + 1, F.lit(0))
-    x = rows.withColumn("__range", part)
-    counts = {r[0]: r[1] for r in x.groupBy("__range").count().collect()}  # a row for each range
-    before, total = [], 0
-    for n in range(buckets + 1):
-        before.append(total)
-        total += counts.get(n, 0)
-    offset = F.element_at(F.array(*(F.lit(b).cast("long") for b in before)), F.col("__range") + 1)
-    number = F.row_number().over(Window.partitionBy("__range").orderBy(key.asc_nulls_first()))
-    return x.withColumn(name, number + offset).drop("__range")
+    spark = rows.sparkSession
+    turned = rows.withColumns({"__key": key, "__turn": F.monotonically_increasing_id()})
+    order = [F.col("__key").asc_nulls_first(), F.col("__turn")]
+    ranged = turned.repartitionByRange(ranges, *order) if ranges else turned.repartitionByRange(*order)
+    path = scratch(spark, "numbered")
+    ranged.sortWithinPartitions(*order).drop("__key", "__turn").withColumn("__place", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.schema(StructType([*rows.schema.fields, StructField("__place", LongType())])).parquet(path)
+    part = F.shiftright("__place", _BITS)
+    total, before = 0, []
+    for r in sorted(placed.groupBy(part.alias("part")).count().collect()):  # a row for each range
+        before.append((r[0], total))
+        total += r[1]
+    offsets = F.broadcast(spark.createDataFrame(before, "__part bigint, __before bigint"))
+    number = F.col("__before") + F.col("__place").bitwiseAND(F.lit((1 << _BITS) - 1)) + 1
+    return placed.join(offsets, part == F.col("__part")).withColumn(name, number).drop("__place", "__part", "__before")

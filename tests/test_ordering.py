@@ -35,6 +35,15 @@ def test_numbers_of_few_null_and_equal_keys(spark):
         assert [k for _, k in got] == sorted(keys, key=lambda k: (k is not None, k))
 
 
+def test_a_key_of_most_rows_is_cut_too(spark):
+    rows = spark.range(60_000).select(F.when(F.col("id") % 10 < 8, F.lit("same")).otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("i"))
+    got = ordering.numbered(rows, F.col("k"), "n", 16)
+    assert got.agg(F.count_distinct("n"), F.min("n"), F.max("n"), F.count_distinct("i")).first() == (60_000, 1, 60_000, 60_000)
+    wrong = got.alias("a").join(got.alias("b"), F.expr("b.n = a.n + 1 AND b.k < a.k"))
+    assert wrong.count() == 0 and got.columns == ["k", "i", "n"]
+    assert got.select("i", "n").exceptAll(got.select("i", "n")).count() == 0
+
+
 def test_cleaning_is_linear(spark):
     n = 400_000
     texts = ["a" + " " * n + "b", "a" + "." * n + "b", "`" * n + "x" + "'" * n + "y", " " * n, "a" + '"' * n]
