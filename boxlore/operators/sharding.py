@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import numbered
-from .splits import MOST_GROUPS
+from .splits import by_rank
 
 
 def keys_by_scene(rows: DataFrame, key: str = "key", scene: str = "scene") -> DataFrame:
@@ -16,35 +17,40 @@ def keys_by_scene(rows: DataFrame, key: str = "key", scene: str = "scene") -> Da
     return rows.groupBy(scene).agg(F.sort_array(F.collect_list(key)).alias("keys"))
 
 
-def balance(sizes: list[tuple[str, int]], shards: int) -> dict[str, int]:
-    """Scenes to shards: the largest first (ids break ties), each to the least loaded shard (the lowest on ties)."""
+def balance(classes: list[tuple[int, int]], shards: int) -> array:
+    """Shards of scenes in order of size, the largest first: each goes to the least loaded shard (the lowest on ties). classes: the
+    sizes that there are, from the largest on, and how many scenes have each."""
     if shards <= 0:
         raise ValueError("shards must be positive")
-    load = [(0, k) for k in range(min(shards, len(sizes)))]
-    out = {}
-    for scene, size in sorted(sizes, key=lambda s: (-s[1], s[0])):
-        had, shard = heapq.heappop(load)
-        out[scene] = shard
-        heapq.heappush(load, (had + size, shard))
+    load = [(0, k) for k in range(min(shards, sum(n for _, n in classes)))]
+    out = array("i")
+    for size, many in classes:
+        for _ in range(many):
+            had, shard = load[0]
+            out.append(shard)
+            heapq.heapreplace(load, (had + size, shard))
     return out
 
 
 def shard_scenes(rows: DataFrame, shards: int, scene: str = "scene", only: list[str] | None = None) -> DataFrame:
-    """The rows with a column ``shard``; scenes are never divided. ``only`` names the scenes to take; an unknown one raises.
+    """The rows with a column ``shard``; scenes are never divided, and none that is null is taken. ``only`` names the scenes to take;
+    an unknown one raises.
 
-    The driver holds one number per scene, at most MOST_GROUPS, as each choice depends on those before.
+    The largest scenes come first, ids break ties, and each choice depends on those before. The driver sees how many scenes
+    have each size, not their ids: these are ranked on the cluster, and take their shard by rank (4 bytes each).
     """
-    sizes = [(r[0], r[1]) for r in rows.groupBy(scene).count().limit(MOST_GROUPS + 1).collect()]
-    if len(sizes) > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} scenes")
+    spark = rows.sparkSession
+    sizes = rows.where(F.col(scene).isNotNull()).groupBy(F.col(scene).alias("__scene")).agg(F.count("*").alias("__size"))
     if only is not None:
-        unknown = sorted(set(only) - {s for s, _ in sizes})
+        named = spark.createDataFrame([(x,) for x in sorted(set(only))], f"__scene {rows.schema[scene].dataType.simpleString()}")
+        unknown = [r[0] for r in named.join(sizes, "__scene", "left_anti").orderBy("__scene").limit(5).collect()]
         if unknown:
-            raise ValueError(f"unknown scenes: {unknown[:5]}")
-        sizes = [s for s in sizes if s[0] in set(only)]
-    kind = rows.schema[scene].dataType.simpleString()
-    table = rows.sparkSession.createDataFrame(list(balance(sizes, shards).items()), f"`{scene}` {kind}, shard int")
-    return rows.join(table, scene)
+            raise ValueError(f"unknown scenes: {unknown}")
+        sizes = sizes.join(named, "__scene", "left_semi")
+    ranked = numbered(sizes, F.struct(-F.col("__size"), "__scene"), "rank")
+    classes = [(r[0], r[1]) for r in ranked.groupBy("__size").count().orderBy(F.desc("__size")).collect()]
+    found = ranked.join(by_rank(spark, balance(classes, shards), "shard"), "rank").select("__scene", "shard")
+    return rows.join(found, F.col(scene) == F.col("__scene")).drop("__scene")
 
 
 def shard_pending(items: DataFrame, done: DataFrame, shards: int, key: str = "key", pos: str = "pos") -> DataFrame:

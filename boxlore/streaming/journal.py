@@ -5,19 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.journal import merge, parse_records
+from ..sinks import commit
 from .source import JournalSource
 
 LIVE = "bbox array<double>, query string, absent boolean, annotator string, ts string"
 OUTPUT = f"id string, {LIVE}"
 #: ``known``: a box event or a query-only record has said whose the row is, be it nobody's.
 STATE = f"{LIVE}, known boolean"
-#: Parts of a merged dataset, by a hash of the id; a batch writes only those that it touches.
-PARTS = 64
+#: Rows of a leaf of a merged dataset; one that grows beyond is split.
+LEAF_ROWS = 4000
+MANIFEST = "leaf string, v int, n bigint"
 
 
 def tail(spark: SparkSession, path: str) -> DataFrame:
@@ -55,67 +58,114 @@ def live_state(records: DataFrame) -> DataFrame:
     return records.groupBy("id").applyInPandasWithState(_replay, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def _part():
-    return F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
+def leaf_of(depth) -> Column:
+    """The leaf of a row's id at that depth: the first bits of its hash, behind a letter."""
+    bits = F.lpad(F.bin(F.expr(f"shiftrightunsigned(xxhash64(id), 64 - ({depth}))")), F.expr(f"CAST({depth} AS INT)"), F.lit("0"))
+    return F.concat(F.lit("r"), F.when(F.expr(f"({depth}) > 0"), bits).otherwise(""))
 
 
-def _versions(spark: SparkSession, dataset: str) -> dict[int, list[int]]:
-    """The versions of each part of a merged dataset, by the names of its folders."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{dataset.rstrip('/')}/part=*/v=*")
-    found: dict[int, list[int]] = {}
-    for status in pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []:
-        folder = status.getPath()
-        found.setdefault(int(folder.getParent().getName()[5:]), []).append(int(folder.getName()[2:]))
-    return found
+def _manifests(spark: SparkSession, dataset: str) -> list[int]:
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{dataset.rstrip('/')}/manifest/{'[0-9]' * commit.DIGITS}")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return sorted(int(s.getPath().getName()) for s in found)
 
 
-def _write(rows: DataFrame, touched: DataFrame, dataset: str, version: int) -> None:
-    """The rows as a version of the touched parts; a row without an id stands for a part that may have no other."""
-    marks = touched.select(F.col("part"))
-    out = rows.withColumn("part", _part()).unionByName(marks, allowMissingColumns=True).withColumn("v", F.lit(version))
-    out.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "v").parquet(dataset)
+def manifest(spark: SparkSession, dataset: str, number: int | None = None) -> DataFrame:
+    """(leaf, v, n): the leaves of a merged dataset, the version and the number of rows of each; as of the last batch, or of entry
+    ``number``."""
+    number = _manifests(spark, dataset)[-1] if number is None else number
+    return spark.read.schema(MANIFEST).parquet(commit.entry(f"{dataset.rstrip('/')}/manifest", number))
 
 
-def _read(spark: SparkSession, dataset: str, chosen: dict[int, int]) -> DataFrame:
-    paths = [f"{dataset.rstrip('/')}/part={p}/v={v}" for p, v in chosen.items()]
-    return spark.read.option("basePath", dataset).parquet(*paths).where("id is not null").drop("part", "v")
+def _publish(leaves: DataFrame, dataset: str, number: int) -> None:
+    """The manifest as entry ``number``; one that is there already stays, and so does what it names."""
+    spark, folder = leaves.sparkSession, f"{dataset.rstrip('/')}/manifest"
+    staged = commit.staging(folder)
+    leaves.coalesce(1).write.parquet(staged)
+    if not commit.claim(spark, staged, commit.entry(folder, number)):
+        commit.discard(spark, staged)
 
 
-def begin_merged(rows: DataFrame, dataset: str) -> None:
-    """Write a dataset to merge into, as version -1 of every part."""
-    _write(rows, rows.sparkSession.range(PARTS).select(F.col("id").cast("int").alias("part")), dataset, -1)
+def _write(rows: DataFrame, dataset: str, version: int) -> str:
+    """Rows with their ``leaf`` as a version of those leaves, a folder each; what a try before has left is replaced."""
+    path = f"{dataset.rstrip('/')}/data/v={version}"
+    rows.repartition("leaf").write.mode("overwrite").partitionBy("leaf").parquet(path)
+    return path
+
+
+def _read(spark: SparkSession, dataset: str, leaves: DataFrame, schema: StructType) -> DataFrame:
+    """The rows of some leaves of a manifest, and of no other."""
+    paths = [f"{dataset.rstrip('/')}/data/v={r.v}/leaf={r.leaf}" for r in leaves.where("n > 0").select("v", "leaf").collect()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def begin_merged(rows: DataFrame, dataset: str, leaf_rows: int = LEAF_ROWS) -> None:
+    """Write a dataset to merge into, in leaves of about half of ``leaf_rows`` rows at most."""
+    spark = rows.sparkSession
+    depth = max(0, (2 * rows.count() // leaf_rows).bit_length())
+    path = _write(rows.withColumn("leaf", leaf_of(depth)), dataset, -1)
+    counts = spark.read.schema(StructType([*rows.schema.fields, StructField("leaf", StringType())])).parquet(path).groupBy("leaf").agg(F.count("*").alias("n"))
+    every = spark.range(1 << depth).select(F.concat(F.lit("r"), F.lpad(F.bin("id"), depth, "0") if depth else F.lit("")).alias("leaf"))
+    _publish(every.join(counts, "leaf", "left").select("leaf", F.lit(-1).alias("v"), F.coalesce("n", F.lit(0)).cast("long").alias("n")), dataset, 1)
 
 
 def current(spark: SparkSession, dataset: str) -> DataFrame:
     """The dataset as the last batches have left it."""
-    return _read(spark, dataset, {p: max(v) for p, v in _versions(spark, dataset).items()})
+    held = spark.read.option("basePath", f"{dataset.rstrip('/')}/data").parquet(f"{dataset.rstrip('/')}/data/v=*")
+    return held.join(manifest(spark, dataset).select("leaf", "v"), ["leaf", "v"], "left_semi").drop("leaf", "v")
+
+
+def _sweep(spark: SparkSession, dataset: str, numbers: list[int]) -> None:
+    """Delete the leaves that the manifest before the last but one names and the one after it does not, and that manifest."""
+    if len(numbers) > 2:
+        old, kept = numbers[-3], numbers[-2]
+        gone = manifest(spark, dataset, old).join(manifest(spark, dataset, kept), ["leaf", "v"], "left_anti").where("n > 0")
+        for r in gone.collect():  # leaves that one batch has touched
+            commit.discard(spark, f"{dataset.rstrip('/')}/data/v={r.v}/leaf={r.leaf}")
+        commit.discard(spark, commit.entry(f"{dataset.rstrip('/')}/manifest", old))
 
 
-def keep_merged(records: DataFrame, dataset: str, sizes: DataFrame | None, checkpoint: str, on_commit: Callable[[int], None] | None = None):
+def keep_merged(records: DataFrame, dataset: str, sizes: DataFrame | None, checkpoint: str, on_commit: Callable[[int], None] | None = None, leaf_rows: int = LEAF_ROWS):
     """A query that merges each batch's touched ids into a dataset that ``begin_merged`` has written.
 
-    Only the parts that hold a touched id are read and written, as a version of the batch's number beside the one before;
-    older ones are deleted. A batch that is run again starts from the versions before it and overwrites its own, so a
-    restart changes nothing. Returns the writer; start it with ``.start()``.
+    The dataset lies in leaves by the first bits of the ids' hashes. A batch reads the leaves that its ids fall into, and writes
+    them as a version of its own; a leaf that grows beyond ``leaf_rows`` is written as two, or as many as it takes. The batch
+    then counts by one rename of its manifest, which names every leaf's version; one that is run again finds it there and
+    changes nothing. Versions are deleted when two manifests after them name others. Returns the writer; start it with
+    ``.start()``.
     """
 
-    def commit(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+    def merge_batch(batch: DataFrame, number: int) -> None:
+        spark, entry = batch.sparkSession, number + 2
+        done = _manifests(spark, dataset)
         held = batch.persist()
         try:
-            touched = [r.part for r in held.select(_part().alias("part")).distinct().collect()]  # at most PARTS numbers
-            if touched:
-                versions = _versions(spark, dataset)
-                before = {p: max(v for v in versions[p] if v < number) for p in touched}
-                parts = spark.createDataFrame([(p,) for p in touched], "part int")
-                _write(merge(_read(spark, dataset, before), held, sizes), parts, dataset, number)
-                for p, v in before.items():
-                    for old in (x for x in versions[p] if x < v):
-                        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{dataset.rstrip('/')}/part={p}/v={old}")
-                        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            held.count()  # a state's batch counts only if all of it is read, and so also one that is done already
+            if entry not in done:
+                before = manifest(spark, dataset, done[-1])
+                depths = [r[0] for r in before.select(F.length("leaf") - 1).distinct().collect()]  # at most 65
+                ids = held.select(F.explode(F.array(*(leaf_of(d) for d in depths))).alias("leaf")).distinct()
+                touched = before.join(ids, "leaf", "left_semi").persist()
+                schema = StructType([f for f in spark.read.parquet(f"{dataset.rstrip('/')}/data").schema.fields if f.name not in ("leaf", "v")])
+                merged = merge(_read(spark, dataset, touched, schema), held, sizes)
+                at = F.explode(F.array(*(leaf_of(d) for d in depths)))
+                placed = merged.select("*", at.alias("__old")).join(touched.select(F.col("leaf").alias("__old")), "__old", "left_semi")
+                many = F.count("*").over(Window.partitionBy("__old"))  # of a leaf
+                split = F.greatest(F.lit(0), F.ceil(F.log2(many / leaf_rows))).cast("int")
+                path = _write(placed.withColumn("__depth", F.length("__old") - 1 + split).withColumn("leaf", leaf_of("__depth")).drop("__old", "__depth"), dataset, number)
+                counts = spark.read.schema(StructType([StructField("id", StringType()), StructField("leaf", StringType())])).parquet(path).groupBy("leaf").agg(F.count("*").alias("n"))
+                # the leaves that take a touched one's place cover all that it covered, with rows or without
+                deepest = counts.select("leaf", "n", F.explode(F.array(*(F.substring("leaf", 1, d + 1) for d in depths))).alias("old")).join(touched.select(F.col("leaf").alias("old")), "old").groupBy("old").agg(F.max(F.length("leaf")).alias("long"))
+                places = touched.select(F.col("leaf").alias("old")).join(deepest, "old", "left").withColumn("more", F.coalesce(F.col("long") - F.length("old"), F.lit(0)))
+                places = places.select("old", "more", F.explode(F.sequence(F.lit(0), F.expr("CAST(shiftleft(1, more) - 1 AS INT)"))).alias("k"))
+                places = places.select(F.concat("old", F.when(F.col("more") > 0, F.expr("lpad(bin(k), more, '0')")).otherwise("")).alias("leaf"))
+                new = places.join(counts, "leaf", "left").select("leaf", F.lit(number).alias("v"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+                _publish(before.join(touched, "leaf", "left_anti").select("leaf", "v", "n").unionByName(new), dataset, entry)
+                touched.unpersist()
+                _sweep(spark, dataset, _manifests(spark, dataset))
         finally:
             held.unpersist()
         if on_commit is not None:
             on_commit(number)
 
-    return live_state(records).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(commit)
+    return live_state(records).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge_batch)

@@ -52,3 +52,26 @@ def test_cleaning_is_linear(spark):
     got = [r[0] for r in df.select(text.clean_query(F.col("t"))).collect()]
     assert time.time() - began < 20
     assert got[:2] == texts[:2] and got[2] == "x" + "'" * n + "y" and got[3:] == ["", "a"]
+
+
+def test_groups_by_rank_are_the_sequential_rules(spark):
+    import heapq
+
+    from boxlore.operators import sharding, splits
+
+    rng = random.Random(6)
+    sizes = [(f"s{k:04d}é"[: 4 + k % 3] + str(k), rng.choice([1, 1, 2, 2, 2, 5, 300])) for k in range(200)]
+    df = spark.createDataFrame([(s, k) for s, n in sizes for k in range(n)] + [(None, 0)] * 7, "scene string, k int").repartition(5)
+    load, want = [(0, k) for k in range(6)], {}
+    for scene, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        had, shard = heapq.heappop(load)
+        want[scene] = shard
+        heapq.heappush(load, (had + size, shard))
+    got = sharding.shard_scenes(df, 6)
+    assert got.columns == ["scene", "k", "shard"] and got.count() == sum(n for _, n in sizes)
+    assert {r.scene: r.shard for r in got.select("scene", "shard").distinct().collect()} == want
+    ids = sorted(s for s, _ in sizes)
+    random.Random(9).shuffle(ids)
+    assert {r.scene: r.split for r in splits.split_groups(df, "scene", 0.7, 9).select("scene", "split").distinct().collect()} == {s: "train" if k < 140 else "val" for k, s in enumerate(ids)}
+    assert {r.scene for r in splits.sample_groups(df, "scene", 31, 9).select("scene").distinct().collect()} == set(ids[:31])
+    assert list(splits.permutation(1000, 3)) == (lambda x: (random.Random(3).shuffle(x), x)[1])(list(range(1000)))

@@ -228,7 +228,7 @@ def test_stream_reads_on_in_a_file_that_grows(spark, tmp_path):
     schema = "id string, visible string, infrared string, depth string, bbox array<double>, width int, height int, query string"
     start = [(f"001_{k}", f"v{k}", "i", "d", None, 4, 3, "") for k in range(0, 60, 2)]
     begun = spark.createDataFrame(start, schema)
-    stream.begin_merged(begun, f"{tmp_path}/data")
+    stream.begin_merged(begun, f"{tmp_path}/data", 12)
     sizes = spark.createDataFrame([(f"Raw/001/color/{k}.png", 8, 6) for k in range(60)], "visible string, width int, height int")
     lines, done, n, held = [], [], 0, start
 
@@ -247,7 +247,7 @@ def test_stream_reads_on_in_a_file_that_grows(spark, tmp_path):
 
     def run(new):
         nonlocal held
-        q = stream.keep_merged(stream.tail(spark, str(folder)), f"{tmp_path}/data", sizes, str(tmp_path / "c"), done.append).trigger(availableNow=True).start()
+        q = stream.keep_merged(stream.tail(spark, str(folder)), f"{tmp_path}/data", sizes, str(tmp_path / "c"), done.append, 12).trigger(availableNow=True).start()
         q.awaitTermination()
         records = journal.parse_records(spark.createDataFrame(list(enumerate(lines)), "pos long, line string"))
         ids = {json.loads(x)["id"] for x in new}  # what was deleted and comes back later is a new row
@@ -269,8 +269,11 @@ def test_stream_reads_on_in_a_file_that_grows(spark, tmp_path):
     (folder / "other.jsonl").write_text("\n".join(new) + "\n")
     lines += ['{"id": "001_1", "bbox": [0.5, 0.5', *new]
     run(new)
-    touched = {v for p in (tmp_path / "data").glob("part=*") for v in [len(list(p.glob("v=*")))]}
-    assert touched <= {1, 2}  # no more than the last version and the one before
+    leaves = stream.manifest(spark, f"{tmp_path}/data").collect()
+    assert sum(r.n for r in leaves) == len(held) and len({r.leaf for r in leaves}) == len(leaves)
+    named = {(r.leaf, r.v) for n in stream._manifests(spark, f"{tmp_path}/data") for r in stream.manifest(spark, f"{tmp_path}/data", n).collect() if r.n}
+    there = {(p.name[5:], int(p.parent.name[2:])) for p in (tmp_path / "data" / "data").glob("v=*/leaf=*")}
+    assert there == named and len(stream._manifests(spark, f"{tmp_path}/data")) == 2  # of the last batch and the one before
 
 
 def test_spans_of_a_file_hold_each_line_once(tmp_path):
