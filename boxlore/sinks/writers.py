@@ -8,7 +8,7 @@ import json
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -35,27 +35,49 @@ def write_json(path: str, value: object, indent: int | None = 2) -> None:
         raise
 
 
+def _under_way(outputs: Iterable[str]) -> Path:
+    """The list of what a publication has staged, beside the first of its outputs."""
+    first = Path(min(str(Path(p).resolve()) for p in outputs))
+    return first.with_name(f".{first.name}.publishing")
+
+
+def finish_publication(outputs: Iterable[str]) -> bool:
+    """Take to its end a publication of these outputs that was stopped once everything was staged; whether there was one."""
+    listed = _under_way(outputs)
+    if not listed.exists():
+        return False
+    for aside, path in json.loads(listed.read_text(encoding="utf-8")):
+        if Path(aside).exists():  # else it has its place already
+            os.replace(aside, path)
+    listed.unlink()
+    return True
+
+
 def publish(outputs: dict[str, Callable[[str], None]], force: bool = False) -> None:
-    """Write several files or none: every destination is checked before the first is written, each is written aside, and all
-    are renamed at the end."""
+    """Write several files or none: every destination is checked before the first is written, each is written aside, and the list of
+    all is written as the moment from which they are published; then they take their places.
+
+    What fails before that moment leaves nothing. What is stopped after it is finished by ``finish_publication``, or by the next
+    publication of the same outputs, so that there is no end at which some are new and some are old.
+    """
     if len({str(Path(p).resolve()) for p in outputs}) != len(outputs):
         raise ValueError("two outputs have one destination")
+    finish_publication(outputs)
     there = [p for p in outputs if Path(p).exists()]
     if there and not force:
         raise FileExistsError(f"there already: {there}")
-    staged = []
+    staged: list[tuple[str, str]] = []
     try:
         for path, write in outputs.items():
-            aside = f"{path}.staged"
             Path(path).parent.mkdir(parents=True, exist_ok=True)
-            write(aside)
-            staged.append((aside, path))
+            staged.append((f"{path}.staged", path))
+            write(staged[-1][0])
+        write_json(str(_under_way(outputs)), staged, None)
     except BaseException:
         for aside, _ in staged:
             Path(aside).unlink(missing_ok=True)
         raise
-    for aside, path in staged:
-        os.replace(aside, path)
+    finish_publication(outputs)
 
 
 def append_journal(edits: DataFrame, folder: str) -> int:

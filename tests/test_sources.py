@@ -129,6 +129,33 @@ def test_writers(spark, tmp_path):
         writers.publish({f"{tmp_path}/z.json": one, f"{tmp_path}/x.json": one})
     assert not (tmp_path / "z.json").exists()
     writers.publish({f"{tmp_path}/x.json": one}, force=True)
+    def half(p):
+        (tmp_path / p.rsplit("/", 1)[1]).write_text("half")
+        raise OSError("full")
+
+    with pytest.raises(OSError, match="full"):
+        writers.publish({f"{tmp_path}/b.json": half})
+    assert not list(tmp_path.glob("b.json*"))
+    two = {f"{tmp_path}/{n}": (lambda p, n=n: writers.write_json(p, f"new {n}")) for n in ("p.json", "q.json", "r.json")}
+    for stop in range(3):  # stopped between any two of the renames
+        for n in ("p.json", "q.json", "r.json"):
+            (tmp_path / n).write_text("old")
+        real, calls = writers.os.replace, []
+
+        def breaks(a, b):
+            if str(b).rsplit("/", 1)[1] in ("p.json", "q.json", "r.json"):
+                calls.append(b)
+                if len(calls) > stop:
+                    raise OSError("gone")
+            real(a, b)
+
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(writers.os, "replace", breaks)
+            with pytest.raises(OSError, match="gone"):
+                writers.publish(two, force=True)
+        assert writers.finish_publication(two) and not writers.finish_publication(two)
+        assert [json.loads((tmp_path / n).read_text()) for n in ("p.json", "q.json", "r.json")] == ["new p.json", "new q.json", "new r.json"]
+        assert not list(tmp_path.glob("*.staged")) and not list(tmp_path.glob(".*publishing"))
     (tmp_path / "j").write_bytes(b'{"a": 1}\n{"torn')
     writers.append_lines(f"{tmp_path}/j", ['{"b": 2}'])
     assert (tmp_path / "j").read_bytes() == b'{"a": 1}\n{"torn\n{"b": 2}\n'
