@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from ..functions import merkle
 from ..operators.journal import merge, parse_records
 from ..sinks import commit
 from .source import JournalSource
@@ -20,7 +21,7 @@ OUTPUT = f"id string, {LIVE}"
 STATE = f"{LIVE}, known boolean"
 #: Rows of a leaf of a merged dataset; one that grows beyond is split.
 LEAF_ROWS = 4000
-MANIFEST = "leaf string, v int, n bigint"
+MANIFEST = "leaf string, v int, n bigint, hash string"
 
 
 def tail(spark: SparkSession, path: str) -> DataFrame:
@@ -71,8 +72,8 @@ def _manifests(spark: SparkSession, dataset: str) -> list[int]:
 
 
 def manifest(spark: SparkSession, dataset: str, number: int | None = None) -> DataFrame:
-    """(leaf, v, n): the leaves of a merged dataset, the version and the number of rows of each; as of the last batch, or of entry
-    ``number``."""
+    """(leaf, v, n, hash): the leaves of a merged dataset, and the version, the number of rows and the value of each; as of the last
+    batch, or of entry ``number``."""
     number = _manifests(spark, dataset)[-1] if number is None else number
     return spark.read.schema(MANIFEST).parquet(commit.entry(f"{dataset.rstrip('/')}/manifest", number))
 
@@ -99,19 +100,36 @@ def _read(spark: SparkSession, dataset: str, leaves: DataFrame, schema: StructTy
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
+def _schema(spark: SparkSession, dataset: str) -> StructType:
+    return spark.read.parquet(f"{dataset.rstrip('/')}/schema").schema
+
+
 def begin_merged(rows: DataFrame, dataset: str, leaf_rows: int = LEAF_ROWS) -> None:
     """Write a dataset to merge into, in leaves of about half of ``leaf_rows`` rows at most."""
     spark = rows.sparkSession
+    rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{dataset.rstrip('/')}/schema")
     depth = max(0, (2 * rows.count() // leaf_rows).bit_length())
     path = _write(rows.withColumn("leaf", leaf_of(depth)), dataset, -1)
-    counts = spark.read.schema(StructType([*rows.schema.fields, StructField("leaf", StringType())])).parquet(path).groupBy("leaf").agg(F.count("*").alias("n"))
+    counts = merkle.leaf_values(spark.read.schema(StructType([*rows.schema.fields, StructField("leaf", StringType())])).parquet(path))
     every = spark.range(1 << depth).select(F.concat(F.lit("r"), F.lpad(F.bin("id"), depth, "0") if depth else F.lit("")).alias("leaf"))
-    _publish(every.join(counts, "leaf", "left").select("leaf", F.lit(-1).alias("v"), F.coalesce("n", F.lit(0)).cast("long").alias("n")), dataset, 1)
+    _publish(every.join(counts, "leaf", "left").select("leaf", F.lit(-1).alias("v"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "hash"), dataset, 1)
+
+
+def fingerprint(spark: SparkSession, dataset: str) -> str:
+    """The hash tree's root of a merged dataset, from what the manifest has of each leaf; no row is read."""
+    return merkle.root([(r.leaf, r.n, r.hash) for r in manifest(spark, dataset).select("leaf", "n", "hash").collect()])
+
+
+def fingerprint_of(rows: DataFrame, leaf_rows: int = LEAF_ROWS) -> str:
+    """The same of any rows with an ``id``, from all of them."""
+    depth = max(0, (2 * rows.count() // leaf_rows).bit_length())
+    return merkle.root([tuple(r) for r in merkle.leaf_values(rows.withColumn("leaf", leaf_of(depth))).collect()])
 
 
 def current(spark: SparkSession, dataset: str) -> DataFrame:
     """The dataset as the last batches have left it."""
-    held = spark.read.option("basePath", f"{dataset.rstrip('/')}/data").parquet(f"{dataset.rstrip('/')}/data/v=*")
+    fields = [*_schema(spark, dataset).fields, StructField("v", IntegerType()), StructField("leaf", StringType())]
+    held = spark.read.schema(StructType(fields)).parquet(f"{dataset.rstrip('/')}/data")
     return held.join(manifest(spark, dataset).select("leaf", "v"), ["leaf", "v"], "left_semi").drop("leaf", "v")
 
 
@@ -146,22 +164,23 @@ def keep_merged(records: DataFrame, dataset: str, sizes: DataFrame | None, check
                 depths = [r[0] for r in before.select(F.length("leaf") - 1).distinct().collect()]  # at most 65
                 ids = held.select(F.explode(F.array(*(leaf_of(d) for d in depths))).alias("leaf")).distinct()
                 touched = before.join(ids, "leaf", "left_semi").persist()
-                schema = StructType([f for f in spark.read.parquet(f"{dataset.rstrip('/')}/data").schema.fields if f.name not in ("leaf", "v")])
+                schema = _schema(spark, dataset)
                 merged = merge(_read(spark, dataset, touched, schema), held, sizes)
                 at = F.explode(F.array(*(leaf_of(d) for d in depths)))
                 placed = merged.select("*", at.alias("__old")).join(touched.select(F.col("leaf").alias("__old")), "__old", "left_semi")
                 many = F.count("*").over(Window.partitionBy("__old"))  # of a leaf
                 split = F.greatest(F.lit(0), F.ceil(F.log2(many / leaf_rows))).cast("int")
                 path = _write(placed.withColumn("__depth", F.length("__old") - 1 + split).withColumn("leaf", leaf_of("__depth")).drop("__old", "__depth"), dataset, number)
-                counts = spark.read.schema(StructType([StructField("id", StringType()), StructField("leaf", StringType())])).parquet(path).groupBy("leaf").agg(F.count("*").alias("n"))
+                counts = merkle.leaf_values(spark.read.schema(StructType([*schema.fields, StructField("leaf", StringType())])).parquet(path)).persist()
                 # the leaves that take a touched one's place cover all that it covered, with rows or without
                 deepest = counts.select("leaf", "n", F.explode(F.array(*(F.substring("leaf", 1, d + 1) for d in depths))).alias("old")).join(touched.select(F.col("leaf").alias("old")), "old").groupBy("old").agg(F.max(F.length("leaf")).alias("long"))
                 places = touched.select(F.col("leaf").alias("old")).join(deepest, "old", "left").withColumn("more", F.coalesce(F.col("long") - F.length("old"), F.lit(0)))
                 places = places.select("old", "more", F.explode(F.sequence(F.lit(0), F.expr("CAST(shiftleft(1, more) - 1 AS INT)"))).alias("k"))
                 places = places.select(F.concat("old", F.when(F.col("more") > 0, F.expr("lpad(bin(k), more, '0')")).otherwise("")).alias("leaf"))
-                new = places.join(counts, "leaf", "left").select("leaf", F.lit(number).alias("v"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-                _publish(before.join(touched, "leaf", "left_anti").select("leaf", "v", "n").unionByName(new), dataset, entry)
+                new = places.join(counts, "leaf", "left").select("leaf", F.lit(number).alias("v"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "hash")
+                _publish(before.join(touched, "leaf", "left_anti").select("leaf", "v", "n", "hash").unionByName(new), dataset, entry)
                 touched.unpersist()
+                counts.unpersist()
                 _sweep(spark, dataset, _manifests(spark, dataset))
         finally:
             held.unpersist()
