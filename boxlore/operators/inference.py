@@ -7,6 +7,7 @@ stays in the JVM.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from typing import Protocol
 
@@ -42,6 +43,16 @@ def register(name: str, make: Callable[[], Adapter]) -> None:
     _REGISTRY[name] = make
 
 
+@contextmanager
+def registered(name: str, make: Callable[[], Adapter]) -> Iterator[str]:
+    """An adapter's name, which is known within the block only."""
+    register(name, make)
+    try:
+        yield name
+    finally:
+        _REGISTRY.pop(name, None)
+
+
 def adapter(name: str) -> Callable[[], Adapter]:
     if name not in _REGISTRY:
         raise ValueError(f"unknown adapter {name!r}; there are {available()}")

@@ -148,12 +148,6 @@ class Measure:
         return [None if n % 7 == 0 else [0.0, 0.125, (n % 5 + 1) / 8, (n % 4 + 2) / 8] for n in sizes]
 
 
-def _measured(work):
-    """The work's answers by that adapter's rule, registered for this run."""
-    inference.register("measure", Measure)
-    return "measure"
-
-
 _MEASURED = """SELECT CAST(p_partkey AS VARCHAR) AS key, CASE WHEN n % 7 <> 0 THEN CAST(0.0 AS DOUBLE) END AS x1, CASE WHEN n % 7 <> 0 THEN CAST(0.125 AS DOUBLE) END AS y1,
 CASE WHEN n % 7 <> 0 THEN (n % 5 + 1) / CAST(8 AS DOUBLE) END AS x2, CASE WHEN n % 7 <> 0 THEN (n % 4 + 2) / CAST(8 AS DOUBLE) END AS y2 FROM (SELECT p_partkey, length('the ' || p_name) AS n FROM part)"""
 
@@ -163,8 +157,9 @@ def inference_in_steps(spark, sf_dir):
     """An adapter's answers, of a run that was stopped after a part of its work and went on, in three steps, from what it has saved."""
     work, path = _work(spark, sf_dir), scratch(spark, "run")
     n = work.count()
-    inference.run_in_steps(work.where(F.col("pos") % 3 == 0), _measured(work), path, n)
-    inference.run_in_steps(work, "measure", path, -(-n // 3))
+    with inference.registered("measure", Measure) as name:
+        inference.run_in_steps(work.where(F.col("pos") % 3 == 0), name, path, n)
+        inference.run_in_steps(work, name, path, -(-n // 3))
     return flat(readers.saved_progress(spark, path)[0])
 
 
@@ -172,7 +167,8 @@ def inference_in_steps(spark, sf_dir):
 def inference_in_shards(spark, sf_dir):
     """The same by four shards at a time, in two rounds."""
     work, path = _work(spark, sf_dir), scratch(spark, "shards")
-    return flat(inference.run_in_shards(work, _measured(work), path, 4, max(1, -(-work.count() // 8))))
+    with inference.registered("measure", Measure) as name:
+        return flat(inference.run_in_shards(work, name, path, 4, max(1, -(-work.count() // 8))))
 
 
 @query(f"SELECT key, x1, y1, x2, y2 FROM ({TRUTH_SQL})")

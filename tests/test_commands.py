@@ -126,6 +126,7 @@ def test_split_package_and_a_module_of_adapters(spark, tmp_path, monkeypatch, te
         assert set(held["data"]) == {f"{scene:03d}_{n}" for n in range(3)} and held["data"][f"{scene:03d}_1"]["bbox"] == [0.1, 0.2, 0.5, 0.35]
     (tmp_path / "own_adapters.py").write_text("from boxlore.operators import inference\nfrom boxlore.plans.files import Measure\ninference.register('own', Measure)\n")
     monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.setattr(inference, "_REGISTRY", dict(inference._REGISTRY))
     assert command.main(["infer", template, "--adapter", "own", "--module", "own_adapters", "--folder", str(tmp_path / "run"), "--out", str(tmp_path / "p.json")]) == 0
     got = json.loads((tmp_path / "p.json").read_text())
     assert got["000001_001"] == [0.0, 0.125, (11 % 5 + 1) / 8, (11 % 4 + 2) / 8] and len(got) == 12
