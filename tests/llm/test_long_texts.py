@@ -112,7 +112,7 @@ rng = np.random.default_rng(0)
 words = np.array(["".join(w) for w in rng.choice(list("abcdefgh"), (5000, 6))])
 text = "".join(" ".join(words[rng.integers(0, 5000, 1 << 16)].tolist()) + " " for _ in range({n} // (7 << 16)))
 batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text], pa.large_string())], names=["id", "text"])
-q = decontaminate.phrases_of([("a", text[:3000])], 10)
+q = decontaminate.phrases_of([("a", text[:3000])], 10, near=True)
 net, weights = toxicity.Network(1), np.zeros(quality.DIMENSIONS, np.float32)
 logp = np.zeros((3, language.BUCKETS))
 data, offsets = text_of(batch.column("text"))
