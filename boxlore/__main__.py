@@ -1,4 +1,4 @@
-"""``python -m boxlore evaluate|fuse|submit|split|infer|package``: the operators over files.
+"""``python -m boxlore evaluate|fuse|submit|split|infer|package|approve|check``: the operators over files.
 
 Predictions are one JSON object in a file that ends in ``.json``, else a folder that holds a table; every command reads both.
 """
@@ -51,6 +51,23 @@ def parser() -> argparse.ArgumentParser:
     k.add_argument("--key-format", default="auto", choices=("auto", "item_id", "sample_id"))
     k.add_argument("--lenient", action="store_true", help="queries of a broken style are no error")
     k.add_argument("--out", required=True)
+    v = sub.add_parser("approve", help="both splits' artifacts, checked against each other and published together, or neither")
+    v.add_argument("train", help="the generation of the train split")
+    v.add_argument("val", help="the generation of the val split")
+    v.add_argument("index", help="the folder of tables that split writes")
+    v.add_argument("--run-id", required=True)
+    v.add_argument("--prompt-hash", required=True)
+    v.add_argument("--manifest", help="the split's manifest, whose hash the artifacts carry")
+    v.add_argument("--key-format", default="auto", choices=("auto", "item_id", "sample_id"))
+    v.add_argument("--lenient", action="store_true", help="queries of a broken style are reported and are no error")
+    v.add_argument("--export", action="append", default=[], help="another folder that gets a copy")
+    v.add_argument("--force", action="store_true", help="publish again where something is published")
+    v.add_argument("--dry-run", action="store_true", help="check all and write nothing")
+    v.add_argument("--out", required=True)
+    c = sub.add_parser("check", help="whether what approve published last in a folder is fit to train and validate on")
+    c.add_argument("root")
+    c.add_argument("--run-id")
+    c.add_argument("--lenient", action="store_true")
     return p
 
 
@@ -58,10 +75,10 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     from pyspark.sql import SparkSession
 
-    from .functions.hashing import dataset_fingerprint, source_fingerprint
+    from .functions.hashing import dataset_fingerprint, source_fingerprint, stable_hash
     from .operators import build, contract, evaluate, fusion, inference, package, submission
-    from .sinks import writers
-    from .sources import readers, settings
+    from .sinks import commit, writers
+    from .sources import readers, settings, state
 
     spark = SparkSession.builder.appName("boxlore").getOrCreate()
     if a.command == "evaluate":
@@ -96,6 +113,30 @@ def main(argv: list[str] | None = None) -> int:
         if fault:
             raise SystemExit(fault)
         writers.write_artifact(items.drop("pos"), metadata, a.out)
+    elif a.command == "approve":
+        preparation = None
+        if a.manifest:
+            with open(a.manifest, encoding="utf-8") as f:
+                manifest = json.load(f)
+            if state.manifest_fault(manifest):
+                raise SystemExit(f"manifest: {state.manifest_fault(manifest)}")
+            preparation = stable_hash(manifest)
+        both = []
+        for split, path in (("train", a.train), ("val", a.val)):
+            index = readers.inference_items(spark, f"{a.index.rstrip('/')}/split={split}").withColumnRenamed("key", "id").drop("pos", "query")
+            both.append(package.approve(readers.generation(spark, path), index, split, a.run_id, a.prompt_hash, a.key_format, a.lenient, preparation))
+        if a.dry_run:
+            fault = contract.shared_fault(*((x.metadata, x.data) for x in both))
+            if fault:
+                raise SystemExit(fault)
+        else:
+            package.publish(both, a.out, tuple(a.export), a.force)
+        print(json.dumps({x.metadata["split"]: x.metadata["qc"] for x in both}))
+    elif a.command == "check":
+        place = commit.published(spark, a.root)
+        fault = contract.training_fault(*(readers.approved(spark, f"{place}/{s}/approved") for s in ("train", "val")), a.run_id, strict=not a.lenient)
+        print(json.dumps({"published": place, "fault": fault}))
+        return 1 if fault else 0
     elif a.command == "submit":
         items = readers.inference_items(spark, a.template).drop("pos", "bbox", "width", "height")
         print(writers.write_archive(submission.build_submission(items, readers.predictions(spark, a.predictions), allow_fallback=a.allow_fallback), a.out))

@@ -111,13 +111,19 @@ def artifact_fault(metadata: dict, data: DataFrame, split: str, run_id: str | No
 def training_fault(train: tuple[dict, DataFrame], val: tuple[dict, DataFrame], run_id: str | None = None, strict: bool = True, allow_pending: bool = False) -> str | None:
     """The first broken rule of two artifacts (metadata, data) that are trained and validated on: each one's own, then what both
     must share, then ids and scenes that both have."""
-    from .package import disagreement
-    from .splits import overlaps
-
     for split, (metadata, data) in (("train", train), ("val", val)):
         fault = artifact_fault(metadata, data, split, run_id, strict, allow_pending)
         if fault:
             return f"{split}: {fault}"
+    return shared_fault(train, val)
+
+
+def shared_fault(train: tuple[dict, DataFrame], val: tuple[dict, DataFrame]) -> str | None:
+    """The first rule between two artifacts that is broken: a field of the metadata that both must share, ids and scenes that both
+    have."""
+    from .package import disagreement
+    from .splits import overlaps
+
     field = disagreement(train[0], val[0])
     if field:
         return f"both: {field}"

@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import APPROVED_FIELDS
+from ..functions.hashing import APPROVED_FIELDS, dataset_fingerprint, source_fingerprint
 from ..functions.text import clean_query, collision_key, item_key
+from ..sinks import commit, writers
 from . import contract
 
+#: Faults of a record that no option lets pass.
+HARD = ("unknown sample", "repeated key", "query collision")
+
+
+@dataclass
+class Artifact:
+    """An approved artifact: its metadata, its rows (pos, id, raw and the fields), and what is wrong with their queries' style (pos,
+    id, query, reason), which only a lenient packaging lets pass."""
+
+    metadata: dict
+    data: DataFrame
+    failures: DataFrame
+
 
 def from_generation(records: DataFrame, index: DataFrame, key_format: str = "auto") -> DataFrame:
     """(pos, id, visible, infrared, depth, bbox, width, height, query, fault) of each record.
@@ -36,7 +53,7 @@ def from_generation(records: DataFrame, index: DataFrame, key_format: str = "aut
 
 def refuse(items: DataFrame, lenient: bool = False) -> DataFrame:
     """The items without ``fault``; the first hard fault raises, and so does a query's style unless ``lenient``."""
-    hard = F.col("fault").isin("unknown sample", "repeated key", "query collision")
+    hard = F.col("fault").isin(*HARD)
     bad = items.where("fault is not null" if not lenient else hard)
     first = bad.agg(F.count("*").alias("n"), F.min(F.struct(~hard, "pos", "id", "fault")).alias("first")).first()
     if first.n:
@@ -64,3 +81,46 @@ def metadata(items: DataFrame, split: str, run_id: str, prompt_hash: str, finger
 def disagreement(train: dict, val: dict) -> str | None:
     """A field that both splits' metadata must share and do not."""
     return next((f for f in ("prompt_hash", "provenance") if f in train and f in val and train[f] != val[f]), None)
+
+
+def approve(records: DataFrame, index: DataFrame, split: str, run_id: str, prompt_hash: str, key_format: str = "auto", lenient: bool = False, preparation: str | None = None) -> Artifact:
+    """The artifact of a split's generated records and its index (id and fields). A broken rule of the records or of the contract
+    raises; ``preparation`` is the fingerprint of the split's manifest."""
+    found = from_generation(records, index, key_format).persist()
+    items = with_raw(refuse(found, lenient))
+    prints = {"source_fingerprint": source_fingerprint(items), "dataset_fingerprint": dataset_fingerprint(items)}
+    if preparation:
+        prints["preparation_fingerprint"] = preparation
+    failures = found.where(F.col("fault").isNotNull() & ~F.col("fault").isin(*HARD)).select("pos", "id", "query", F.col("fault").alias("reason"))
+    described = metadata(items, split, run_id, prompt_hash, prints)
+    described["qc"] = {"complete": True, "failed_sequences": 0, "failed_frames": 0, "invalid_queries": failures.count(), "generated_samples": described["sample_count"]}
+    fault = contract.artifact_fault(described, items, split, run_id, strict=not lenient)
+    if fault:
+        raise ValueError(f"{split}: {fault}")
+    return Artifact(described, items, failures)
+
+
+def write_artifacts(artifacts: list[Artifact], folder: str) -> None:
+    """Below a folder, for each split: ``approved``, one JSON object in files that all tasks write, and, where queries of a broken
+    style were let pass, ``qc_report`` with a line for each, and ``qc_report_summary``."""
+    for a in artifacts:
+        m, place = a.metadata, f"{folder}/{a.metadata['split']}"
+        writers.write_object(a.data, f"{place}/approved", "pos", "id", "raw", f'{{"metadata": {json.dumps(m)}, "data": {{', "}}")
+        if m["qc"]["invalid_queries"]:
+            report = {"run_id": m["run_id"], "split": m["split"], "lenient_qc": True, "qc_failures_count": m["qc"]["invalid_queries"]}
+            spark = a.data.sparkSession
+            spark.createDataFrame([(json.dumps(report),)], "value string").coalesce(1).write.text(f"{place}/qc_report_summary")
+            a.failures.orderBy("pos").select(F.col("id").alias("item_key"), "query", "reason").write.json(f"{place}/qc_report")
+
+
+def publish(artifacts: list[Artifact], root: str, copies: tuple[str, ...] = (), force: bool = False) -> list[str]:
+    """Publish the artifacts of one run under ``root``, all or none, and as copies under other roots: the paths. Artifacts of both
+    splits must be fit to train and validate on together, else nothing is written. Without ``force`` nothing may be there yet."""
+    by_split = {a.metadata["split"]: (a.metadata, a.data) for a in artifacts}
+    if len(by_split) != len(artifacts):
+        raise ValueError("two artifacts of one split")
+    if len(by_split) == 2:
+        between = contract.shared_fault(by_split["train"], by_split["val"])
+        if between:
+            raise ValueError(between)
+    return commit.publish(artifacts[0].data.sparkSession, [root, *copies], lambda folder: write_artifacts(artifacts, folder), force)

@@ -32,9 +32,9 @@ def balance(classes: list[tuple[int, int]], shards: int) -> array:
     return out
 
 
-def shard_scenes(rows: DataFrame, shards: int, scene: str = "scene", only: list[str] | None = None) -> DataFrame:
-    """The rows with a column ``shard``; scenes are never divided, and none that is null is taken. ``only`` names the scenes to take;
-    an unknown one raises.
+def shard_scenes(rows: DataFrame, shards: int, scene: str = "scene", only: list[str] | DataFrame | None = None) -> DataFrame:
+    """The rows with a column ``shard``; scenes are never divided, and none that is null is taken. ``only`` names the scenes to take, as
+    a list or, if they are many, as a DataFrame with the same column; an unknown one raises.
 
     The largest scenes come first, ids break ties, and each choice depends on those before. The driver sees how many scenes
     have each size, not their ids: these are ranked on the cluster, and take their shard by rank (4 bytes each).
@@ -42,7 +42,10 @@ def shard_scenes(rows: DataFrame, shards: int, scene: str = "scene", only: list[
     spark = rows.sparkSession
     sizes = rows.where(F.col(scene).isNotNull()).groupBy(F.col(scene).alias("__scene")).agg(F.count("*").alias("__size"))
     if only is not None:
-        named = spark.createDataFrame([(x,) for x in sorted(set(only))], f"__scene {rows.schema[scene].dataType.simpleString()}")
+        if isinstance(only, DataFrame):
+            named = only.select(F.col(scene).alias("__scene")).distinct()
+        else:
+            named = spark.createDataFrame([(x,) for x in sorted(set(only))], f"__scene {rows.schema[scene].dataType.simpleString()}")
         unknown = [r[0] for r in named.join(sizes, "__scene", "left_anti").orderBy("__scene").limit(5).collect()]
         if unknown:
             raise ValueError(f"unknown scenes: {unknown}")

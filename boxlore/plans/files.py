@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..functions import text as t
-from ..operators import inference, journal, training
-from ..sinks import writers
+from ..operators import contract, inference, journal, package, training
+from ..sinks import commit, writers
 from ..sources import readers
 from ..sources.scratch import scratch
 from .boxes import TRUTH_SQL, flat, truth
@@ -171,6 +171,85 @@ def inference_in_shards(spark, sf_dir):
         return flat(inference.run_in_shards(work, name, path, 4, max(1, -(-work.count() // 8))))
 
 
+class Unloadable(Measure):
+    """An adapter that must not be asked."""
+
+    def load(self) -> None:
+        raise RuntimeError("a finished run loads no model")
+
+
+@query(_MEASURED)
+def inference_finished(spark, sf_dir):
+    """A run that holds all items is returned as it is: another start of it loads nothing, in steps and in shards."""
+    work, path = _work(spark, sf_dir), scratch(spark, "finished")
+    with inference.registered("measure", Measure) as name:
+        inference.run_in_shards(work, name, path, 3, work.count())
+    with inference.registered("unloadable", Unloadable) as name:
+        return flat(inference.run_in_shards(work, name, path, 2, 1))
+
+
+def _picture(path: str) -> int:
+    """What stands for a decoded picture: the number in its path."""
+    return int(path[4:-4])
+
+
+class Look(Measure):
+    """An adapter whose boxes follow from the decoded picture and the query."""
+
+    def predict(self, rows: list[dict]) -> list[list[float] | None]:
+        return [[0.0, 0.0, (r["image"] % 8 + 1) / 8, (len(r["query"]) % 4 + 1) / 4] for r in rows]
+
+
+@query(
+    "SELECT CAST(l_orderkey AS VARCHAR) || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey AS key, CAST(0 AS DOUBLE) AS x1, CAST(0 AS DOUBLE) AS y1, (CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_partkey END % 8 + 1) / CAST(8 AS DOUBLE) AS x2, "
+    "(length(CAST(l_suppkey AS VARCHAR)) % 4 + 1) / CAST(4 AS DOUBLE) AS y2 FROM lineitem"
+)
+def inference_of_pictures(spark, sf_dir):
+    """Rows are dealt by picture, which is decoded where they are; one picture has a third of them and is dealt to several tasks."""
+    key = F.concat_ws("/", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
+    at = F.concat(F.lit("Raw/"), F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_partkey")).cast("string"), F.lit(".png"))
+    items = table(spark, sf_dir, "lineitem").select(key.alias("key"), at.alias("visible"), F.col("l_suppkey").cast("string").alias("query"))
+    with inference.registered("look", Look) as name:
+        return flat(inference.predict(items, name, batch=16, decode=_picture))
+
+
+#: Parts are samples here: 40 scenes, of which the first 30 are for training; some samples have two objects.
+_SIDE = "CASE WHEN p_partkey % 40 < 30 THEN 'train' ELSE 'val' END"
+_FRAME = "lpad(CAST(p_partkey % 40 AS VARCHAR), 3, '0') || '_' || p_partkey"
+_WORDING = "'The ' || p_name || ' by the fence'"
+
+
+def _side(spark, sf_dir, split: str, query=None):
+    """The artifact of a split."""
+    p = table(spark, sf_dir, "part").where(_SIDE + f" = '{split}'")
+    sample = F.expr(_FRAME.replace("VARCHAR", "STRING")).alias("id")
+    path = lambda kind: F.concat(F.lit("Raw/"), F.lpad((F.col("p_partkey") % 40).cast("string"), 3, "0"), F.lit(f"/{kind}/"), F.col("p_partkey").cast("string"), F.lit(".png"))
+    box = F.array(F.lit(0.0), F.lit(0.0), (F.col("p_size") % 8 + 1) / 8, F.lit(1.0))
+    index = p.select(sample, path("color").alias("visible"), path("infrared").alias("infrared"), path("depth").alias("depth"), box.alias("bbox"), F.lit(640).alias("width"), F.lit(480).alias("height"))
+    objects = p.withColumn("object_index", F.explode(F.when(F.col("p_size") > 25, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    own = F.when(F.col("object_index") == 1, F.array(F.lit(0.5), F.lit(0.5), F.lit(0.75), F.lit(0.75)))
+    worded = F.expr(_WORDING) if query is None else query
+    records = objects.select((F.col("p_partkey") * 2 + F.col("object_index")).alias("pos"), sample.alias("sample_id"), "object_index", own.alias("bbox"), F.concat(worded, F.when(F.col("object_index") == 1, " behind it.").otherwise(".")).alias("query"), F.lit(False).alias("collision"))
+    return package.approve(records, index, split, "r", "p", "item_id")
+
+
+_PACKAGED = f"""k AS (SELECT p_partkey, p_size, {_SIDE} AS split, {_FRAME} AS sample, {_WORDING} AS query, unnest(CASE WHEN p_size > 25 THEN [0, 1] ELSE [0] END) AS o FROM part),
+n AS (SELECT split, count(*) AS samples, count(DISTINCT p_partkey % 40) AS scenes FROM k GROUP BY split)"""
+
+
+@query(
+    f"WITH {_PACKAGED} SELECT k.split, sample || '#0' || o AS id, query || CASE WHEN o = 1 THEN ' behind it' ELSE '' END AS query, CASE WHEN o = 1 THEN CAST(0.75 AS DOUBLE) ELSE (p_size % 8 + 1) / CAST(8 AS DOUBLE) END AS x2, samples, scenes FROM k JOIN n ON k.split = n.split"
+)
+def package_published(spark, sf_dir):
+    """Both splits' artifacts from generated records and an index, published together and read again, with their metadata's counts. A
+    query is stored clean, without the point at its end."""
+    path, sides = scratch(spark, "published"), ("train", "val")
+    package.publish([_side(spark, sf_dir, s) for s in sides], path)
+    read = [readers.approved(spark, f"{commit.published(spark, path)}/{s}/approved") for s in sides]
+    rows = [d.select(F.lit(m["split"]).alias("split"), "id", "query", F.get("bbox", 2).alias("x2"), F.lit(m["sample_count"]).cast("long").alias("samples"), F.lit(m["sequence_count"]).cast("long").alias("scenes")) for m, d in read]
+    return rows[0].unionAll(rows[1])
+
+
 @query(f"SELECT key, x1, y1, x2, y2 FROM ({TRUTH_SQL})")
 def training_valid_boxes(spark, sf_dir):
     return flat(training.require_valid_boxes(truth(spark, sf_dir).select("key", "bbox")))

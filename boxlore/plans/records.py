@@ -228,12 +228,28 @@ def shard_keys_by_scene(spark, sf_dir):
     return sharding.keys_by_scene(truth(spark, sf_dir)).select("scene", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
 
 
-@query()
+def _balanced(scenes: str, shards: int) -> str:
+    """Least-load placement as recursion over the scenes in order, with the loads so far as a list."""
+    return f"""WITH RECURSIVE s AS (SELECT scene, n, row_number() OVER (ORDER BY n DESC, scene) AS r FROM (SELECT scene, count(*) AS n FROM ({TRUTH_SQL}) {scenes} GROUP BY scene)),
+g AS (SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS scene, CAST(0 AS BIGINT) AS p, list_transform(range({shards}), lambda x: CAST(0 AS BIGINT)) AS load
+      UNION ALL SELECT s.r, s.scene, list_position(g.load, list_min(g.load)), list_transform(g.load, lambda x, i: CASE WHEN i = list_position(g.load, list_min(g.load)) THEN x + s.n ELSE x END) FROM g JOIN s ON s.r = g.r + 1)
+SELECT t.key, t.scene, CAST(g.p - 1 AS INTEGER) AS shard FROM ({TRUTH_SQL}) AS t JOIN g ON t.scene = g.scene"""
+
+
+@query(_balanced("", 8))
 def shard_scenes_balanced(spark, sf_dir):
-    """Each scene goes where the load is least so far, which no SQL expresses."""
+    """Each scene goes where the load is least so far."""
     return sharding.shard_scenes(truth(spark, sf_dir).select("key", "scene"), 8)
 
 
+@query(_balanced("WHERE scene IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) ", 5))
+def shard_named_scenes(spark, sf_dir):
+    """The scenes of one nation's customers alone."""
+    t = truth(spark, sf_dir).select("key", "scene")
+    asked = table(spark, sf_dir, "customer").where("c_nationkey = 7").select(F.col("c_custkey").alias("scene"))
+    return sharding.shard_scenes(t, 5, only=asked.join(t, "scene", "left_semi"))
+
+
 @query("WITH p AS (SELECT o_orderkey AS key FROM orders WHERE o_orderkey % 6 <> 0) SELECT key, CAST((row_number() OVER (ORDER BY key) - 1) % 7 AS INTEGER) AS shard FROM p")
 def shard_pending_in_turn(spark, sf_dir):
     t = truth(spark, sf_dir).select("key", F.col("key").alias("pos"))
@@ -403,6 +419,18 @@ def hash_canonical_json(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.sha2(hashing.canonical_json(raw), 256).alias("sha"))
 
 
+@query(
+    "SELECT p_partkey AS key, sha256('{' || CASE WHEN p_partkey % 3 = 0 THEN '\"bbox\": null, ' ELSE '' END || '\"visible\": \"é ' || p_name || '\"' || CASE WHEN p_partkey % 2 = 0 THEN ', \"width\": ' || p_size ELSE '' END || '}') AS present, "
+    "sha256('{\"bbox\":null,\"depth\":null,\"height\":null,\"infrared\":null,\"visible\":\"\\u00e9 ' || p_name || '\",\"width\":' || CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE 'null' END || '}') AS every FROM part"
+)
+def hash_fields(spark, sf_dir):
+    """A row's fields of a fixed list: those that it has, where a null is one, and all, where one that is missing is null."""
+    k = F.col("p_partkey")
+    raw = F.concat(F.lit('{"other": [1], '), F.when(k % 2 == 0, F.concat(F.lit('"width": '), F.col("p_size").cast("string"), F.lit(", "))).otherwise(""), F.when(k % 3 == 0, '"bbox":null, ').otherwise(""), F.lit('"visible": "\\u00e9 '), "p_name", F.lit('"}'))
+    made = lambda style, missing: F.sha2(hashing.canonical_json(raw, style, hashing.SOURCE_FIELDS, missing), 256)
+    return table(spark, sf_dir, "part").select(k.alias("key"), made("spaced", False).alias("present"), made("compact", True).alias("every"))
+
+
 @query("WITH s AS (SELECT string_agg('\"' || c_custkey || '\":{\"k\":' || c_nationkey || '}', ',' ORDER BY CAST(c_custkey AS VARCHAR)) AS j FROM customer) SELECT sha256('{' || j || '}') AS sha FROM s")
 def hash_dataset(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit('{"k": '), F.col("c_nationkey").cast("string"), F.lit("}")).alias("raw"))

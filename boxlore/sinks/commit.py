@@ -8,6 +8,7 @@ from __future__ import annotations
 import errno
 import os
 import uuid
+from collections.abc import Callable
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import SparkSession
@@ -87,3 +88,43 @@ def add_entry(spark: SparkSession, folder: str, staged: str) -> int:
 def discard(spark: SparkSession, staged: str) -> None:
     at, files = _jvm_path(spark, staged)
     files.delete(at, True)
+
+
+def publish(spark: SparkSession, roots: list[str], write: Callable[[str], None], again: bool = False) -> list[str]:
+    """What ``write`` leaves below the folder that it is given becomes the next entry of each root: the entries' paths.
+
+    A root's entry is there as a whole or not at all, and ``published`` gives the last one, so no reader sees a part. Unless
+    ``again``, no root may have an entry yet: all are looked at before anything is written, all are written before the first is
+    published, and of two writers at the same time one raises. What fails leaves nothing of what was not published; roots take
+    their entries in the order given, the first being the one that counts and the others copies.
+    """
+    if len({str(_jvm_path(spark, r)[0]) for r in roots}) != len(roots):
+        raise ValueError("two outputs have one destination")
+    there = [] if again else [r for r in roots if last_entry(spark, r)]
+    if there:
+        raise FileExistsError(f"there already: {there}")
+    staged = {r: staging(r) for r in roots}
+    done: list[str] = []
+    try:
+        for place in staged.values():
+            write(place)
+        for root, place in staged.items():
+            if again:
+                done.append(entry(root, add_entry(spark, root, place)))
+            elif claim(spark, place, entry(root, 1)):
+                done.append(entry(root, 1))
+            else:
+                raise FileExistsError(f"there already: {[root]}")
+    except BaseException:
+        for place in staged.values():
+            discard(spark, place)
+        raise
+    return done
+
+
+def published(spark: SparkSession, root: str) -> str:
+    """The path of what was published last under a root; nothing raises."""
+    number = last_entry(spark, root)
+    if not number:
+        raise FileNotFoundError(f"nothing is published in {root}")
+    return entry(root, number)

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import commit
@@ -96,6 +96,11 @@ def append_journal(edits: DataFrame, folder: str) -> int:
         raise
 
 
+def append_records(spark: SparkSession, lines: list[str], folder: str) -> int:
+    """Some records' lines (of ``record_line``) as one append to a journal folder, on a store that several machines share."""
+    return append_journal(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), folder)
+
+
 def append_lines(path: str, lines: list[str]) -> None:
     """Lines appended to a journal file under a lock; a torn last line is ended first, so that it alone is lost."""
     with open(path, "ab+") as f:
@@ -202,17 +207,17 @@ def save_predictions(predictions: DataFrame, path: str) -> None:
         predictions.write.mode("overwrite").parquet(path)
 
 
-def write_object(rows: DataFrame, folder: str, pos: str, key: str = "key", raw: str = "raw") -> None:
+def write_object(rows: DataFrame, folder: str, pos: str, key: str = "key", raw: str = "raw", opens: str = "{", closes: str = "}") -> None:
     """A folder of files that are, one after the other, one JSON object: a member for each row, in order of ``pos``, of its key and
-    its raw JSON. Every task writes its own part."""
+    its raw JSON. Every task writes its own part. ``opens`` and ``closes`` put the object within another."""
     ends = rows.agg(F.min(pos).alias("first"), F.max(pos).alias("last")).first()
     quoted = F.to_json(F.array(F.col(key)))  # within brackets
     named = F.concat(F.expr("substring(__k, 2, length(__k) - 2)"), F.lit(": "), F.col(raw))
     if ends["first"] is None:
-        rows.sparkSession.createDataFrame([("{}",)], "value string").coalesce(1).write.text(folder)
+        rows.sparkSession.createDataFrame([(opens + closes,)], "value string").coalesce(1).write.text(folder)
         return
-    opens, closes = F.when(F.col(pos) == F.lit(ends["first"]), "{").otherwise(","), F.when(F.col(pos) == F.lit(ends["last"]), "}").otherwise("")
-    rows.withColumn("__k", quoted).orderBy(pos).select(F.concat(opens, named, closes).alias("value")).write.text(folder)
+    before, behind = F.when(F.col(pos) == F.lit(ends["first"]), opens).otherwise(","), F.when(F.col(pos) == F.lit(ends["last"]), closes).otherwise("")
+    rows.withColumn("__k", quoted).orderBy(pos).select(F.concat(before, named, behind).alias("value")).write.text(folder)
 
 
 def write_artifact(items: DataFrame, metadata: dict, path: str, key: str = "id") -> None:

@@ -238,6 +238,12 @@ class JsonObject:
         rows = self._cut(None, HEAD).select("pos", F.regexp_extract(F.regexp_replace("raw", r"^\s*\{", ""), r'^\s*("(?:[^"\\]|\\.)*")\s*:', 1).alias("key")).collect()
         return {json.loads(r.key): r.pos for r in rows if r.key}
 
+    def value(self, key: str) -> object:
+        """The value of a member that is small; the others are passed over."""
+        number = self.keys()[key]
+        raw = self._stripped(None, self.last, r"^\s*\{", r"\}\s*$").where(F.col("pos") == number).first().raw
+        return json.loads(f"{{{raw}}}")[key]
+
     def within(self, key: str, kind: str = "object") -> DataFrame:
         """(pos, key, raw) of the members of the object that a member is, or (pos, raw) of the elements of a list."""
         number = self.keys()[key]

@@ -165,6 +165,14 @@ def inference_items(spark: SparkSession, path: str, limit: int = 0) -> DataFrame
     return rows.orderBy("pos").limit(limit) if limit else rows
 
 
+def approved(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
+    """(metadata, data) of an artifact, a file or a folder of files that are one object; data: pos, id, raw and its fields."""
+    whole = JsonObject(spark, path)
+    metadata = whole.value("metadata")
+    rows = whole.within("data").select("pos", F.col("key").alias("id"), "raw", F.from_json("raw", ITEM).alias("i"))
+    return metadata, rows.select("pos", "id", "raw", "i.*")
+
+
 GENERATION = "sample_id string, sequence_id string, object_index int, bbox array<double>, query string, collision boolean"
 
 

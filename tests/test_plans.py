@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 
 #: Queries whose results need Python: canonical JSON, its casefold, a hash fed in order, or the structural scan of a JSON object.
-PYTHON = {"hash_canonical_json", "hash_dataset", "text_collisions_exact", "source_generation", "source_hash_table", "source_items", "source_predictions"}
+PYTHON = {"hash_canonical_json", "hash_dataset", "hash_fields", "inference_of_pictures", "package_published", "text_collisions_exact", "source_generation", "source_hash_table", "source_items", "source_predictions"}
 
 
 def plan(spark, name):
