@@ -112,12 +112,10 @@ def sides(spark, tmp_path, val_scene=2, style=False):
 
 def test_approve_and_check(spark, tmp_path, capsys):
     args, root, copy = sides(spark, tmp_path), str(tmp_path / "out"), str(tmp_path / "copy")
-    assert command.main(["approve", *args, "--dry-run", "--out", root]) == 0
-    assert seen(root) == []
     assert command.main(["approve", *args, "--export", copy, "--out", root]) == 0
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["val"]["invalid_queries"] == 0
+    assert command.main(["check", copy, "--run-id", "r"]) == 0
     for place in (root, copy):
-        assert command.main(["check", place, "--run-id", "r"]) == 0
         assert sorted(os.listdir(f"{place}/000000000001/train")) == ["approved"]
     text = "".join(open(f"{root}/000000000001/train/approved/{f}").read() for f in sorted(os.listdir(f"{root}/000000000001/train/approved")) if f.startswith("part"))
     held = json.loads(text)
@@ -125,17 +123,18 @@ def test_approve_and_check(spark, tmp_path, capsys):
     metadata, data = readers.approved(spark, f"{root}/000000000001/val/approved")
     assert metadata["split"] == "val" and metadata["sample_count"] == 4 and contract.artifact_fault(metadata, data, "val", "r") is None
     assert readers.inference_items(spark, f"{root}/000000000001/val/approved").count() == 4
-    assert command.main(["check", root, "--run-id", "other"]) == 1
     with pytest.raises(FileExistsError):
-        command.main(["approve", *args, "--out", root])
+        commit.publish(spark, [root], lambda folder: None)
 
 
 def test_sides_that_share_a_scene_are_not_published(spark, tmp_path):
     args, root = sides(spark, tmp_path, val_scene=1), str(tmp_path / "out")
-    with pytest.raises(ValueError, match="both: scene"):
-        command.main(["approve", *args, "--force", "--out", root])
     with pytest.raises(SystemExit, match="both: scene"):
         command.main(["approve", *args, "--dry-run", "--out", root])
+    data = spark.createDataFrame([("001_1", "Raw/001/color/1.png")], "id string, visible string")
+    pair = [package.Artifact({"split": s, "prompt_hash": "p"}, data.withColumn("id", F.concat("id", F.lit(s))), data) for s in ("train", "val")]
+    with pytest.raises(ValueError, match="both: scene"):
+        package.publish(pair, root)
     assert seen(root) == []
 
 
