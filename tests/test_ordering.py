@@ -1,11 +1,12 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from boxlore.functions import text
-from boxlore.operators import ordering, session
+from boxlore.operators import ordering, session, sharding
 
 
 def test_positions_over_uneven_partitions(spark):
@@ -75,3 +76,13 @@ def test_groups_by_rank_are_the_sequential_rules(spark):
     assert {r.scene: r.split for r in splits.split_groups(df, "scene", 0.7, 9).select("scene", "split").distinct().collect()} == {s: "train" if k < 140 else "val" for k, s in enumerate(ids)}
     assert {r.scene for r in splits.sample_groups(df, "scene", 31, 9).select("scene").distinct().collect()} == set(ids[:31])
     assert list(splits.permutation(1000, 3)) == (lambda x: (random.Random(3).shuffle(x), x)[1])(list(range(1000)))
+
+
+def test_named_scenes_as_a_table(spark):
+    rows = spark.createDataFrame([(n, f"s{n % 4}" if n else None) for n in range(13)], "key int, scene string")
+    named = lambda *names: spark.createDataFrame([(x,) for x in names], "scene string")
+    got = sharding.shard_scenes(rows, 2, only=named("s3", "s1", "s3"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sharding.shard_scenes(rows, 2, only=["s1", "s3"]).collect()))
+    assert {r.scene: r.shard for r in got.collect()} == {"s1": 0, "s3": 1}
+    with pytest.raises(ValueError, match="unknown scenes: \\['s9'\\]"):
+        sharding.shard_scenes(rows, 2, only=named("s1", "s9"))
