@@ -52,12 +52,14 @@ def source_predictions(spark, sf_dir):
     "SELECT 'sequence=' || s AS sequence, f || '.png' AS filename, CAST(-l_orderkey AS INTEGER) AS x, CAST(floor(l_quantity) AS INTEGER) AS w FROM l WHERE n = 1"
 )
 def source_groundtruth(spark, sf_dir):
-    """A folder for each sequence: lines of a file name and four numbers among comments and blank lines; the last of a name wins."""
+    """A folder for each sequence: lines of a file name and four numbers among comments and blank lines; the last of a name wins. A
+    sequence grows with the table, so its lines are in as many files as there are ranges of them, in the order of their names."""
     path, k = scratch(spark, "groundtruth"), F.col("l_orderkey").cast("string")
     number = F.concat(F.lit(" -"), k, F.lit(".75 , 2, "), F.col("l_quantity").cast("string"), F.lit(" ,4"))
     line = F.concat(F.lit(" "), F.col("l_partkey").cast("string"), F.lit(".png,"), number, F.lit("\n# a comment, 1, 2, 3, 4\n\nfive, 1, 2\n"))
     lines = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).alias("sequence"), "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", line.alias("value"))
-    lines = lines.repartition(40, "sequence").sortWithinPartitions("sequence", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity").select("sequence", "value")
+    order = ("sequence", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    lines = lines.repartitionByRange(*order).sortWithinPartitions(*order).select("sequence", "value")
     lines.write.partitionBy("sequence").text(path)
     return readers.groundtruth(spark, f"{path}/*/*.txt").select("sequence", "filename", "x", "w")
 

@@ -65,14 +65,18 @@ def groundtruth(spark: SparkSession, glob: str) -> DataFrame:
     """(sequence, filename, x, y, w, h) of ``<sequence>/groundtruth.txt`` files: comma lines of a name and four numbers.
 
     Blank and ``#`` lines and those of another number of fields are skipped; numbers are cut to integers; the last line of
-    a name wins; text where a number should be raises.
+    a name wins; text where a number should be raises. Files are split by bytes, so one of any size is read by many tasks; of
+    several files of a sequence the later name comes later.
     """
-    x = _rows(spark, glob).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*\z", 1).alias("sequence"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
-    part = F.transform(F.split(F.trim("line"), ","), lambda v: F.trim(v))
-    x = x.where((F.trim("line") != "") & ~F.startswith(F.trim("line"), F.lit("#"))).withColumn("f", part).where(F.size("f") == 5)
-    number = lambda k: F.get("f", k).cast("double").cast("int")
+    x = spark.read.option("lineSep", "\n").text(glob)
+    n = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("turn"))
+    folder = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), "/", 1)
+    commas = F.length("value") - F.length(F.replace("value", F.lit(",")))
+    x = x.where((commas == 4) & ~F.startswith(F.ltrim("value"), F.lit("#"))).select(folder.alias("sequence"), n.alias("n"), F.rtrim("value", F.lit("\r")).alias("line"))
+    field = lambda k: F.trim(F.substring_index(F.substring_index("line", ",", k + 1), ",", -1))
+    number = lambda k: field(k).cast("double").cast("int")
     last = F.max(F.struct("n", number(1).alias("x"), number(2).alias("y"), number(3).alias("w"), number(4).alias("h"))).alias("r")
-    return x.groupBy("sequence", F.get("f", 0).alias("filename")).agg(last).select("sequence", "filename", "r.x", "r.y", "r.w", "r.h")
+    return x.groupBy("sequence", field(0).alias("filename")).agg(last).select("sequence", "filename", "r.x", "r.y", "r.w", "r.h")
 
 
 def sequences(spark: SparkSession, root: str) -> DataFrame:

@@ -319,3 +319,26 @@ def test_spans_of_a_file_hold_each_line_once(tmp_path):
     path.write_text("short\n")
     with pytest.raises(ValueError, match="shrunk"):
         JournalReader(str(path)).partitions(end, JournalReader(str(path)).latestOffset())
+
+
+def test_groundtruth_is_read_by_ranges(spark, tmp_path):
+    """A file is dealt to many tasks and the last line of a name wins all the same; later files of a sequence come later."""
+    lines = [f"{n % 7}.png,{n},2,3,{n}" for n in range(500)]
+    (tmp_path / "001").mkdir()
+    (tmp_path / "001" / "a.txt").write_text("\r\n".join(lines))
+    (tmp_path / "002").mkdir()
+    (tmp_path / "002" / "part-0.txt").write_text("x.png,1,1,1,1\ny.png,1,1,1,1\n" + "#\n" * 900)
+    (tmp_path / "002" / "part-1.txt").write_text("x.png,2,2,2,2\n")
+    settings = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "4"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = readers.groundtruth(spark, f"{tmp_path}/*/*.txt")
+        want = {("001", f"{n % 7}.png", n, 2, 3, n) for n in range(493, 500)} | {("002", "x.png", 2, 2, 2, 2), ("002", "y.png", 1, 1, 1, 1)}
+        assert {tuple(r) for r in found.collect()} == want
+        scan = readers.groundtruth(spark, f"{tmp_path}/001/*.txt")._jdf.queryExecution().sparkPlan().collectLeaves().head()
+        assert scan.execute().getNumPartitions() > 10
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
