@@ -8,6 +8,7 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
 from .ordering import numbered
 from .splits import by_rank
 
@@ -79,10 +80,17 @@ PICTURE_ROWS = 2000
 
 def by_picture(rows: DataFrame, key: str = "key", most: int = PICTURE_ROWS) -> DataFrame:
     """The rows dealt out by picture and sorted by it, so that a picture is decoded once. One with more than ``most`` rows is found
-    by its count and dealt in as many parts as it needs, each of which decodes it; no other picture is divided."""
+    by its count and dealt in as many parts as it needs, each of which decodes it; no other picture is divided.
+
+    Those with more are counted first and written, so that Spark knows how small their table is when it plans the join: it sends
+    them to the rows, which are then dealt out once, by picture and part, and never by picture alone.
+    """
     picture = F.coalesce(F.nullif("visible", F.lit("")), F.col(key).cast("string"))
     named = rows.withColumn("__picture", picture)
-    heavy = named.groupBy(F.col("__picture").alias("__heavy")).agg(F.ceil(F.count("*") / most).cast("int").alias("__parts")).where("__parts > 1")
+    counted = named.groupBy(F.col("__picture").alias("__heavy")).agg(F.ceil(F.count("*") / most).cast("int").alias("__parts")).where("__parts > 1")
+    path = scratch(rows.sparkSession, "heavy")
+    counted.write.parquet(path)
+    heavy = rows.sparkSession.read.schema(counted.schema).parquet(path)
     part = F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(F.col(key)), F.col("__parts"))).otherwise(F.lit(0))
     dealt = named.join(heavy, F.col("__picture") == F.col("__heavy"), "left").withColumn("__part", part)
     return dealt.repartition("__picture", "__part").sortWithinPartitions("__picture", "__part", key).select(*rows.columns)

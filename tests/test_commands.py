@@ -1,6 +1,7 @@
 """The commands over files, one after the other as they are used, and what they rest on."""
 
 import json
+import re
 import zipfile
 from collections import Counter
 
@@ -165,3 +166,17 @@ def test_package_and_both_sides(spark, tmp_path):
     assert contract.training_fault(train, renamed) == "both: scene ['001', '002']"
     with pytest.raises(ValueError, match="val: run id"):
         contract.check_training(train, side("val", {"run_id": "r2"}), run_id="r1")
+
+
+def test_no_task_gets_all_rows_of_a_picture(spark):
+    """Rows are never dealt by picture alone, as one task would then get all rows of the most frequent one."""
+    items = spark.range(50_000).select(F.col("id").cast("string").alias("key"), F.when(F.col("id") % 3 == 0, "0.png").otherwise(F.concat(F.col("id").cast("string"), F.lit(".png"))).alias("visible"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")  # less than the rows, more than the pictures with many
+    try:
+        parted = sharding.by_picture(items)
+        assert not re.search(r"hashpartitioning\(__picture#\d+, \d+\)|SortMergeJoin", parted._jdf.queryExecution().executedPlan().toString())
+        sizes = parted.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in sizes) == 50_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
