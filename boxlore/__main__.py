@@ -75,7 +75,7 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     from pyspark.sql import SparkSession
 
-    from .functions.hashing import dataset_fingerprint, source_fingerprint, stable_hash
+    from .functions.hashing import fingerprints, stable_hash
     from .operators import build, contract, evaluate, fusion, inference, package, submission
     from .sinks import commit, writers
     from .sources import readers, settings, state
@@ -107,9 +107,9 @@ def main(argv: list[str] | None = None) -> int:
         index = readers.inference_items(spark, side if readers.is_folder(spark, side) else a.index).withColumnRenamed("key", "id").drop("pos", "query")
         items = package.refuse(package.from_generation(readers.generation(spark, a.generation), index, a.key_format), a.lenient)
         data = package.with_raw(items).persist()
-        prints = {"source_fingerprint": source_fingerprint(data), "dataset_fingerprint": dataset_fingerprint(data)}
+        prints = fingerprints(data)
         metadata = package.metadata(items, a.split, a.run_id, a.prompt_hash, prints)
-        fault = contract.artifact_fault(metadata, data, a.split, a.run_id, strict=not a.lenient)
+        fault = contract.artifact_fault(metadata, data, a.split, a.run_id, strict=not a.lenient, prints=prints)
         if fault:
             raise SystemExit(fault)
         writers.write_artifact(items.drop("pos"), metadata, a.out)

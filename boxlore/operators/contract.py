@@ -70,13 +70,14 @@ def metadata_fault(m: dict, split: str, run_id: str | None = None) -> str | None
     return next((name for name, kept in rules if not kept), None)
 
 
-def artifact_fault(metadata: dict, data: DataFrame, split: str, run_id: str | None = None, strict: bool = True, allow_pending: bool = False) -> str | None:
+def artifact_fault(metadata: dict, data: DataFrame, split: str, run_id: str | None = None, strict: bool = True, allow_pending: bool = False, prints: dict[str, str] | None = None) -> str | None:
     """The first broken rule of an artifact, in the contract's order, or None.
 
     data: id, pos, raw (a row's JSON text), and its fields parsed. Rules about rows are counted on the cluster; the
-    driver sees one row of each count.
+    driver sees one row of each count. ``prints`` are the fingerprints of these same rows where the caller has made them
+    (``hashing.fingerprints``); else they are made here.
     """
-    from ..functions.hashing import dataset_fingerprint, source_fingerprint
+    from ..functions.hashing import fingerprints
 
     schema = metadata_fault(metadata, split, run_id)
     if schema in ("metadata schema", "status or protocol", "split", "run id", "fingerprint", "provenance schema", "provenance", "qc"):
@@ -93,10 +94,11 @@ def artifact_fault(metadata: dict, data: DataFrame, split: str, run_id: str | No
         return "sample count"
     if scenes != metadata["sequence_count"]:
         return "sequence count"
-    if "source_fingerprint" in metadata and source_fingerprint(data) != metadata["source_fingerprint"]:
-        return "source fingerprint"
-    if "dataset_fingerprint" in metadata and dataset_fingerprint(data) != metadata["dataset_fingerprint"]:
-        return "dataset fingerprint"
+    named = [f for f in ("source_fingerprint", "dataset_fingerprint") if f in metadata]
+    made = (prints or fingerprints(data)) if named else {}
+    wrong = next((f for f in named if made[f] != metadata[f]), None)
+    if wrong:
+        return wrong.replace("_", " ")
     if odd:
         return "field schema"
     found = failure_summary(query_failures(data, allow_pending=allow_pending)).first()

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import APPROVED_FIELDS, dataset_fingerprint, source_fingerprint
+from ..functions.hashing import APPROVED_FIELDS, fingerprints
 from ..functions.text import clean_query, collision_key, item_key
 from ..sinks import commit, writers
 from . import contract
@@ -67,14 +67,14 @@ def with_raw(items: DataFrame) -> DataFrame:
     return items.withColumn("raw", F.to_json(fields, {"ignoreNullFields": "false"}))
 
 
-def metadata(items: DataFrame, split: str, run_id: str, prompt_hash: str, fingerprints: dict[str, str]) -> dict:
+def metadata(items: DataFrame, split: str, run_id: str, prompt_hash: str, prints: dict[str, str]) -> dict:
     """An approved artifact's metadata with the counts of its items."""
     from .journal import counts
 
     n = counts(items).first()
     return {
         "status": "approved", "protocol_version": contract.PROTOCOL_VERSION, "run_id": run_id, "split": split, "sample_count": n.sample_count, "sequence_count": n.sequence_count,
-        "provenance": {"source_type": "human_annotated"}, "prompt_hash": prompt_hash, **fingerprints,
+        "provenance": {"source_type": "human_annotated"}, "prompt_hash": prompt_hash, **prints,
     }
 
 
@@ -88,13 +88,12 @@ def approve(records: DataFrame, index: DataFrame, split: str, run_id: str, promp
     raises; ``preparation`` is the fingerprint of the split's manifest."""
     found = from_generation(records, index, key_format).persist()
     items = with_raw(refuse(found, lenient))
-    prints = {"source_fingerprint": source_fingerprint(items), "dataset_fingerprint": dataset_fingerprint(items)}
-    if preparation:
-        prints["preparation_fingerprint"] = preparation
+    made = fingerprints(items)
+    prints = {**made, "preparation_fingerprint": preparation} if preparation else made
     failures = found.where(F.col("fault").isNotNull() & ~F.col("fault").isin(*HARD)).select("pos", "id", "query", F.col("fault").alias("reason"))
     described = metadata(items, split, run_id, prompt_hash, prints)
     described["qc"] = {"complete": True, "failed_sequences": 0, "failed_frames": 0, "invalid_queries": failures.count(), "generated_samples": described["sample_count"]}
-    fault = contract.artifact_fault(described, items, split, run_id, strict=not lenient)
+    fault = contract.artifact_fault(described, items, split, run_id, strict=not lenient, prints=made)
     if fault:
         raise ValueError(f"{split}: {fault}")
     return Artifact(described, items, failures)

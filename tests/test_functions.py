@@ -182,3 +182,22 @@ def test_schedule(spark):
     step = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 25).alias("s"))
     got = values(step, schedule.rate_factor(F.col("s"), F.lit(100), F.lit(50)))
     assert got == pytest.approx([0, 0.5, 1, 0.1 + 0.9 * 0.5 * (1 + math.cos(math.pi / 2)), 0.1])
+
+
+def test_what_hashes_send_to_the_driver(spark, monkeypatch):
+    """Both fingerprints come from one pass, whose chunks are far smaller than the members; keys are distinct across chunks too."""
+    import json
+
+    monkeypatch.setattr(hashing, "CHUNK", 4000)
+    rows = {f"{n:05d}": {**{m: f"Raw/{n % 40:03d}/{m}/{n}.png" for m in ("visible", "infrared", "depth")}, "query": f"the é {n}", "bbox": [0.0, n / 7], "width": 640, "height": 480} for n in range(3000)}
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in rows.items()], "id string, raw string").repartition(5)
+    paths = []
+    monkeypatch.setattr(hashing, "scratch", lambda s, name, own=hashing.scratch: paths.append(own(s, name)) or paths[-1])
+    source = {k: {f: v.get(f) for f in hashing.SOURCE_FIELDS} for k, v in rows.items()}
+    assert hashing.fingerprints(df) == {"source_fingerprint": hashing.stable_hash(source), "dataset_fingerprint": hashing.stable_hash(rows)}
+    sent = spark.read.parquet(paths[0]).agg(F.count("*").alias("n"), F.sum(F.length("data")).alias("packed"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)).alias("whole")).first()
+    assert len(paths) == 1 and sent.n > 50 and sent.packed * 4 < sent.whole
+    for k in range(0, 3000, 701):
+        with pytest.raises(ValueError):
+            hashing.dataset_fingerprint(df.unionAll(df.where(F.col("id") == f"{k:05d}")))
+    assert hashing.dataset_fingerprint(df.limit(0)) == hashing.stable_hash({})
