@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import scratch
+
 #: Characters of a member that tell its key, in a list of the keys.
 HEAD = 4096
 
@@ -57,24 +59,25 @@ def _marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _texts(spark: SparkSession, path: str) -> DataFrame:
     """(file, block, value): the text between commas; a row that is no file's first has a comma before it."""
     x = spark.read.option("lineSep", ",").text(path)
-    return x.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    return x.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], bool, np.ndarray]]:
     """(range, whether it begins here, bytes) of the rows as they come, with their commas."""
     last = None
     for batch in batches:
-        begin = 0
-        files, blocks = batch["file"].to_pylist(), batch["block"].to_pylist()
-        while begin < batch.num_rows:
-            at, end = (files[begin], blocks[begin]), begin + 1
-            while end < batch.num_rows and (files[end], blocks[end]) == at:
-                end += 1
+        if not batch.num_rows:
+            continue
+        named = batch["file"].dictionary_encode()
+        files, blocks = named.indices.to_numpy(), batch["block"].to_numpy()
+        edges = [0, *(np.flatnonzero((files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(edges, edges[1:]):
+            at = named.dictionary[int(files[begin])].as_py(), int(blocks[begin])
             first = at != last
-            commas = pa.array([b"" if first and at[1] == 0 and k == 0 else b"," for k in range(end - begin)], pa.large_binary())
-            values = pc.binary_join_element_wise(commas, batch["value"].slice(begin, end - begin).cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()))
-            yield at, first, np.frombuffer(values.buffers()[2] or b"", np.uint8)[: int(pc.sum(pc.binary_length(values)).as_py())]
-            last, begin = at, end
+            values = pc.binary_join_element_wise(pa.scalar(b",", pa.large_binary()), batch["value"].slice(begin, end - begin).cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+            data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[: int(pc.sum(pc.binary_length(values)).as_py())]
+            yield at, first, data[1:] if first and at[1] == 0 else data
+            last = at
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +142,7 @@ def _counts(known: dict, within: int | None):
         for _, state, data, depth in _walk(batches, known):
             own = found.setdefault(state.order, [0, 0])
             own[0] += len(_cuts(state, data, depth, within))
-            own[1] += int(((depth == 0) & ~np.isin(data, (9, 10, 13, 32))).sum())
+            own[1] += int((~np.isin(data[depth == 0], (9, 10, 13, 32))).sum())
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (list(found), [n for n, _ in found.values()], [n for _, n in found.values()])], names=["order", "n", "outside"])
 
     return run
@@ -230,7 +233,8 @@ class JsonObject:
         return rows.where("whole").select("pos", "raw").unionByName(across.select("pos", F.array_join(F.col("p.raw"), "").alias("raw")))
 
     def members(self) -> DataFrame:
-        """(pos, key, raw) of the object's members; a key that is there twice raises, at any depth, and so does what is no JSON."""
+        """(pos, key, raw) of the object's members; a key that is there twice raises, at any depth, and so does what is no JSON. They
+        are cut and parsed once and written, so that what is asked of them later, the check of their keys first, scans no text."""
         return self._members(None, self.last, r"^\s*\{", r"\}\s*$")
 
     def keys(self) -> dict[str, int]:
@@ -262,7 +266,9 @@ class JsonObject:
         text = self._stripped(within, last, opens, closes).select("pos", F.concat(F.lit("{"), "raw", F.lit("}")).alias("value"))
         checked = text.withColumn("checked", F.parse_json("value"))  # refuses repeated keys
         one = F.when(F.schema_of_variant("checked") != "OBJECT<>", F.from_json("value", "map<string,string>")).otherwise(F.raise_error(F.lit("a member that is none")).cast("map<string,string>"))
-        found = checked.select("pos", F.explode(one).alias("key", "raw"))
+        parsed, path = checked.select("pos", F.explode(one).alias("key", "raw")), scratch(self.spark, "members")
+        parsed.write.parquet(path)
+        found = self.spark.read.schema(parsed.schema).parquet(path)
         twice = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").first()
         if twice is not None:
             raise ValueError(f"repeated key {twice.key!r}")

@@ -117,7 +117,7 @@ def hash_table(spark: SparkSession, path: str) -> DataFrame:
     if first and first[0] == "[":
         return _rows(spark, path).select(F.explode(F.from_json("value", "array<string>")).alias("sha")).select("sha", F.lit(None).cast("string").alias("stem"))
     members = json_object(spark, path)
-    head = members.orderBy("pos").first()
+    head = members.where("pos = 0").first()
     sha = F.lit(64)
     if head is None:
         return spark.createDataFrame([], "sha string, stem string")
@@ -163,7 +163,7 @@ def inference_items(spark: SparkSession, path: str, limit: int = 0) -> DataFrame
     x = whole.within("data") if whole.last < 64 and set(whole.keys()) >= {"metadata", "data"} else whole.members()
     item = F.when(F.startswith(F.trim("raw"), F.lit("{")), F.from_json("raw", ITEM)).otherwise(F.raise_error(F.concat(F.lit("not an object: "), F.col("key"))).cast(f"struct<{', '.join(p.replace(' ', ': ', 1) for p in ITEM.split(', '))}>"))
     rows = x.select("pos", "key", item.alias("i")).select("pos", "key", "i.*")
-    head = rows.orderBy("pos").select("visible").first()
+    head = rows.where("pos = 0").select("visible").first()
     if head and (head.visible or "").startswith("Images/"):
         rows = rows.withColumns({c: F.concat(F.lit("Test/"), F.col(c)) for c in ("visible", "infrared", "depth")})
     return rows.orderBy("pos").limit(limit) if limit else rows

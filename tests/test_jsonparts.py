@@ -109,6 +109,18 @@ def test_a_folder_of_files_is_one_object(spark, tmp_path):
     assert readers.json_object(spark, f"{tmp_path}/e").count() == 0
 
 
+def test_members_are_cut_once(spark, tmp_path, monkeypatch):
+    """What is read of the members does not scan the text again: it is passed over three times, to be told, counted and cut."""
+    path = tmp_path / "o.json"
+    path.write_text(json.dumps({f"k{n}": {"visible": f"Images/visible/{n}.png", "query": f"the {n}"} for n in range(70)}))
+    passes = []
+    own = jsonparts.JsonObject._cut
+    monkeypatch.setattr(jsonparts.JsonObject, "_cut", lambda *a, **k: passes.append(1) or own(*a, **k))
+    items = readers.inference_items(spark, str(path))
+    assert [(r.pos, r.key, r.visible) for r in items.orderBy("pos").collect()] == [(n, f"k{n}", f"Test/Images/visible/{n}.png") for n in range(70)]
+    assert len(passes) == 1 and "MapInArrow" not in items._jdf.queryExecution().executedPlan().toString()
+
+
 def test_marks():
     data = np.frombuffer(b',"a\\"{" {[ "\\\\" ]},"', np.uint8)
     quoted, deeper = jsonparts._marks(data)
