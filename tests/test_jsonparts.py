@@ -126,3 +126,42 @@ def test_marks():
     quoted, deeper = jsonparts._marks(data)
     outside = [chr(c) for c, q in zip(data, quoted) if not q]
     assert "".join(outside).replace('"', "") == ", {[  ]}," and deeper[~quoted].sum() == 0
+
+
+def test_text_is_read_twice_and_members_are_sent_together(spark, tmp_path, monkeypatch):
+    """One pass tells the ranges and counts their members, one cuts them; what lies side by side is one row until it is parsed."""
+    value = {f"k{n}": [n + 0.5, 0.5, 1, 2] if n % 7 else None for n in range(5000)}
+    path = tmp_path / "o.json"
+    path.write_text(json.dumps(value))
+    passes, texts = [], jsonparts._texts
+
+    class Counted:
+        def __init__(self, df):
+            self.df = df
+
+        def mapInArrow(self, *a):
+            passes.append(self.df.mapInArrow(*a))
+            return passes[-1]
+
+    monkeypatch.setattr(jsonparts, "_texts", lambda *a: Counted(texts(*a)))
+    got = readers.predictions(spark, str(path)).collect()
+    assert {r.key: r.bbox for r in got} == value and len(got) == 5000
+    assert len(passes) == 2 and passes[1].count() < 50
+
+
+def test_counts_of_a_range_are_those_of_its_parts():
+    rng = random.Random(3)
+    for _ in range(200):
+        data = np.frombuffer("".join(rng.choice('{}[],"a \\') for _ in range(rng.randrange(1, 40))).encode(), np.uint8)
+        quoted, depth = np.array([rng.random() < 0.3 for _ in data]), np.cumsum([rng.choice((-1, 0, 1)) for _ in data])
+        k = rng.randrange(len(data) + 1)
+        parts = [jsonparts._least(data[s], quoted[s], depth[s]) for s in (slice(0, k), slice(k, None))]
+        assert jsonparts._least_of(*parts) == jsonparts._least(data, quoted, depth)
+
+
+def test_repeated_keys_and_blanks_among_members_side_by_side(spark, tmp_path):
+    path = tmp_path / "o.json"
+    for bad in ('"b": {"x": 1, "x": 2}', '"b": {"y": [{"x": 1, "x": 1}]}', '"k3": 0', "", '"b"', '"b": NaN', "'b': 1", '"b": 1 2'):
+        path.write_text("{" + ", ".join([*(f'"k{n}": {n}' for n in range(9)), bad, '"z": 1']) + "}")
+        with pytest.raises(Exception):
+            readers.json_object(spark, str(path)).collect()
